@@ -68,3 +68,12 @@ def single_thread() -> None:
     for name in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS", "RAYON_NUM_THREADS"):
         os.environ.setdefault(name, "1")
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
+
+
+#: Rows of a few narrow columns (64 bytes at most) up to which a side is broadcast.
+SMALL_ROWS = 200_000
+
+
+def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """A stored table with a broadcast hint if it has at most `rows` rows; beyond that it is joined by shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
