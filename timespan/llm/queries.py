@@ -1,6 +1,6 @@
 """The queries of the training-data operators, and their DuckDB twins."""
 
-from timespan.llm import secret_scans, warc
+from timespan.llm import decontamination, secret_scans, warc
 from timespan.llm.packing import op9_best_fit_packing
 from timespan.llm.quality_rules import op1_quality_rules
 
@@ -8,9 +8,11 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op5_secret_scans": secret_scans.op5_secret_scans,
     "op6_warc": warc.op6_warc,
+    "op7_decontamination": decontamination.op7_decontamination,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
 ORACLE: dict[str, str] = {
     "op5_secret_scans": secret_scans.ORACLE_SQL,
     "op6_warc": warc.ORACLE_SQL,
+    "op7_decontamination": decontamination.ORACLE_SQL,
 }
