@@ -1,11 +1,13 @@
 """The queries of the training-data operators, and their DuckDB twins."""
 
 from timespan.llm import decontamination, secret_scans, warc
+from timespan.llm.ngram_jaccard import op4_ngram_jaccard
 from timespan.llm.packing import op9_best_fit_packing
 from timespan.llm.quality_rules import op1_quality_rules
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_secret_scans": secret_scans.op5_secret_scans,
     "op6_warc": warc.op6_warc,
     "op7_decontamination": decontamination.op7_decontamination,
