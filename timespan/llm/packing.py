@@ -14,11 +14,11 @@ row by row; ties between pieces of one length go by doc_id and piece; other colu
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,43 +32,62 @@ PLAN_ROWS = 300_000
 #: Runs of ASCII or Latin-1 letters, runs of ASCII punctuation, ASCII digits, or anything else. The tokenizer splits at these borders itself.
 _PARTS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+(?=[!-&(-@\[-`{-~]|$)|[!-&(-/:-@\[-`{-~]+(?=[a-z0-9]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|$)|[0-9](?=[!-~]|$)|.+$", re.S)
 
+_PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+|[!-&(-/:-@\[-`{-~]+|[0-9]")
+#: The byte-level alphabet: bytes that aren't printable in Latin-1 stand as the characters from 256 on.
+_BYTE_CHARS = {b: 256 + k for k, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b))}
+
+
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+class Recent(dict):
+    """What was looked up lately, made by `make`: between `limit` and 2 * `limit` entries when full."""
+
+    def __init__(self, make, limit: int):
+        super().__init__()
+        self.make, self.limit, self.old = make, limit, {}
+
+    def __missing__(self, key: bytes) -> bytes:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
 
 class Ids:
-    """Token ids of white-space separated chunks, as little-endian bytes; at most 2 * `limit` chunks and parts are kept."""
+    """Token ids of white-space separated chunks, as little-endian bytes. Chunks and their parts are kept, about 200 bytes each."""
 
-    def __init__(self, path: str, limit: int = 150_000):
+    def __init__(self, path: str, chunks: int = 250_000, parts: int = 400_000):
         single_thread()
         from tokenizers import Tokenizer
 
-        self.encode_text = Tokenizer.from_file(path).encode
-        self.limit, self.young, self.old = limit, {}, {}
-        self.parts: dict[bytes, bytes] = {}
+        tokenizer = Tokenizer.from_file(path)
+        self.encode_text, self.merge = tokenizer.encode, tokenizer.model.tokenize
+        self.parts = Recent(self.part, parts)
+        self.chunks = Recent(self.chunk, chunks)
 
     def encode(self, chunk: bytes) -> bytes:
-        return np.array(self.encode_text(chunk.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+        return _packed(self.encode_text(chunk.decode("utf-8", "replace"), add_special_tokens=False).ids)
 
     def part(self, part: bytes) -> bytes:
-        ids = self.parts.get(part)
-        if ids is None:
-            if len(self.parts) >= 2 * self.limit:
-                self.parts.clear()
-            ids = self.parts[part] = self.encode(part)
-        return ids
-
-    def __getitem__(self, chunk: bytes) -> bytes:
-        ids = self.young.get(chunk)
-        if ids is None:
-            ids = self.old.get(chunk)
-            if ids is None:
-                # an apostrophe joins with what follows it, and a special token is one only as it is written
-                ids = self.encode(chunk) if b"'" in chunk or b"<|" in chunk else b"".join(map(self.part, _PARTS.findall(chunk.translate(LOWER))))
-            if len(self.young) >= self.limit:
-                self.old, self.young = self.young, {}
-            self.young[chunk] = ids
-        return ids
+        if _PLAIN.fullmatch(part):  # one word to the tokenizer already: only its merges are left to do
+            text = part.decode("ascii") if part.isascii() else part.decode("latin-1").translate(_BYTE_CHARS)
+            return _packed([t.id for t in self.merge(text)])
+        return self.encode(part)
+
+    def chunk(self, chunk: bytes) -> bytes:
+        if b"'" in chunk or b"<|" in chunk:  # an apostrophe joins with what follows it, and a special token is one only as it is written
+            return self.encode(chunk)
+        parts = _PARTS.findall(chunk.translate(LOWER))
+        return self.parts[parts[0]] if len(parts) == 1 else b"".join([self.parts[x] for x in parts])
 
     def text(self, text: bytes) -> bytes:
-        return b"".join(map(self.__getitem__, text.split()))
+        return b"".join(map(self.chunks.__getitem__, text.split()))
 
 
 _IDS: dict[str, Ids] = {}
