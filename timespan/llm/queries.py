@@ -3,12 +3,14 @@
 from timespan.llm import decontamination, secret_scans, warc
 from timespan.llm.ngram_jaccard import op4_ngram_jaccard
 from timespan.llm.packing import op9_best_fit_packing
+from timespan.llm.pii import op3_pii
 from timespan.llm.quality_classifier import op2_quality_classifier
 from timespan.llm.quality_rules import op1_quality_rules
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_quality_classifier": op2_quality_classifier,
+    "op3_pii": op3_pii,
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_secret_scans": secret_scans.op5_secret_scans,
     "op6_warc": warc.op6_warc,
