@@ -1,6 +1,7 @@
 """The queries of the training-data operators, and their DuckDB twins."""
 
 from timespan.llm import decontamination, secret_scans, warc
+from timespan.llm.license_scans import op8_license_scans
 from timespan.llm.ngram_jaccard import op4_ngram_jaccard
 from timespan.llm.packing import op9_best_fit_packing
 from timespan.llm.pii import op3_pii
@@ -15,6 +16,7 @@ QUERIES = {
     "op5_secret_scans": secret_scans.op5_secret_scans,
     "op6_warc": warc.op6_warc,
     "op7_decontamination": decontamination.op7_decontamination,
+    "op8_license_scans": op8_license_scans,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
 ORACLE: dict[str, str] = {
