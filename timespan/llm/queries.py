@@ -2,6 +2,7 @@
 
 from timespan.llm import decontamination, secret_scans, warc
 from timespan.llm.license_scans import op8_license_scans
+from timespan.llm.lm_scoring import op10_lm_scoring
 from timespan.llm.ngram_jaccard import op4_ngram_jaccard
 from timespan.llm.packing import op9_best_fit_packing
 from timespan.llm.pii import op3_pii
@@ -18,6 +19,7 @@ QUERIES = {
     "op7_decontamination": decontamination.op7_decontamination,
     "op8_license_scans": op8_license_scans,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_lm_scoring": op10_lm_scoring,
 }
 ORACLE: dict[str, str] = {
     "op5_secret_scans": secret_scans.ORACLE_SQL,
