@@ -32,7 +32,7 @@ _SYMBOLS = b"#*$%&|<>"
 _CONTINUATION = bytes(range(0x80, 0xC0))
 _WHITE = b" \t\n\r\x0b\x0c"
 _SCHEMA = (
-    "doc_id long, host string, content binary, n_words long, word_chars long, n_symbols long, n_dup_lines long,"
+    "doc_id long, host string, content long, n_words long, word_chars long, n_symbols long, n_dup_lines long,"
     " n_repeat_words long, base_failed boolean, lines array<long>, line_words array<int>"
 )
 _WORDS = Hashes()
@@ -76,24 +76,24 @@ def failed(n_words: int, n_repeat_words: int) -> bool:
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out: list[list] = [[] for _ in range(9)]
-        for cell in batch.column(2):
+        out: list[list] = [[] for _ in range(8)]
+        for cell in batch.column(3):
             text = cell.as_py()
             n, chars, symbols, dup, rep = base_figures(text)
             lines: dict[int, int] = {}
             for line in text.translate(LOWER).split(b"\n"):
                 if words := line.split():
                     lines.setdefault(signed(xxhash.xxh3_64_intdigest(b" ".join(words))), len(words))
-            for column, value in zip(out, (xxhash.xxh3_128_digest(text), n, chars, symbols, dup, rep, failed(n, rep), list(lines), list(lines.values())), strict=True):
+            for column, value in zip(out, (n, chars, symbols, dup, rep, failed(n, rep), list(lines), list(lines.values())), strict=True):
                 column.append(value)
-        kinds = [pa.binary(), *[pa.int64()] * 5, pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int32())]
+        kinds = [*[pa.int64()] * 5, pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int32())]
         names = ["doc_id", "host", "content", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "lines", "line_words"]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, k) for x, k in zip(out, kinds, strict=True))], names)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *(pa.array(x, k) for x, k in zip(out, kinds, strict=True))], names)
 
 
 def quality_rules(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, min_words: int = MIN_WORDS) -> DataFrame:
     """One row per document: doc_id, content, the base figures, base_failed, n_lines, n_removed_lines, n_left_words, kept."""
-    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), utf8().alias("text"))
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), F.xxhash64(utf8()).alias("content"), utf8().alias("text"))
     rows = stored(read.mapInArrow(_features, _SCHEMA).withColumn("row", F.monotonically_increasing_id()))
     lines = rows.select("row", F.coalesce("host", F.lit("\0")).alias("host"), "content", F.explode(F.arrays_zip("lines", "line_words")).alias("x")).select(
         "row", "host", "content", F.col("x.lines").alias("line"), F.col("x.line_words").alias("words")
