@@ -1,0 +1,24 @@
+"""Column expressions over time ranges, in microseconds."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def overlaps(a: tuple[str, str], b: tuple[str, str]) -> Column:
+    """Strict overlap of two ranges: touching ones don't."""
+    return (F.col(a[0]) < F.col(b[1])) & (F.col(a[1]) > F.col(b[0]))
+
+
+def clamp_start(start: str, low) -> Column:
+    return F.greatest(F.col(start), F.lit(low) if isinstance(low, int) else low)
+
+
+def clamp_end(start: Column, end: str, high: Column) -> Column:
+    """The end after clamping: at most high, at least the clamped start (which itself may lie past high)."""
+    return F.greatest(F.least(F.col(end), high), start)
+
+
+def timeline_end(us: Column) -> Column:
+    return F.greatest(us, F.lit(0))

@@ -1,4 +1,4 @@
-"""Registry of queries over the given tables, each with its DuckDB twin."""
+"""All queries over the given tables, each with its DuckDB twin where there is one."""
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from timespan.plans import history_queries, interval_queries, segmentation_queries, signal_queries, source_queries, stream_queries, transcript_queries  # noqa: F401
+from timespan.registry import ORACLE, QUERIES  # noqa: F401
