@@ -1 +1,148 @@
+"""Queries of segmentation and matching."""
 
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from timespan import fixtures as fx
+from timespan.functions import text as tx
+from timespan.operators import matching as mt
+from timespan.operators import segmentation as sm
+from timespan.plans.transcript_queries import SEGS
+from timespan.registry import query
+
+
+@query()
+def sentences(spark, d):
+    return sm.sentences(fx.words(spark, d))
+
+
+def _stamps(spark, d):
+    w = fx.words(spark, d).filter(F.regexp_like("text", F.lit("[A-Za-z0-9]")))
+    pos = F.row_number().over(Window.partitionBy("media_id", "seg_idx").orderBy("word_idx")) - 1
+    return w.select("media_id", F.col("seg_idx").alias("chunk_idx"), pos.alias("pos"), F.regexp_replace("text", r"[^\p{L}\p{N}']", "").alias("text"), "start_us", "end_us")
+
+
+def _texts(spark, d):
+    return fx.segments(spark, d).withColumnRenamed("seg_idx", "chunk_idx")
+
+
+@query()
+def words_with_marks(spark, d):
+    return sm.with_marks(_stamps(spark, d), _texts(spark, d))
+
+
+@query()
+def aligned_subtitle_lines(spark, d):
+    return sm.aligned_lines(_stamps(spark, d), _texts(spark, d))
+
+
+@query()
+def subtitle_text_lines(spark, d):
+    return sm.text_lines(fx.segments(spark, d))
+
+
+@query("""SELECT conv_id::BIGINT AS media_id, turn::BIGINT AS seg_idx, row_number() OVER (PARTITION BY conv_id, turn ORDER BY k, i) - 1 AS line_idx, substr(p, i * 20 + 1, 20) AS line FROM
+(SELECT conv_id, turn, k, trim(p) AS p FROM (SELECT conv_id, turn, generate_subscripts(w, 1) AS k, unnest(w) AS p FROM (SELECT conv_id, turn, string_split_regex(text, '[，。？！；：…—、.,!?;:\\n]+') AS w FROM conversations))) t, range(0, 2000) r(i) WHERE p <> '' AND i <= (length(p) - 1) // 20""")
+def hard_text_lines(spark, d):
+    return sm.hard_lines(fx.segments(spark, d))
+
+
+_VAD = """on0 AS (SELECT media_id, sample_idx AS c, CASE WHEN prob >= 0.5 THEN 1 ELSE 0 END AS o FROM signal), n AS (SELECT media_id, max(c) + 1 AS n FROM on0 GROUP BY media_id),
+r0 AS (SELECT *, sum(ch) OVER (PARTITION BY media_id ORDER BY c ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT *, CASE WHEN o = lag(o) OVER (PARTITION BY media_id ORDER BY c) THEN 0 ELSE 1 END AS ch FROM on0)),
+r1 AS (SELECT media_id, min(c) AS a, max(c) + 1 AS b FROM r0 WHERE o = 1 GROUP BY media_id, run HAVING count(*) >= 2),
+p AS (SELECT r1.media_id, greatest(a - 1, 0) AS start_us, least(b + CASE WHEN b = n.n THEN 0 ELSE 1 END, n.n) AS end_us FROM r1 JOIN n USING (media_id))"""
+
+
+def _vad(spark, d):
+    return fx.ordered_events(spark, d).select("media_id", F.col("sample_idx").alias("chunk_idx"), "prob")
+
+
+def _runs(spark, d):
+    return sm.speech_runs(_vad(spark, d), least=2, pad=1, join=1)
+
+
+def _merged_sql():
+    from timespan.plans.interval_queries import merged
+
+    return merged("p", 1)
+
+
+@query(fx.sql("signal", query="SELECT media_id, start_us AS first, end_us AS last FROM merged", more=_VAD + ", " + _merged_sql()))
+def speech_runs(spark, d):
+    return _runs(spark, d)
+
+
+@query()
+def speech_groups(spark, d):
+    return sm.speech_groups(_runs(spark, d), chunk=8000, longest_s=10)
+
+
+@query()
+def keyframe_split_points(spark, d):
+    return sm.keyframe_splits(fx.totals(spark, d), fx.keyframes(spark, d), count=6)
+
+
+_SPAN_LINES = """g AS (SELECT media_id, seg_idx, start_us AS g0, end_us AS g1 FROM segs), l AS (SELECT media_id, seg_idx, word_idx AS line_idx, text AS line, length(text) AS len FROM words),
+t AS (SELECT l.*, g0, g1, greatest(600000, round_even((g1 - g0) * len / (sum(len) OVER (PARTITION BY media_id, seg_idx))::DOUBLE, 0)::BIGINT) AS own, row_number() OVER (PARTITION BY media_id, seg_idx ORDER BY line_idx) - 1 AS k, count(*) OVER (PARTITION BY media_id, seg_idx) AS n FROM l JOIN g USING (media_id, seg_idx)),
+u AS (SELECT *, g0 + sum(own) OVER (PARTITION BY media_id, seg_idx ORDER BY line_idx) + k * 80000 AS e FROM t)"""
+
+
+def _span_lines(spark, d):
+    w = fx.words(spark, d)
+    g = w.groupBy("media_id", "seg_idx").agg(F.min("start_us").alias("g0_us"), F.max("end_us").alias("g1_us"))
+    return w.select("media_id", "seg_idx", F.col("word_idx").alias("line_idx"), F.col("text").alias("line")).join(g, ["media_id", "seg_idx"])
+
+
+@query(fx.sql("words", query="SELECT media_id, seg_idx, line_idx, line, (e - own)::BIGINT AS start_us, CASE WHEN k = n - 1 THEN greatest(e, g1) ELSE e END::BIGINT AS end_us FROM u", more=SEGS + ", " + _SPAN_LINES))
+def proportional_line_times(spark, d):
+    return sm.line_times(_span_lines(spark, d))
+
+
+@query("SELECT conv_id::BIGINT AS media_id, turn::BIGINT AS line_idx, ((row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) * 5100000)::BIGINT AS start_us, ((row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) * 5100000 + 5000000)::BIGINT AS end_us FROM conversations")
+def fixed_slot_times(spark, d):
+    return sm.fixed_slots(fx.segments(spark, d).withColumnRenamed("seg_idx", "line_idx"), pause=100_000)
+
+
+@query(fx.sql("words", query="""SELECT media_id, seg_idx, pos, text, (g0 + (g1 - g0) * (r - wt) // al)::BIGINT AS start_us, CASE WHEN k = n THEN g1 ELSE g0 + (g1 - g0) * r // al END::BIGINT AS end_us FROM
+(SELECT media_id, seg_idx, word_idx AS pos, w.text, s.start_us AS g0, s.end_us AS g1, length(w.text) AS wt, sum(length(w.text)) OVER (PARTITION BY media_id, seg_idx) AS al, sum(length(w.text)) OVER (PARTITION BY media_id, seg_idx ORDER BY word_idx) AS r, row_number() OVER (PARTITION BY media_id, seg_idx ORDER BY word_idx) AS k, count(*) OVER (PARTITION BY media_id, seg_idx) AS n
+FROM words w JOIN segs s USING (media_id, seg_idx))""", more=SEGS))
+def spread_tokens(spark, d):
+    return sm.spread(_span_lines(spark, d).withColumnsRenamed({"line_idx": "pos", "line": "text"}))
+
+
+@query(r"SELECT doc_id, len(w) AS n_tokens, array_to_string(w, ' ') AS joined FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z0-9]+|[^\sA-Za-z0-9]') AS w FROM documents)")
+def text_tokens(spark, d):
+    t = tx.tokens(F.col("text"))
+    return fx.table(spark, d, "documents").select("doc_id", F.size(t).cast("long").alias("n_tokens"), F.array_join(t, " ").alias("joined"))
+
+
+_TOK = "tok AS (SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY seg_idx, word_idx) - 1 AS pos, lower(text) AS low, text, CASE WHEN word_idx % 11 = 10 THEN 'silence' ELSE 'word' END AS type, seg_idx || ':' || word_idx AS key FROM words), lv AS (SELECT *, sum(CASE WHEN type = 'silence' THEN 1 ELSE 0 END) OVER (PARTITION BY media_id ORDER BY pos) AS run FROM tok)"
+_TWO = "two AS (SELECT media_id, pos AS first_pos, pos + 1 AS last_pos FROM (SELECT *, lead(low) OVER w AS nx FROM lv WHERE type = 'word' WINDOW w AS (PARTITION BY media_id, run ORDER BY pos)) WHERE low = 'of' AND nx = 'the')"
+
+
+def _tokens(spark, d):
+    w = fx.words(spark, d)
+    pos = F.row_number().over(Window.partitionBy("media_id").orderBy("seg_idx", "word_idx")) - 1
+    return w.select("media_id", pos.alias("pos"), "text", F.when(F.col("word_idx") % 11 == 10, "silence").otherwise("word").alias("type"), F.concat_ws(":", "seg_idx", "word_idx").alias("key"))
+
+
+@query(fx.sql("words", query="SELECT * FROM two", more=_TOK + ", " + _TWO))
+def phrase_matches(spark, d):
+    return mt.match_parts(_tokens(spark, d), ["of", "the"])
+
+
+@query(fx.sql("words", query="SELECT media_id, pos AS first_pos, CASE WHEN low = 'into' THEN pos ELSE pos + 1 END AS last_pos FROM (SELECT *, lead(low) OVER w AS nx FROM lv WHERE type = 'word' WINDOW w AS (PARTITION BY media_id, run ORDER BY pos)) WHERE low = 'into' OR (low = 'in' AND nx = 'to')", more=_TOK))
+def joined_matches(spark, d):
+    return mt.match_joined(_tokens(spark, d), "in to")
+
+
+@query(fx.sql("words", query="SELECT DISTINCT media_id, p AS pos FROM (SELECT media_id, first_pos AS p FROM two UNION ALL SELECT media_id, last_pos FROM two UNION ALL SELECT media_id, pos FROM lv WHERE type = 'word' AND low = 'and')", more=_TOK + ", " + _TWO))
+def filler_matches(spark, d):
+    return mt.match_fillers(_tokens(spark, d), ["of the", "and", " and ", ""])
+
+
+@query(fx.sql("words", query="SELECT a.media_id, '1:2' AS from_key, '0:3' AS to_key, unnest(range(least(a.pos, b.pos), greatest(a.pos, b.pos) + 1)) AS pos FROM (SELECT b.media_id, coalesce(a.pos, b.pos) AS pos FROM tok b LEFT JOIN tok a ON a.media_id = b.media_id AND a.key = '1:2' WHERE b.key = '0:3') a JOIN tok b ON a.media_id = b.media_id AND b.key = '0:3'", more=_TOK))
+def keys_between(spark, d):
+    t = _tokens(spark, d)
+    picks = t.select("media_id").distinct().select("media_id", F.lit("1:2").alias("from_key"), F.lit("0:3").alias("to_key"))
+    return mt.keys_between(t, picks)
