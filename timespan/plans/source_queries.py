@@ -1 +1,137 @@
+"""Queries of readers and writers over texts that Spark derives from the tables."""
 
+from pyspark.sql import functions as F
+
+from timespan import fixtures as fx
+from timespan.functions import text as tx
+from timespan.operators import intervals as iv
+from timespan.plans.interval_queries import merged
+from timespan.plans.transcript_queries import CUT, _cut, _kept
+from timespan.registry import query
+from timespan.sources import documents as dc
+from timespan.sources import logs as lg
+from timespan.sources import subtitles as sb
+
+
+def _lines(spark, d):
+    """Subtitle lines: a line per turn, 4 s each."""
+    c = fx.table(spark, d, "conversations")
+    t = F.col("turn").cast("long")
+    return c.select(F.col("conv_id").cast("long").alias("media_id"), t.alias("line_idx"), (t * 5_000_000 + 1_500).alias("start_us"), (t * 5_000_000 + 4_000_500).alias("end_us"), F.regexp_replace(F.btrim("text"), r"\s+", " ").alias("text"), F.concat(F.lit("Speaker "), (t % 3).cast("string")).alias("speaker"))
+
+
+_SQL_LINES = """lines AS (SELECT conv_id::BIGINT AS media_id, turn::BIGINT AS line_idx, turn::BIGINT * 5000000 + 1500 AS start_us, turn::BIGINT * 5000000 + 4000500 AS end_us, regexp_replace(trim(text), '\\s+', ' ', 'g') AS text, 'Speaker ' || (turn % 3) AS speaker FROM conversations),
+ck AS (SELECT *, round_even(start_us / 1000.0, 0)::BIGINT AS a, round_even(end_us / 1000.0, 0)::BIGINT AS b, row_number() OVER (PARTITION BY media_id ORDER BY line_idx) AS n FROM lines)"""
+
+
+def _clock(c: str, mark: str) -> str:
+    return f"printf('%02d:%02d:%02d{mark}%03d', {c} // 3600000, {c} // 60000 % 60, {c} // 1000 % 60, {c} % 1000)"
+
+
+def _body(text: str, numbered: bool, mark: str) -> str:
+    n = "n || chr(10) || " if numbered else ""
+    return f"regexp_replace(string_agg({n}{_clock('a', mark)} || ' --> ' || {_clock('b', mark)} || chr(10) || {text} || chr(10), chr(10) ORDER BY line_idx), '\\s+$', '') || chr(10)"
+
+
+@query(f"WITH {_SQL_LINES} SELECT media_id, {_body('text', True, ',')} AS value FROM ck GROUP BY media_id")
+def srt_texts(spark, d):
+    return sb.to_srt(_lines(spark, d))
+
+
+@query(f"WITH {_SQL_LINES} SELECT media_id, 'WEBVTT' || chr(10) || chr(10) || {_body('text', False, '.')} AS value FROM ck GROUP BY media_id")
+def vtt_texts(spark, d):
+    return sb.to_vtt(_lines(spark, d))
+
+
+_SAID = "speaker || '：' || text"
+
+
+@query(f"WITH {_SQL_LINES} SELECT media_id, {_body(_SAID, True, ',')} AS value FROM ck GROUP BY media_id")
+def speaker_srt_texts(spark, d):
+    return sb.to_speaker_srt(_lines(spark, d))
+
+
+@query(f"WITH {_SQL_LINES} SELECT media_id, string_agg({_SAID}, chr(10) ORDER BY line_idx) AS value FROM lines WHERE trim(text) <> '' GROUP BY media_id")
+def plain_texts(spark, d):
+    return sb.to_plain(_lines(spark, d))
+
+
+@query(f"WITH {_SQL_LINES} SELECT media_id, n - 1 AS block, a * 1000 AS start_us, b * 1000 AS end_us, text FROM ck")
+def srt_round_trip(spark, d):
+    return sb.parse_srt(sb.to_srt(_lines(spark, d)), "media_id")
+
+
+@query(f"WITH {_SQL_LINES} SELECT media_id, n - 1 AS block, a * 1000 AS start_us, b * 1000 AS end_us, speaker, text FROM ck")
+def speaker_srt_round_trip(spark, d):
+    return sb.parse_speaker_srt(sb.to_speaker_srt(_lines(spark, d)), "media_id")
+
+
+@query(f"WITH {_SQL_LINES}, t AS (SELECT media_id, max(end_us) AS total_us FROM lines GROUP BY media_id) SELECT media_id, line_idx, greatest(0, start_us * 16000 // 1000000) AS from_sample, least(total_us * 16000 // 1000000, end_us * 16000 // 1000000) AS to_sample, printf('%08d-%08d.wav', start_us // 1000, end_us // 1000) AS file FROM lines JOIN t USING (media_id) WHERE trim(text) <> ''")
+def clip_manifest(spark, d):
+    lines = _lines(spark, d)
+    return dc.clip_manifest(lines, lines.groupBy("media_id").agg(F.max("end_us").alias("total_us")))
+
+
+@query(fx.sql("words", "word_totals", query="SELECT media_id, start_us, end_us FROM kept WHERE media_id % 2 = 0 UNION ALL SELECT media_id, start_us, end_us FROM kept WHERE media_id % 2 = 1", more=CUT))
+def plan_round_trip(spark, d):
+    """Plans written as JSON and read again; every other one without its kept ranges, so that they are derived."""
+    totals = fx.word_totals(spark, d)
+    plans = dc.plan_json(totals, _cut(spark, d), _kept(spark, d))
+    return dc.keep_ranges(plans.withColumn("value", F.when(F.col("media_id") % 2 == 1, F.regexp_replace("value", "keep_ranges", "other")).otherwise(F.col("value"))), totals)
+
+
+def _packets(spark, d):
+    return fx.ranges(spark, d).select("media_id", F.concat(F.format_string("%.6f", F.col("start_us") / 1e6), F.when(F.col("kind") == "signup", F.lit(",K__")).otherwise(F.lit(",___"))).alias("value"))
+
+
+@query(fx.sql("ranges", "keyframes", query="SELECT * FROM keyframes"))
+def keyframes_from_packets(spark, d):
+    return lg.keyframes_from_packets(_packets(spark, d))
+
+
+@query(fx.sql("ranges", query="SELECT media_id, start_us AS t_us FROM ranges WHERE kind = 'view'"))
+def keyframes_from_frames(spark, d):
+    f = F.struct((F.col("kind") == "view").cast("int").cast("string").alias("key_frame"), F.when(F.col("start_us") % 2 == 0, F.format_string("%.6f", F.col("start_us") / 1e6)).otherwise("N/A").alias("pkt_pts_time"), F.format_string("%.6f", F.col("start_us") / 1e6).alias("best_effort_timestamp_time"))
+    return lg.keyframes_from_frames(fx.ranges(spark, d).groupBy("media_id").agg(F.to_json(F.struct(F.collect_list(f).alias("frames"))).alias("value")))
+
+
+@query(fx.sql("ranges", "spans", query="SELECT media_id, start_us, end_us FROM merged", more=merged("spans")))
+def silences_from_log(spark, d):
+    m = iv.merge(fx.spans(spark, d))
+    lines = m.select("media_id", F.explode(F.array(F.struct(F.col("start_us").alias("line_no"), F.format_string("[x] silence_start: %.6f", F.col("start_us") / 1e6).alias("value")), F.struct(F.col("end_us").alias("line_no"), F.format_string("[x] silence_end: %.6f | silence_duration: 1", F.col("end_us") / 1e6).alias("value")))).alias("x"))
+    return lg.silences_from_log(lines.select("media_id", "x.line_no", "x.value"))
+
+
+@query(fx.sql("ranges", "totals", query="SELECT media_id, total_us // 10000 * 10000 AS duration_us, media_id % 2 = 0 AS has_video, true AS has_audio FROM totals"))
+def probed_media(spark, d):
+    cs = F.floor(F.col("total_us") / 10_000)
+    dur = F.format_string("  Duration: %d:%02d:%02d.%02d, start: 0", F.floor(cs / 360_000), F.floor(cs / 6_000) % 60, F.floor(cs / 100) % 60, cs % 100)
+    kinds = F.when(F.col("media_id") % 2 == 0, F.lit("Stream #0:0: Video: h264")).otherwise(F.lit("Stream #0:0: Data"))
+    return lg.probe(fx.totals(spark, d).select("media_id", F.explode(F.array(dur, kinds, F.lit("Stream #0:1(und): Audio: aac"))).alias("value")))
+
+
+@query(fx.sql("ranges", "totals", query="SELECT media_id, start_us AS line_no, round(least(start_us // 10000 * 10000 / total_us, 1), 9) AS progress FROM ranges JOIN totals USING (media_id)"))
+def progress_from_log(spark, d):
+    cs = F.floor(F.col("start_us") / 10_000)
+    lines = fx.ranges(spark, d).select("media_id", F.col("start_us").alias("line_no"), F.format_string("frame= 1 time=%d:%02d:%02d.%02d bitrate=1", F.floor(cs / 360_000), F.floor(cs / 6_000) % 60, F.floor(cs / 100) % 60, cs % 100).alias("value"))
+    return lg.progress(lines, fx.totals(spark, d).withColumnRenamed("total_us", "duration_us")).withColumn("progress", F.round("progress", 9))
+
+
+@query(r"SELECT DISTINCT word FROM (SELECT unnest(string_split_regex(trim(text), '[\s,，；;、]+')) AS word FROM conversations WHERE trim(text) <> '' AND NOT starts_with(trim(text), '#')) WHERE word <> ''")
+def word_list(spark, d):
+    return lg.word_list(fx.table(spark, d, "conversations").select(F.col("text").alias("value")))
+
+
+@query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'video' WHEN 1 THEN 'audio' END AS kind, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE '25/1' END AS rate FROM part")
+def media_kinds(spark, d):
+    k = F.col("p_partkey") % 4
+    path = F.concat(F.lit("/m/"), F.col("p_name"), F.when(k == 0, ".MP4").when(k == 1, ".wav").when(k == 2, ".txt").otherwise(""))
+    return fx.table(spark, d, "part").select("p_partkey", tx.suffix_kind(F.regexp_replace(path, " ", "_")).alias("kind"), lg.frame_rate(F.when(F.col("p_partkey") % 3 == 0, F.lit("0/0")).otherwise(F.lit(" 25/1"))).alias("rate"))
+
+
+@query("SELECT p_name AS name, CASE p_partkey % 4 WHEN 0 THEN 'missing' WHEN 1 THEN 'differs' WHEN 2 THEN 'pointer' ELSE 'ok' END AS status FROM (SELECT c_name AS p_name, c_custkey AS p_partkey FROM customer)")
+def checked_artefacts(spark, d):
+    c = fx.table(spark, d, "customer").select(F.col("c_name").alias("name"), (F.col("c_custkey") % 4).alias("k"), F.col("c_address").alias("body") if "c_address" in fx.table(spark, d, "customer").columns else F.col("c_name").alias("body"))
+    files = c.filter("k <> 0").select("name", F.when(F.col("k") == 2, F.concat(F.lit("version https://git-lfs.github.com/spec/v1 "), "body")).otherwise(F.col("body")).cast("binary").alias("content"))
+    manifest = c.select("name", F.when(F.col("k") == 1, F.lit("0")).otherwise(F.sha2("body", 256)).alias("sha256"))
+    return dc.check_artefacts(files, manifest)
