@@ -1 +1,49 @@
+"""Queries of the streams: batch twins, and streams run to the end of the given table."""
 
+import tempfile
+import uuid
+
+from pyspark.sql import functions as F
+
+from timespan import fixtures as fx
+from timespan.registry import query
+from timespan.streaming import live
+
+
+def _vad(df):
+    return df.select(F.col("media_id").alias("stream_id"), F.col("sample_idx").alias("chunk_idx"), "prob")
+
+
+@query()
+def live_utterances(spark, d):
+    return live.utterances(_vad(fx.ordered_events(spark, d)), silence=2, cap=8)
+
+
+def _folder(spark) -> str:
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-")
+    return f"{base}/stream-{uuid.uuid4().hex}"
+
+
+@query()
+def live_utterances_stream(spark, d):
+    """The same through a file stream with state; events are read as one batch, so their order in it is sorted by id."""
+    events = spark.readStream.schema(fx.table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    vad = events.select(F.col("user_id").cast("long").alias("stream_id"), F.col("event_id").cast("long").alias("chunk_idx"), F.when(F.col("event_type").isin("click", "view", "purchase"), 0.9).otherwise(0.1).alias("prob"))
+    folder = _folder(spark)
+    q = live.utterance_stream(vad, silence=2, cap=8).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(live.UTTERANCE).parquet(f"{folder}/out")
+
+
+@query(fx.sql("tasks", query="SELECT project_id, version, payload FROM (SELECT o_custkey::BIGINT AS project_id, max(o_orderkey) AS version, arg_max(o_orderstatus, o_orderkey) AS payload FROM orders GROUP BY o_custkey) UNION ALL SELECT c_custkey::BIGINT, 1, 'new' FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)"))
+def cached_or_computed(spark, d):
+    o = fx.table(spark, d, "orders").select(F.col("o_custkey").cast("long").alias("project_id"), F.col("o_orderkey").cast("long").alias("version"), F.col("o_orderstatus").alias("payload"))
+    c = fx.table(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("project_id"))
+    return live.refreshed(c.unionByName(o.select("project_id")).distinct(), o, lambda missing: missing.withColumn("payload", F.lit("new")))
+
+
+@query("SELECT event_id AS block_id, (value + user_id) / 2 AS mono FROM events")
+def mixed_blocks(spark, d):
+    e = fx.table(spark, d, "events")
+    blocks = e.select(F.col("event_id").alias("block_id"), F.array(F.array(F.col("value").cast("double")), F.array(F.col("user_id").cast("double"))).alias("channels"))
+    return live.preprocess_stream(blocks).select("block_id", F.col("mono")[0].alias("mono"))
