@@ -173,3 +173,24 @@ def tokens_in_ranges(tokens: DataFrame, ranges: DataFrame, least: int = 500) ->
     """Tokens that a range overlaps by more than least."""
     r = ranges.select(F.col("media_id").alias("m"), F.col("start_us").alias("rs"), F.col("end_us").alias("re"))
     return tokens.join(r, (F.col("media_id") == F.col("m")) & (F.least("end_us", "re") - F.greatest("start_us", "rs") > least), "left_semi")
+
+
+def nearest_token(points: DataFrame, tokens: DataFrame) -> DataFrame:
+    """The token whose middle is nearest to each point, the first of equals: as-of from both sides."""
+    mid = (F.col("start_us") + F.col("end_us")) / 2
+    t = tokens.select("media_id", mid.alias("at"), F.lit(0).alias("kind"), F.struct(mid.alias("mid"), "seg_idx", "word_idx").alias("token"), F.lit(None).cast("long").alias("t_us"))
+    p = points.select("media_id", F.col("t_us").cast("double").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("struct<mid:double,seg_idx:bigint,word_idx:int>").alias("token"), "t_us")
+    both = t.withColumn("token", F.col("token").cast("struct<mid:double,seg_idx:bigint,word_idx:int>")).unionByName(p)
+    order = [F.col("at"), F.col("kind"), F.col("token.seg_idx"), F.col("token.word_idx")]
+    before = F.last("token", ignorenulls=True).over(Window.partitionBy("media_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    after = F.first("token", ignorenulls=True).over(Window.partitionBy("media_id").orderBy(*order).rowsBetween(0, Window.unboundedFollowing))
+    df = both.withColumn("b", before).withColumn("a", after).filter("kind = 1")
+    pick = F.when(F.col("a").isNull() | (F.col("t_us") - F.col("b.mid") <= F.col("a.mid") - F.col("t_us")), F.col("b")).otherwise(F.col("a"))
+    return df.withColumn("token", F.coalesce(pick, "a")).select("media_id", "t_us", "token.seg_idx", "token.word_idx")
+
+
+def decode_ids(ids: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """Texts of token ids (media_id, pos, id): special ids go, pieces of the vocabulary (id, piece, special) are joined in order."""
+    v = vocabulary.filter("NOT special").select("id", "piece")
+    item = F.struct("pos", "piece")
+    return ids.join(v, "id").groupBy("media_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(item)), lambda x: x["piece"]), "").alias("text"))

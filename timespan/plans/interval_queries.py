@@ -205,3 +205,12 @@ def spans_in_pieces(spark, d):
 @query(fx.sql("ranges", "totals", query="SELECT media_id, i::INT AS chunk_idx, s AS start_us, least(s + 20000000000, total_us) AS end_us FROM (SELECT *, i * 20000000000 AS s FROM totals, range(0, 1000000) r(i) WHERE i * 20000000000 < total_us) WHERE least(s + 20000000000, total_us) - s >= 500000"))
 def fixed_chunks(spark, d):
     return iv.fixed_chunks(fx.totals(spark, d), 20_000_000_000)
+
+
+@query(fx.sql("ranges", "spans", query="""SELECT media_id, line_idx, CASE WHEN line_idx % 3 = 0 THEN greatest(0, least(start_us + 5000000, end_us - 100000)) ELSE start_us END AS start_us, CASE WHEN line_idx % 3 = 1 THEN greatest(end_us - 5000000, start_us + 100000) ELSE end_us END AS end_us,
+greatest(least(start_us, coalesce(lag(start_us) OVER w, start_us)) - 500000, 0) AS view_from_us, greatest(end_us, coalesce(lead(end_us) OVER w, end_us)) + 500000 AS view_to_us FROM (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY start_us, end_us) AS line_idx FROM spans) WINDOW w AS (PARTITION BY media_id ORDER BY line_idx)"""))
+def moved_edges(spark, d):
+    lines = _spans_with_id(spark, d).withColumnRenamed("id", "line_idx")
+    k = F.col("line_idx") % 3
+    edits = lines.filter(k < 2).select("media_id", "line_idx", F.when(k == 0, "start").otherwise("end").alias("edge"), F.when(k == 0, F.col("start_us") + 5_000_000).otherwise(F.col("end_us") - 5_000_000).alias("to_us"))
+    return iv.move_edges(lines, edits)

@@ -217,3 +217,29 @@ def presplit_and_motion(spark, d):
 CASE lang WHEN 'en' THEN 'English' WHEN 'de' THEN 'De' WHEN 'fr' THEN 'Fr' WHEN 'es' THEN 'Es' END AS language, trim(source) AS marked, doc_id AS id FROM documents""")
 def display_formats(spark, d):
     return fx.table(spark, d, "documents").select("doc_id", ck.byte_size(F.col("n_chars")).alias("size"), tx.language_name(F.col("lang")).alias("language"), tx.after_marker(F.concat(F.lit("x <asr_text> "), F.col("source"), F.lit(" "))).alias("marked"), F.col("doc_id").alias("id"))
+
+
+@query(fx.sql("words", query="""SELECT media_id, t_us, seg_idx, word_idx FROM (SELECT p.media_id, t_us, seg_idx, word_idx, row_number() OVER (PARTITION BY p.media_id, t_us ORDER BY abs((start_us + end_us) / 2.0 - t_us), (start_us + end_us) / 2.0) AS r
+FROM (SELECT media_id, (i * 1700001)::BIGINT AS t_us FROM (SELECT DISTINCT media_id FROM words), range(0, 20) r(i)) p JOIN words w ON w.media_id = p.media_id) WHERE r = 1"""))
+def nearest_tokens(spark, d):
+    points = fx.words(spark, d).select("media_id").distinct().select("media_id", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("i")).select("media_id", (F.col("i") * 1_700_001).cast("long").alias("t_us"))
+    return tr.nearest_token(points, fx.words(spark, d))
+
+
+@query(fx.sql("words", query="SELECT media_id, string_agg(CASE (length(text) % 26) WHEN 1 THEN 'b' ELSE 'x' END, '' ORDER BY p) AS text FROM (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY seg_idx, word_idx) AS p FROM words) WHERE length(text) % 26 <> 0 GROUP BY media_id"))
+def decoded_ids(spark, d):
+    from pyspark.sql import Window
+
+    ids = fx.words(spark, d).select("media_id", F.row_number().over(Window.partitionBy("media_id").orderBy("seg_idx", "word_idx")).alias("pos"), (F.length("text") % 26).alias("id"))
+    vocabulary = ids.select("id").distinct().select("id", F.when(F.col("id") == 1, "b").otherwise("x").alias("piece"), (F.col("id") == 0).alias("special"))
+    return tr.decode_ids(ids, vocabulary)
+
+
+@query("""SELECT conv_id::BIGINT AS media_id, turn::BIGINT AS seg_idx, CASE WHEN turn % 5 = 0 THEN 0 ELSE turn * 1500000 END::BIGINT AS start_us, greatest(CASE WHEN turn % 5 = 0 THEN 0 ELSE turn * 1500000 END, turn * 1000000)::BIGINT AS end_us,
+CASE WHEN turn % 2 = 0 THEN 'ab' ELSE trim(role) END AS text, 2::BIGINT AS n_words FROM conversations""")
+def cleaned_external_segments(spark, d):
+    c = fx.table(spark, d, "conversations")
+    t = F.col("turn")
+    word = lambda s, x: F.struct(F.lit(s).alias("s"), F.lit("1").alias("e"), F.lit(x).alias("text"))
+    outside = c.select(F.col("conv_id").cast("long").alias("media_id"), t.cast("long").alias("seg_idx"), F.when(t % 5 == 0, "bad").otherwise((t * 1.5).cast("string")).alias("start_s"), t.cast("string").alias("end_s"), F.when(t % 2 == 0, F.lit(" ")).otherwise(F.concat(F.lit(" "), "role")).alias("text"), F.array(word("0", "a"), word("x", "lost"), word("2", "b")).alias("words"))
+    return tr.clean_external(outside)
