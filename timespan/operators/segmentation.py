@@ -250,3 +250,24 @@ def spread(tokens: DataFrame, least: int = 10_000) -> DataFrame:
 
     end = F.when((F.col("k") == F.col("n")) & (dur > 0), F.col("g1_us")).otherwise(at(F.col("run"), F.col("k")))
     return df.select("media_id", "seg_idx", "pos", "text", at(F.col("run") - F.col("weight"), F.col("k") - 1).alias("start_us"), end.alias("end_us"))
+
+
+def allot_stamps(units: DataFrame, stamps: DataFrame) -> DataFrame:
+    """Times of word units (media_id, seg_idx, pos, text) from stamps (media_id, seg_idx, k, start_us, end_us) in order.
+
+    Each unit takes one stamp while there are any. More stamps than units go round the Latin units, the longest first;
+    without Latin units, to the last one. A unit's time is that of its first stamp's start and its last one's end.
+    """
+    seg = Window.partitionBy("media_id", "seg_idx")
+    counted = stamps.groupBy("media_id", "seg_idx").agg(F.count(F.lit(1)).alias("stamps"))
+    df = units.join(counted, ["media_id", "seg_idx"]).withColumn("latin", F.regexp_like("text", F.lit(r"^[\x00-\x7F]+$")))
+    df = df.withColumn("extra", F.greatest(F.col("stamps") - F.count(F.lit(1)).over(seg), F.lit(0))).withColumn("n_latin", F.sum(F.col("latin").cast("int")).over(seg))
+    df = df.withColumn("rank", F.row_number().over(seg.orderBy(F.desc("latin"), F.when(F.col("latin"), -F.length("text")), "pos")) - 1).withColumn("back", F.row_number().over(seg.orderBy(F.desc("pos"))))
+    share = F.floor(F.col("extra") / F.col("n_latin")) + (F.col("rank") < F.col("extra") % F.col("n_latin")).cast("int")
+    more = F.when(F.col("n_latin") > 0, F.when(F.col("latin"), share).otherwise(0)).otherwise(F.when(F.col("back") == 1, F.col("extra")).otherwise(0))
+    df = df.withColumn("take", more + 1).withColumn("last", F.sum("take").over(seg.orderBy("pos"))).withColumn("first", F.col("last") - F.col("take") + 1)
+    df = df.filter("first <= stamps").withColumn("last", F.least("last", "stamps"))
+    s = stamps.select("media_id", "seg_idx", (F.row_number().over(seg.orderBy("k"))).alias("nth"), "start_us", "end_us")
+    a = s.select("media_id", "seg_idx", F.col("nth").alias("first"), "start_us")
+    b = s.select("media_id", "seg_idx", F.col("nth").alias("last"), "end_us")
+    return df.join(a, ["media_id", "seg_idx", "first"]).join(b, ["media_id", "seg_idx", "last"]).select("media_id", "seg_idx", "pos", "text", "start_us", "end_us")

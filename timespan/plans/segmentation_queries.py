@@ -146,3 +146,15 @@ def keys_between(spark, d):
     t = _tokens(spark, d)
     picks = t.select("media_id").distinct().select("media_id", F.lit("1:2").alias("from_key"), F.lit("0:3").alias("to_key"))
     return mt.keys_between(t, picks)
+
+
+@query(fx.sql("words", query="""SELECT d.media_id, d.seg_idx, pos, text, a.start_us, b.end_us FROM (SELECT *, sum(take) OVER (PARTITION BY media_id, seg_idx ORDER BY pos) AS lst FROM
+(SELECT *, 1 + CASE WHEN nl > 0 THEN CASE WHEN latin THEN extra // nl + CASE WHEN rk < extra % nl THEN 1 ELSE 0 END ELSE 0 END ELSE CASE WHEN bk = 1 THEN extra ELSE 0 END END AS take FROM
+(SELECT *, greatest(stamps - count(*) OVER s, 0) AS extra, sum(latin::INT) OVER s AS nl, row_number() OVER (PARTITION BY media_id, seg_idx ORDER BY latin DESC, CASE WHEN latin THEN -length(text) END, pos) - 1 AS rk, row_number() OVER (PARTITION BY media_id, seg_idx ORDER BY pos DESC) AS bk FROM u WINDOW s AS (PARTITION BY media_id, seg_idx)))) d
+JOIN st a ON a.media_id = d.media_id AND a.seg_idx = d.seg_idx AND a.nth = lst - take + 1 JOIN st b ON b.media_id = d.media_id AND b.seg_idx = d.seg_idx AND b.nth = least(lst, d.stamps)""", more="""
+st AS (SELECT media_id, seg_idx, row_number() OVER (PARTITION BY media_id, seg_idx ORDER BY word_idx) AS nth, start_us, end_us, count(*) OVER (PARTITION BY media_id, seg_idx) AS stamps FROM words),
+u AS (SELECT w.media_id, w.seg_idx, word_idx AS pos, text, regexp_matches(text, '^[\\x00-\\x7F]+$') AS latin, stamps FROM words w JOIN (SELECT DISTINCT media_id, seg_idx, stamps FROM st) USING (media_id, seg_idx) WHERE word_idx % 4 <> 1)"""))
+def allotted_stamps(spark, d):
+    w = fx.words(spark, d)
+    units = w.filter("word_idx % 4 <> 1").select("media_id", "seg_idx", F.col("word_idx").alias("pos"), "text")
+    return sm.allot_stamps(units, w.select("media_id", "seg_idx", F.col("word_idx").alias("k"), "start_us", "end_us"))
