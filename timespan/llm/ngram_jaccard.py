@@ -14,10 +14,14 @@ Of two sets, the one whose prefix ends first has its surviving key in the other'
 called frequent; so the classes only steer speed. They come from one pass: a task reports the tokens that it meets
 twice or more, and the most frequent of their sums, at most `frequent_limit`, are sent to all tasks.
 
-Documents with equal word sequences are one content from the start. Keys that one content alone has are dropped, then
-pairs are verified in two rounds: each content with the least content of its keys, which connects most of a group of
-near copies without listing its pairs; then every remaining pair with a key in common whose components differ. Length
-and position filters drop pairs before their sets are compared. Components come from large-star and small-star steps.
+A prefix that is two keys longer makes three keys common, so pairs with fewer are no candidates (sets of fewer than 20
+tokens need one).
+
+Documents with equal word sequences are one content from the start. Keys that one content alone has are dropped. Hub
+rounds compare each content with the most central content of its keys (the one with most keys in common with others),
+later with others of them, which connects groups of near copies without listing their pairs; they stop when few pairs
+with keys in common are left between different components, and all of those are compared. Length and position filters
+and parity sketches (512 bits, of which no more can differ than tokens do) drop pairs before their sets are compared. Components come from large-star and small-star steps.
 
 Defined results: texts without words, null texts among them, have an empty set and are linked with nothing (each is
 its own component, also when repeated); fewer than five words are one shingle; equal sets are linked; the smallest
@@ -40,6 +44,9 @@ SHINGLE = 5
 #: Tokens called frequent: the most, and the least count reported by tasks.
 FREQUENT_LIMIT, FREQUENT_COUNT = 200_000, 8
 
+#: Prefixes of sets of LONG tokens or more are extended until similar sets have COMMON keys in common.
+COMMON, LONG = 3, 20
+
 _WORDS = Hashes()
 
 
@@ -56,6 +63,11 @@ def shingles(words: list[bytes], n: int = SHINGLE) -> np.ndarray:
     return np.unique(rolling)
 
 
+def common_keys(n: int) -> int:
+    """Keys that a set of n tokens has in common, at least, with any set that is similar and has as many or more."""
+    return COMMON if n >= LONG else 1
+
+
 def signature(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     """Index keys of a sorted set; a key's place is that of its (first) token in the global order. frequent: sorted."""
     n = len(tokens)
@@ -65,15 +77,26 @@ def signature(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     if len(frequent):
         at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
         often = frequent[at] == tokens
-    rare = tokens[~often][: n // 5 + 1]
-    if 5 * len(rare) > n:
+    more = common_keys(n) - 1
+    rare = tokens[~often][: n // 5 + 1 + more]
+    if len(rare) == n // 5 + 1 + more:
         return rare
-    left = n - 5 * len(rare)
-    last = tokens[often][: 2 * (left // 5) + (left % 5 == 4) + 2]
+    left = max(0, n - 5 * max(0, len(rare) - more))
+    last = tokens[often][: 2 * (left // 5) + (left % 5 == 4) + 2 + more]
     pairs = (last[:-1] * np.uint64(0xD6E8FEB86659FD93)) ^ last[1:] ^ np.uint64(0xA5A5A5A5A5A5A5A5)
     return np.concatenate([rare, pairs])
 
 
+#: Bits of a set's parity sketch.
+SKETCH = 512
+
+
+def parities(tokens: np.ndarray) -> np.ndarray:
+    """For each of SKETCH residues of the hashes, whether an odd number of tokens has it: as many bits of two sets differ as tokens do, at most."""
+    odd = np.bincount(((tokens >> np.uint64(33)) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _words_of(text: bytes) -> list[bytes]:
     return text.translate(LOWER).split()
 
@@ -106,18 +129,19 @@ def signatures(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = shared.value
         for batch in batches:
-            contents, sizes, keys = [], [], []
+            contents, sizes, keys, bits = [], [], [], []
             for cell in batch.column(2):
                 words = _words_of(cell.as_py())
                 tokens = shingles(words)
                 contents.append(xxhash.xxh3_128_digest(b" ".join(words)) if words else None)
                 sizes.append(len(tokens))
                 keys.append(signature(tokens, often).view(np.int64))
+                bits.append(parities(tokens))
             offsets = pa.array(np.cumsum([0, *map(len, keys)]), pa.int32())
             lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(contents, pa.binary()), pa.array(sizes, pa.int64()), lists], ["doc_id", "key", "content", "n", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(contents, pa.binary()), pa.array(sizes, pa.int64()), lists, pa.array(bits, pa.list_(pa.int64()))], ["doc_id", "key", "content", "n", "keys", "bits"])
 
-    return _texts(docs).mapInArrow(sign, "doc_id long, key long, content binary, n long, keys array<long>")
+    return _texts(docs).mapInArrow(sign, "doc_id long, key long, content binary, n long, keys array<long>, bits array<long>")
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,10 +161,6 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(hubs, pa.int64()), pa.array(ids, pa.int64())], ["a", "b"])
 
 
-#: Members of a hub that one task compares with it at once.
-MEMBERS = 1000
-
-
 def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Those of pairs(a, b) whose sets are similar. A text is read where it is stored and sent once per pair it is in."""
     pairs = stored(pairs)
@@ -154,9 +174,35 @@ def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return stored(dealt.mapInArrow(_compare, "a long, b long"))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, component (its least node) of every node that has an edge, by large-star and small-star steps."""
-    edges = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+#: Edges that one task unites, at most (16 bytes each, and about 200 in its table).
+FEW_EDGES = 200_000
+#: Members of a hub that one task compares with it at once.
+MEMBERS = 1000
+
+
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node, component of the few edges (a, b) of one task, without the nodes that name their component."""
+    parent: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = top(a), top(b)
+            parent[max(a, b)] = min(a, b)
+    nodes = [x for x in parent if top(x) != x]
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([top(x) for x in nodes], pa.int64())], ["node", "component"])
+
+
+def components(edges: DataFrame, few: int = FEW_EDGES) -> DataFrame:
+    """node, component (its least node) of every other node that has an edge: in one task up to `few` edges, beyond that by large-star and small-star steps."""
+    edges = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+    if edges.limit(few + 1).count() <= few:
+        return stored(edges.coalesce(1).mapInArrow(_united, "node long, component long"))
+    edges = stored(edges.distinct())
     last = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -178,23 +224,26 @@ def similar_documents(docs: DataFrame, frequent_limit: int = FREQUENT_LIMIT) ->
     nodes = stored(signed_rows.select("row", "doc_id", "key", "n", "content").join(contents, "content", "left").drop("content"))
     copies = small(nodes.filter("row <> id").select("row"))
     index = signed_rows.filter("content IS NOT NULL").join(copies, "row", "left_anti").select(F.col("row").alias("id"), "n", F.posexplode("keys").alias("place", "at"))
-    shared_keys = index.groupBy("at").agg(F.min("id").alias("hub"), F.max("id").alias("top")).filter("hub < top").select("at", "hub")
-    shared = stored(index.join(shared_keys, "at"))
-    first = shared.filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    first = stored(first.join(nodes.select(F.col("row").alias("a"), F.col("n").alias("na")), "a").join(nodes.select(F.col("row").alias("b"), F.col("n").alias("nb")), "b").filter(_sizes("na", "nb")).select("a", "b"))
-    links = verified(docs, first, nodes)
-    groups = components(links)
-    # what is left: pairs with a key in common, in different components and not compared yet
-    labelled = shared.select("at", "id", "n", "place").join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = labelled.groupBy("at").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("at")
-    open_rows = stored(labelled.join(mixed, "at"))
-    x, y = open_rows.select("at", *(F.col(c).alias(f"{c}1") for c in ("id", "n", "place", "component"))), open_rows.select("at", *(F.col(c).alias(f"{c}2") for c in ("id", "n", "place", "component")))
-    overlap = F.least("place1", "place2") + 1 + F.least(F.col("n1") - F.col("place1"), F.col("n2") - F.col("place2")) - 1
-    rest = x.join(y, "at").filter((F.col("id1") < F.col("id2")) & (F.col("component1") != F.col("component2")) & _sizes("n1", "n2") & (9 * overlap >= 4 * (F.col("n1") + F.col("n2"))))
-    rest = stored(rest.select(F.col("id1").alias("a"), F.col("id2").alias("b")).distinct().join(first, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        links = links.unionByName(verified(docs, rest, nodes))
-        groups = components(links)
+    shared_keys = index.groupBy("at").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("at")
+    shared = index.join(shared_keys, "at")
+    # the more of its keys others have, the more central a content is in its group
+    shared = stored(shared.join(shared.groupBy("id").agg(F.count(F.lit(1)).alias("ties")), "id"))
+    sketches = signed_rows.select(F.col("row").alias("id"), "n", "bits")
+    rows, groups, done, turn = shared.count(), None, None, 0
+    while True:
+        open_rows, most = _open_rows(shared, groups)
+        if turn and most <= 4 * rows or turn == HUB_ROUNDS:
+            break
+        pairs = _alike_pairs(_hub_pairs(open_rows, turn), sketches)
+        pairs = stored(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"))
+        done = pairs if done is None else done.unionByName(pairs)
+        links = verified(docs, pairs, nodes)
+        groups = components(links if groups is None else links.unionByName(groups.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+        turn += 1
+    pairs = stored(_all_pairs(open_rows, sketches).join(done, ["a", "b"], "left_anti").join(done.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"))
+    if not pairs.isEmpty():
+        links = verified(docs, pairs, nodes)
+        groups = components(links.unionByName(groups.select(F.col("node").alias("a"), F.col("component").alias("b"))))
     grouped = nodes.join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("group", F.coalesce("component", "id"))
     least = stored(grouped.filter("group IS NOT NULL").groupBy("group").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("size")).filter("size > 1"))
     return grouped.join(small(least.select("group", "least")), "group", "left").select(
@@ -202,9 +251,64 @@ def similar_documents(docs: DataFrame, frequent_limit: int = FREQUENT_LIMIT) ->
     )
 
 
-def _sizes(a: str, b: str):
-    """Sets that differ more in size can't be similar."""
-    return 5 * F.least(a, b) >= 4 * F.greatest(a, b)
+#: Rounds that compare the contents of a key with one of them, before all pairs that are left are compared.
+HUB_ROUNDS = 2
+
+
+def _open_rows(shared: DataFrame, groups: DataFrame | None) -> tuple[DataFrame, int]:
+    """The rows of keys whose contents are in several components yet, with those; how many pairs of them are left at most."""
+    if groups is None:
+        labelled = shared.withColumn("component", F.col("id"))
+    else:
+        labelled = shared.join(small(groups.withColumnRenamed("node", "id")), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    own = labelled.groupBy("at", "component").agg(F.count(F.lit(1)).alias("m"))
+    mixed = own.groupBy("at").agg(F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("within")).withColumn("left", (F.col("all") * F.col("all") - F.col("within")) / 2).filter("left > 0")
+    mixed = stored(mixed.select("at", "left"))
+    most = mixed.agg(F.sum("left")).first()[0] or 0
+    return labelled.join(mixed.select("at"), "at"), int(most)
+
+
+def _near(n1: str, place1: str, n2: str, place2: str):
+    """Length and position filters of two sets that have a key in common at these places."""
+    overlap = F.least(place1, place2) + F.least(F.col(n1) - F.col(place1), F.col(n2) - F.col(place2))
+    return (5 * F.least(n1, n2) >= 4 * F.greatest(n1, n2)) & (9 * overlap >= 4 * (F.col(n1) + F.col(n2)))
+
+
+def _enough(pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of rows that have as many keys in common as similar sets of their sizes have."""
+    counted = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("keys"), F.min(F.least("n1", "n2")).alias("n"))
+    return counted.filter((F.col("keys") >= COMMON) | (F.col("n") < LONG)).select("a", "b")
+
+
+def _hub_pairs(open_rows: DataFrame, turn: int) -> DataFrame:
+    """Each content of a key with the key's hub: the most central content at first, one chosen by hash later."""
+    order = F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(1 << 44)) + (F.shiftleft(F.col("ties").cast("long"), 44) if not turn else F.lit(0))
+    rows = open_rows.withColumn("order", order)
+    hubs = rows.groupBy("at").agg(*(F.max_by(c, "order").alias(name) for c, name in (("id", "a"), ("n", "n1"), ("place", "place1"), ("component", "component1"))))
+    pairs = rows.join(hubs, "at").filter((F.col("component") != F.col("component1")) & _near("n1", "place1", "n", "place"))
+    return _enough(pairs.select("a", F.col("id").alias("b"), "n1", F.col("n").alias("n2")))
+
+
+def _alike(n1: str, n2: str, bits1: str, bits2: str):
+    """No more bits differ than tokens can in similar sets: a ninth of both sizes."""
+    differ = sum((F.bit_count(F.col(bits1)[k].bitwiseXOR(F.col(bits2)[k])) for k in range(SKETCH // 64)), F.lit(0))
+    return 9 * differ <= F.col(n1) + F.col(n2)
+
+
+def _alike_pairs(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    pairs = small(stored(pairs))
+    for k, name in ((1, "a"), (2, "b")):
+        pairs = sketches.select(F.col("id").alias(name), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"bits{k}")).join(pairs, name)
+    return pairs.filter(_alike("n1", "n2", "bits1", "bits2")).select("a", "b")
+
+
+def _all_pairs(open_rows: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Every pair of contents with keys in common and in different components that the filters let through."""
+    rows = stored(open_rows.select("at", "id", "place", "component").join(sketches, "id"))
+    x, y = (rows.select("at", *(F.col(c).alias(f"{c}{k}") for c in ("id", "n", "place", "component", "bits"))) for k in (1, 2))
+    new = (F.col("x.id1") < F.col("y.id2")) & (F.col("component1") != F.col("component2"))
+    pairs = x.alias("x").join(y.alias("y"), (F.col("x.at") == F.col("y.at")) & new & _near("n1", "place1", "n2", "place2") & _alike("n1", "n2", "bits1", "bits2"))
+    return _enough(pairs.select(F.col("id1").alias("a"), F.col("id2").alias("b"), "n1", "n2"))
 
 
 def one_of_each_group(docs: DataFrame) -> DataFrame:
@@ -226,3 +330,16 @@ def one_of_each_group(docs: DataFrame) -> DataFrame:
 
 def op4_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
     return similar_documents(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+     s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS g, least(len(w), 5) AS k FROM w, range(1, 100000) r(i) WHERE len(w) > 0 AND i <= greatest(1, len(w) - 4)),
+     n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+     both_sets AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.k = b.k AND a.doc_id < b.doc_id GROUP BY ALL),
+     links AS (SELECT a, b FROM both_sets JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+     edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+     reach AS (SELECT a, b FROM edges UNION SELECT r.a, e.b FROM reach r JOIN edges e ON e.a = r.b)
+SELECT w.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, least(w.doc_id, coalesce(min(reach.b), w.doc_id)) AS component_id
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN reach ON reach.a = w.doc_id GROUP BY w.doc_id
+"""
