@@ -117,3 +117,24 @@ def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
     from timespan.llm.common import table
 
     return quality_rules(table(spark, sf_dir, "documents")).drop("content")
+
+
+ORACLE_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS body, coalesce(source, chr(0)) AS host FROM documents),
+     w AS (SELECT doc_id, body, host, regexp_extract_all(body, '[^\x20\x09-\x0D]+') AS w FROM d),
+     g AS (SELECT doc_id, i, array_to_string(w[i : i + 7], ' ') AS g FROM w, range(1, 100000) r(i) WHERE i + 7 <= len(w)),
+     again AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g) WHERE n > 1),
+     rep AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM again, range(8) s(k) GROUP BY doc_id),
+     l AS (SELECT doc_id, host, body, line, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS lw
+           FROM (SELECT doc_id, host, body, unnest(string_split(body, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+     dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM l GROUP BY doc_id),
+     u AS (SELECT DISTINCT doc_id, host, body, array_to_string(lw, ' ') AS line, len(lw) AS n FROM l),
+     hosts AS (SELECT host, count(*) AS host_docs FROM d GROUP BY host),
+     over_limit AS (SELECT host, line FROM (SELECT host, line, count(DISTINCT body) AS line_docs FROM u GROUP BY host, line) JOIN hosts USING (host) WHERE line_docs > 50 AND line_docs > 0.001 * host_docs),
+     kept_lines AS (SELECT u.doc_id, count(*) AS n_lines, count(o.line) AS n_removed_lines, coalesce(sum(n) FILTER (o.line IS NULL), 0) AS n_left_words, FROM u LEFT JOIN over_limit o USING (host, line) GROUP BY u.doc_id),
+     f AS (SELECT doc_id, len(w) AS n_words, length(regexp_replace(body, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, length(regexp_replace(body, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
+           FROM w LEFT JOIN rep USING (doc_id) LEFT JOIN dup USING (doc_id))
+SELECT f.*, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed_lines, 0) AS n_removed_lines, coalesce(n_left_words, 0)::BIGINT AS n_left_words,
+       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND (coalesce(n_removed_lines, 0) = 0 OR n_left_words >= 20) AS kept
+FROM f LEFT JOIN kept_lines USING (doc_id)
+"""
