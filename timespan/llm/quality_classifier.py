@@ -13,6 +13,8 @@ doc_id count as their largest; only doc_id and text, and doc_id, quality and tox
 
 from __future__ import annotations
 
+import itertools
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -22,7 +24,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from timespan.llm.common import ALNUM, stored, table, utf8
-from timespan.llm.quality_rules import repeated_words
 from timespan.llm.weak_labels import ABSTAIN, NO, YES, fit_label_model, score, train_scorer
 
 DIMENSIONS = 1 << 18
@@ -42,6 +43,12 @@ ENGLISH = frozenset(b"the of and to in is that it was with as be by are this fro
 FUNCTION_WORDS = ENGLISH | frozenset("the of and to in a is that it for on was with as be by are this at from de la el en y que los las un una por le les des et est pour dans qui der die das und ist von den mit zu ein eine".encode().split())
 
 
+_UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_MARKS = b"#*$%&|<>!{}[]~^=_\\"
+#: Words that end in a mark.
+_ODD = re.compile(rb"[#*$%&|<>!=_~^](?=[ \t-\r]|$)")
+
+
 def _yes(value: float, least: float) -> int:
     return YES if value >= least else ABSTAIN
 
@@ -54,41 +61,56 @@ def votes(text: bytes) -> tuple[list[int], list[int]]:
     if not n:
         return [YES] + [ABSTAIN] * (LOW_LABELLERS - 1), [ABSTAIN] * len(INSULTS)
     letters = sum(map(len, plain)) or 1
-    upper = len(text) - len(text.translate(None, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
-    marks = len(text) - len(text.translate(None, b"#*$%&|<>!{}[]~^=_\\"))
-    odd = sum(1 for w in words if w[-1:] in b"#*$%&|<>!=_~^") / n
-    repeated = repeated_words(words) / n
-    function = sum(1 for w in plain if w in FUNCTION_WORDS) / max(1, len(plain))
-    prose = sum(1 for w in words if w[-1:] not in b"#*$%&|<>!=_~^" and w[:1] not in b"#*$%&|<>" and not w.isupper()) / n
+    upper = len(text) - len(text.translate(None, _UPPER))
+    marks = len(text) - len(text.translate(None, _MARKS))
+    odd = len(_ODD.findall(text)) / n if marks else 0.0
+    # where there is less than a capital for two words, no share of words in capitals counts
+    caps = sum(1 for w in words if len(w) > 1 and w.isupper()) / n if 2 * upper > n else 0.0
+    repeated = 1 - len(set(zip(words, words[1:], strict=False))) / max(1, n - 1)
+    function = sum(map(FUNCTION_WORDS.__contains__, plain)) / max(1, len(plain))
+    prose = 1 - odd - caps
     quality = [
         _yes(-n, -19),
         _yes(marks / len(text), 0.04),
         _yes(odd, 0.2),
         _yes(upper / letters, 0.4),
-        _yes(sum(1 for w in words if w.isupper() and len(w) > 1) / n, 0.3),
-        _yes(repeated, 0.25),
+        _yes(caps, 0.3),
+        _yes(repeated, 0.4),
         _yes(-len(set(words)) / n, -0.35) if n > 40 else ABSTAIN,
         _yes(text.count(b"|") / n, 0.15),
-        YES if prose < 0.75 else NO if prose >= 0.97 and n >= 20 and repeated < 0.1 else ABSTAIN,
-        YES if function < 0.02 else NO if function >= 0.08 and repeated < 0.1 else ABSTAIN,
+        YES if prose < 0.75 else NO if prose >= 0.97 and n >= 20 and repeated < 0.25 else ABSTAIN,
+        YES if function < 0.02 else NO if function >= 0.08 and repeated < 0.25 else ABSTAIN,
     ]
     own = set(plain)
-    english = sum(1 for w in plain if w in ENGLISH) >= 0.04 * len(plain)
+    english = sum(map(ENGLISH.__contains__, plain)) >= 0.04 * len(plain)
     return quality, [YES if own & some else NO if english else ABSTAIN for some in INSULTS]
 
 
+class _WordIds(dict):
+    """Feature ids of a word and its beginnings, kept for words seen lately."""
+
+    def __missing__(self, w: bytes) -> tuple[int, ...]:
+        if len(self) >= 100_000:
+            self.clear()
+        ids = self[w] = tuple(zlib.crc32(x) % DIMENSIONS for x in (w, *(b"\1" + w[:k] for k in (5, 6, 7, 8) if len(w) > k)))
+        return ids
+
+
+_WORD_IDS = _WordIds()
+
+
 def features(text: bytes) -> np.ndarray:
-    """Hashed distinct words, and shapes of the text as a whole."""
+    """Hashed distinct words with their beginnings, and shapes of the text as a whole."""
     words = text.split()
-    plain = set(text.translate(ALNUM).split())
-    plain |= {b"\1" + w[:k] for w in plain for k in (5, 6, 7, 8) if len(w) > k}
-    shapes = [b"\0n%d" % min(12, len(words).bit_length())]
-    if words:
-        shapes += [b"\0%s%d" % (c, min(9, int(20 * text.count(c) / len(words)))) for c in (b"#", b"*", b"|", b"!", b"$", b"%", b"&", b"@")]
-        shapes.append(b"\0u%d" % int(10 * sum(1 for w in words if w.isupper()) / len(words)))
-        shapes.append(b"\0d%d" % int(10 * len(set(words)) / len(words)))
-        shapes.append(b"\0r%d" % int(10 * repeated_words(words) / len(words)))
-    return np.unique(np.fromiter((zlib.crc32(x) % DIMENSIONS for x in [*plain, *shapes]), np.int32))
+    n = len(words)
+    shapes = [b"\0n%d" % min(12, n.bit_length())]
+    if n:
+        shapes += [b"\0%s%d" % (c, min(9, int(20 * text.count(c) / n))) for c in (b"#", b"*", b"|", b"!", b"$", b"%", b"&", b"@")]
+        shapes.append(b"\0u%d" % min(40, int(10 * (len(text) - len(text.translate(None, _UPPER))) / n)))
+        shapes.append(b"\0d%d" % int(10 * len(set(words)) / n))
+        shapes.append(b"\0r%d" % int(10 * len(set(zip(words, words[1:], strict=False))) / max(1, n - 1)))
+    ids = list(itertools.chain.from_iterable(map(_WORD_IDS.__getitem__, set(text.translate(ALNUM).split()))))
+    return np.unique(np.array(ids + [zlib.crc32(x) % DIMENSIONS for x in shapes], np.int32))
 
 
 def label_votes(docs: DataFrame) -> DataFrame:
@@ -133,14 +155,17 @@ def classify_quality(docs: DataFrame, labels: DataFrame | None = None, sample: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted, learned = shared.value
+        known: dict[tuple[str, str], float] = {}  # a posterior for each pattern of votes
         for batch in batches:
             out: dict[str, list[float]] = {f"{t}_{what}": [] for t in TARGETS for what in ("posterior", "score")}
             for cell in batch.column(2):
                 text = cell.as_py()
                 own = features(text)
                 for target, ballot in zip(TARGETS, votes(text), strict=True):
-                    heuristic = np.array([ballot + [ABSTAIN] * more])  # a label is used in training alone
-                    out[f"{target}_posterior"].append(float(fitted[target].posterior(heuristic)[0]))
+                    key = target, "".join(map(str, ballot))
+                    if key not in known:  # a label is used in training alone
+                        known[key] = float(fitted[target].posterior(np.array([ballot + [ABSTAIN] * more]))[0])
+                    out[f"{target}_posterior"].append(known[key])
                     out[f"{target}_score"].append(score(own, learned[target]))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.float64()) for x in out.values())], ["doc_id", *out])
 
