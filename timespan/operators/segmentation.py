@@ -271,3 +271,21 @@ def allot_stamps(units: DataFrame, stamps: DataFrame) -> DataFrame:
     a = s.select("media_id", "seg_idx", F.col("nth").alias("first"), "start_us")
     b = s.select("media_id", "seg_idx", F.col("nth").alias("last"), "end_us")
     return df.join(a, ["media_id", "seg_idx", "first"]).join(b, ["media_id", "seg_idx", "last"]).select("media_id", "seg_idx", "pos", "text", "start_us", "end_us")
+
+
+def pause_tokens(words: DataFrame, near: int = 100, short: int = 600_000, comma: int = 1_100_000, silence: int = 1_600_000) -> DataFrame:
+    """Words and the tokens that their gaps become: kind, text, start_us, end_us, attached (to the segment before).
+
+    In a segment a gap shorter than `short` lengthens the word before it, one of `silence` or more is a silence, and
+    others are marks. A gap between segments is always a mark, attached to the segment before.
+    """
+    w = Window.partitionBy("media_id").orderBy("seg_idx", "word_idx")
+    df = words.select("media_id", "seg_idx", "word_idx", "text", "start_us", "end_us").withColumn("prev_end", F.lag("end_us").over(w)).withColumn("prev_seg", F.lag("seg_idx").over(w)).withColumn("next_start", F.lead("start_us").over(w)).withColumn("next_seg", F.lead("seg_idx").over(w))
+    after = F.col("next_start") - F.col("end_us")
+    longer = (F.col("next_seg") == F.col("seg_idx")) & (after > 0) & (after < short)
+    spoken = df.select("media_id", "seg_idx", "word_idx", F.lit("word").alias("kind"), "text", "start_us", F.when(longer, F.col("next_start")).otherwise(F.col("end_us")).alias("end_us"), F.lit(False).alias("attached"))
+    gap, inner = F.col("start_us") - F.col("prev_end"), F.col("prev_seg") == F.col("seg_idx")
+    kind = F.when(inner & (gap >= silence), "silence").otherwise("punctuation")
+    mark = F.when(kind == "punctuation", F.when(gap < comma, "，").otherwise("。"))
+    gaps = df.filter((inner & (gap >= short)) | (~inner & (gap > near)))
+    return spoken.unionByName(gaps.select("media_id", F.col("prev_seg").alias("seg_idx"), "word_idx", kind.alias("kind"), mark.alias("text"), F.col("prev_end").alias("start_us"), F.col("start_us").alias("end_us"), (~inner).alias("attached")))

@@ -158,3 +158,10 @@ def allotted_stamps(spark, d):
     w = fx.words(spark, d)
     units = w.filter("word_idx % 4 <> 1").select("media_id", "seg_idx", F.col("word_idx").alias("pos"), "text")
     return sm.allot_stamps(units, w.select("media_id", "seg_idx", F.col("word_idx").alias("k"), "start_us", "end_us"))
+
+
+@query(fx.sql("words", query="""SELECT media_id, seg_idx, word_idx, 'word' AS kind, text, start_us, CASE WHEN ns = seg_idx AND nx - end_us > 0 AND nx - end_us < 600000 THEN nx ELSE end_us END AS end_us, false AS attached FROM l
+UNION ALL SELECT media_id, ps, word_idx, CASE WHEN ps = seg_idx AND start_us - pe >= 1600000 THEN 'silence' ELSE 'punctuation' END, CASE WHEN ps = seg_idx AND start_us - pe >= 1600000 THEN NULL WHEN start_us - pe < 1100000 THEN '，' ELSE '。' END, pe, start_us, ps <> seg_idx
+FROM l WHERE (ps = seg_idx AND start_us - pe >= 600000) OR (ps <> seg_idx AND start_us - pe > 100)""", more="l AS (SELECT *, lag(end_us) OVER w AS pe, lag(seg_idx) OVER w AS ps, lead(start_us) OVER w AS nx, lead(seg_idx) OVER w AS ns FROM words WINDOW w AS (PARTITION BY media_id ORDER BY seg_idx, word_idx))"))
+def pause_tokens(spark, d):
+    return sm.pause_tokens(fx.words(spark, d))
