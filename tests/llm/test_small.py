@@ -370,6 +370,27 @@ def test_lm_base_score_and_held_out_gain(spark):
             assert len(some) > 20 and some.score.mean() > 0.7 * some.base_score.mean()  # words follow each other in a cycle
 
 
+def test_lm_trains_on_every_window_with_the_state_carried(monkeypatch):
+    rng, seen, window = np.random.default_rng(16), [], lm.Model.window
+    model = lm.Model.start(np.ones(lm.CLASSES * lm.CLASS_WORDS), hidden=4)
+    monkeypatch.setattr(lm.Model, "window", lambda self, ids, mask, h: (seen.append((ids, mask, h)), window(self, ids, mask, h))[1])
+    texts = [rng.integers(0, 1000, n) for n in (5, 100, 1000, 33, 64, 1, 32, 700)]
+    lm.Trainer(model).run(iter(texts), lanes=3)
+    assert Counter(np.concatenate([ids[mask] for ids, mask, _ in seen]).tolist()) == Counter(np.concatenate(texts).tolist())
+    starts = sum(int((~h.any(1)).sum()) for _, _, h in seen)
+    assert starts == len(texts)  # every other window goes on from the state before it
+
+
+def test_lm_round_trains_on_every_document(spark):
+    texts = [" ".join(f"w{(k * 7 + j) % 40}" for j in range(5 + 30 * k)) for k in range(12)]
+    ids = {b"w%d" % k: k for k in range(40)}
+    model = lm.Model.start(np.ones(lm.CLASSES * lm.CLASS_WORDS), hidden=4)
+    local = lm.Trainer(model)
+    local.run(np.array([ids.get(w, lm.CLASSES * lm.CLASS_WORDS - 1) for w in [*words(t), b""]]) for t in texts)
+    got = lm.train_round(docs(spark, texts).select(lm.utf8().alias("text")).coalesce(1), model, ids)
+    assert all(np.allclose(got.w[k], local.model.w[k], atol=1e-5) for k in lm.Model.names)
+
+
 def test_lm_scores_are_a_distribution():
     model = lm.Model.start(np.ones(lm.CLASSES * lm.CLASS_WORDS), hidden=4)
     h = np.random.default_rng(14).standard_normal((1, 4)).astype(np.float32)

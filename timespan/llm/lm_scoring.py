@@ -2,10 +2,9 @@
 
 Word counts of all training documents are gathered first; they give the base score, the model's vocabulary and its
 classes (words of similar frequency), and the probability of every word beyond the vocabulary given that it is one.
-The recurrent part is trained data-parallel by truncated backpropagation: each training document gives a run of
-`windows` consecutive windows at a place chosen by its hash, with the state carried from window to window; in each
-round the tasks start from common weights, and the weights they end with are averaged in two levels. Scoring reads
-every document whole, with the state carried to its end.
+The recurrent part is trained data-parallel by truncated backpropagation: in each round every training document is
+read whole, window after window, with the state carried to its end; the tasks of a round start from common weights,
+and the weights they end with are averaged in two levels. Scoring reads every document whole in the same way.
 
 Counts are exact for any vocabulary: the `top_words` most frequent words are sent to all tasks, and the few tokens
 beyond them are joined with the counts by word, as sums per document and word.
@@ -18,9 +17,9 @@ all counts are 0; only doc_id and text are read.
 from __future__ import annotations
 
 import uuid
-import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +31,8 @@ from timespan.llm.common import LOWER, shared_dir, single_thread, stored, table,
 from timespan.llm.warc import remove
 
 END = b""
-HIDDEN, CLASSES, CLASS_WORDS = 16, 32, 32
-WINDOW, WINDOWS, LANES, ROUNDS = 32, 2, 64, 2
+HIDDEN, CLASSES, CLASS_WORDS = 32, 32, 64
+WINDOW, LANES, ROUNDS = 32, 64, 2
 #: Words whose counts go to every task (about 150 bytes each in a task).
 TOP_WORDS = 400_000
 
@@ -43,10 +42,10 @@ def tokens_of(text: bytes) -> list[bytes]:
 
 
 def _training(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, pick (a hash of the row), text."""
+    """doc_id, held_out, text."""
     doc_id = F.col("doc_id").cast("long")
     held = F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 7 == 2, F.lit(False))
-    return docs.select(doc_id.alias("doc_id"), held.alias("held_out"), F.xxhash64(doc_id, utf8()).alias("pick"), utf8().alias("text"))
+    return docs.select(doc_id.alias("doc_id"), held.alias("held_out"), utf8().alias("text"))
 
 
 def word_counts(training: DataFrame, flush: int = 200_000) -> DataFrame:
@@ -172,22 +171,26 @@ class Trainer:
         self.seen = {k: np.full_like(v, 0.1) for k, v in model.w.items()}
         self.rate, self.updates = rate, 0
 
-    def run(self, runs: list[np.ndarray]) -> None:
-        """Trains on runs of ids, lanes side by side, window after window."""
-        longest = max(map(len, runs))
-        ids, mask = np.zeros((longest, len(runs)), np.int64), np.zeros((longest, len(runs)), bool)
-        for k, own in enumerate(runs):
-            ids[: len(own), k], mask[: len(own), k] = own, True
-        h = np.zeros((len(runs), len(self.model.w["u"])), np.float32)
-        for at in range(0, longest, WINDOW):
-            part = mask[at : at + WINDOW]
-            _, grad, h = self.model.window(ids[at : at + WINDOW], part, h)
-            scale = 1 / max(1, part.sum()) ** 0.5
+    def run(self, texts: Iterable[np.ndarray], lanes: int = LANES) -> None:
+        """Trains on every window of every text of ids. A text keeps its lane and carries its state to its end; then the next one takes the lane."""
+        waiting, open_, n = iter(texts), [], len(self.model.w["u"])
+        h = np.zeros((0, n), np.float32)
+        while open_ := open_ + [(text, 0) for text in islice(waiting, lanes - len(open_))]:
+            h = np.concatenate([h, np.zeros((len(open_) - len(h), n), np.float32)])
+            parts = [text[at : at + WINDOW] for text, at in open_]
+            steps = max(map(len, parts))
+            ids, mask = np.zeros((steps, len(parts)), np.int64), np.zeros((steps, len(parts)), bool)
+            for k, own in enumerate(parts):
+                ids[: len(own), k], mask[: len(own), k] = own, True
+            _, grad, h = self.model.window(ids, mask, h)
+            scale = 1 / max(1, mask.sum()) ** 0.5
             for name, g in grad.items():
                 g *= scale
                 self.seen[name] += g * g
                 self.model.w[name] -= self.rate * g / np.sqrt(self.seen[name])
             self.updates += 1
+            left = [k for k, (text, at) in enumerate(open_) if at + WINDOW < len(text)]
+            h, open_ = h[left], [(open_[k][0], open_[k][1] + WINDOW) for k in left]
 
 
 def pack(model: Model) -> np.ndarray:
@@ -214,32 +217,22 @@ def _mean(rows: pa.Table) -> pa.Table:
     return pa.table({"piece": rows["piece"][:1], "part": pa.array([0], pa.int32()), "n": pa.array([n], pa.float64()), "values": pa.array([(total / max(n, 1e-9)).tolist()], pa.list_(pa.float64()))})
 
 
-def train_round(training: DataFrame, model: Model, ids: dict[bytes, int], turn: int) -> Model:
-    """One round: every task trains on its documents of this turn, and the weights are averaged by the updates they took."""
+def train_round(training: DataFrame, model: Model, ids: dict[bytes, int]) -> Model:
+    """One round: every task trains on all its documents, and the weights are averaged by the updates they took."""
     shared = training.sparkSession.sparkContext.broadcast((model, ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         single_thread()
         start, vocabulary = shared.value
-        other, trainer, runs = len(start.w["x"]) - 1, Trainer(start), []
-        get, length = vocabulary.get, WINDOW * WINDOWS
-        for batch in batches:
-            for pick, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                words = [*tokens_of(text.as_py()), END]
-                at = zlib.crc32(str(pick).encode()) % max(1, len(words) - length + 1)
-                runs.append(np.array([get(w, other) for w in words[at : at + length]], np.int64))
-                if len(runs) == LANES:
-                    trainer.run(runs)
-                    runs = []
-        if runs:
-            trainer.run(runs)
+        other, trainer, get = len(start.w["x"]) - 1, Trainer(start), vocabulary.get
+        trainer.run(np.array([get(w, other) for w in [*tokens_of(text.as_py()), END]], np.int64) for batch in batches for text in batch.column(0))
         if trainer.updates:
             flat, part = pack(trainer.model), TaskContext.get().partitionId() // 64
             pieces = [flat[k : k + PIECE].astype(np.float64).tolist() for k in range(0, len(flat), PIECE)]
             yield pa.RecordBatch.from_arrays([pa.array(range(len(pieces)), pa.int32()), pa.array([part] * len(pieces), pa.int32()), pa.array([float(trainer.updates)] * len(pieces), pa.float64()), pa.array(pieces, pa.list_(pa.float64()))], ["piece", "part", "n", "values"])
 
     schema = "piece int, part int, n double, values array<double>"
-    own = training.filter(F.pmod(F.col("pick"), F.lit(ROUNDS)) == turn).select("pick", "text").mapInArrow(run, schema)
+    own = training.select("text").mapInArrow(run, schema)
     mean = own.groupBy("piece", "part").applyInArrow(_mean, schema).groupBy("piece").applyInArrow(_mean, schema)
     got = sorted(((r["piece"], r["values"]) for r in mean.collect()), key=lambda x: x[0])  # as large as the model
     return unpack(np.concatenate([np.array(v) for _, v in got]), model) if got else model
@@ -294,8 +287,8 @@ def score_documents(docs: DataFrame, top_words: int = TOP_WORDS) -> DataFrame:
     seen[: len(ids)] = numbers[: len(ids)]
     seen[-1] = max(1, n_all - sum(numbers[: len(ids)]))
     model = Model.start(seen)  # ids go by frequency, so a class holds words of similar frequency
-    for turn in range(ROUNDS):
-        model = train_round(training, model, ids, turn)
+    for _ in range(ROUNDS):
+        model = train_round(training, model, ids)
     n_rest, v_rest = n_all - int(sum(numbers[: len(ids)])), v_all - len(ids)
     shared = spark.sparkContext.broadcast((model, pa.array(words, pa.binary()), np.array(numbers, np.int64), len(ids)))
 
