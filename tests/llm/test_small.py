@@ -2,6 +2,7 @@
 
 import re
 import random
+import textwrap
 import zlib
 from collections import Counter
 
@@ -282,6 +283,25 @@ def test_license_join_loses_no_block(spark):
     assert (r.n_words, r.n_base, r.first_word, r.last_word) == (13, 3, 0, 10)
 
 
+def test_wrapped_license_notices_are_found(spark):
+    rng = random.Random(17)
+    notices = [(label, t) for label, texts in ls.TEMPLATES.items() for t in texts]
+    filler = [f"v{k}" for k in range(300)]
+    texts, want = [], []
+    for label, t in notices:
+        for columns, mark in ((30, ""), (72, "# "), (45, " * ")):
+            lines = [mark + x for x in textwrap.wrap(t, columns, break_long_words=False)]
+            texts.append("\n".join([" ".join(rng.choices(filler, k=rng.randint(0, 90))), *lines, " ".join(rng.choices(filler, k=rng.randint(0, 90)))]))
+            want.append(label)
+        # the same words far from each other are no notice
+        texts.append("\n".join(w + "\n" + " ".join(rng.choices(filler, k=3 * len(t.split()))) for w in t.split()))
+        want.append(None)
+    got = {r.doc_id: r for r in ls.scan_licenses(docs(spark, texts)).collect()}
+    for k, label in enumerate(want):
+        labels = set(filter(None, got[k].labels.split(",")))
+        assert (label in labels and got[k].score == 1.0) if label else not labels, (texts[k], got[k])
+
+
 def test_packing_is_best_fit_decreasing():
     import bisect
 

@@ -1,10 +1,12 @@
 """License scans (operator 8): an exact containment join of text blocks with license templates.
 
-Blocks are lines; longer lines are cut into windows that overlap by the longest template. A template and a block match
-when the block's word set has `threshold` of the template's or more. Template words are ordered by their frequency in
+Blocks are, for each template, all runs of twice its words anywhere in the text, across line breaks, so that wrapped
+notices are whole; and lines, of which longer ones are cut into windows that overlap by the longest template. A template
+and a block match when the block's word set has `threshold` of the template's or more. Template words are ordered by their frequency in
 all documents, rarest first. With m words and t = ceil(threshold * m) needed, one of the first m - t + 1 must be in a
 matching block (prefix filter), the block needs t distinct words (length filter), and from the place of the first
-common word on enough words must be left (positional filter). What passes is verified, so no match is lost. Templates
+common word on enough words must be left (positional filter). The filters are applied to the word set of the whole
+text first, of which every block is a part; what passes is verified block by block, so no match is lost. Templates
 are few and fixed, so they go to every task; texts are read twice, for the frequencies and for the join, and no text
 is shuffled.
 
@@ -15,6 +17,7 @@ has no words, empty labels and score 0; repeated rows get equal results; only do
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -51,21 +54,22 @@ def words_of(text: bytes) -> list[bytes]:
 class Join:
     """The prefix index over templates, for globally ordered words."""
 
-    def __init__(self, templates: list[tuple[str, frozenset[bytes]]], frequency: dict[bytes, int], threshold: float):
-        self.labels, self.need, self.words = [], [], []
+    def __init__(self, templates: list[tuple[str, list[bytes]]], frequency: dict[bytes, int], threshold: float):
+        self.labels, self.need, self.words, self.run = [], [], [], []
         self.prefix: dict[bytes, list[tuple[int, int]]] = {}
         for label, words in templates:
-            ordered = sorted(words, key=lambda w: (frequency.get(w, 0), w))
+            ordered = sorted(set(words), key=lambda w: (frequency.get(w, 0), w))
             need = math.ceil(threshold * len(ordered) - 1e-9)
             k = len(self.labels)
             self.labels.append(label)
             self.need.append(need)
             self.words.append(frozenset(ordered))
+            self.run.append(2 * len(words))
             for place, w in enumerate(ordered[: len(ordered) - need + 1]):
                 self.prefix.setdefault(w, []).append((place, k))
 
-    def match(self, block: set[bytes]) -> list[tuple[str, float]]:
-        """Labels and containments of the templates that the block holds."""
+    def match(self, block: set[bytes]) -> list[tuple[int, float]]:
+        """Places and containments of the templates that the block holds."""
         first: dict[int, int] = {}
         for w in block & self.prefix.keys():
             for place, k in self.prefix[w]:
@@ -76,9 +80,38 @@ class Join:
             if len(block) >= self.need[k] and m - place >= self.need[k]:
                 both = len(block & self.words[k])
                 if both >= self.need[k]:
-                    found.append((self.labels[k], both / m))
+                    found.append((k, both / m))
         return found
 
+    def match_runs(self, words: list[bytes], k: int) -> float:
+        """The largest containment of template k in a run of twice its words."""
+        own, width = self.words[k], self.run[k]
+        places = [at for at, w in enumerate(words) if w in own]
+        inside: Counter = Counter()
+        most = first = 0
+        for at in places:
+            inside[words[at]] += 1
+            while at - places[first] >= width:
+                w = words[places[first]]
+                inside[w] -= 1
+                if not inside[w]:
+                    del inside[w]
+                first += 1
+            most = max(most, len(inside))
+        return most / len(own) if most >= self.need[k] else 0.0
+
+    def labelled(self, text: bytes, words: list[bytes], longest: int) -> dict[str, float]:
+        """Labels and their largest containments in the blocks of a text."""
+        best: dict[str, float] = {}
+        every = self.match(set(words))
+        for k, _ in every:
+            if share := self.match_runs(words, k):
+                best[self.labels[k]] = max(share, best.get(self.labels[k], 0.0))
+        for block in blocks(text, longest) if every else ():
+            for k, share in self.match(block):
+                best[self.labels[k]] = max(share, best.get(self.labels[k], 0.0))
+        return best
+
 
 def base_places(words: list[bytes], phrases: dict[str, str]) -> list[tuple[int, str]]:
     """(first word, label) of each place of a phrase."""
@@ -94,6 +127,7 @@ def base_places(words: list[bytes], phrases: dict[str, str]) -> list[tuple[int,
 
 
 def blocks(text: bytes, longest: int) -> Iterator[set[bytes]]:
+    """The word sets of lines, and of windows of longer lines."""
     for line in text.split(b"\n"):
         words = words_of(line)
         for at in range(0, max(1, len(words) - longest), longest):
@@ -102,7 +136,7 @@ def blocks(text: bytes, longest: int) -> Iterator[set[bytes]]:
 
 def scan_licenses(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
-    pairs = [(label, frozenset(words_of(t.encode()))) for label, texts in (templates or TEMPLATES).items() for t in texts]
+    pairs = [(label, words_of(t.encode())) for label, texts in (templates or TEMPLATES).items() for t in texts]
     vocabulary = sorted({w for _, words in pairs for w in words})
     frequency = {vocabulary[r["term"]]: r["n"] for r in term_counts(docs, vocabulary).collect()}  # as long as the templates
     join, longest = Join(pairs, frequency, threshold), max(len(words_of(t.encode())) for texts in (templates or TEMPLATES).values() for t in texts)
@@ -118,10 +152,8 @@ def scan_licenses(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None
                 places = base_places(words, BASE_PHRASES)
                 base = sorted({label for _, label in places})
                 best: dict[str, float] = dict.fromkeys(base, 1.0)
-                if index.prefix.keys() & set(words):
-                    for block in blocks(text, longest):
-                        for label, share in index.match(block):
-                            best[label] = max(share, best.get(label, 0.0))
+                for label, share in index.labelled(text, words, longest).items():
+                    best[label] = max(share, best.get(label, 0.0))
                 starts = [at for at, _ in places]
                 rows.append((len(words), len(places), min(starts, default=None), max(starts, default=None), ",".join(base), ",".join(sorted(best)), max(best.values(), default=0.0)))
             kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()]
