@@ -258,6 +258,25 @@ def test_decontamination_against_brute_force(spark, block):
         assert got[k].contaminated == (hit > 0 and 20 * hit >= n)
 
 
+@pytest.mark.parametrize("block", [200_000, 3])
+def test_decontamination_returns_proximity_matches(spark, block):
+    passage = [f"p{k}" for k in range(13)]
+    changed = passage[:6] + ["other"] + passage[7:]  # p6 is in no training text
+    texts = [" ".join(["x"] * 9 + changed + ["x"] * 40), " ".join(["x"] * 60), " ".join(passage[7:9] + ["x"] * 80 + passage[9:])]
+    bench = spark.createDataFrame([(k, t, 0) for k, t in enumerate([" ".join(passage), "x y", "q r s", "u v", "only"])], BENCH_SCHEMA)
+    got = dc.proximity_matches(docs(spark, texts), bench, block_windows=block).collect()
+    assert {(r.doc_id, r.start, bytes(r.words).decode(), tuple(r["items"])) for r in got if r.doc_id == 0} == {(0, 9, " ".join(passage), ("0",))}
+    assert not [r for r in got if r.doc_id == 1]
+    n = {r.doc_id: r.n_hit for r in dc.decontaminate(docs(spark, texts), bench, block_windows=block).collect()}
+    assert n == {0: 0, 1: 0, 2: 0}
+
+
+def test_decontamination_index_holds_the_postings(spark):
+    index = dc.write_index(docs(spark, ["a b a", None, "c d c C"]), [b"a", b"c"])
+    assert {r.doc_id: (r.n_words, r.terms, r.ends, r.positions) for r in index.collect()} == {0: (3, [0], [2], [0, 2]), 1: (0, [], [], []), 2: (4, [1], [3], [0, 2, 3])}
+    assert {r.term: r.n for r in dc.posting_counts(index, 2).collect()} == {0: 2, 1: 3}
+
+
 def test_license_join_loses_no_block(spark):
     rng = random.Random(9)
     texts = []

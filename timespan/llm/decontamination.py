@@ -1,14 +1,16 @@
 """Benchmark decontamination (operator 7): a distributed positional inverted index of the training tokens.
 
-Test windows are `window` consecutive words of an item, or the whole of a shorter item. A first pass counts, over all
-training texts, the terms of the windows; every window is then searched from its rarest terms. A second pass indexes
-each training block: positional postings of the windows' rarest terms, stored per document. The postings of a window's
-two rarest terms are adjusted by their offsets and intersected; what survives is checked term by term against the
-block's tokens from the third rarest on, so that exact phrases remain. Proximity matches are places where the two
-rarest terms stand within `near` words without an exact phrase there.
+Test windows are `window` consecutive words of an item, or the whole of a shorter item. One pass over the training
+texts writes the postings of the windows' terms to the shared folder: a row for each document with its terms and the
+positions of each. The rest reads this index only: terms are counted, every window is searched from its rarest term,
+and the postings of its other terms, the next rarest first, are adjusted by their offsets and intersected, so that
+exact phrases remain. Proximity matches are places of a window's rarest term with its next rarest one within `near`
+words and no exact phrase there; terms that no training text has are left out of this choice, so a window that has one
+is still searched.
 
 The index is partitioned by document, so that no term's postings, however frequent, meet in one task. Windows are sent
-to the tasks in blocks of at most `block_windows` distinct windows; a larger benchmark takes several passes.
+to the tasks in blocks of at most `block_windows` distinct windows; a larger benchmark takes several passes, each with
+the index of its own terms.
 
 Words are runs of digits, letters a-z after lower-casing A-Z, and non-ASCII characters. Defined results: a null or
 empty text has no words, no hits and isn't contaminated; items without words have no windows; repeated rows and null
@@ -18,8 +20,7 @@ doc_id, text, item_id are read.
 
 from __future__ import annotations
 
-import hashlib
-from collections import Counter
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timespan.llm.common import ALNUM, stored, table, utf8
+from timespan.llm.common import ALNUM, shared_dir, stored, table, utf8
 
 WINDOW, NEAR = 13, 26
 #: Distinct test windows that a pass over the training texts looks for (about 150 bytes each in a task).
@@ -70,72 +71,125 @@ def term_counts(docs: DataFrame, terms: list[bytes]) -> DataFrame:
     return docs.select(utf8().alias("text")).mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
+def write_index(docs: DataFrame, terms: list[bytes]) -> DataFrame:
+    """doc_id, key, n_words, and the postings of terms, written to the shared folder: terms (places in terms, ascending), ends (of each one's positions), positions."""
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast({t: k for k, t in enumerate(terms)})  # of at most BLOCK_WINDOWS windows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get = shared.value.get
+        for batch in batches:
+            sizes, rows = [], []
+            for cell in batch.column(2):
+                words = cell.as_py().translate(ALNUM).split()
+                tokens = np.fromiter([get(w, -1) for w in words], np.int32, len(words))
+                at = np.flatnonzero(tokens >= 0)
+                order = at[np.argsort(tokens[at], kind="stable")]
+                own, first = np.unique(tokens[order], return_index=True)
+                sizes.append(len(words))
+                rows.append((own, np.append(first[1:], len(order))[: len(own)], order))
+            lists = []
+            for parts in zip(*rows, strict=True) if rows else ((), (), ()):
+                offsets = np.cumsum([0, *map(len, parts)])
+                lists.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *parts]).astype(np.int32))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), *lists], ["doc_id", "key", "n_words", "terms", "ends", "positions"])
+
+    folder = f"{shared_dir(spark)}/postings-{uuid.uuid4().hex}"
+    _read(docs).mapInArrow(run, "doc_id long, key long, n_words long, terms array<int>, ends array<int>, positions array<int>").write.parquet(folder)
+    return spark.read.parquet(folder)
+
+
+def _lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of the rows, and the values that they are edges in."""
+    return column.offsets.to_numpy(), column.values.to_numpy()
+
+
+def posting_counts(index: DataFrame, n_terms: int) -> DataFrame:
+    """term (its place), n: the postings of each term."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(n_terms, np.int64)
+        for batch in batches:
+            (edges, terms), (_, ends) = _lists(batch.column(0)), _lists(batch.column(1))
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                total[terms[a:b]] += np.diff(ends[a:b], prepend=0)
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], ["term", "n"])
+
+    return index.select("terms", "ends").mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
+
+
+def _among(values: np.ndarray, these: np.ndarray) -> np.ndarray:
+    """Which values are among these, which ascend and aren't empty."""
+    return these[np.minimum(np.searchsorted(these, values), len(these) - 1)] == values
+
+
 class Queries:
     """Test windows over term ids, each with its terms' offsets from the rarest on."""
 
     def __init__(self, windows: list[list[bytes]], terms: list[bytes], counts: np.ndarray):
         place = {t: k for k, t in enumerate(terms)}
-        self.terms = terms
         self.ids = [np.array([place[w] for w in words], np.int32) for words in windows]
-        self.order = [np.lexsort((ids, counts[ids])).astype(np.int32) for ids in self.ids]
-        anchors: dict[int, list[int]] = {}
-        for k, (ids, order) in enumerate(zip(self.ids, self.order, strict=True)):
-            if counts[ids].min() > 0:  # a term that no training text has rules its window out
-                anchors.setdefault(int(ids[order[0]]), []).append(k)
-        self.by_anchor = anchors
-        self.indexed = {int(self.ids[k][o]) for ks in anchors.values() for k in ks for o in self.order[k][:2]}
-
-    def search(self, tokens: np.ndarray, postings: dict[int, np.ndarray], near: int) -> tuple[list[tuple[int, int]], int]:
-        """(window, start) of each exact phrase, and the number of proximity matches."""
-        hits, close = [], 0
-        for anchor, positions in postings.items():
-            for k in self.by_anchor.get(anchor, ()):
+        self.order, self.whole, self.second = [], [], []
+        self.by_anchor: dict[int, list[int]] = {}
+        for k, ids in enumerate(self.ids):
+            order = np.lexsort((ids, counts[ids])).astype(np.int32)
+            there = order[counts[ids[order]] > 0]  # a term that no training text has rules exact phrases out
+            others = ids[there][ids[there] != ids[there[0]]] if len(there) else there
+            self.order.append(there)
+            self.whole.append(len(there) == len(ids))
+            self.second.append(int(others[0]) if len(others) else None)
+            if self.whole[k] or len(others):
+                self.by_anchor.setdefault(int(ids[there[0]]), []).append(k)
+
+    def search(self, n_words: int, postings: dict[int, np.ndarray], near: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+        """(window, start) of each exact phrase and of each proximity match, whose start is that of the window around its rarest term and can be below 0."""
+        hits, close = [], []
+        for anchor in postings.keys() & self.by_anchor.keys():
+            positions = postings[anchor]
+            for k in self.by_anchor[anchor]:
                 ids, order = self.ids[k], self.order[k]
                 starts = positions - order[0]
-                exact = starts[(starts >= 0) & (starts + len(ids) <= len(tokens))]
-                if len(order) > 1:
-                    second = postings.get(int(ids[order[1]]))
-                    if second is None:
-                        continue
-                    exact = exact[np.isin(exact, second - order[1])]
-                    for o in order[2:]:
-                        if not len(exact):
-                            break
-                        exact = exact[tokens[exact + o] == ids[o]]
-                    at = np.searchsorted(second, positions - near)
-                    close += int(((at < len(second)) & (second[np.minimum(at, len(second) - 1)] <= positions + near)).sum()) - len(exact)
+                exact = starts[(starts >= 0) & (starts + len(ids) <= n_words)] if self.whole[k] else starts[:0]
+                for o in order[1:]:
+                    if not len(exact):
+                        break
+                    other = postings.get(int(ids[o]))
+                    exact = exact[:0] if other is None else exact[_among(exact + o, other)]
                 hits += [(k, int(s)) for s in exact]
+                other = postings.get(self.second[k])
+                if other is not None:
+                    at = np.searchsorted(other, positions - near)
+                    by = (at < len(other)) & (other[np.minimum(at, len(other) - 1)] <= positions + near)
+                    if len(exact):
+                        by &= ~_among(starts, exact)
+                    close += [(k, int(s)) for s in starts[by]]
         return hits, close
 
 
-def index_and_search(docs: DataFrame, queries: Queries, items: list[list[str]], near: int = NEAR) -> DataFrame:
-    """doc_id, key, n_words, spans (hit word positions of each phrase), items and n_near of every document. items: those of each window."""
-    shared = docs.sparkSession.sparkContext.broadcast((queries, items))  # at most BLOCK_WINDOWS windows
+def search_index(index: DataFrame, queries: Queries, keys: list[int], items: list[list[str]], near: int = NEAR) -> DataFrame:
+    """doc_id, key, n_words, spans (hit word positions of each phrase), items and near (proximity matches) of every document. keys, items: those of each window."""
+    shared = index.sparkSession.sparkContext.broadcast((queries, keys, items))  # at most BLOCK_WINDOWS windows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q, of = shared.value
-        get = {t: k for k, t in enumerate(q.terms)}.get
-        indexed = np.zeros(len(q.terms) + 1, bool)
-        indexed[list(q.indexed)] = True
+        q, names, of = shared.value
         for batch in batches:
             rows = []
-            for cell in batch.column(2):
-                words = cell.as_py().translate(ALNUM).split()
-                tokens = np.fromiter([get(w, -1) for w in words], np.int32, len(words))
-                at = np.flatnonzero(indexed[tokens])
-                hits, close = [], 0
-                if len(at):
-                    order = at[np.argsort(tokens[at], kind="stable")]
-                    terms, first = np.unique(tokens[order], return_index=True)
-                    hits, close = q.search(tokens, dict(zip(terms.tolist(), np.split(order, first[1:]), strict=True)), near)
+            (edges, terms), (_, ends), (firsts, positions) = (_lists(batch.column(k)) for k in (3, 4, 5))
+            for n_words, a, b, first in zip(batch.column(2).to_pylist(), edges[:-1].tolist(), edges[1:].tolist(), firsts[:-1].tolist(), strict=True):
+                cuts = [first, *(first + ends[a:b]).tolist()]
+                hits, close = q.search(n_words, {t: positions[x:y] for t, x, y in zip(terms[a:b].tolist(), cuts[:-1], cuts[1:], strict=True)}, near)
                 spans = sorted({(s, s + len(q.ids[k])) for k, s in hits})
-                rows.append((len(words), [{"s": a, "e": b} for a, b in spans], sorted({i for k, _ in hits for i in of[k]}), close))
-            kinds = [pa.int64(), pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())])), pa.list_(pa.string()), pa.int64()]
-            columns = list(zip(*rows, strict=True)) or [()] * 4
+                rows.append(([{"s": x, "e": y} for x, y in spans], sorted({i for k, _ in hits for i in of[k]}), [{"window": names[k], "start": s} for k, s in close]))
+            kinds = [pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())])), pa.list_(pa.string()), pa.list_(pa.struct([("window", pa.int64()), ("start", pa.int64())]))]
+            columns = list(zip(*rows, strict=True)) or [()] * 3
             arrays = [pa.array(x, k) for x, k in zip(columns, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], ["doc_id", "key", "n_words", "spans", "items", "n_near"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *arrays], ["doc_id", "key", "n_words", "spans", "items", "near"])
+
+    return index.mapInArrow(run, f"doc_id long, key long, n_words long, spans array<struct<s:long,e:long>>, items array<string>, near {_NEAR_TYPE}")
 
-    return _read(docs).mapInArrow(run, "doc_id long, key long, n_words long, spans array<struct<s:long,e:long>>, items array<string>, n_near long")
+
+_NEAR_TYPE = "array<struct<window:long,start:long>>"
 
 
 def _read(docs: DataFrame) -> DataFrame:
@@ -144,36 +198,37 @@ def _read(docs: DataFrame) -> DataFrame:
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, near: int = NEAR, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """doc_id, key, n_words, spans, items, n_near: the exact phrases and proximity matches of every document."""
-    windows = stored(test_windows(benchmark, window))
+    """doc_id, key, n_words, spans, items, near: the exact phrases and proximity matches of every document."""
+    windows = stored(test_windows(benchmark, window).withColumn("window", F.xxhash64("words")))
     blocks = -(-windows.count() // block_windows) or 1
     passes = []
     for k in range(blocks):
-        rows = windows.filter(F.pmod(F.xxhash64("words"), F.lit(blocks)) == k).collect()  # block_windows, about
+        rows = windows.filter(F.pmod(F.col("window"), F.lit(blocks)) == k).collect()  # block_windows, about
         phrases = [bytes(r["words"]).split() for r in rows]
         terms = sorted({w for p in phrases for w in p})
         counts = np.zeros(len(terms), np.int64)
-        for r in term_counts(docs, terms).collect() if terms else ():
+        index = write_index(docs, terms)
+        for r in posting_counts(index, len(terms)).collect() if terms else ():
             counts[r["term"]] = r["n"]
-        passes.append(index_and_search(docs, Queries(phrases, terms, counts), [list(r["items"]) for r in rows], near))
+        passes.append(search_index(index, Queries(phrases, terms, counts), [r["window"] for r in rows], [list(r["items"]) for r in rows], near))
     if blocks == 1:
         return passes[0]
     found = stored(passes[0])
     for more in passes[1:]:
-        found = found.unionByName(stored(more.filter((F.size("items") > 0) | (F.col("n_near") > 0) | (F.size("spans") > 0)).dropDuplicates(["doc_id", "key"]).withColumn("n_words", F.lit(None).cast("long"))))
+        found = found.unionByName(stored(more.filter((F.size("items") > 0) | (F.size("near") > 0) | (F.size("spans") > 0)).dropDuplicates(["doc_id", "key"]).withColumn("n_words", F.lit(None).cast("long"))))
     # the first pass has a row for each document, repeated rows included; the others add to rows of the same content
     first, more = found.filter("n_words IS NOT NULL"), found.filter("n_words IS NULL")
-    more = more.groupBy("doc_id", "key").agg(F.flatten(F.collect_list("spans")).alias("s2"), F.flatten(F.collect_list("items")).alias("i2"), F.sum("n_near").alias("n2"))
+    more = more.groupBy("doc_id", "key").agg(F.flatten(F.collect_list("spans")).alias("s2"), F.flatten(F.collect_list("items")).alias("i2"), F.flatten(F.collect_list("near")).alias("n2"))
     more = more.withColumnsRenamed({"doc_id": "d2", "key": "k2"})
-    none = F.expr("cast(array() AS array<struct<s:long,e:long>>)"), F.expr("cast(array() AS array<string>)")
+    none = F.expr("cast(array() AS array<struct<s:long,e:long>>)"), F.expr("cast(array() AS array<string>)"), F.expr(f"cast(array() AS {_NEAR_TYPE})")
     return first.join(more, F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("key") == F.col("k2")), "left").select(
         "doc_id", "key", "n_words", F.array_sort(F.array_distinct(F.concat("spans", F.coalesce("s2", none[0])))).alias("spans"),
-        F.array_distinct(F.concat("items", F.coalesce("i2", none[1]))).alias("items"), (F.col("n_near") + F.coalesce("n2", F.lit(0))).alias("n_near"),
+        F.array_distinct(F.concat("items", F.coalesce("i2", none[1]))).alias("items"), F.concat("near", F.coalesce("n2", none[2])).alias("near"),
     )
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, near: int = NEAR, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """One row per document: doc_id, key, n_words, n_hit, n_items, items_sha256, contaminated, n_near."""
+    """One row per document: doc_id, key, n_words, n_hit, n_items, items_sha256, contaminated, near (window and start of each proximity match; window is xxhash64 of its words)."""
     zero = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n"))
 
     def cover(state, x):
@@ -182,12 +237,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, n
     found = matches(docs, benchmark, window, near, block_windows).withColumn("n_hit", F.aggregate("spans", zero, cover)["n"])
     return found.select(
         "doc_id", "key", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
-        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), "n_near",
+        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), "near",
     )
 
 
+def proximity_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, near: int = NEAR, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+    """One row per proximity match: doc_id, key, start, words (the window's), items."""
+    found = matches(docs, benchmark, window, near, block_windows).select("doc_id", "key", F.explode("near").alias("n")).select("doc_id", "key", F.col("n.window").alias("window"), F.col("n.start").alias("start"))
+    windows = test_windows(benchmark, window).withColumn("window", F.xxhash64("words"))
+    return found.join(windows, "window").select("doc_id", "key", "start", "words", "items")
+
+
 def op7_decontamination(spark, sf_dir: str) -> DataFrame:
-    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("key", "n_near")
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("key", "near")
 
 
 ORACLE_SQL = r"""
