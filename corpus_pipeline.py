@@ -1,9 +1,10 @@
 """A corpus pipeline: quality rules, near duplicates, decontamination, secrets, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; docs is what the stage before wrote. All but the last
-keep the columns of documents. A stage's decisions: documents that the quality rules reject go; of documents that are
-linked by five-word shingles at a similarity of 0.8 or more, that with the smallest doc_id stays; contaminated
-documents go; secrets are masked in the texts; what is left is packed into sequences.
+keep the columns of documents. A stage's decisions: documents that the quality rules reject go,
+and the others lose the lines above the limits; of documents that are linked by five-word shingles at a similarity of
+0.8 or more, that with the smallest doc_id stays; contaminated documents go; secrets are masked in the texts; what is
+left is packed into sequences.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from timespan.llm.common import shared_dir, small, stored, table
 from timespan.llm.decontamination import decontaminate
 from timespan.llm.ngram_jaccard import one_of_each_group
 from timespan.llm.packing import best_fit_packing
-from timespan.llm.quality_rules import quality_rules
+from timespan.llm.quality_rules import clean, quality_rules
 from timespan.llm.secret_scans import redact_secrets
 
 
@@ -34,8 +35,7 @@ def _hashed():
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    judged = quality_rules(docs)
-    return _without(docs, judged.filter("NOT kept").select("doc_id", "content"), _hashed())
+    return clean(docs, quality_rules(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -87,6 +87,22 @@ def test_frequent_lines_deplete_documents(spark):
     assert [kept[k] for k in range(21)] == [False] * 6 + [True] * 15  # copies of one text count once
 
 
+def test_frequent_lines_leave_the_text(spark):
+    own = [" ".join(f"u{i}x{k}" for k in range(25)) for i in range(8)]
+    texts = [f"{x}\n Accept  ALL cookies é\n\nend {i}\naccept all cookies é" for i, x in enumerate(own)] + [own[0], None, "short\naccept all cookies é", own[7] + "\nother"]
+    ids = [*range(8), None, 9, 10, 7]
+    table = docs(spark, texts, ids)
+    got = qr.clean(table, qr.quality_rules(table, max_docs=5)).collect()
+    want = [(i, f"{x}\n\nend {i}") for i, x in enumerate(own)] + [(None, own[0]), (7, own[7] + "\nother")]
+    assert Counter((r.doc_id, r.text, r.n_chars) for r in got) == Counter((k, t, len(t)) for k, t in want)
+
+
+def test_pipeline_stage_writes_texts_without_frequent_lines(spark):
+    texts = [" ".join(f"u{i}x{k}" for k in range(25)) for i in range(60)]
+    got = corpus_pipeline.quality(spark, docs(spark, [t + "\nshare this page" for t in texts]), "").collect()
+    assert {r.doc_id: r.text for r in got} == dict(enumerate(texts))
+
+
 def brute_spans(t):
     out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]

@@ -3,7 +3,7 @@
 Every document is read once: a task computes the base figures of each text and the hashes of its normalised
 lines. The lines (a few per document, never the texts) are then counted per host over distinct contents, so that
 exact copies count once. Lines in more documents of a host than the limit are removed, and a document that keeps
-fewer than `min_words` words is depleted and rejected.
+fewer than `min_words` words is depleted and rejected. `clean` gives the documents that are kept, without those lines.
 
 Defined results: a null or empty text has no words and fails the base rules; rows with the same or a null doc_id
 are judged each by itself; a null source is a host of its own; only doc_id, text and the host column are read, so
@@ -15,12 +15,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timespan.llm.common import LOWER, Hashes, signed, stored, utf8
+from timespan.llm.common import LOWER, SMALL_ROWS, Hashes, signed, small, stored, utf8
 
 #: Words below which a text fails, and at which a document is depleted.
 MIN_WORDS = 20
@@ -74,6 +75,16 @@ def failed(n_words: int, n_repeat_words: int) -> bool:
     return n_words < MIN_WORDS or 100 * n_repeat_words > 30 * n_words
 
 
+def line_hash(words: list[bytes]) -> int:
+    """Of a line's words in lower case."""
+    return signed(xxhash.xxh3_64_intdigest(b" ".join(words)))
+
+
+def without_lines(text: bytes, removed: set[int]) -> bytes:
+    """The text without the lines of these hashes; blank lines stay."""
+    return b"\n".join(x for x in text.split(b"\n") if not (words := x.translate(LOWER).split()) or line_hash(words) not in removed)
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: list[list] = [[] for _ in range(8)]
@@ -83,7 +94,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lines: dict[int, int] = {}
             for line in text.translate(LOWER).split(b"\n"):
                 if words := line.split():
-                    lines.setdefault(signed(xxhash.xxh3_64_intdigest(b" ".join(words))), len(words))
+                    lines.setdefault(line_hash(words), len(words))
             for column, value in zip(out, (n, chars, symbols, dup, rep, failed(n, rep), list(lines), list(lines.values())), strict=True):
                 column.append(value)
         kinds = [*[pa.int64()] * 5, pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int32())]
@@ -92,7 +103,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def quality_rules(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, min_words: int = MIN_WORDS) -> DataFrame:
-    """One row per document: doc_id, content, the base figures, base_failed, n_lines, n_removed_lines, n_left_words, kept."""
+    """One row per document: doc_id, content, the base figures, base_failed, n_lines, n_removed_lines, n_left_words, kept, host, removed_lines (their hashes)."""
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), F.xxhash64(utf8()).alias("content"), utf8().alias("text"))
     rows = stored(read.mapInArrow(_features, _SCHEMA).withColumn("row", F.monotonically_increasing_id()))
     lines = rows.select("row", F.coalesce("host", F.lit("\0")).alias("host"), "content", F.explode(F.arrays_zip("lines", "line_words")).alias("x")).select(
@@ -102,21 +113,41 @@ def quality_rules(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOC
     counted = contents.groupBy("host", "line").agg(F.count(F.lit(1)).alias("line_docs")).filter(F.col("line_docs") > max_docs)
     hosts = rows.groupBy(F.coalesce("host", F.lit("\0")).alias("host")).agg(F.count(F.lit(1)).alias("host_docs"))
     over = counted.join(hosts, "host").filter(F.col("line_docs") > max_share * F.col("host_docs")).select("host", "line")
-    removed = lines.join(over, ["host", "line"]).groupBy("row").agg(F.count(F.lit(1)).alias("n_removed_lines"), F.sum("words").alias("removed_words"))
+    removed = lines.join(over, ["host", "line"]).groupBy("row").agg(F.count(F.lit(1)).alias("n_removed_lines"), F.sum("words").alias("removed_words"), F.sort_array(F.collect_set("line")).alias("removed_lines"))
     # a removed line goes with all its repetitions, so what is left is counted from the distinct lines that stay
     own = F.aggregate("line_words", F.lit(0).cast("long"), lambda a, x: a + x)
     left = own - F.coalesce("removed_words", F.lit(0))
     return rows.join(removed, "row", "left").select(
         "doc_id", "content", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         F.size("lines").cast("long").alias("n_lines"), F.coalesce("n_removed_lines", F.lit(0)).cast("long").alias("n_removed_lines"), left.alias("n_left_words"),
-        (~F.col("base_failed") & (F.col("n_removed_lines").isNull() | (left >= min_words))).alias("kept"),
+        (~F.col("base_failed") & (F.col("n_removed_lines").isNull() | (left >= min_words))).alias("kept"), "host", "removed_lines",
     )
 
 
+def clean(docs: DataFrame, judged: DataFrame, host: str = "source") -> DataFrame:
+    """The kept documents without their removed lines, by the verdicts of quality_rules(docs, host); n_chars, if there, follows the text."""
+    names = ["_d", "_h", "_c", "_kept", "_lines"]
+    # only what changes: a row for each rejected document, and for each kept one with lines to remove
+    verdicts = judged.select("doc_id", F.coalesce("host", F.lit("\0")), "content", "kept", F.when(F.col("kept"), F.col("removed_lines"))).toDF(*names).filter("NOT _kept OR _lines IS NOT NULL")
+    verdicts = small(stored(verdicts.dropDuplicates(names[:3])), SMALL_ROWS // 4)
+
+    @F.pandas_udf("binary")
+    def cut(texts: pd.Series, lines: pd.Series) -> pd.Series:
+        return pd.Series([t if x is None else without_lines(t, set(x)) for t, x in zip(texts, lines, strict=True)])
+
+    own = docs.withColumn("_own", F.xxhash64(utf8())).withColumn("_host", F.coalesce(F.col(host).cast("string"), F.lit("\0")))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_host") == F.col("_h")) & (F.col("_own") == F.col("_c"))
+    found = own.join(verdicts, same, "left").filter("_kept IS NULL OR _kept").withColumn("_text", F.when(F.col("_lines").isNotNull(), cut(utf8(), F.col("_lines")).cast("string")))
+    new = {"text": F.coalesce("_text", "text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("_text").isNotNull(), F.length("_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return found.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+
+
 def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
     from timespan.llm.common import table
 
-    return quality_rules(table(spark, sf_dir, "documents")).drop("content")
+    return quality_rules(table(spark, sf_dir, "documents")).drop("content", "host", "removed_lines")
 
 
 ORACLE_SQL = r"""
