@@ -158,3 +158,14 @@ def test_flagship_at_two_partitionings(spark, sf_dir):
     b = sorted(map(tuple, QUERIES["rebase_after_cuts"](spark, sf_dir).collect()))
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert a == b
+
+
+def test_joined_phrases_of_any_length(spark):
+    from timespan.operators import matching
+
+    chars = "春眠不覺曉處處聞啼鳥夜來風雨聲花落知多少"
+    rows = [("m", k, "word", c) for k, c in enumerate("頭" + chars + "尾" + chars[:19])] + [("n", 0, "word", "Ab"), ("n", 1, "word", "c"), ("n", 2, "pause", ""), ("n", 3, "word", "a"), ("n", 4, "word", "bcd")]
+    tokens = spark.createDataFrame(rows, "media_id string, pos int, type string, text string")
+    assert [tuple(r) for r in matching.match_joined(tokens, chars).collect()] == [("m", 1, len(chars))]
+    assert [tuple(r) for r in matching.match_joined(tokens, "a b c").collect()] == [("n", 0, 1)]
+    assert sorted(r.pos for r in matching.match_fillers(tokens, [chars]).collect()) == list(range(1, len(chars) + 1))

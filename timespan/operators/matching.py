@@ -24,15 +24,16 @@ def match_parts(tokens: DataFrame, parts: list[str]) -> DataFrame:
     return df.withColumn("hit", hit).withColumn("last_pos", last).filter("hit").select("media_id", F.col("pos").alias("first_pos"), "last_pos")
 
 
-def match_joined(tokens: DataFrame, phrase: str, most: int = 12) -> DataFrame:
+def match_joined(tokens: DataFrame, phrase: str) -> DataFrame:
     """Places where contiguous tokens, joined, equal the phrase without its spaces."""
     wanted = "".join(phrase.lower().split())
     w = Window.partitionBy("media_id", "run").orderBy("pos")
-    joined, hits = F.lit(""), []
-    for k in range(min(len(wanted), most)):
-        joined = F.concat(joined, F.lead("low", k).over(w) if k else F.col("low"))
-        hits.append(F.when(joined == wanted, F.lead("pos", k).over(w) if k else F.col("pos")))
-    return _live(tokens).withColumn("last_pos", F.coalesce(*hits)).filter("last_pos IS NOT NULL").select("media_id", F.col("pos").alias("first_pos"), "last_pos")
+    ends = _live(tokens).withColumn("end", F.sum(F.length("low")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    # each token has a character or more, so a match has as many tokens as the phrase has characters at most
+    ahead = ends.withColumn("ahead", F.collect_list(F.struct("low", "end", "pos")).over(w.rowsBetween(0, len(wanted) - 1)))
+    last = F.filter("ahead", lambda x: x["end"] == F.col("end") - F.length("low") + len(wanted))
+    found = ahead.filter(F.startswith(F.array_join(F.col("ahead.low"), ""), F.lit(wanted))).withColumn("last_pos", F.get(last, F.lit(0))["pos"])
+    return found.filter("last_pos IS NOT NULL").select("media_id", F.col("pos").alias("first_pos"), "last_pos")
 
 
 def match_fillers(tokens: DataFrame, phrases: list[str]) -> DataFrame:
