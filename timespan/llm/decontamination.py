@@ -1,16 +1,16 @@
 """Benchmark decontamination (operator 7): a distributed positional inverted index of the training tokens.
 
 Test windows are `window` consecutive words of an item, or the whole of a shorter item. One pass over the training
-texts writes the postings of the windows' terms to the shared folder: a row for each document with its terms and the
-positions of each. The rest reads this index only: terms are counted, every window is searched from its rarest term,
-and the postings of its other terms, the next rarest first, are adjusted by their offsets and intersected, so that
-exact phrases remain. Proximity matches are places of a window's rarest term with its next rarest one within `near`
-words and no exact phrase there; terms that no training text has are left out of this choice, so a window that has one
-is still searched.
+texts writes the posting lists of the windows' terms to the shared folder, for each block of some hundred documents. The
+rest reads this index only: terms are counted, every window is searched from its rarest term, and the posting lists of
+its other terms, the next rarest first, are adjusted by their offsets and intersected, so that exact phrases remain.
+Proximity matches are places of a window's rarest term (the first in byte order of equally rare ones) with its next
+rarest one within `near` words and no exact phrase there; terms that no training text has are left out of this choice,
+so a window that has one is still searched.
 
-The index is partitioned by document, so that no term's postings, however frequent, meet in one task. Windows are sent
-to the tasks in blocks of at most `block_windows` distinct windows; a larger benchmark takes several passes, each with
-the index of its own terms.
+The index is partitioned by blocks of documents, so that no term's postings, however frequent, meet in one task. Windows
+are sent to the tasks in blocks of at most `block_windows` distinct windows; a larger benchmark takes several passes,
+each with the index of its own terms.
 
 Words are runs of digits, letters a-z after lower-casing A-Z, and non-ASCII characters. Defined results: a null or
 empty text has no words, no hits and isn't contaminated; items without words have no windows; repeated rows and null
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timespan.llm.common import ALNUM, shared_dir, stored, table, utf8
+from timespan.llm.common import ALNUM, counted, shared_dir, stored, table, utf8
 
 WINDOW, NEAR = 13, 26
 #: Distinct test windows that a pass over the training texts looks for (about 150 bytes each in a task).
@@ -52,56 +52,61 @@ def test_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
     return rows.groupBy("words").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
 
 
-def term_counts(docs: DataFrame, terms: list[bytes]) -> DataFrame:
-    """term (its place in terms), n: how often each of the test terms stands in all training texts."""
-    place = {t: k for k, t in enumerate(terms)}
+#: Documents and words of a block of the index, about.
+BLOCK_DOCS, BLOCK_WORDS = 512, 1 << 20
+_LONGS, _INTS = pa.list_(pa.int64()), pa.list_(pa.int32())
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(place) + 1, np.int64)
-        get = place.get
-        for batch in batches:
-            for cell in batch.column(0):
-                words = cell.as_py().translate(ALNUM).split()
-                if words:
-                    ids = np.fromiter([get(w, -1) for w in words], np.int64, len(words))
-                    total += np.bincount(ids[ids >= 0], minlength=len(total))
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], ["term", "n"])
 
-    return docs.select(utf8().alias("text")).mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, list[list[bytes]]]]:
+    """doc_ids, keys and words of each block."""
+    ids, keys, texts, held = [], [], [], 0
+    for batch in batches:
+        for doc_id, key, cell in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            words = cell.as_py().translate(ALNUM).split()
+            ids.append(doc_id)
+            keys.append(key)
+            texts.append(words)
+            held += len(words)
+            if len(ids) >= BLOCK_DOCS or held >= BLOCK_WORDS:
+                yield ids, keys, texts
+                ids, keys, texts, held = [], [], [], 0
+    if ids:
+        yield ids, keys, texts
 
 
-def write_index(docs: DataFrame, terms: list[bytes]) -> DataFrame:
-    """doc_id, key, n_words, and the postings of terms, written to the shared folder: terms (places in terms, ascending), ends (of each one's positions), positions."""
+def write_index(docs: DataFrame, terms: list[bytes], gap: int) -> DataFrame:
+    """The inverted index, written to the shared folder: a row for each block of documents.
+
+    doc_ids, keys, n_words, first (place of each document's first word in the block), and the posting lists of the terms:
+    terms (places in `terms`, ascending), ends (of each one's postings), postings (places in the block, ascending for
+    each term). Documents of a block are `gap` places apart, so that no phrase or proximity match reaches into another.
+    """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast({t: k for k, t in enumerate(terms)})  # of at most BLOCK_WINDOWS windows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = shared.value.get
-        for batch in batches:
-            sizes, rows = [], []
-            for cell in batch.column(2):
-                words = cell.as_py().translate(ALNUM).split()
-                tokens = np.fromiter([get(w, -1) for w in words], np.int32, len(words))
-                at = np.flatnonzero(tokens >= 0)
-                order = at[np.argsort(tokens[at], kind="stable")]
-                own, first = np.unique(tokens[order], return_index=True)
-                sizes.append(len(words))
-                rows.append((own, np.append(first[1:], len(order))[: len(own)], order))
-            lists = []
-            for parts in zip(*rows, strict=True) if rows else ((), (), ()):
-                offsets = np.cumsum([0, *map(len, parts)])
-                lists.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *parts]).astype(np.int32))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), *lists], ["doc_id", "key", "n_words", "terms", "ends", "positions"])
+        for ids, keys, texts in _blocks(batches):
+            sizes = np.array([len(words) for words in texts], np.int64)
+            first = np.concatenate([[0], np.cumsum(sizes + gap)[:-1]])
+            tokens, places = [], []
+            for words, start in zip(texts, first.tolist(), strict=True):
+                own = np.fromiter([get(w, -1) for w in words], np.int32, len(words))
+                at = np.flatnonzero(own >= 0)
+                tokens.append(own[at])
+                places.append(at + start)
+            token, place = np.concatenate(tokens), np.concatenate(places).astype(np.int32)
+            order = np.argsort(token, kind="stable")
+            own, n = counted(token)
+            values = [(ids, _LONGS), (keys, _LONGS), (sizes, _LONGS), (first, _LONGS), (own, _INTS), (np.cumsum(n), _INTS), (place[order], _INTS)]
+            yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in values], _INDEX)
 
     folder = f"{shared_dir(spark)}/postings-{uuid.uuid4().hex}"
-    _read(docs).mapInArrow(run, "doc_id long, key long, n_words long, terms array<int>, ends array<int>, positions array<int>").write.parquet(folder)
+    _read(docs).mapInArrow(run, ", ".join(f"{c} array<{'long' if k < 4 else 'int'}>" for k, c in enumerate(_INDEX))).write.parquet(folder)
     return spark.read.parquet(folder)
 
 
-def _lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of the rows, and the values that they are edges in."""
-    return column.offsets.to_numpy(), column.values.to_numpy()
+_INDEX = ["doc_ids", "keys", "n_words", "first", "terms", "ends", "postings"]
 
 
 def posting_counts(index: DataFrame, n_terms: int) -> DataFrame:
@@ -110,9 +115,8 @@ def posting_counts(index: DataFrame, n_terms: int) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(n_terms, np.int64)
         for batch in batches:
-            (edges, terms), (_, ends) = _lists(batch.column(0)), _lists(batch.column(1))
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                total[terms[a:b]] += np.diff(ends[a:b], prepend=0)
+            for terms, ends in zip(batch.column(0), batch.column(1), strict=True):
+                total[terms.values.to_numpy()] += np.diff(ends.values.to_numpy(), prepend=0)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], ["term", "n"])
 
@@ -142,29 +146,32 @@ class Queries:
             if self.whole[k] or len(others):
                 self.by_anchor.setdefault(int(ids[there[0]]), []).append(k)
 
-    def search(self, n_words: int, postings: dict[int, np.ndarray], near: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-        """(window, start) of each exact phrase and of each proximity match, whose start is that of the window around its rarest term and can be below 0."""
-        hits, close = [], []
+    def search(self, postings: dict[int, np.ndarray], near: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each window with matches: the window, starts of its exact phrases, starts of its proximity matches, and places of the rarest term in these.
+
+        A proximity match starts where the window would around its rarest term, which can be before the document's start.
+        """
+        none = np.zeros(0, np.int32)
         for anchor in postings.keys() & self.by_anchor.keys():
-            positions = postings[anchor]
+            places = postings[anchor]
             for k in self.by_anchor[anchor]:
                 ids, order = self.ids[k], self.order[k]
-                starts = positions - order[0]
-                exact = starts[(starts >= 0) & (starts + len(ids) <= n_words)] if self.whole[k] else starts[:0]
+                starts = places - order[0]
+                exact = starts if self.whole[k] else none
                 for o in order[1:]:
                     if not len(exact):
                         break
                     other = postings.get(int(ids[o]))
-                    exact = exact[:0] if other is None else exact[_among(exact + o, other)]
-                hits += [(k, int(s)) for s in exact]
-                other = postings.get(self.second[k])
+                    exact = none if other is None else exact[_among(exact + o, other)]
+                by, other = none, postings.get(self.second[k])
                 if other is not None:
-                    at = np.searchsorted(other, positions - near)
-                    by = (at < len(other)) & (other[np.minimum(at, len(other) - 1)] <= positions + near)
+                    at = np.searchsorted(other, places - near)
+                    close = (at < len(other)) & (other[np.minimum(at, len(other) - 1)] <= places + near)
                     if len(exact):
-                        by &= ~_among(starts, exact)
-                    close += [(k, int(s)) for s in starts[by]]
-        return hits, close
+                        close &= ~_among(starts, exact)
+                    by = places[close]
+                if len(exact) or len(by):
+                    yield k, exact, by - order[0], by
 
 
 def search_index(index: DataFrame, queries: Queries, keys: list[int], items: list[list[str]], near: int = NEAR) -> DataFrame:
@@ -174,17 +181,23 @@ def search_index(index: DataFrame, queries: Queries, keys: list[int], items: lis
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q, names, of = shared.value
         for batch in batches:
-            rows = []
-            (edges, terms), (_, ends), (firsts, positions) = (_lists(batch.column(k)) for k in (3, 4, 5))
-            for n_words, a, b, first in zip(batch.column(2).to_pylist(), edges[:-1].tolist(), edges[1:].tolist(), firsts[:-1].tolist(), strict=True):
-                cuts = [first, *(first + ends[a:b]).tolist()]
-                hits, close = q.search(n_words, {t: positions[x:y] for t, x, y in zip(terms[a:b].tolist(), cuts[:-1], cuts[1:], strict=True)}, near)
-                spans = sorted({(s, s + len(q.ids[k])) for k, s in hits})
-                rows.append(([{"s": x, "e": y} for x, y in spans], sorted({i for k, _ in hits for i in of[k]}), [{"window": names[k], "start": s} for k, s in close]))
-            kinds = [pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())])), pa.list_(pa.string()), pa.list_(pa.struct([("window", pa.int64()), ("start", pa.int64())]))]
-            columns = list(zip(*rows, strict=True)) or [()] * 3
-            arrays = [pa.array(x, k) for x, k in zip(columns, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *arrays], ["doc_id", "key", "n_words", "spans", "items", "near"])
+            for row in zip(*batch.columns, strict=True):
+                doc_ids, doc_keys, sizes = (x.values for x in row[:3])
+                first, terms, ends, postings = (x.values.to_numpy() for x in row[3:])
+                cuts = [0, *ends.tolist()]
+                lists = {t: postings[x:y] for t, x, y in zip(terms.tolist(), cuts[:-1], cuts[1:], strict=True)}
+                spans, found, close = ([[] for _ in first] for _ in range(3))
+                for k, exact, starts, by in q.search(lists, near):
+                    n = len(q.ids[k])
+                    for start, doc in zip(exact.tolist(), (np.searchsorted(first, exact, "right") - 1).tolist(), strict=True):
+                        spans[doc].append((start - int(first[doc]), start - int(first[doc]) + n))
+                        found[doc] += of[k]
+                    for start, doc in zip(starts.tolist(), (np.searchsorted(first, by, "right") - 1).tolist(), strict=True):
+                        close[doc].append({"window": names[k], "start": start - int(first[doc])})
+                columns = [[[{"s": x, "e": y} for x, y in sorted(set(own))] for own in spans], [sorted(set(own)) for own in found], close]
+                kinds = [pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())])), pa.list_(pa.string()), pa.list_(pa.struct([("window", pa.int64()), ("start", pa.int64())]))]
+                arrays = [pa.array(x, k) for x, k in zip(columns, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([doc_ids, doc_keys, sizes, *arrays], ["doc_id", "key", "n_words", "spans", "items", "near"])
 
     return index.mapInArrow(run, f"doc_id long, key long, n_words long, spans array<struct<s:long,e:long>>, items array<string>, near {_NEAR_TYPE}")
 
@@ -207,7 +220,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, near: i
         phrases = [bytes(r["words"]).split() for r in rows]
         terms = sorted({w for p in phrases for w in p})
         counts = np.zeros(len(terms), np.int64)
-        index = write_index(docs, terms)
+        index = write_index(docs, terms, near + window)
         for r in posting_counts(index, len(terms)).collect() if terms else ():
             counts[r["term"]] = r["n"]
         passes.append(search_index(index, Queries(phrases, terms, counts), [r["window"] for r in rows], [list(r["items"]) for r in rows], near))
@@ -249,7 +262,8 @@ def proximity_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
 
 
 def op7_decontamination(spark, sf_dir: str) -> DataFrame:
-    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("key", "near")
+    found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumn("n_near", F.size("near").cast("long")).drop("key", "near")
 
 
 ORACLE_SQL = r"""
@@ -258,10 +272,18 @@ WITH dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABC
      bi AS (SELECT DISTINCT item_id, least(len(w), 13) AS n, array_to_string(w[i : i + least(len(w), 13) - 1], ' ') AS g FROM bw, range(1, 100000) r(i) WHERE len(w) > 0 AND i <= greatest(1, len(w) - 12)),
      lens AS (SELECT DISTINCT n FROM bi),
      di AS (SELECT doc_id, i, n, array_to_string(w[i : i + n - 1], ' ') AS g FROM dw, lens, range(1, 100000) r(i) WHERE i + n - 1 <= len(w)),
-     m AS (SELECT doc_id, i, n, item_id FROM di JOIN bi USING (n, g)),
+     m AS (SELECT doc_id, i, n, g, item_id FROM di JOIN bi USING (n, g)),
      hit AS (SELECT doc_id, count(DISTINCT i + k) AS n_hit FROM m, range(13) s(k) WHERE k < n GROUP BY doc_id),
-     it AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS j FROM m GROUP BY doc_id)
+     it AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS j FROM m GROUP BY doc_id),
+     words AS (SELECT doc_id, i, w[i] AS t FROM dw, range(1, 100000) r(i) WHERE i <= len(w)),
+     wins AS (SELECT DISTINCT g, string_split(g, ' ') AS gw FROM bi),
+     wt AS (SELECT g, gw[k] AS t, min(k) AS k FROM wins, range(1, 14) r(k) WHERE k <= len(gw) GROUP BY ALL),
+     tc AS (SELECT t, count(*) AS c FROM words WHERE t IN (SELECT t FROM wt) GROUP BY t),
+     ranked AS (SELECT g, t, k, row_number() OVER (PARTITION BY g ORDER BY c, t) AS rank FROM wt JOIN tc USING (t)),
+     pairs AS (SELECT a.g, a.t AS t1, a.k, b.t AS t2 FROM ranked a JOIN ranked b ON a.g = b.g AND a.rank = 1 AND b.rank = 2),
+     close AS (SELECT DISTINCT x.doc_id, x.i, t1, t2 FROM (SELECT DISTINCT t1, t2 FROM pairs) p JOIN words x ON x.t = t1 JOIN words y ON y.t = t2 AND y.doc_id = x.doc_id AND abs(x.i - y.i) <= 26),
+     near AS (SELECT doc_id, count(*) AS n_near FROM (SELECT doc_id, g, i - k + 1 AS s FROM close JOIN pairs USING (t1, t2)) c ANTI JOIN (SELECT DISTINCT doc_id, g, i AS s FROM m) e USING (doc_id, g, s) GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(j, '')) AS items_sha256,
-       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, coalesce(n_near, 0) AS n_near
+FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id) LEFT JOIN near USING (doc_id)
 """
