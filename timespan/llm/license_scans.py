@@ -2,13 +2,14 @@
 
 Blocks are, for each template, all runs of twice its words anywhere in the text, across line breaks, so that wrapped
 notices are whole; and lines, of which longer ones are cut into windows that overlap by the longest template. A template
-and a block match when the block's word set has `threshold` of the template's or more. Template words are ordered by their frequency in
-all documents, rarest first. With m words and t = ceil(threshold * m) needed, one of the first m - t + 1 must be in a
-matching block (prefix filter), the block needs t distinct words (length filter), and from the place of the first
-common word on enough words must be left (positional filter). The filters are applied to the word set of the whole
-text first, of which every block is a part; what passes is verified block by block, so no match is lost. Templates
-are few and fixed, so they go to every task; texts are read twice, for the frequencies and for the join, and no text
-is shuffled.
+and a block match when the block's word set has `threshold` of the template's or more. The words of all templates have
+one global order, by their frequency in all documents, rarest first, and a block is its distinct ones in that order
+(others are in no template). With m words in a template and t = ceil(threshold * m) needed, one of its first m - t + 1
+must be in a matching block (prefix filter), the block needs t words (length filter), and from the first common word on
+both must have t words left (positional filter: only the block's place can reject, the template's is in its prefix).
+The filters are applied to the whole text first, of which every block is a part; what passes is verified block by
+block, so no match is lost. Templates are few and fixed, so they go to every task; texts are read twice, for the
+frequencies and for the join, and no text is shuffled.
 
 Base places are those where the words of a fixed phrase stand consecutively. Defined results: a null or empty text
 has no words, empty labels and score 0; repeated rows get equal results; only doc_id and text are read.
@@ -25,24 +26,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from timespan.llm.common import ALNUM, table, utf8
-from timespan.llm.decontamination import term_counts
 
 #: Fixed by contract.
 BASE_PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
-#: Notices that the licenses' own texts ask for.
+#: Notices that the licenses' own texts ask for, or their first sentences. Fixed values.
 TEMPLATES = {
+    "afl-3": ("Licensed under the Academic Free License version 3.0",),
+    "agpl": ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",),
     "apache-2": ("Licensed under the Apache License, Version 2.0", "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
-    "mit": ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "Released under the MIT License", "Distributed under the MIT License"),
+    "artistic-2": ("This package is free software; you may redistribute it and/or modify it under the terms of the Artistic License 2.0",),
     "bsd": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",),
+    "bsl-1": ("Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", "Distributed under the Boost Software License, Version 1.0"),
+    "cc-by": ("This work is licensed under a Creative Commons Attribution 4.0 International License",),
+    "cc-by-nc": ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "Licensed under CC BY-NC 4.0"),
+    "cc-by-nc-nd": ("This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License",),
+    "cc-by-nc-sa": ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License",),
+    "cc-by-nd": ("This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License",),
+    "cc-by-sa": ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "Text is available under the Creative Commons Attribution-ShareAlike License; additional terms may apply"),
+    "cc0": ("To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work",),
+    "cddl": ("The contents of this file are subject to the terms of the Common Development and Distribution License. You may not use this file except in compliance with the License",),
+    "epl-2": ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",),
+    "eupl": ("Licensed under the EUPL, Version 1.2 or, as soon they will be approved by the European Commission, subsequent versions of the EUPL",),
+    "fdl": ("Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License",),
     "gpl": ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",),
+    "isc": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",),
     "lgpl": ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License",),
+    "mit": ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "Released under the MIT License", "Distributed under the MIT License"),
     "mpl-2": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",),
-    "isc": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",),
+    "odbl": ("This database is made available under the Open Database License",),
+    "ofl": ("This Font Software is licensed under the SIL Open Font License, Version 1.1",),
+    "postgresql": ("Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted",),
     "unlicense": ("This is free and unencumbered software released into the public domain",),
-    "cc-by": ("This work is licensed under a Creative Commons Attribution 4.0 International License",),
-    "cc-by-sa": ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",),
-    "cc-by-nc": ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "Licensed under CC BY-NC 4.0"),
-    "cc0": ("To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work",),
+    "zlib": ("This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software",),
 }
 THRESHOLD = 0.8
 
@@ -51,16 +66,31 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(ALNUM).split()
 
 
+def term_counts(docs: DataFrame, terms: list[bytes]) -> DataFrame:
+    """term (its place in terms), n: how often each of the terms stands in all texts."""
+    place = {t: k for k, t in enumerate(terms)}
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: Counter = Counter()
+        for batch in batches:
+            for cell in batch.column(0):
+                total.update(filter(place.__contains__, words_of(cell.as_py())))
+        yield pa.RecordBatch.from_arrays([pa.array([place[w] for w in total], pa.int32()), pa.array(list(total.values()), pa.int64())], ["term", "n"])
+
+    return docs.select(utf8().alias("text")).mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
+
+
 class Join:
-    """The prefix index over templates, for globally ordered words."""
+    """The prefix index over templates. Words stand for their places in the global order."""
 
     def __init__(self, templates: list[tuple[str, list[bytes]]], frequency: dict[bytes, int], threshold: float):
+        vocabulary = sorted({w for _, words in templates for w in words}, key=lambda w: (frequency.get(w, 0), w))
+        self.rank = {w: k for k, w in enumerate(vocabulary)}
         self.labels, self.need, self.words, self.run = [], [], [], []
-        self.prefix: dict[bytes, list[tuple[int, int]]] = {}
-        for label, words in templates:
-            ordered = sorted(set(words), key=lambda w: (frequency.get(w, 0), w))
+        self.prefix: dict[int, list[tuple[int, int]]] = {}
+        for k, (label, words) in enumerate(templates):
+            ordered = sorted({self.rank[w] for w in words})
             need = math.ceil(threshold * len(ordered) - 1e-9)
-            k = len(self.labels)
             self.labels.append(label)
             self.need.append(need)
             self.words.append(frozenset(ordered))
@@ -68,22 +98,30 @@ class Join:
             for place, w in enumerate(ordered[: len(ordered) - need + 1]):
                 self.prefix.setdefault(w, []).append((place, k))
 
-    def match(self, block: set[bytes]) -> list[tuple[int, float]]:
+    def ranks(self, words: list[bytes]) -> list[int]:
+        """The places of the words, -1 for words that are in no template."""
+        get = self.rank.get
+        return [get(w, -1) for w in words]
+
+    def candidates(self, block: list[int]) -> list[int]:
+        """Templates that pass the filters. block: distinct places, ascending."""
+        passed: dict[int, bool] = {}
+        for at, w in enumerate(block):
+            for place, k in self.prefix.get(w, ()):
+                if k not in passed:  # its first common word
+                    passed[k] = min(len(block) - at, len(self.words[k]) - place) >= self.need[k]
+        return [k for k, ok in passed.items() if ok]
+
+    def match(self, block: set[int]) -> list[tuple[int, float]]:
         """Places and containments of the templates that the block holds."""
-        first: dict[int, int] = {}
-        for w in block & self.prefix.keys():
-            for place, k in self.prefix[w]:
-                first[k] = min(place, first.get(k, place))
         found = []
-        for k, place in first.items():
-            m = len(self.words[k])
-            if len(block) >= self.need[k] and m - place >= self.need[k]:
-                both = len(block & self.words[k])
-                if both >= self.need[k]:
-                    found.append((k, both / m))
+        for k in self.candidates(sorted(block)):
+            both = len(block & self.words[k])
+            if both >= self.need[k]:
+                found.append((k, both / len(self.words[k])))
         return found
 
-    def match_runs(self, words: list[bytes], k: int) -> float:
+    def match_runs(self, words: list[int], k: int) -> float:
         """The largest containment of template k in a run of twice its words."""
         own, width = self.words[k], self.run[k]
         places = [at for at, w in enumerate(words) if w in own]
@@ -103,12 +141,13 @@ class Join:
     def labelled(self, text: bytes, words: list[bytes], longest: int) -> dict[str, float]:
         """Labels and their largest containments in the blocks of a text."""
         best: dict[str, float] = {}
-        every = self.match(set(words))
+        ranks = self.ranks(words)
+        every = self.match(set(ranks) - {-1})
         for k, _ in every:
-            if share := self.match_runs(words, k):
+            if share := self.match_runs(ranks, k):
                 best[self.labels[k]] = max(share, best.get(self.labels[k], 0.0))
         for block in blocks(text, longest) if every else ():
-            for k, share in self.match(block):
+            for k, share in self.match(set(self.ranks(block)) - {-1}):
                 best[self.labels[k]] = max(share, best.get(self.labels[k], 0.0))
         return best
 
@@ -119,19 +158,21 @@ def base_places(words: list[bytes], phrases: dict[str, str]) -> list[tuple[int,
     found = []
     for phrase, label in phrases.items():
         own = b" " + phrase.encode() + b" "
+        last = word = 0
         at = joined.find(own)
         while at >= 0:
-            found.append((joined.count(b" ", 0, at), label))
+            word, last = word + joined.count(b" ", last, at), at
+            found.append((word, label))
             at = joined.find(own, at + 1)
     return found
 
 
-def blocks(text: bytes, longest: int) -> Iterator[set[bytes]]:
-    """The word sets of lines, and of windows of longer lines."""
+def blocks(text: bytes, longest: int) -> Iterator[list[bytes]]:
+    """The words of lines, and of windows of longer lines."""
     for line in text.split(b"\n"):
         words = words_of(line)
         for at in range(0, max(1, len(words) - longest), longest):
-            yield set(words[at : at + 2 * longest])
+            yield words[at : at + 2 * longest]
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
