@@ -1,11 +1,11 @@
 r"""Secret scans (operator 5): a trigram inverted index over the texts, built-in functions only.
 
 From each rule's regular expression a Boolean trigram query is derived: a conjunction of clauses, each a choice of
-sets of trigrams of which one must be wholly in a matching text. The index holds the postings of the trigrams that
-the queries name, over lower-cased texts. A rule's candidates are the documents for which, in every clause, the
-postings of one alternative's trigrams intersect; only they are verified with the expression. Rules from which no
-trigram follows (runs of hex digits) scan every text. Postings are aggregated per document with map-side combining,
-so a frequent trigram is never gathered in one task.
+sets of trigrams of which one must be wholly in a matching text. The index has the posting lists of the trigrams that
+the queries name, over lower-cased texts: a row for each trigram and range of documents, written to the shared folder.
+A rule's candidates are the documents in the intersection, over its clauses, of the union of its alternatives'
+intersected lists; only they are verified with the expression. Rules from which no trigram follows (runs of hex digits)
+scan every text. Ranges hold a bounded number of documents, so a frequent trigram is never gathered in one task.
 
 Spans are code points, end exclusive. Defined results: a null text is empty and has no spans; repeated rows each get
 their own result; null doc_ids are kept; only doc_id and text are read.
@@ -14,16 +14,20 @@ their own result; null doc_ids are kept; only doc_id and text are read.
 from __future__ import annotations
 
 import re
+import uuid
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timespan.llm.common import small, stored, table
+from timespan.llm.common import shared_dir, small, stored, table
+from timespan.llm.warc import remove
 
 #: Strings that a part of an expression can stand for, up to which they are listed.
 MAX_STRINGS, MAX_CLASS = 64, 4
+#: Documents of a range of the index, about.
+RANGE_DOCS = 4096
 
 
 @dataclass(frozen=True)
@@ -142,34 +146,45 @@ def trigram_query(pattern: str) -> list[Clause]:
 
 
 def _read(docs: DataFrame) -> DataFrame:
-    """doc_id, text, and a key of the row's content for joins: rows that share it have the same spans."""
+    """doc (all columns), doc_id, text, and a key of the row's content: rows that share it have the same spans."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64("doc_id", text).alias("key"), F.octet_length(text).alias("bytes"))
+    return docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64("doc_id", text).alias("key"))
 
 
-def postings(docs: DataFrame, trigrams: list[str]) -> DataFrame:
-    """The inverted index: trigram, key, bytes of the documents whose lower-cased text has it."""
-    lowered = _read(docs).select("key", "bytes", F.lower("text").alias("low"))
+def write_postings(docs: DataFrame, trigrams: list[str], folder: str) -> DataFrame:
+    """The inverted index, written to folder: trigram, range, keys (of the range's documents whose lower-cased text has the trigram).
+
+    A range is a share of the documents by the hash of their keys, RANGE_DOCS of them about, so no posting list grows with the corpus.
+    """
+    ranges = max(1, -(-docs.count() // RANGE_DOCS))
     named = F.array(*[F.lit(x) for x in trigrams])
-    return lowered.select(F.explode(F.filter(named, lambda t: F.contains("low", t))).alias("trigram"), "key", "bytes")
+    # the lower-cased text is a lambda's variable, so that it is made once and not for each trigram
+    found = F.transform(F.array(F.lower("text")), lambda low: F.filter(named, lambda t: F.contains(low, t)))[0]
+    hits = _read(docs).select("key", F.pmod("key", F.lit(ranges)).alias("range"), F.explode(found).alias("trigram"))
+    hits.groupBy("trigram", "range").agg(F.collect_set("key").alias("keys")).write.parquet(folder)
+    return docs.sparkSession.read.parquet(folder)
 
 
 def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """key, bytes, kinds: the rules with a trigram query that each document meets."""
+    """key, kinds: the rules with a trigram query that each document meets, by the posting lists of each range."""
     queries = {r.kind: q for r in rules if (q := trigram_query(r.pattern))}
-    index = postings(docs, sorted({t for query in queries.values() for clause in query for alternative in clause for t in alternative}))
-    met = index.groupBy("key", "bytes").agg(F.collect_set("trigram").alias("has"))  # at most as many as the rules name
-    wanted = [F.when(_meets(F.col("has"), query), F.lit(kind)) for kind, query in queries.items()]
-    found = met.select("key", "bytes", F.array_compact(F.array(*wanted)).alias("kinds"))
-    return found.filter(F.size("kinds") > 0)
+    trigrams = sorted({t for query in queries.values() for clause in query for alternative in clause for t in alternative})
+    spark = docs.sparkSession
+    folder = f"{shared_dir(spark)}/trigrams-{uuid.uuid4().hex}"
+    lists = write_postings(docs, trigrams, folder).groupBy("range").pivot("trigram", trigrams).agg(F.first("keys"))
+    none = F.expr("cast(array() AS array<bigint>)")
 
+    def postings(t: str) -> Column:
+        return F.coalesce(F.col(f"`{t}`"), none)
 
-def _meets(has: Column, query: list[Clause]) -> Column:
-    """The Boolean query over a document's trigrams."""
-    def all_of(ts):
-        return F.size(F.array_intersect(has, F.array(*[F.lit(t) for t in sorted(ts)]))) == len(ts)
+    def meeting(query: list[Clause]) -> Column:
+        each = [reduce(F.array_union, [reduce(F.array_intersect, map(postings, sorted(ts))) for ts in clause]) for clause in query]
+        return reduce(F.array_intersect, each)
 
-    return reduce(lambda a, b: a & b, [reduce(lambda a, b: a | b, [all_of(ts) for ts in clause]) for clause in query])
+    met = lists.select(F.explode(F.array(*[F.struct(F.lit(kind).alias("kind"), meeting(query).alias("keys")) for kind, query in queries.items()])).alias("m"))
+    found = stored(met.select("m.kind", F.explode("m.keys").alias("key")).groupBy("key").agg(F.collect_set("kind").alias("kinds")))
+    remove(spark, folder)
+    return found
 
 
 def _spans(rule: Rule, order: int) -> Column:
@@ -189,18 +204,18 @@ def _spans(rule: Rule, order: int) -> Column:
 
 
 def secret_spans(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES) -> DataFrame:
-    """doc_id, text, key, spans of every row: structs of start, n (the rule's place), kind and end, in order."""
+    """doc (all columns), doc_id, text, spans of every row: structs of start, n (the rule's place), kind and end, in order."""
     indexed = {r.kind for r in rules if trigram_query(r.pattern)}
-    found = small(stored(candidates(docs, rules).select(F.col("key").alias("key2"), F.col("bytes").alias("bytes2"), "kinds")))
+    found = small(candidates(docs, rules).withColumnRenamed("key", "met"))
     rows = _read(docs)
-    rows = rows.join(found, (F.col("key") == F.col("key2")) & (F.col("bytes") == F.col("bytes2")), "left").drop("key2", "bytes2")
+    rows = rows.join(found, F.col("key") == F.col("met"), "left")
     none = F.expr("cast(array() AS array<struct<start:int,n:int,kind:string,end:int>>)")
     parts = []
     for n, rule in enumerate(rules):
         asked = F.array_contains("kinds", rule.kind) if rule.kind in indexed else F.regexp_like("text", F.lit(rule.pattern))
         rows = rows.withColumn(f"spans_{n}", F.when(asked, _spans(rule, n)).otherwise(none))
         parts.append(f"spans_{n}")
-    return rows.withColumn("spans", F.array_sort(F.concat(*parts))).select("doc_id", "text", "key", "spans")
+    return rows.withColumn("spans", F.array_sort(F.concat(*parts))).select("doc", "doc_id", "text", "spans")
 
 
 def _joined(spans: Column) -> Column:
@@ -222,17 +237,13 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
 
 
 def redact_secrets(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
-    """The documents with every span masked; columns, order of columns and rows stay, and n_chars, if there, follows the text."""
-    spans = secret_spans(docs).filter(F.size("spans") > 0).select(F.col("key").alias("_key"), F.octet_length("text").alias("_bytes"), _masked(mask).alias("_text"))
-    found = small(stored(spans.dropDuplicates(["_key", "_bytes"])), 20_000)
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = docs.withColumn("_own", F.xxhash64(F.col("doc_id").cast("long"), text))
-    joined = keyed.join(found, (F.col("_own") == F.col("_key")) & (F.octet_length(text) == F.col("_bytes")), "left")
-    new = {c: F.col(c) for c in docs.columns}
-    new["text"] = F.coalesce("_text", "text")
+    """The documents with every span masked where it is found; columns (whatever their names) and rows stay, and n_chars, if there, follows the text."""
+    found = secret_spans(docs).withColumn("hit", F.size("spans") > 0).withColumn("masked", F.when(F.col("hit"), _masked(mask)))
+    new = {c: F.col("doc").getField(c) for c in docs.columns}
+    new["text"] = F.coalesce("masked", new["text"])
     if "n_chars" in new:
-        new["n_chars"] = F.when(F.col("_text").isNotNull(), F.length("_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return joined.select(*(x.alias(c) for c, x in new.items()))
+        new["n_chars"] = F.when(F.col("hit"), F.length("masked").cast(docs.schema["n_chars"].dataType)).otherwise(new["n_chars"])
+    return found.select(*(x.alias(c) for c, x in new.items()))
 
 
 def _masked(mask: str) -> Column:
