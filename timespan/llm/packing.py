@@ -16,7 +16,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,6 +28,8 @@ from timespan.llm.common import LOWER, partitions, single_thread, stored, table,
 CAPACITY = 2048
 #: Plan rows up to which the plan is broadcast (48 bytes each); beyond it, it is joined by shuffle.
 PLAN_ROWS = 300_000
+#: Plan rows of a length that a piece is compared with, about.
+SLICE_ROWS = 16
 
 #: Runs of ASCII or Latin-1 letters, runs of ASCII punctuation, ASCII digits, or anything else. The tokenizer splits at these borders itself.
 _PARTS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+(?=[!-&(-@\[-`{-~]|$)|[!-&(-/:-@\[-`{-~]+(?=[a-z0-9]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|$)|[0-9](?=[!-~]|$)|.+$", re.S)
@@ -48,6 +50,10 @@ class Recent(dict):
         super().__init__()
         self.make, self.limit, self.old = make, limit, {}
 
+    def forget(self) -> None:
+        self.clear()
+        self.old = {}
+
     def __missing__(self, key: bytes) -> bytes:
         value = self.old.get(key)
         if value is None:
@@ -60,9 +66,9 @@ class Recent(dict):
 
 
 class Ids:
-    """Token ids of white-space separated chunks, as little-endian bytes. Chunks and their parts are kept, about 200 bytes each."""
+    """Token ids of white-space separated chunks, as little-endian bytes. Chunks and their parts are kept for a task, about 200 bytes each."""
 
-    def __init__(self, path: str, chunks: int = 250_000, parts: int = 400_000):
+    def __init__(self, path: str, chunks: int = 200_000, parts: int = 300_000):
         single_thread()
         from tokenizers import Tokenizer
 
@@ -71,6 +77,10 @@ class Ids:
         self.parts = Recent(self.part, parts)
         self.chunks = Recent(self.chunk, chunks)
 
+    def forget(self) -> None:
+        self.parts.forget()
+        self.chunks.forget()
+
     def encode(self, chunk: bytes) -> bytes:
         return _packed(self.encode_text(chunk.decode("utf-8", "replace"), add_special_tokens=False).ids)
 
@@ -111,17 +121,20 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = 0, tok
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = ids_of(tokenizer)
-        for batch in batches:
-            rows: list[tuple[int, int, int, int, int]] = []
-            for at, cell in enumerate(batch.column(1)):
-                own = ids.text(cell.as_py()) + end
-                for piece, start in enumerate(range(0, len(own) // 4, capacity)):
-                    part = own[4 * start : 4 * (start + capacity)]
-                    rows.append((at, piece, start, len(part) // 4, zlib.crc32(part)))
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-            arrays = [batch.column(0).take(pa.array(columns[0], pa.int64())), *(pa.array(x, k) for x, k in zip(columns[1:], kinds, strict=True))]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "piece", "start", "length", "ids_crc32"])
+        try:
+            for batch in batches:
+                rows: list[tuple[int, int, int, int, int]] = []
+                for at, cell in enumerate(batch.column(1)):
+                    own = ids.text(cell.as_py()) + end
+                    for piece, start in enumerate(range(0, len(own) // 4, capacity)):
+                        part = own[4 * start : 4 * (start + capacity)]
+                        rows.append((at, piece, start, len(part) // 4, zlib.crc32(part)))
+                columns = list(zip(*rows, strict=True)) or [()] * 5
+                kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+                arrays = [batch.column(0).take(pa.array(columns[0], pa.int64())), *(pa.array(x, k) for x, k in zip(columns[1:], kinds, strict=True))]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "piece", "start", "length", "ids_crc32"])
+        finally:  # Spark uses a worker for many tasks, of other stages too
+            ids.forget()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text")).mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
@@ -193,13 +206,19 @@ def best_fit_packing(docs: DataFrame, capacity: int = CAPACITY, end_id: int = 0,
     counts = stored(pieces.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
     plan = best_fit_plan(histogram, capacity)
-    planned = spark.createDataFrame(plan, "length long, rank_from long, rank_to long, each long, bin long, place long")
+    # a piece meets the plan rows of its length and of its slice of ranks only, SLICE_ROWS of them about
+    slices = {length: max(1, -(-n // SLICE_ROWS)) for length, n in Counter(row[0] for row in plan).items()}
+    width = {length: -(-histogram[length] // n) for length, n in slices.items()}
+    rows = [(*row, width[row[0]], part) for row in plan for part in range(row[1] // width[row[0]], (row[2] - 1) // width[row[0]] + 1)]
+    planned = spark.createDataFrame(rows, "length long, rank_from long, rank_to long, each long, bin long, place long, width long, part long")
+    widths = spark.createDataFrame(list(width.items()), "length long, width long")  # at most `capacity` rows
     before = counts.select("length", "salt", (F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before"))
     ranked = pieces.withColumn("own", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")) - 1)
-    ranked = ranked.join(before, ["length", "salt"]).withColumn("rank", F.col("before") + F.col("own"))
+    ranked = ranked.join(before, ["length", "salt"]).join(F.broadcast(widths), "length").withColumn("rank", F.col("before") + F.col("own"))
+    ranked = ranked.withColumn("part", F.floor(F.col("rank") / F.col("width"))).drop("width")
     at = F.col("rank") - F.col("rank_from")
     return (
-        ranked.join(F.broadcast(planned) if len(plan) <= PLAN_ROWS else planned, "length")
+        ranked.join(F.broadcast(planned) if len(rows) <= PLAN_ROWS else planned, ["length", "part"])
         .filter((F.col("rank") >= F.col("rank_from")) & (F.col("rank") < F.col("rank_to")))
         .select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("bin") + F.floor(at / F.col("each"))).cast("long").alias("sequence_id"), (F.col("place") + (at % F.col("each")) * F.col("length")).cast("long").alias("offset"))
     )
