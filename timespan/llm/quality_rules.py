@@ -2,7 +2,8 @@
 
 Every document is read once: a task computes the base figures of each text and the hashes of its normalised
 lines. The lines (a few per document, never the texts) are then counted per host over distinct contents, so that
-exact copies count once. Lines in more documents of a host than the limit are removed, and a document that keeps
+exact copies count once; the host's size, which the share is taken of, is counted in the same way. Lines in more
+documents of a host than the limits are removed with all their repetitions, and a document that has lost lines and keeps
 fewer than `min_words` words is depleted and rejected. `clean` gives the documents that are kept, without those lines.
 
 Defined results: a null or empty text has no words and fails the base rules; rows with the same or a null doc_id
@@ -21,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timespan.llm.common import LOWER, SMALL_ROWS, Hashes, signed, small, stored, utf8
+from timespan.llm.common import LOWER, SMALL_ROWS, hashes, signed, small, stored, utf8
 
 #: Words below which a text fails, and at which a document is depleted.
 MIN_WORDS = 20
@@ -36,7 +37,6 @@ _SCHEMA = (
     "doc_id long, host string, content long, n_words long, word_chars long, n_symbols long, n_dup_lines long,"
     " n_repeat_words long, base_failed boolean, lines array<long>, line_words array<int>"
 )
-_WORDS = Hashes()
 
 
 def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
@@ -44,7 +44,7 @@ def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
     n = len(words) - window + 1
     if n < 2:
         return 0
-    ids = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    ids = hashes(words)
     rolling = np.zeros(n, np.uint64)
     for k in range(window):
         rolling = rolling * np.uint64(0x9E3779B97F4A7C15) + ids[k : k + n]
@@ -94,7 +94,8 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lines: dict[int, int] = {}
             for line in text.translate(LOWER).split(b"\n"):
                 if words := line.split():
-                    lines.setdefault(line_hash(words), len(words))
+                    hashed = line_hash(words)
+                    lines[hashed] = lines.get(hashed, 0) + len(words)  # a removed line goes with all its repetitions
             for column, value in zip(out, (n, chars, symbols, dup, rep, failed(n, rep), list(lines), list(lines.values())), strict=True):
                 column.append(value)
         kinds = [*[pa.int64()] * 5, pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int32())]
@@ -102,21 +103,26 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *(pa.array(x, k) for x, k in zip(out, kinds, strict=True))], names)
 
 
+def frequent_lines(rows: DataFrame, max_docs: int, max_share: float) -> DataFrame:
+    """host, line: those above the limits, a host has 1 / max_share times the lines of a mean document at most. rows: host, content, lines (distinct hashes) of each document."""
+    host = F.coalesce("host", F.lit("\0")).alias("host")
+    contents = rows.select(host, "content", F.explode("lines").alias("line")).groupBy("host", "line", "content").agg(F.count(F.lit(1)).alias("copies"))
+    counted = contents.groupBy("host", "line").agg(F.count(F.lit(1)).alias("line_docs")).filter(F.col("line_docs") > max_docs)
+    hosts = rows.groupBy(host).agg(F.countDistinct("content").alias("host_docs"))
+    return stored(counted.join(hosts, "host").filter(F.col("line_docs") > max_share * F.col("host_docs")).select("host", "line"))
+
+
 def quality_rules(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, min_words: int = MIN_WORDS) -> DataFrame:
     """One row per document: doc_id, content, the base figures, base_failed, n_lines, n_removed_lines, n_left_words, kept, host, removed_lines (their hashes)."""
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), F.xxhash64(utf8()).alias("content"), utf8().alias("text"))
     rows = stored(read.mapInArrow(_features, _SCHEMA).withColumn("row", F.monotonically_increasing_id()))
-    lines = rows.select("row", F.coalesce("host", F.lit("\0")).alias("host"), "content", F.explode(F.arrays_zip("lines", "line_words")).alias("x")).select(
-        "row", "host", "content", F.col("x.lines").alias("line"), F.col("x.line_words").alias("words")
+    lines = rows.select("row", F.coalesce("host", F.lit("\0")).alias("host"), F.explode(F.arrays_zip("lines", "line_words")).alias("x")).select(
+        "row", "host", F.col("x.lines").alias("line"), F.col("x.line_words").alias("words")
     )
-    contents = lines.groupBy("host", "line", "content").agg(F.count(F.lit(1)).alias("copies"))
-    counted = contents.groupBy("host", "line").agg(F.count(F.lit(1)).alias("line_docs")).filter(F.col("line_docs") > max_docs)
-    hosts = rows.groupBy(F.coalesce("host", F.lit("\0")).alias("host")).agg(F.count(F.lit(1)).alias("host_docs"))
-    over = counted.join(hosts, "host").filter(F.col("line_docs") > max_share * F.col("host_docs")).select("host", "line")
-    removed = lines.join(over, ["host", "line"]).groupBy("row").agg(F.count(F.lit(1)).alias("n_removed_lines"), F.sum("words").alias("removed_words"), F.sort_array(F.collect_set("line")).alias("removed_lines"))
-    # a removed line goes with all its repetitions, so what is left is counted from the distinct lines that stay
-    own = F.aggregate("line_words", F.lit(0).cast("long"), lambda a, x: a + x)
-    left = own - F.coalesce("removed_words", F.lit(0))
+    over = frequent_lines(rows.select("host", "content", "lines"), max_docs, max_share)
+    # the lines over the limits are the most frequent ones: sent to all tasks if few, else Spark splits their partitions
+    removed = lines.join(small(over), ["host", "line"]).groupBy("row").agg(F.count(F.lit(1)).alias("n_removed_lines"), F.sum("words").alias("removed_words"), F.sort_array(F.collect_set("line")).alias("removed_lines"))
+    left = F.col("n_words") - F.coalesce("removed_words", F.lit(0))
     return rows.join(removed, "row", "left").select(
         "doc_id", "content", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         F.size("lines").cast("long").alias("n_lines"), F.coalesce("n_removed_lines", F.lit(0)).cast("long").alias("n_removed_lines"), left.alias("n_left_words"),
@@ -124,24 +130,61 @@ def quality_rules(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOC
     )
 
 
-def clean(docs: DataFrame, judged: DataFrame, host: str = "source") -> DataFrame:
-    """The kept documents without their removed lines, by the verdicts of quality_rules(docs, host); n_chars, if there, follows the text."""
-    names = ["_d", "_h", "_c", "_kept", "_lines"]
-    # only what changes: a row for each rejected document, and for each kept one with lines to remove
-    verdicts = judged.select("doc_id", F.coalesce("host", F.lit("\0")), "content", "kept", F.when(F.col("kept"), F.col("removed_lines"))).toDF(*names).filter("NOT _kept OR _lines IS NOT NULL")
-    verdicts = small(stored(verdicts.dropDuplicates(names[:3])), SMALL_ROWS // 4)
-
-    @F.pandas_udf("binary")
-    def cut(texts: pd.Series, lines: pd.Series) -> pd.Series:
-        return pd.Series([t if x is None else without_lines(t, set(x)) for t, x in zip(texts, lines, strict=True)])
-
-    own = docs.withColumn("_own", F.xxhash64(utf8())).withColumn("_host", F.coalesce(F.col(host).cast("string"), F.lit("\0")))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_host") == F.col("_h")) & (F.col("_own") == F.col("_c"))
-    found = own.join(verdicts, same, "left").filter("_kept IS NULL OR _kept").withColumn("_text", F.when(F.col("_lines").isNotNull(), cut(utf8(), F.col("_lines")).cast("string")))
-    new = {"text": F.coalesce("_text", "text")}
-    if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("_text").isNotNull(), F.length("_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return found.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+def _line_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lines = [list({line_hash(words) for line in cell.as_py().translate(LOWER).split(b"\n") if (words := line.split())}) for cell in batch.column(2)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lines, pa.list_(pa.int64()))], ["host", "content", "lines"])
+
+
+def clean(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, min_words: int = MIN_WORDS) -> DataFrame:
+    """The documents that quality_rules keeps, without the lines above the limits; columns (whatever their names) stay, and n_chars, if there, follows the text.
+
+    Lines are counted first; then each document is judged and cut where it is read, against the lines above the limits
+    of its host. Beyond SMALL_ROWS of those, each host's are joined to its documents instead of sent to all tasks.
+    """
+    read = docs.select(F.col(host).cast("string").alias("host"), F.xxhash64(utf8()).alias("content"), utf8().alias("text"))
+    over = frequent_lines(stored(read.mapInArrow(_line_hashes, "host string, content long, lines array<long>")), max_docs, max_share)
+    few = over.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
+    known: dict[str, frozenset[int]] = {}
+    if few:
+        known = {r["host"]: frozenset(r["lines"]) for r in over.groupBy("host").agg(F.collect_list("line").alias("lines")).collect()}  # SMALL_ROWS lines at most
+    shared = docs.sparkSession.sparkContext.broadcast(known)
+
+    @F.pandas_udf("kept boolean, less binary")
+    def judge(texts: pd.Series, hosts: pd.Series, lines: pd.Series) -> pd.DataFrame:
+        rows = []
+        for text, own, more in zip(texts, hosts, lines, strict=True):
+            n, removed = len(words := text.split()), shared.value.get(own, frozenset()) if more is None else frozenset(more)
+            less = without_lines(text, removed) if removed else text
+            rows.append((not failed(n, repeated_words(words)) and (len(less) == len(text) or len(less.split()) >= min_words), None if len(less) == len(text) else less))
+        return pd.DataFrame(rows, columns=["kept", "less"])
+
+    own = docs.select(F.struct("*").alias("doc"), F.coalesce(F.col(host).cast("string"), F.lit("\0")).alias("own_h"), utf8().alias("body"))
+    if few:
+        own = own.withColumn("lines", F.lit(None).cast("array<long>"))
+    else:
+        own = _with_their_lines(own, over)
+    found = own.withColumn("judged", judge("body", "own_h", "lines")).filter("judged.kept").withColumn("less", F.col("judged.less").cast("string"))
+    new = {c: F.col("doc").getField(c) for c in docs.columns}
+    new["text"] = F.coalesce("less", new["text"])
+    if "n_chars" in new:
+        new["n_chars"] = F.when(F.col("less").isNotNull(), F.length("less").cast(docs.schema["n_chars"].dataType)).otherwise(new["n_chars"])
+    return found.select(*(x.alias(c) for c, x in new.items()))
+
+
+def _with_their_lines(own: DataFrame, over: DataFrame) -> DataFrame:
+    """own with the hashes of those of its lines that are over the limits, from a join by line: no host's list is gathered."""
+    own = stored(own.withColumn("row", F.monotonically_increasing_id()))
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lines = [list({line_hash(words) for line in cell.as_py().translate(LOWER).split(b"\n") if (words := line.split())}) for cell in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lines, pa.list_(pa.int64()))], ["row", "host", "lines"])
+
+    has = own.select("row", F.col("own_h").alias("host"), "body").mapInArrow(split, "row long, host string, lines array<long>").select("row", "host", F.explode("lines").alias("line"))
+    removed = has.join(over, ["host", "line"]).groupBy("row").agg(F.collect_set("line").alias("lines"))
+    none = F.expr("cast(array() AS array<bigint>)")
+    return own.join(removed, "row", "left").withColumn("lines", F.coalesce("lines", none))
 
 
 def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
@@ -159,8 +202,8 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS body, coalesce(source, chr(0)) A
      l AS (SELECT doc_id, host, body, line, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS lw
            FROM (SELECT doc_id, host, body, unnest(string_split(body, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
      dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM l GROUP BY doc_id),
-     u AS (SELECT DISTINCT doc_id, host, body, array_to_string(lw, ' ') AS line, len(lw) AS n FROM l),
-     hosts AS (SELECT host, count(*) AS host_docs FROM d GROUP BY host),
+     u AS (SELECT doc_id, host, body, array_to_string(lw, ' ') AS line, sum(len(lw)) AS n FROM l GROUP BY ALL),
+     hosts AS (SELECT host, count(DISTINCT body) AS host_docs FROM d GROUP BY host),
      over_limit AS (SELECT host, line FROM (SELECT host, line, count(DISTINCT body) AS line_docs FROM u GROUP BY host, line) JOIN hosts USING (host) WHERE line_docs > 50 AND line_docs > 0.001 * host_docs),
      kept_lines AS (SELECT u.doc_id, count(*) AS n_lines, count(o.line) AS n_removed_lines, coalesce(sum(n) FILTER (o.line IS NULL), 0) AS n_left_words, FROM u LEFT JOIN over_limit o USING (host, line) GROUP BY u.doc_id),
      f AS (SELECT doc_id, len(w) AS n_words, length(regexp_replace(body, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, length(regexp_replace(body, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
