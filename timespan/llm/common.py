@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,18 +50,18 @@ def signed(n: int) -> int:
     return n - (1 << 64) if n >> 63 else n
 
 
-class Hashes(dict):
-    """64-bit hashes of words, kept for words seen lately; memory is bounded by `limit` words."""
+def hashes(words: list[bytes]) -> np.ndarray:
+    """64-bit hashes of words. To keep those of words seen before is slower than to hash again, and takes memory."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
-    def __init__(self, limit: int = 200_000):
-        super().__init__()
-        self.limit = limit
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
+def counted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct values and their counts."""
+    if not len(values):
+        return values, np.zeros(0, np.int64)
+    values = np.sort(values)
+    first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+    return values[first], np.diff(first, append=len(values))
 
 
 def single_thread() -> None:
@@ -77,3 +78,10 @@ SMALL_ROWS = 200_000
 def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
     """A stored table with a broadcast hint if it has at most `rows` rows; beyond that it is joined by shuffle."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def without(docs: DataFrame, rejected: DataFrame, content) -> DataFrame:
+    """docs without the rows whose doc_id and content (a column of docs) are in rejected(doc_id, content). Columns can have any names."""
+    gone = small(stored(rejected.distinct().toDF("gone_id", "gone_content")))
+    keyed = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("own_id"), content.alias("own_content"))
+    return keyed.join(gone, F.col("own_id").eqNullSafe(F.col("gone_id")) & (F.col("own_content") == F.col("gone_content")), "left_anti").select("doc.*")

@@ -12,7 +12,12 @@ allowed (a, b) leaves an index key in common:
 
 Of two sets, the one whose prefix ends first has its surviving key in the other's prefix as well, whatever tokens are
 called frequent; so the classes only steer speed. They come from one pass: a task reports the tokens that it meets
-twice or more, and the most frequent of their sums, at most `frequent_limit`, are sent to all tasks.
+twice or more, and the most frequent of their sums, at most `frequent_limit`, are sent to all tasks as a bitmap.
+
+The smaller of two similar sets misses n / 9 of its tokens at most, so it has the common keys in a shorter, inner
+prefix: n / 9 + 1 rare tokens or, with b = n div 9 and r fewer rare tokens, these and 2 * (b - r) + (n - 5b) div 4 + 1
+combinations. Keys that no content has in its inner prefix are dropped, and a pair counts for a key only if its smaller
+set has it there. That keeps apart the documents of one template that differ in more than it allows.
 
 A prefix that is two keys longer makes three keys common, so pairs with fewer are no candidates (sets of fewer than 20
 tokens need one).
@@ -20,8 +25,9 @@ tokens need one).
 Documents with equal word sequences are one content from the start. Keys that one content alone has are dropped. Hub
 rounds compare each content with the most central content of its keys (the one with most keys in common with others),
 later with others of them, which connects groups of near copies without listing their pairs; they stop when few pairs
-with keys in common are left between different components, and all of those are compared. Length and position filters
-and parity sketches (512 bits, of which no more can differ than tokens do) drop pairs before their sets are compared. Components come from large-star and small-star steps.
+with keys in common are left between different components, and all of those are compared, in blocks of a bounded number
+of contents. Length and position filters and parity sketches (512 bits, of which no more can differ than tokens do) drop
+pairs before their sets are compared. Components come from large-star and small-star steps.
 
 Defined results: texts without words, null texts among them, have an empty set and are linked with nothing (each is
 its own component, also when repeated); fewer than five words are one shingle; equal sets are linked; the smallest
@@ -35,32 +41,30 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from timespan.llm.common import LOWER, Hashes, small, stored, table
+from timespan.llm.common import LOWER, SMALL_ROWS, counted, hashes, small, stored, table, utf8, without
 
 SHINGLE = 5
-#: Tokens called frequent: the most, and the least count reported by tasks.
-FREQUENT_LIMIT, FREQUENT_COUNT = 200_000, 8
+#: Tokens called frequent: how many at most, the least count, and the bitmap's bits as a power of two (16 MB).
+FREQUENT_LIMIT, FREQUENT_COUNT, FREQUENT_BITS = 8_000_000, 8, 27
 
 #: Prefixes of sets of LONG tokens or more are extended until similar sets have COMMON keys in common.
 COMMON, LONG = 3, 20
 
-_WORDS = Hashes()
-
 
 def shingles(words: list[bytes], n: int = SHINGLE) -> np.ndarray:
     """The sorted distinct hashes of n-word windows; of the whole if there are fewer words."""
     if not words:
         return np.empty(0, np.uint64)
-    ids = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    ids = hashes(words)
     size = max(1, len(ids) - n + 1)
     rolling = np.full(size, len(words) if len(words) < n else n, np.uint64)
     for k in range(min(n, len(ids))):
         rolling = (rolling ^ ids[k : k + size]) * np.uint64(0x9E3779B97F4A7C15)
         rolling ^= rolling >> np.uint64(32)
-    return np.unique(rolling)
+    return counted(rolling)[0]
 
 
 def common_keys(n: int) -> int:
@@ -68,23 +72,36 @@ def common_keys(n: int) -> int:
     return COMMON if n >= LONG else 1
 
 
-def signature(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """Index keys of a sorted set; a key's place is that of its (first) token in the global order. frequent: sorted."""
+def is_frequent(tokens: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+    """Whether the token's bit is set in a bitmap of 64-bit words (a power of two of them; none: no token is frequent)."""
+    if not len(bitmap):
+        return np.zeros(len(tokens), bool)
+    bit = tokens >> np.uint64(64 - (len(bitmap) * 64 - 1).bit_length())
+    return (bitmap[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def signature(tokens: np.ndarray, bitmap: np.ndarray) -> tuple[np.ndarray, int]:
+    """Index keys of a sorted set in the global order, and how many of them, the first ones, are its inner prefix.
+
+    A key's place is that of its (first) token in the global order.
+    """
     n = len(tokens)
     if n < 4:  # different sets of three tokens or fewer can't be similar enough; equal ones need one key in common
-        return tokens[:1]
-    often = np.zeros(n, bool)
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
-        often = frequent[at] == tokens
+        return tokens[:1], min(n, 1)
+    often = is_frequent(tokens, bitmap)
     more = common_keys(n) - 1
     rare = tokens[~often][: n // 5 + 1 + more]
+    inner = min(len(rare), n // 9 + 1 + more)
     if len(rare) == n // 5 + 1 + more:
-        return rare
-    left = max(0, n - 5 * max(0, len(rare) - more))
+        return rare, inner
+    gone = max(0, len(rare) - more)  # rare tokens that are missing in the other set, at least, if fewer than more + 1 are common
+    left = n - 5 * gone
     last = tokens[often][: 2 * (left // 5) + (left % 5 == 4) + 2 + more]
     pairs = (last[:-1] * np.uint64(0xD6E8FEB86659FD93)) ^ last[1:] ^ np.uint64(0xA5A5A5A5A5A5A5A5)
-    return np.concatenate([rare, pairs])
+    least = n // 9
+    if inner == len(rare) and gone <= least:
+        inner += min(len(pairs), 2 * (least - gone) + (n - 5 * least) // 4 + 1 + more)
+    return np.concatenate([rare, pairs]), inner
 
 
 #: Bits of a set's parity sketch.
@@ -102,18 +119,28 @@ def _words_of(text: bytes) -> list[bytes]:
 
 
 def frequent_tokens(docs: DataFrame, limit: int = FREQUENT_LIMIT, least: int = FREQUENT_COUNT) -> np.ndarray:
-    """Tokens in many documents, sorted. Which ones are named changes no result."""
+    """A bitmap of the tokens in many documents. Which ones it names (a few share the bit of another) changes no result."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(_words_of(x)) for x in set(batch.column(0).to_pylist())]
-            tokens, n = np.unique(np.concatenate(sets) if sets else np.empty(0, np.uint64), return_counts=True)
+            tokens, n = counted(np.concatenate(sets) if sets else np.empty(0, np.uint64))
             again = n > 1
             yield pa.RecordBatch.from_arrays([pa.array(tokens[again].view(np.int64)), pa.array(n[again].astype(np.int64))], ["token", "n"])
 
     found = _texts(docs).select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    rows = found.orderBy(F.desc("n"), "token").limit(limit).select("token").toArrow()
-    return np.sort(rows.column(0).to_numpy().view(np.uint64))
+    found = stored(found.select(F.shiftrightunsigned("token", 64 - FREQUENT_BITS).alias("bit"), F.floor(F.log2("n")).cast("int").alias("size")))
+    sizes = {r["size"]: r["count"] for r in found.groupBy("size").count().collect()}  # 64 rows at most
+    from_size, listed = 64, 0
+    for k in sorted(sizes, reverse=True):
+        if listed + sizes[k] > limit:
+            break
+        from_size, listed = k, listed + sizes[k]
+    words = found.filter(F.col("size") >= from_size).groupBy(F.shiftrightunsigned("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 AS int))")).alias("bits"))
+    rows = words.toArrow()  # as large as the bitmap, at most
+    bitmap = np.zeros(1 << (FREQUENT_BITS - 6), np.uint64)
+    bitmap[rows.column(0).to_numpy()] = rows.column(1).to_numpy().view(np.uint64)
+    return bitmap
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -122,26 +149,30 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
 
 
-def signatures(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """doc_id, key, content (128-bit hash of the words; null without words), n, keys of every document."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)  # FREQUENT_LIMIT hashes at most
+def signatures(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
+    """doc_id, key, content (128-bit hash of the words; null without words), n, inner, keys, bits of every document."""
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)  # 2 ** FREQUENT_BITS bits
+    names = ["doc_id", "key", "content", "n", "inner", "keys", "bits"]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = shared.value
         for batch in batches:
-            contents, sizes, keys, bits = [], [], [], []
+            contents, sizes, inner, keys, bits = [], [], [], [], []
             for cell in batch.column(2):
                 words = _words_of(cell.as_py())
                 tokens = shingles(words)
+                own, first = signature(tokens, often)
                 contents.append(xxhash.xxh3_128_digest(b" ".join(words)) if words else None)
                 sizes.append(len(tokens))
-                keys.append(signature(tokens, often).view(np.int64))
+                inner.append(first)
+                keys.append(own.view(np.int64))
                 bits.append(parities(tokens))
             offsets = pa.array(np.cumsum([0, *map(len, keys)]), pa.int32())
             lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(contents, pa.binary()), pa.array(sizes, pa.int64()), lists, pa.array(bits, pa.list_(pa.int64()))], ["doc_id", "key", "content", "n", "keys", "bits"])
+            arrays = [pa.array(contents, pa.binary()), pa.array(sizes, pa.int64()), pa.array(inner, pa.int64()), lists, pa.array(bits, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], names)
 
-    return _texts(docs).mapInArrow(sign, "doc_id long, key long, content binary, n long, keys array<long>, bits array<long>")
+    return _texts(docs).mapInArrow(sign, "doc_id long, key long, content binary, n long, inner long, keys array<long>, bits array<long>")
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,7 +195,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Those of pairs(a, b) whose sets are similar. A text is read where it is stored and sent once per pair it is in."""
     pairs = stored(pairs)
-    hubs = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("salts"))
+    hubs = small(stored(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("salts"))))
     members = pairs.join(hubs, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("member"), F.col("b").alias("node"))
     owners = hubs.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("member"), F.col("a").alias("node"))
     wanted = members.unionByName(owners).join(nodes.select(F.col("row").alias("node"), F.col("doc_id").alias("d"), F.col("key").alias("k")), "node")
@@ -217,22 +248,57 @@ def components(edges: DataFrame, few: int = FEW_EDGES) -> DataFrame:
         last = now
 
 
+#: Contents that make a key hot, at least, and how many keys can be hot.
+HOT_CONTENTS, HOT_KEYS = 2_000, 20_000
+
+
+def _hot_keys(firsts: DataFrame) -> DataFrame:
+    """at: keys in very many contents, HOT_KEYS at most. Tasks report those that they meet often; which ones are named changes no result."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, n = counted(batch.column(0).flatten().to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(keys[n > 7]), pa.array(n[n > 7].astype(np.int64))], ["at", "n"])
+
+    found = firsts.select("keys").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).filter(F.col("n") >= HOT_CONTENTS)
+    return stored(found.orderBy(F.desc("n"), "at").limit(HOT_KEYS).select("at"))
+
+
+def shared_keys(signed_rows: DataFrame, copies: DataFrame) -> DataFrame:
+    """at, id, n, place, inner: the keys that two contents or more have, one of them in its inner prefix.
+
+    Keys are dealt by hash once. Hot ones needn't be: that they are shared is known, so they stay in their tasks.
+    """
+    firsts = signed_rows.filter("content IS NOT NULL").join(small(copies), "row", "left_anti")
+    hot = _hot_keys(firsts)
+    index = firsts.select(F.col("row").alias("id"), "n", "inner", F.posexplode("keys").alias("place", "at"))
+    packed = (F.shiftleft("n", 32) + F.shiftleft(F.col("place").cast("long"), 1) + (F.col("place") < F.col("inner")).cast("long")).alias("packed")
+    index = index.select("at", "id", packed)
+    own = Window.partitionBy("at")
+    inner = F.col("packed") % 2
+    cold = index.join(F.broadcast(hot), "at", "left_anti").withColumn("low", F.min("id").over(own)).withColumn("high", F.max("id").over(own)).withColumn("any", F.max(inner).over(own))
+    shared = cold.filter("low < high AND any = 1").select("at", "id", "packed").unionByName(index.join(F.broadcast(hot), "at"))
+    place = F.shiftright("packed", 1).bitwiseAND(F.lit((1 << 31) - 1))
+    return shared.select("at", "id", F.shiftright("packed", 32).alias("n"), place.alias("place"), (inner == 1).alias("inner"))
+
+
 def similar_documents(docs: DataFrame, frequent_limit: int = FREQUENT_LIMIT) -> DataFrame:
     """One row per document: row, doc_id, key, n_shingles, group (null without words) and component_id."""
     signed_rows = stored(signatures(docs, frequent_tokens(docs, frequent_limit)).withColumn("row", F.monotonically_increasing_id()))
-    contents = signed_rows.filter("content IS NOT NULL").groupBy("content").agg(F.min("row").alias("id"))
-    nodes = stored(signed_rows.select("row", "doc_id", "key", "n", "content").join(contents, "content", "left").drop("content"))
-    copies = small(nodes.filter("row <> id").select("row"))
-    index = signed_rows.filter("content IS NOT NULL").join(copies, "row", "left_anti").select(F.col("row").alias("id"), "n", F.posexplode("keys").alias("place", "at"))
-    shared_keys = index.groupBy("at").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("at")
-    shared = index.join(shared_keys, "at")
-    # the more of its keys others have, the more central a content is in its group
-    shared = stored(shared.join(shared.groupBy("id").agg(F.count(F.lit(1)).alias("ties")), "id"))
+    repeated = signed_rows.filter("content IS NOT NULL").groupBy("content").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    repeated = small(stored(repeated.select("content", "first")), SMALL_ROWS // 2)
+    plain = signed_rows.select("row", "doc_id", "key", "n", "content")
+    # contents that one row has need no partner, so only repeated ones meet; Spark splits those that are large
+    nodes = stored(plain.join(repeated, "content", "left").select("row", "doc_id", "key", "n", F.when(F.col("content").isNotNull(), F.coalesce("first", "row")).alias("id")))
+    shared = shared_keys(signed_rows, nodes.filter("row <> id").select("row"))
+    # the more of its keys others have, the more central a content is in its group; with fewer than COMMON it is similar to none that has LONG tokens
+    shared = shared.withColumn("ties", F.count(F.lit(1)).over(Window.partitionBy("id")))
+    shared = stored(shared.filter((F.col("ties") >= COMMON) | (4 * F.col("n") < 5 * LONG)))
     sketches = signed_rows.select(F.col("row").alias("id"), "n", "bits")
     rows, groups, done, turn = shared.count(), None, None, 0
     while True:
         open_rows, most = _open_rows(shared, groups)
-        if turn and most <= 4 * rows or turn == HUB_ROUNDS:
+        if not most or turn and most <= rows or turn == HUB_ROUNDS:
             break
         pairs = _alike_pairs(_hub_pairs(open_rows, turn), sketches)
         pairs = stored(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"))
@@ -240,38 +306,45 @@ def similar_documents(docs: DataFrame, frequent_limit: int = FREQUENT_LIMIT) ->
         links = verified(docs, pairs, nodes)
         groups = components(links if groups is None else links.unionByName(groups.select(F.col("node").alias("a"), F.col("component").alias("b"))))
         turn += 1
-    pairs = stored(_all_pairs(open_rows, sketches).join(done, ["a", "b"], "left_anti").join(done.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"))
-    if not pairs.isEmpty():
-        links = verified(docs, pairs, nodes)
-        groups = components(links.unionByName(groups.select(F.col("node").alias("a"), F.col("component").alias("b"))))
-    grouped = nodes.join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("group", F.coalesce("component", "id"))
-    least = stored(grouped.filter("group IS NOT NULL").groupBy("group").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("size")).filter("size > 1"))
-    return grouped.join(small(least.select("group", "least")), "group", "left").select(
+    if most:
+        pairs = stored(_all_pairs(open_rows, sketches).join(done, ["a", "b"], "left_anti").join(done.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"))
+        if not pairs.isEmpty():
+            links = verified(docs, pairs, nodes)
+            groups = components(links.unionByName(groups.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+    if groups is None:  # no two contents have keys in common
+        grouped = nodes.withColumn("group", F.col("id"))
+    else:
+        grouped = nodes.join(small(groups.withColumnRenamed("node", "id")), "id", "left").withColumn("group", F.coalesce("component", "id"))
+    least = grouped.filter("group IS NOT NULL").groupBy("group").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    return grouped.join(small(stored(least.select("group", "least"))), "group", "left").select(
         "row", "doc_id", "key", F.col("n").alias("n_shingles"), "group", F.when(F.col("least").isNotNull(), F.col("least")).otherwise(F.col("doc_id")).alias("component_id")
     )
 
 
 #: Rounds that compare the contents of a key with one of them, before all pairs that are left are compared.
 HUB_ROUNDS = 2
+#: Contents of a key that meet at once where all its pairs are compared.
+BLOCK = 2_000
 
 
 def _open_rows(shared: DataFrame, groups: DataFrame | None) -> tuple[DataFrame, int]:
-    """The rows of keys whose contents are in several components yet, with those; how many pairs of them are left at most."""
+    """The rows of keys whose contents are in several components yet, with those and their number; how many pairs of them are left at most."""
     if groups is None:
         labelled = shared.withColumn("component", F.col("id"))
     else:
         labelled = shared.join(small(groups.withColumnRenamed("node", "id")), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    own = labelled.groupBy("at", "component").agg(F.count(F.lit(1)).alias("m"))
-    mixed = own.groupBy("at").agg(F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("within")).withColumn("left", (F.col("all") * F.col("all") - F.col("within")) / 2).filter("left > 0")
-    mixed = stored(mixed.select("at", "left"))
+    own = labelled.groupBy("at", "component").agg(F.count(F.lit(1)).alias("m"), F.sum(F.col("inner").cast("long")).alias("i"))
+    mixed = own.groupBy("at").agg(*(F.sum(x).alias(c) for x, c in ((F.col("m"), "all"), (F.col("i"), "inside"), (F.col("m") * F.col("i"), "within"))))
+    mixed = stored(mixed.withColumn("left", F.col("all") * F.col("inside") - F.col("within")).filter("left > 0").select("at", F.col("all").alias("contents"), "left"))
     most = mixed.agg(F.sum("left")).first()[0] or 0
-    return labelled.join(mixed.select("at"), "at"), int(most)
+    return labelled.join(small(mixed.select("at", "contents")), "at"), int(most)
 
 
-def _near(n1: str, place1: str, n2: str, place2: str):
-    """Length and position filters of two sets that have a key in common at these places."""
+def _near(n1: str, place1: str, inner1: str, n2: str, place2: str, inner2: str):
+    """Length, position and prefix filters of two sets that have a key in common at these places."""
     overlap = F.least(place1, place2) + F.least(F.col(n1) - F.col(place1), F.col(n2) - F.col(place2))
-    return (5 * F.least(n1, n2) >= 4 * F.greatest(n1, n2)) & (9 * overlap >= 4 * (F.col(n1) + F.col(n2)))
+    inside = (F.col(inner1) & (F.col(n1) <= F.col(n2))) | (F.col(inner2) & (F.col(n2) <= F.col(n1)))
+    return inside & (5 * F.least(n1, n2) >= 4 * F.greatest(n1, n2)) & (9 * overlap >= 4 * (F.col(n1) + F.col(n2)))
 
 
 def _enough(pairs: DataFrame) -> DataFrame:
@@ -284,8 +357,9 @@ def _hub_pairs(open_rows: DataFrame, turn: int) -> DataFrame:
     """Each content of a key with the key's hub: the most central content at first, one chosen by hash later."""
     order = F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(1 << 44)) + (F.shiftleft(F.col("ties").cast("long"), 44) if not turn else F.lit(0))
     rows = open_rows.withColumn("order", order)
-    hubs = rows.groupBy("at").agg(*(F.max_by(c, "order").alias(name) for c, name in (("id", "a"), ("n", "n1"), ("place", "place1"), ("component", "component1"))))
-    pairs = rows.join(hubs, "at").filter((F.col("component") != F.col("component1")) & _near("n1", "place1", "n", "place"))
+    of_hub = (("id", "a"), ("n", "n1"), ("place", "place1"), ("inner", "inner1"), ("component", "component1"))
+    hubs = small(stored(rows.groupBy("at").agg(*(F.max_by(c, "order").alias(name) for c, name in of_hub))))
+    pairs = rows.join(hubs, "at").filter((F.col("component") != F.col("component1")) & _near("n1", "place1", "inner1", "n", "place", "inner"))
     return _enough(pairs.select("a", F.col("id").alias("b"), "n1", F.col("n").alias("n2")))
 
 
@@ -303,29 +377,38 @@ def _alike_pairs(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
 
 
 def _all_pairs(open_rows: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Every pair of contents with keys in common and in different components that the filters let through."""
-    rows = stored(open_rows.select("at", "id", "place", "component").join(sketches, "id"))
-    x, y = (rows.select("at", *(F.col(c).alias(f"{c}{k}") for c in ("id", "n", "place", "component", "bits"))) for k in (1, 2))
-    new = (F.col("x.id1") < F.col("y.id2")) & (F.col("component1") != F.col("component2"))
-    pairs = x.alias("x").join(y.alias("y"), (F.col("x.at") == F.col("y.at")) & new & _near("n1", "place1", "n2", "place2") & _alike("n1", "n2", "bits1", "bits2"))
+    """Every pair of contents with keys in common and in different components that the filters let through.
+
+    A key's contents are dealt into blocks of BLOCK; each two blocks meet in a group of their own, and only pairs that pass all filters leave it.
+    """
+    blocks = F.ceil(F.col("contents") / BLOCK).cast("int")
+    rows = open_rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = stored(rows.select("at", "block", "with", "id", "place", "inner", "component").join(sketches, "id"))
+    names = ("id", "n", "place", "inner", "component", "bits")
+    x = rows.select("at", F.col("block").alias("i"), F.col("with").alias("j"), *(F.col(c).alias(f"{c}1") for c in names))
+    y = rows.select("at", F.col("with").alias("i"), F.col("block").alias("j"), *(F.col(c).alias(f"{c}2") for c in names))
+    new = (F.col("id1") < F.col("id2")) & (F.col("component1") != F.col("component2"))
+    filters = new & _near("n1", "place1", "inner1", "n2", "place2", "inner2") & _alike("n1", "n2", "bits1", "bits2")
+    pairs = x.join(y, ["at", "i", "j"]).filter(filters)
     return _enough(pairs.select(F.col("id1").alias("a"), F.col("id2").alias("b"), "n1", "n2"))
 
 
 def one_of_each_group(docs: DataFrame) -> DataFrame:
-    """The documents without those that are linked with another of a smaller doc_id (nulls last); columns stay."""
+    """The documents without those that are linked with another of a smaller doc_id (nulls last); columns stay, whatever their names."""
     rows = stored(similar_documents(docs).filter("group IS NOT NULL").select("row", "doc_id", "key", "group"))
     least = rows.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    judged = stored(rows.join(least.select("group", F.col("first.row").alias("first")), "group").select("doc_id", "key", (F.col("row") == F.col("first")).alias("stays")))
-    judged = judged.groupBy("doc_id", "key").agg(F.max("stays").alias("stays"), F.count(F.lit(1)).alias("rows"))
-    judged = stored(judged.select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), "stays", "rows"))
-    keyed = docs.withColumn("_key", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k"))
-    kept = keyed.join(small(stored(judged.filter("NOT stays OR rows > 1").select("_d", "_k"))), same, "left_anti")
+    least = small(stored(least.select("group", F.col("first.row").alias("first"))))
+    judged = stored(rows.join(least, "group").select("doc_id", "key", (F.col("row") == F.col("first")).alias("stays")))
+    judged = stored(judged.groupBy("doc_id", "key").agg(F.max("stays").alias("stays"), F.count(F.lit(1)).alias("rows")))
+    content = F.xxhash64(utf8())
+    kept = without(docs, judged.filter("NOT stays OR rows > 1").select("doc_id", "key"), content)
     repeated = judged.filter("stays AND rows > 1")  # rows that are equal in doc_id and text: one of them stays
     if not repeated.isEmpty():
-        again = keyed.join(small(stored(repeated.select("_d", "_k"))), same, "left_semi")
-        kept = kept.unionByName(again.dropDuplicates(["doc_id", "_key"]))
-    return kept.select(*docs.columns)
+        keyed = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("d"), content.alias("c"))
+        wanted = small(stored(repeated.select(F.col("doc_id").alias("d2"), F.col("key").alias("c2"))))
+        again = keyed.join(wanted, F.col("d").eqNullSafe(F.col("d2")) & (F.col("c") == F.col("c2")), "left_semi")
+        kept = kept.unionByName(again.groupBy("d", "c").agg(F.first("doc").alias("doc")).select("doc.*"))
+    return kept
 
 
 def op4_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
