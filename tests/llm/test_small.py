@@ -87,12 +87,36 @@ def test_frequent_lines_deplete_documents(spark):
     assert [kept[k] for k in range(21)] == [False] * 6 + [True] * 15  # copies of one text count once
 
 
-def test_frequent_lines_leave_the_text(spark):
+def test_columns_with_names_of_the_operators_own(spark):
+    names = ["_own", "_key", "_text", "_d", "_lines", "doc", "body", "kept", "hit", "spans", "masked", "own_id", "gone_id", "rank", "content"]
+    line = "every page of this host has this line of many words at its end and more"
+    texts = [f"{' '.join(f'a{k}x{j}' for j in range(30))} password = abcdefgh{k}\n{line}" for k in range(60)]
+    rows = docs(spark, texts + texts[:1]).withColumns({n: F.lit(n) for n in names if n not in docs(spark, []).columns})
+    out = rows
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, out, "/root/testdata/sf0.001")
+        assert out.columns == rows.columns, name
+        got = out.collect()
+        assert len(got) == (61 if name == "quality_rules" else 60), name
+        assert all(r[n] == n for r in got for n in names if n != "spans")
+    assert all("[SECRET]" in r.text and line not in r.text for r in got)
+
+
+def test_words_of_repeated_lines_that_stay_count_each(spark):
+    common = "a line that all documents of the host have in common"
+    texts = [common + "\n" + "\n".join([f"ten words of text{k} that stand here five times over"] * 5) for k in range(60)]
+    assert {(r.n_left_words, r.n_removed_lines) for r in qr.quality_rules(docs(spark, texts)).collect()} == {(50, 1)}
+
+
+def test_frequent_lines_leave_the_text(spark, monkeypatch):
     own = [" ".join(f"u{i}x{k}" for k in range(25)) for i in range(8)]
     texts = [f"{x}\n Accept  ALL cookies é\n\nend {i}\naccept all cookies é" for i, x in enumerate(own)] + [own[0], None, "short\naccept all cookies é", own[7] + "\nother"]
     ids = [*range(8), None, 9, 10, 7]
     table = docs(spark, texts, ids)
-    got = qr.clean(table, qr.quality_rules(table, max_docs=5)).collect()
+    got = qr.clean(table, max_docs=5).collect()
+    assert Counter(r.doc_id for r in got) == Counter(r.doc_id for r in qr.quality_rules(table, max_docs=5).filter("kept").collect())
+    monkeypatch.setattr(qr, "SMALL_ROWS", 0)  # as if there were too many lines to send to all tasks
+    assert sorted(qr.clean(table, max_docs=5).collect(), key=repr) == sorted(got, key=repr)
     want = [(i, f"{x}\n\nend {i}") for i, x in enumerate(own)] + [(None, own[0]), (7, own[7] + "\nother")]
     assert Counter((r.doc_id, r.text, r.n_chars) for r in got) == Counter((k, t, len(t)) for k, t in want)
 
@@ -180,9 +204,17 @@ def test_signatures_share_keys_for_every_allowed_edit():
         if 100 * both < 80 * (n + len(y) - both):
             continue
         pool = np.union1d(x, y)
-        frequent = np.sort(rng.choice(pool, int(len(pool) * rng.random()), replace=False))
-        shared = len(np.intersect1d(nj.signature(x, frequent), nj.signature(y, frequent)))
+        frequent = rng.choice(pool, int(len(pool) * rng.random()), replace=False)
+        bitmap = np.zeros(1 << 10, np.uint64)
+        np.bitwise_or.at(bitmap, (frequent >> np.uint64(54)).astype(np.int64), np.uint64(1) << (frequent >> np.uint64(48) & np.uint64(63)))
+        assert nj.is_frequent(frequent, bitmap).all()
+        (of_x, inner_x), (of_y, inner_y) = nj.signature(x, bitmap), nj.signature(y, bitmap)
+        shared = len(np.intersect1d(of_x, of_y))
         assert shared >= min(nj.common_keys(n), nj.common_keys(len(y)))
+        if n >= len(y):  # the smaller set has them in its inner prefix
+            assert len(np.intersect1d(of_x, of_y[:inner_y])) >= nj.common_keys(len(y))
+        if len(y) >= n:
+            assert len(np.intersect1d(of_y, of_x[:inner_x])) >= nj.common_keys(n)
         assert 9 * sum(int(v).bit_count() for v in (nj.parities(x) ^ nj.parities(y)).view(np.uint64)) <= n + len(y)
 
 
@@ -288,9 +320,11 @@ def test_decontamination_returns_proximity_matches(spark, block):
 
 
 def test_decontamination_index_holds_the_postings(spark):
-    index = dc.write_index(docs(spark, ["a b a", None, "c d c C"]), [b"a", b"c"])
-    assert {r.doc_id: (r.n_words, r.terms, r.ends, r.positions) for r in index.collect()} == {0: (3, [0], [2], [0, 2]), 1: (0, [], [], []), 2: (4, [1], [3], [0, 2, 3])}
-    assert {r.term: r.n for r in dc.posting_counts(index, 2).collect()} == {0: 2, 1: 3}
+    index = dc.write_index(docs(spark, ["a b a", None, "c d c C", "c a"]).coalesce(1), [b"a", b"c", b"none"], gap=10)
+    (r,) = index.collect()
+    assert (r.doc_ids, r.n_words, r.first) == ([0, 1, 2, 3], [3, 0, 4, 2], [0, 13, 23, 37])
+    assert (r.terms, r.ends, r.postings) == ([0, 1], [3, 7], [0, 2, 38, 23, 25, 26, 37])
+    assert {r.term: r.n for r in dc.posting_counts(index, 3).collect()} == {0: 3, 1: 4}
 
 
 def test_license_join_loses_no_block(spark):
@@ -318,6 +352,22 @@ def test_license_join_loses_no_block(spark):
     assert (r.n_words, r.n_base, r.first_word, r.last_word) == (13, 3, 0, 10)
 
 
+def test_license_filters_reject_and_lose_nothing():
+    rng = random.Random(12)
+    pool = [b"%d" % k for k in range(30)]
+    templates = [(str(k), rng.sample(pool, rng.randint(3, 12))) for k in range(40)]
+    frequency = {w: rng.randint(0, 9) for w in pool}
+    join, rejected = ls.Join(templates, frequency, 0.8), 0
+    for _ in range(2000):
+        block = {join.rank[w] for w in rng.sample(pool, rng.randint(0, 12)) if w in join.rank}
+        passed = join.candidates(sorted(block))
+        for k, own in enumerate(join.words):
+            assert k in passed or len(block & own) < join.need[k]
+            in_prefix = any(k == t for w in block for _, t in join.prefix.get(w, ()))
+            rejected += in_prefix and len(block) >= join.need[k] and k not in passed
+    assert rejected  # the positional filter alone rejects
+
+
 def test_wrapped_license_notices_are_found(spark):
     rng = random.Random(17)
     notices = [(label, t) for label, texts in ls.TEMPLATES.items() for t in texts]
