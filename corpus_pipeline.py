@@ -5,6 +5,10 @@ keep the columns of documents. A stage's decisions: documents that the quality r
 and the others lose the lines above the limits; of documents that are linked by five-word shingles at a similarity of
 0.8 or more, that with the smallest doc_id stays; contaminated documents go; secrets are masked in the texts; what is
 left is packed into sequences.
+
+Null and empty texts are rejected by the quality rules; repeated rows are one document, of which one row stays; null
+doc_ids come last in the choice of which row stays; an empty table gives an empty result; other columns are carried
+through all stages but the last, whatever their names.
 """
 
 from __future__ import annotations
@@ -15,27 +19,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timespan.llm.common import shared_dir, small, stored, table
+from timespan.llm.common import shared_dir, table, utf8, without
 from timespan.llm.decontamination import decontaminate
 from timespan.llm.ngram_jaccard import one_of_each_group
 from timespan.llm.packing import best_fit_packing
-from timespan.llm.quality_rules import clean, quality_rules
+from timespan.llm.quality_rules import clean
 from timespan.llm.secret_scans import redact_secrets
 
 
-def _without(docs: DataFrame, rejected: DataFrame, content) -> DataFrame:
-    """docs without the rows whose doc_id and content are in rejected(doc_id, content)."""
-    gone = small(stored(rejected.distinct().select(F.col("doc_id").alias("_d"), F.col("content").alias("_c"))))
-    keyed = docs.withColumn("_own", content)
-    return keyed.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_own") == F.col("_c")), "left_anti").select(*docs.columns)
-
-
-def _hashed():
-    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return clean(docs, quality_rules(docs))
+    return clean(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +37,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     judged = decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return _without(docs, judged.filter("contaminated").select("doc_id", F.col("key").alias("content")), _hashed())
+    return without(docs, judged.filter("contaminated").select("doc_id", F.col("key").alias("content")), F.xxhash64(utf8()))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
