@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from timespan.operators import history as hs
 from timespan.operators import intervals as iv
 from timespan.operators import segmentation as sm
 from timespan.operators import signal as sg
@@ -64,7 +65,10 @@ def test_binned_join_equals_plain(spark):
     rng = np.random.default_rng(6)
     r = [(int(a), int(a + n)) for a, n in zip(rng.integers(0, 5000, 200), rng.integers(0, 700, 200), strict=True)]
     left, right = ranges(spark, *r[:100]), ranges(spark, *r[100:])
-    assert sorted(map(tuple, iv.clip(left, right).collect())) == sorted(map(tuple, iv.clip(left, right, 100).collect()))
+    plain = sorted(map(tuple, iv.clip(left, right, None).collect()))
+    assert sorted(map(tuple, iv.clip(left, right, 100).collect())) == sorted(map(tuple, iv.clip(left, right).collect())) == plain
+    touched = {x for x in r[:100] if any(x[0] < e and b < x[1] for b, e in r[100:])}
+    assert set(pairs(iv.overlap_violations(left, right))) == touched and set(pairs(iv.outside(left, right))) == set(r[:100]) - touched
 
 
 def test_keyframes_before_and_after_all(spark):
@@ -169,3 +173,50 @@ def test_joined_phrases_of_any_length(spark):
     assert [tuple(r) for r in matching.match_joined(tokens, chars).collect()] == [("m", 1, len(chars))]
     assert [tuple(r) for r in matching.match_joined(tokens, "a b c").collect()] == [("n", 0, 1)]
     assert sorted(r.pos for r in matching.match_fillers(tokens, [chars]).collect()) == list(range(1, len(chars) + 1))
+
+
+def test_near_duplicates_are_of_what_was_kept_last(spark):
+    # the second is a near duplicate of the first; the third of neither, as it is 100 from the kept one; the fourth meets the grown range
+    assert pairs(iv.merge_near_duplicates(ranges(spark, (0, 1000), (50, 1099), (100, 1100), (110, 1150), (2000, 2001)))) == [(0, 1150), (2000, 2001)]
+    assert pairs(iv.merge_near_duplicates(ranges(spark, (0, 1000), (99, 1099)))) == [(0, 1000)]
+    assert pairs(iv.merge_near_duplicates(ranges(spark, (0, 1000), (60, 1060), (120, 1120)))) == [(0, 1120)]
+
+
+def test_export_names_are_free(spark):
+    def names(*given, existing=None):
+        rows = spark.createDataFrame([(k, k, x) for k, x in enumerate(given)], "project_id long, seq long, name string")
+        held = existing and spark.createDataFrame([(x,) for x in existing], "export string")
+        return [r.export for r in hs.export_names(rows, held or None).orderBy("seq").collect()]
+
+    assert names("a", "a", "a_1") == ["a", "a_1", "a_1_1"]
+    assert names("a_1", "a", "a", "b", "b") == ["a_1", "a", "a_2", "b", "b_1"]
+    assert names("a", "a", existing=["a", "a_2"]) == ["a_1", "a_3"]
+
+
+def test_ingest_runs_what_is_left_and_isolates_failures(spark, tmp_path):
+    seen = []
+
+    def work(items):
+        got = sorted(r.item for r in items.collect())
+        seen.append(got)
+        if "boom" in got:
+            raise ValueError("no such item")
+        rows = [(i, "" if i == "empty" else f"r{i}", "unreadable" if i == "bad" else None) for i in got]
+        return spark.createDataFrame([(i, None if e else x, e) for i, x, e in rows], "item string, result string, error string")
+
+    (tmp_path / "in").mkdir()
+    schema, log = "item string", str(tmp_path / "log")
+
+    def feed(n, *items):
+        spark.createDataFrame([(i,) for i in items], schema).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).json(str(tmp_path / "in"))
+        q = stream.writeStream.foreachBatch(live.ingest(work, log)).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        return {(r.item, r.status, r.message) for r in spark.read.parquet(log).collect()}
+
+    assert feed(0, "a", "bad", "empty") == {("a", "done", None), ("bad", "failed", "unreadable"), ("empty", "failed", "empty result")}
+    assert ("boom", "failed", "no such item") in feed(1, "boom", "c")
+    feed(2, "a", "bad", "c")
+    assert seen == [["a", "bad", "empty"], ["boom", "c"], ["bad", "c"]]  # what is done isn't run again
+    live.ingest(work, log)(spark.createDataFrame([("c",)], schema), 2)  # a batch that is run again replaces its rows
+    assert [r.item for r in spark.read.parquet(log).filter("batch = 2").collect()] == ["c"]

@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from timespan.queries import ORACLE, QUERIES
@@ -12,7 +13,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 def rows(frame, columns):
     def plain(x):
-        if x is None or x != x:
+        if not hasattr(x, "__len__") and pd.isna(x):
             return "~"
         if isinstance(x, bool):
             return str(x)

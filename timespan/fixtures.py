@@ -76,8 +76,13 @@ def ordered_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """project_id, kind, version, payload, created_us of each order."""
     w = Window.partitionBy("o_custkey", "o_orderstatus").orderBy("o_orderdate", "o_orderkey")
-    o = table(spark, sf_dir, "orders")
-    payload = F.concat(F.lit('{"key":'), F.col("o_orderkey").cast("string"), F.lit(',"label":" L'), (F.col("o_orderkey") % 5).cast("string"), F.lit(' ","file":"/data/'), F.col("o_custkey").cast("string"), F.lit('/a.wav"}'))
+    o, key = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    text = key.cast("string")
+    more = [
+        F.when(key % 3 == 0, F.concat(F.lit(',"base":'), (key % 7).cast("string"))).otherwise(""), F.when(key % 5 == 0, F.lit(',"note":"n"')).otherwise(""),
+        F.when(key % 4 == 0, F.concat(F.lit(',"deletes":[{"start_us":'), text, F.lit(',"end_us":'), (key + 10).cast("string"), F.lit("}]"))).otherwise(""),
+    ]
+    payload = F.concat(F.lit('{"key":'), F.col("o_orderkey").cast("string"), F.lit(',"label":" L'), (F.col("o_orderkey") % 5).cast("string"), F.lit(' ","file":"/data/'), F.col("o_custkey").cast("string"), F.lit('/a.wav"'), *more, F.lit("}"))
     return o.select(F.col("o_custkey").cast("long").alias("project_id"), F.col("o_orderstatus").alias("kind"), F.row_number().over(w).alias("version"), payload.alias("payload"), F.unix_date(F.col("o_orderdate").cast("date")).cast("long").alias("created"), "o_orderkey")
 
 
@@ -107,7 +112,8 @@ SQL = {
     "word_totals": "word_totals AS (SELECT media_id, max(end_us) AS total_us FROM words GROUP BY media_id)",
     "signal": f"signal AS (SELECT user_id::BIGINT AS media_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS sample_idx, (value - 245) / 245 AS v, {_KIND} AS label, CASE WHEN event_type IN ('click', 'view', 'purchase') THEN 0.9 ELSE 0.1 END AS prob FROM events)",
     "snapshots": """snapshots AS (SELECT o_custkey::BIGINT AS project_id, o_orderstatus AS kind, row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderdate, o_orderkey) AS version,
-        '{"key":' || o_orderkey || ',"label":" L' || (o_orderkey % 5) || ' ","file":"/data/' || o_custkey || '/a.wav"}' AS payload, (o_orderdate::DATE - DATE '1970-01-01')::BIGINT AS created, o_orderkey FROM orders)""",
+        '{"key":' || o_orderkey || ',"label":" L' || (o_orderkey % 5) || ' ","file":"/data/' || o_custkey || '/a.wav"' || CASE WHEN o_orderkey % 3 = 0 THEN ',"base":' || (o_orderkey % 7) ELSE '' END || CASE WHEN o_orderkey % 5 = 0 THEN ',"note":"n"' ELSE '' END
+        || CASE WHEN o_orderkey % 4 = 0 THEN ',"deletes":[{"start_us":' || o_orderkey || ',"end_us":' || (o_orderkey + 10) || '}]' ELSE '' END || '}' AS payload, (o_orderdate::DATE - DATE '1970-01-01')::BIGINT AS created, o_orderkey FROM orders)""",
     "tasks": "tasks AS (SELECT o_custkey::BIGINT AS task_id, CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'queued' ELSE 'running' END AS status, (o_orderkey % 101) / 100.0 AS progress, o_orderkey::BIGINT AS seq FROM orders)",
     "vectors": "vectors AS (SELECT label::BIGINT AS media_id, vec_id::BIGINT AS span_idx, embedding FROM embeddings)",
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,10 +43,13 @@ def without_projects(snapshots: DataFrame, deleted: DataFrame) -> DataFrame:
 
 
 def fields(snapshots: DataFrame) -> DataFrame:
-    """Version (0 if missing), trimmed label or empty, the base version and delete ranges of the payload."""
-    p = F.from_json("payload", "key BIGINT, label STRING, base BIGINT, deletes ARRAY<STRUCT<start_us: BIGINT, end_us: BIGINT>>")
-    df = snapshots.withColumn("p", p)
-    return df.select("project_id", "kind", F.coalesce("version", F.lit(0)).alias("version"), F.coalesce(strip(F.col("p.label")), F.lit("")).alias("label"), F.col("p.key").alias("key"), F.col("p.base").alias("base"), F.coalesce(F.size("p.deletes"), F.lit(0)).alias("n_deletes"))
+    """Version (0 if missing), trimmed label or empty, note or empty, the base version and delete ranges ([] if none, as JSON) of the payload."""
+    p = F.from_json("payload", "key BIGINT, label STRING, note STRING, base BIGINT, deletes ARRAY<STRUCT<start_us: BIGINT, end_us: BIGINT>>")
+    df, none = snapshots.withColumn("p", p), F.expr("cast(array() AS ARRAY<STRUCT<start_us: BIGINT, end_us: BIGINT>>)")
+    return df.select(
+        "project_id", "kind", F.coalesce("version", F.lit(0)).alias("version"), F.coalesce(strip(F.col("p.label")), F.lit("")).alias("label"), F.coalesce("p.note", F.lit("")).alias("note"), F.col("p.key").alias("key"),
+        F.col("p.base").alias("base"), F.coalesce(F.size("p.deletes"), F.lit(0)).alias("n_deletes"), F.to_json(F.coalesce("p.deletes", none)).alias("deletes"),
+    )
 
 
 def referenced_files(snapshots: DataFrame, keep_root: str) -> DataFrame:
@@ -92,8 +96,36 @@ def last_state(events: DataFrame) -> DataFrame:
     return events.groupBy("media_id", "key").agg(F.max_by("state", "seq").alias("state")).filter("state = 'on'").select("media_id", "key")
 
 
-def export_names(exports: DataFrame) -> DataFrame:
-    """Clean stems; equal ones get _1, _2 and so on."""
-    stem = clean_stem(F.col("name"), F.col("project_id"))
+def export_names(exports: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+    """Clean stems in the order of project and seq; one that is taken gets the first of _1, _2 and so on that is free. existing: export (names that are taken from the start).
+
+    A stem and its numbered forms have a root in common, the stem without its numbers. Roots with one stem and no name
+    that exists are numbered by a window; only the others, where a stem can meet another's number, are folded.
+    """
+    root = F.regexp_replace("stem", r"(_\d+)+$", "")
+    named = exports.select("project_id", "seq", clean_stem(F.col("name"), F.col("project_id")).alias("stem")).withColumn("root", root)
+    stems = named.select("root", "stem").distinct()
+    if existing is not None:
+        taken = existing.select(F.col("export").alias("stem")).withColumn("root", root)
+        stems = stems.unionByName(taken.select("root", "stem"))
+    mixed = stems.groupBy("root").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("root")
     n = F.row_number().over(Window.partitionBy("stem").orderBy("project_id", "seq")) - 1
-    return exports.withColumn("stem", stem).withColumn("n", n).select("project_id", "seq", F.when(F.col("n") == 0, F.col("stem")).otherwise(F.concat_ws("_", "stem", F.col("n").cast("string"))).alias("export"))
+    plain = named.join(mixed, "root", "left_anti").withColumn("n", n)
+    plain = plain.select("project_id", "seq", F.when(F.col("n") == 0, F.col("stem")).otherwise(F.concat_ws("_", "stem", F.col("n").cast("string"))).alias("export"))
+    rows = named.join(mixed, "root", "left_semi").withColumn("taken", F.lit(False))
+    if existing is not None:
+        held = taken.select(F.lit(None).cast("long").alias("project_id"), F.lit(None).cast("long").alias("seq"), "stem", "root", F.lit(True).alias("taken"))
+        rows = rows.unionByName(held.join(mixed, "root", "left_semi"))
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        used, last, out = set(pdf.loc[pdf["taken"], "stem"]), {}, []
+        for r in pdf[~pdf["taken"]].sort_values(["project_id", "seq"]).itertuples():
+            name = r.stem
+            while name in used:
+                last[r.stem] = last.get(r.stem, 0) + 1
+                name = f"{r.stem}_{last[r.stem]}"
+            used.add(name)
+            out.append((r.project_id, r.seq, name))
+        return pd.DataFrame(out, columns=["project_id", "seq", "export"])
+
+    return plain.unionByName(rows.groupBy("root").applyInPandas(fold, "project_id long, seq long, export string"))

@@ -15,61 +15,86 @@ from timespan.operators import intervals as iv
 #: Marks that end a sentence, that end a clause, and that end a subtitle line. Fixed values.
 SENTENCE_MARKS, CLAUSE_MARKS, LINE_MARKS = "。！？.!?", "，；,;：:", "，。？！；：…—、.,!?;:"
 _HALF = str.maketrans(FULL_MARKS, HALF_MARKS)
-_TRAILING = re.compile("[!-/:-@\\[-`{-~。，、！？；：]+$")
-_ENDS_LATIN, _STARTS_LATIN = re.compile(r"[a-zA-Z0-9][^\w\s]*$"), re.compile(r"[^\w\s]*[a-zA-Z0-9]")
-_MARKS_ONLY = re.compile(r"[^\w\s]+")
+#: Marks that give way to a mark that follows them. Fixed values.
+_YIELDING = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" + "。，、！？；："
+#: What stands between two tokens, by whether the first ends and the second starts with a Latin letter or digit.
+_BETWEEN = {(False, False): "", (False, True): " ", (True, False): " ", (True, True): " "}
+_LEADING = re.compile(r"[^\w\s]*")
 
 
-def join_text(text: str, more: str) -> str:
-    """text with one more token: marks replace trailing marks, and Latin neighbours are set apart by a space."""
-    if not text or not more:
-        return text + more
-    latin = bool(_ENDS_LATIN.search(text))
-    spaced = latin or bool(_STARTS_LATIN.match(more))
-    if _MARKS_ONLY.fullmatch(more):
-        text = _TRAILING.sub("", text)
-        more = more.translate(_HALF) if latin else more
-    return text + (" " if spaced and not text.endswith(" ") else "") + more
+def token_classes(words: DataFrame) -> DataFrame:
+    """words with what joining them asks for: mark (no letters or digits), head and tail (Latin at its start, end but for marks)."""
+    return words.withColumns({
+        "mark": F.regexp_like("text", F.lit(r"(?U)^[^\w\s]+$")), "head": F.regexp_like("text", F.lit(r"(?U)^[^\w\s]*[a-zA-Z0-9]")),
+        "tail": F.regexp_like("text", F.lit(r"(?U)[a-zA-Z0-9][^\w\s]*$")),
+    })
 
 
-def _breaks(text: str, start: int, end: int, word: str, w_start: int, w_end: int, chars: int, longest: int, gap: int) -> bool:
-    if w_start - end > gap or w_end - start > longest or len(text) + len(word) > chars:
-        return True
-    last = text.strip()[-1:]
-    half = 2 * len(text.strip()) >= chars or 2 * (end - start) >= longest
-    return bool(last) and (last in SENTENCE_MARKS or last in CLAUSE_MARKS and half)
+class Sentence:
+    """Tokens that are joined as they come."""
+
+    def __init__(self, token) -> None:
+        self.start, self.end, self.text, self.tail, self.n = token.start_us, token.end_us, token.text, token.tail, 1
+
+    def add(self, token) -> None:
+        if token.mark:
+            self.text = self.text.rstrip(_YIELDING)
+        between = "" if self.text.endswith(" ") else _BETWEEN[self.tail, token.head]
+        self.text += between + (token.text.translate(_HALF) if token.mark and self.tail else token.text)
+        self.end, self.tail, self.n = token.end_us, token.tail, self.n + 1
+
+    def closed(self, chars: int, longest: int) -> bool:
+        """Whether its last mark ends it: marks of clauses only where it is half full."""
+        said = self.text.strip()
+        full = 2 * max(len(said) / chars, (self.end - self.start) / longest) >= 1
+        return said.endswith(tuple(SENTENCE_MARKS + (CLAUSE_MARKS if full else "")))
+
+    def takes(self, token, chars: int, longest: int) -> bool:
+        return len(self.text) + len(token.text) <= chars and token.end_us - self.start <= longest and not self.closed(chars, longest)
 
 
 def sentences(words: DataFrame, chars: int = 40, longest: int = 7_000_000, gap: int = 600_000) -> DataFrame:
-    """Sentences of each medium's words: sent_idx, start_us, end_us, text, n_words."""
+    """Sentences of each medium's words: sent_idx, start_us, end_us, text, n_words. Gaps are found by a window, the rest by a fold."""
+    order = ["start_us", "end_us", "seg_idx", "word_idx"]
+    apart = F.coalesce(F.col("start_us") - F.lag("end_us").over(Window.partitionBy("media_id").orderBy(*order)) > gap, F.lit(True))
+    classed = token_classes(words.select("media_id", "seg_idx", "word_idx", "text", "start_us", "end_us")).withColumn("apart", apart)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out: list[list] = []
-        for w in pdf.sort_values(["start_us", "end_us", "seg_idx", "word_idx"]).itertuples():
-            if out and not _breaks(out[-1][2], out[-1][0], out[-1][1], w.text, w.start_us, w.end_us, chars, longest, gap):
-                row = out[-1]
-                row[1], row[2], row[3] = w.end_us, join_text(row[2], w.text), row[3] + 1
+        out: list[Sentence] = []
+        for w in pdf.sort_values(order).itertuples():
+            if w.apart or not out[-1].takes(w, chars, longest):
+                out.append(Sentence(w))
             else:
-                out.append([w.start_us, w.end_us, w.text, 1])
-        return pd.DataFrame([(pdf["media_id"].iloc[0], k, s, e, t.strip(), n) for k, (s, e, t, n) in enumerate(out)], columns=["media_id", "sent_idx", "start_us", "end_us", "text", "n_words"])
+                out[-1].add(w)
+        return pd.DataFrame([(pdf["media_id"].iloc[0], k, x.start, x.end, x.text.strip(), x.n) for k, x in enumerate(out)], columns=["media_id", "sent_idx", "start_us", "end_us", "text", "n_words"])
 
-    return words.select("media_id", "seg_idx", "word_idx", "text", "start_us", "end_us").groupBy("media_id").applyInPandas(run, "media_id long, sent_idx long, start_us long, end_us long, text string, n_words long")
+    return classed.groupBy("media_id").applyInPandas(run, "media_id long, sent_idx long, start_us long, end_us long, text string, n_words long")
 
 
 def restore_marks(text: str, words: list[str]) -> list[str]:
-    """Each word with the first mark that stands right after it in text; words that aren't found stay."""
-    low, at, out = text.lower(), 0, []
-    for k, word in enumerate(words):
-        found = low.find(word.lower(), at)
-        if found < 0:
-            out.append(word)
-            continue
-        end = found + len(word)
-        nxt = low.find(words[k + 1].lower(), end) if k + 1 < len(words) else -1
-        at = nxt if nxt >= 0 else len(text)
-        if m := _MARKS_ONLY.match(text[end:at]):
-            mark = m[0][0].translate(_HALF) if re.search("[a-zA-Z0-9]$", word) else m[0][0]
-            word, at = _TRAILING.sub("", word) + mark, end + len(m[0])
+    """Each word with the first mark that stands right after it in text; words that aren't found stay.
+
+    The text is eaten up from the left: to the end of a found word and of the marks after it or, without marks, to where
+    the next word is (to the end if it isn't there).
+    """
+    left, out = text, []
+
+    def cut(word: str) -> int:
+        """Where word is in what is left, as its characters are in lower case; -1 if nowhere."""
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in left)
+        return low.find(word.lower())
+
+    for word, following in zip(words, [*words[1:], None], strict=False):
+        at = cut(word)
+        if at >= 0:
+            left = left[at + len(word) :]
+            ahead = cut(following) if following is not None else -1
+            between = left if ahead < 0 else left[:ahead]
+            marks = _LEADING.match(between)[0]
+            left = left[len(marks or between) :]
+            if marks:
+                latin = word[-1:].isascii() and word[-1:].isalnum()
+                word = word.rstrip(_YIELDING) + (marks[0].translate(_HALF) if latin else marks[0])
         out.append(word)
     return out
 
@@ -88,39 +113,25 @@ def with_marks(stamps: DataFrame, chunks: DataFrame) -> DataFrame:
     return a.cogroup(b).applyInPandas(run, "media_id long, chunk_idx long, pos int, text string, start_us long, end_us long")
 
 
-_UNITS = re.compile(rf"[{re.escape(LINE_MARKS)}]|[A-Za-z]+| |[^A-Za-z ]", re.S)
+_LINE_ENDS = re.compile(f"[{re.escape(LINE_MARKS)}]")
+_SPACED_UNITS = re.compile("( *)([A-Za-z]+|[^A-Za-z ])", re.S)
 
 
 def lines_of(text: str, chars: int = 20) -> list[str]:
-    """Lines of a text: marks end them and go, Latin words stay whole, and no line is longer than chars but for one word."""
-    out, line = [], ""
-
-    def flush() -> None:
-        nonlocal line
-        if line.strip():
-            out.append(line.strip())
-        line = ""
-
-    for unit in _UNITS.findall(text.partition("<asr_text>")[2].strip() if "<asr_text>" in text else text.strip()):
-        if unit in LINE_MARKS:
-            flush()
-        elif unit == " ":
-            line += " " if line and not line.endswith(" ") else ""
-            if len(line.rstrip()) >= chars:
-                flush()
-        elif unit.isascii() and unit.isalpha():
-            space = " " if line and not line.endswith(" ") else ""
-            if line.strip() and len(line) + len(space) + len(unit) > chars:
-                flush()
-                line = unit
-            else:
-                line += space + unit
-        else:
-            line += unit
-            if len(line) >= chars:
-                flush()
-    flush()
-    return out
+    """Lines of a text: marks end them and go, Latin words stay whole, and no line is longer than chars but for one word or a character right after a word."""
+    said, out = text.partition("<asr_text>")[2] or text, []
+    for piece in _LINE_ENDS.split(said.strip()):
+        line, after_word = "", False
+        for space, unit in _SPACED_UNITS.findall(piece):
+            word = unit.isascii() and unit.isalpha()
+            between = " " if line and (space or word) else ""
+            fits = len(line + between + unit) <= chars if word else len(line) < chars or after_word and not space
+            if not fits and (line.strip() or not word):
+                out.append(line)
+                line, between = "", ""
+            line, after_word = line + between + unit, word
+        out.append(line)
+    return [x.strip() for x in out if x.strip()]
 
 
 def text_lines(texts: DataFrame, chars: int = 20) -> DataFrame:

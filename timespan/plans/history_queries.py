@@ -41,7 +41,7 @@ def cascade_delete(spark, d):
     return hs.without_projects(s, s.filter("project_id % 3 = 0")).select("project_id", "kind", "version")
 
 
-@query(fx.sql("snapshots", query="SELECT project_id, kind, version, 'L' || (o_orderkey % 5) AS label, o_orderkey AS key, NULL::BIGINT AS base, 0 AS n_deletes FROM snapshots"))
+@query(fx.sql("snapshots", query="SELECT project_id, kind, version, 'L' || (o_orderkey % 5) AS label, o_orderkey AS key, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 7 END AS base, CASE WHEN o_orderkey % 5 = 0 THEN 'n' ELSE '' END AS note, CASE WHEN o_orderkey % 4 = 0 THEN 1 ELSE 0 END AS n_deletes, CASE WHEN o_orderkey % 4 = 0 THEN '[{\"start_us\":' || o_orderkey || ',\"end_us\":' || (o_orderkey + 10) || '}]' ELSE '[]' END AS deletes FROM snapshots"))
 def snapshot_fields(spark, d):
     return hs.fields(fx.snapshots(spark, d))
 

@@ -47,10 +47,17 @@ def merge_within_500us(spark, d):
     return iv.merge(fx.spans(spark, d), 500)
 
 
-@query(fx.sql("ranges", query=FLAT + "merged", more="""c AS (SELECT media_id, start_us, end_us, abs(start_us - lag(start_us) OVER w) <= 100 AND abs(end_us - lag(end_us) OVER w) <= 100 AS same FROM ranges WHERE end_us > start_us WINDOW w AS (PARTITION BY media_id ORDER BY start_us, end_us)),
-u AS (SELECT media_id, start_us, end_us FROM c WHERE NOT coalesce(same, false)), """ + merged("u")))
+@query(fx.sql("ranges", query="SELECT media_id, max(s)::BIGINT AS start_us, max(e)::BIGINT AS end_us FROM f GROUP BY media_id, island", more="""
+c AS (SELECT media_id, greatest(start_us, 0) AS s, greatest(end_us, 0) AS e, row_number() OVER (PARTITION BY media_id ORDER BY greatest(start_us, 0), greatest(end_us, 0)) AS k FROM near WHERE end_us > start_us),
+f AS (SELECT media_id, k, s, e, 1 AS island FROM c WHERE k = 1 UNION ALL
+      SELECT media_id, k, CASE WHEN NOT same AND s2 > e THEN s2 ELSE s END, CASE WHEN same THEN e WHEN s2 > e THEN e2 ELSE greatest(e, e2) END, island + CASE WHEN NOT same AND s2 > e THEN 1 ELSE 0 END
+      FROM (SELECT f.media_id, c.k, f.s, f.e, island, c.s AS s2, c.e AS e2, abs(c.s - f.s) < 100 AND abs(c.e - f.e) < 100 AS same FROM f JOIN c ON c.media_id = f.media_id AND c.k = f.k + 1))""".replace("c AS", """
+near AS (SELECT media_id, start_us, end_us FROM ranges UNION ALL SELECT media_id, start_us + 60, end_us + 60 FROM ranges UNION ALL SELECT media_id, start_us + 99, end_us + 120 FROM ranges),
+c AS""", 1)).replace("WITH ", "WITH RECURSIVE ", 1))
 def merge_without_near_duplicates(spark, d):
-    return iv.merge_near_duplicates(fx.ranges(spark, d).drop("kind"))
+    r = fx.ranges(spark, d).select("media_id", "start_us", "end_us")
+    near = [r.select("media_id", (F.col("start_us") + a).alias("start_us"), (F.col("end_us") + b).alias("end_us")) for a, b in ((60, 60), (99, 120))]
+    return iv.merge_near_duplicates(r.unionByName(near[0]).unionByName(near[1]))
 
 
 @query(fx.sql("ranges", "spans", "deletes", query=FLAT + "g", more="""m AS (SELECT media_id, start_us, end_us, max(end_us) OVER (PARTITION BY media_id ORDER BY start_us, end_us ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_us, row_number() OVER (PARTITION BY media_id ORDER BY start_us, end_us) AS rid FROM spans),

@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -72,23 +73,35 @@ def progress_stream(events: DataFrame, scale: float = 1.0, base: float = 0.0, ca
 
 
 def ingest(work: Callable[[DataFrame], DataFrame], log_path: str) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: runs work on the items that aren't done yet and appends item, status, message to the log.
+    """For foreachBatch: runs work on the items that aren't done yet and writes item, status, message of each batch to the log.
 
-    work returns item and result; an empty or null result is a failure with a message, and failed items run again when they come again.
+    work gets item and returns item, result and, if it likes, error; it should turn what goes wrong with an item into its
+    error. An empty or null result is a failure with a message. If work itself fails, all items of the batch are failed
+    with its message and the stream goes on. Failed items run again when they come again. A batch's rows replace those
+    that the same batch has written before, so one that is run again counts once.
     """
 
     def batch(items: DataFrame, number: int) -> None:
         spark = items.sparkSession
         todo = items.select("item").distinct()
         try:
-            done = spark.read.parquet(log_path).filter("status = 'done'").select("item").distinct()
+            log = spark.read.parquet(log_path)
+            done = log.filter((F.col("batch") != number) & (F.col("status") == "done")).select("item").distinct()
             todo = todo.join(done, "item", "left_anti")
-        except Exception as e:  # the log doesn't exist before the first batch
+        except AnalysisException as e:  # the log doesn't exist before the first batch
             if "PATH_NOT_FOUND" not in str(e):
                 raise
         ok = F.coalesce(F.length("result"), F.lit(0)) > 0
-        out = todo.join(work(items), "item", "left").select("item", F.when(ok, "done").otherwise("failed").alias("status"), F.when(~ok, "empty result").alias("message"))
-        out.write.mode("append").parquet(log_path)
+        target = f"{log_path}/batch={number}"
+        try:
+            found = work(todo)
+            error = F.col("error") if "error" in found.columns else F.lit(None).cast("string")
+            out = todo.join(found.withColumn("error", error), "item", "left")
+            out = out.select("item", F.when(ok, "done").otherwise("failed").alias("status"), F.when(~ok, F.coalesce("error", F.lit("empty result"))).alias("message"))
+            out.write.mode("overwrite").parquet(target)
+        except Exception as e:
+            message = (str(e).strip().splitlines() or [type(e).__name__])[0]
+            todo.select("item", F.lit("failed").alias("status"), F.lit(message).alias("message")).write.mode("overwrite").parquet(target)
 
     return batch
 
