@@ -272,6 +272,11 @@ def test_warc_round_trip(spark, tmp_path):
         1: (9, "revisit", 6), 2: (9, "revisit", 6), 3: (0, "revisit", 4), 4: (0, "response", None), 5: (200_000, "response", None), 6: (9, "response", None), None: (0, "revisit", 4),
     }
     assert got[1].payload_digest == warc.sha1_base32("<p>é</p>".encode())
+    (at,), (to,) = (index.filter(f"page_id = {k}").select("path", "offset", "length").collect() for k in (1, 6))
+    heads = [warc.parse(open(x.path, "rb").read()[x.offset : x.offset + x.length])[0] for x in (at, to)]
+    assert heads[0]["WARC-Refers-To"] == heads[1]["WARC-Record-ID"]
+    empty = warc.write_archives(pages.filter("false"), f"{folder}-empty")
+    assert warc.read_records(empty, f"{folder}-empty").count() == 0
     some = warc.read_records(index.filter("page_id IN (2, 5)"), folder)
     assert sorted(r.page_id for r in some.collect()) == [2, 5]
     assert warc.ranges(index).count() <= index.select("path").distinct().count()

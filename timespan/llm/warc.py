@@ -31,10 +31,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from timespan.llm.common import shared_dir, small, stored, table, utf8
+from timespan.llm.common import SMALL_ROWS, shared_dir, small, stored, table, utf8
 
-#: Ranges read at once, and the gap between two records up to which they are read together.
-RANGE_BYTES, GAP_BYTES = 8 << 20, 64 << 10
+#: Ranges read at once, the gap between two records up to which they are read together, and what a task reads, about.
+RANGE_BYTES, GAP_BYTES, TASK_BYTES = 8 << 20, 64 << 10, 32 << 20
+#: Schemes that Hadoop has other names for.
+_SCHEMES = {"s3a": "s3", "s3n": "s3", "abfss": "abfs"}
 
 _INDEX = "page_id long, url string, record_type string, refers_to long, path string, offset long, length long, payload_bytes long, payload_digest string"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -44,13 +46,22 @@ def sha1_base32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str) -> bytes:
-    """One WARC record as a gzip member. refers_to: None makes a response, else a revisit without the payload."""
+def filesystem(uri: str) -> tuple[FileSystem, str]:
+    """The file system of a folder as Spark names it, and the path in it."""
+    scheme, colon, rest = uri.partition("://")
+    return FileSystem.from_uri(_SCHEMES.get(scheme, scheme) + colon + rest)
+
+
+def record_id(page_id: int | None, url: str | None, digest: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {url} {digest}')}>"
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str, refers_url: str | None = None) -> bytes:
+    """One WARC record as a gzip member. refers_to: None makes a response, else a revisit of that page (and URL) without the payload."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
-    name = uuid.uuid5(uuid.NAMESPACE_URL, f"{page_id} {url} {digest}")
     lines = [
-        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:uuid:{name}>", f"WARC-Date: {date}",
+        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(page_id, url, digest)}", f"WARC-Date: {date}",
         f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}",
     ]
     if url is not None:
@@ -58,7 +69,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     if page_id is not None:
         lines.append(f"X-Page-Id: {page_id}")
     if refers_to is not None:
-        lines += [f"WARC-Profile: {_PROFILE}", f"X-Refers-To-Page-Id: {refers_to}"]
+        lines += [f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To: {record_id(refers_to, refers_url, digest)}", f"X-Refers-To-Page-Id: {refers_to}"]
     return gzip.compress("\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n", 6, mtime=0)
 
 
@@ -73,13 +84,14 @@ def parse(member: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
 
 
 def record_types(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """page_id, url, payload and refers_to, which is null for responses."""
+    """page_id, url, payload, and refers_to and refers_url, which are null for responses."""
     read = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), utf8("html").alias("payload"))
     read = read.withColumn("same", F.sha2("payload", 256))
-    repeated = read.filter(F.octet_length("payload") >= min_bytes).groupBy("same").agg(F.max("page_id").alias("holder"), F.count(F.lit(1)).alias("n"))
-    repeated = small(stored(repeated.filter("n > 1 and holder is not null").select(F.col("same").alias("same2"), "holder")))
+    repeated = read.filter(F.octet_length("payload") >= min_bytes).groupBy("same").agg(F.max("page_id").alias("holder"), F.max_by("url", F.struct("page_id", "url")).alias("holder_url"), F.count(F.lit(1)).alias("n"))
+    repeated = small(stored(repeated.filter("n > 1 and holder is not null").select(F.col("same").alias("same2"), "holder", "holder_url")), SMALL_ROWS // 4)
     joined = read.join(repeated, (F.col("same") == F.col("same2")) & (F.octet_length("payload") >= min_bytes), "left")
-    return joined.select("page_id", "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("holder")), F.col("holder")).alias("refers_to"))
+    revisit = ~F.col("page_id").eqNullSafe(F.col("holder"))
+    return joined.select("page_id", "url", "payload", F.when(revisit, F.col("holder")).alias("refers_to"), F.when(revisit, F.col("holder_url")).alias("refers_url"))
 
 
 def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
@@ -87,16 +99,16 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, date: str
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
-        fs, path = FileSystem.from_uri(f"{folder}/part-{task.partitionId():06d}-{task.taskAttemptId()}.warc.gz")
+        fs, path = filesystem(f"{folder}/part-{task.partitionId():06d}-{task.taskAttemptId()}.warc.gz")
         fs.create_dir(path.rpartition("/")[0], recursive=True)
         at = 0
         with fs.open_output_stream(path, compression=None) as out:
             for batch in batches:
                 rows = []
                 for cells in zip(*batch.columns, strict=True):
-                    page_id, url, payload, refers_to = (x.as_py() for x in cells)
+                    page_id, url, payload, refers_to, refers_url = (x.as_py() for x in cells)
                     digest = sha1_base32(payload)
-                    member = record(page_id, url, payload, digest, refers_to, date)
+                    member = record(page_id, url, payload, digest, refers_to, date, refers_url)
                     out.write(member)
                     rows.append((page_id, url, "response" if refers_to is None else "revisit", refers_to, path, at, len(member), len(payload), digest))
                     at += len(member)
@@ -122,7 +134,7 @@ def read_records(selected: DataFrame, folder: str, **limits: int) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of the selected index rows, from the archives."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, _ = FileSystem.from_uri(folder)
+        fs, _ = filesystem(folder)
         for batch in batches:
             for path, start, end, records in zip(*(batch.column(k) for k in range(4)), strict=True):
                 first = start.as_py()
@@ -142,7 +154,10 @@ def read_records(selected: DataFrame, folder: str, **limits: int) -> DataFrame:
                 columns = list(zip(*rows, strict=True)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    planned = ranges(selected, **limits).select("path", "start", "end", "records")
+    # ranges are of bounded size, so dealing them out one by one balances the bytes of the tasks, however small the index is
+    size = selected.agg(F.sum("length")).first()[0] or 0
+    tasks = max(-(-size // TASK_BYTES), selected.sparkSession.sparkContext.defaultParallelism)
+    planned = ranges(selected, **limits).select("path", "start", "end", "records").repartition(int(tasks))
     return planned.mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
