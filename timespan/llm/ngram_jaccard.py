@@ -47,8 +47,8 @@ from pyspark.sql import functions as F
 from timespan.llm.common import LOWER, SMALL_ROWS, counted, hashes, small, stored, table, utf8, without
 
 SHINGLE = 5
-#: Tokens called frequent: how many at most, the least count, and the bitmap's bits as a power of two (16 MB).
-FREQUENT_LIMIT, FREQUENT_COUNT, FREQUENT_BITS = 8_000_000, 8, 27
+#: Tokens called frequent: how many at most, the least count, and the bitmap's bits as a power of two (8 MB).
+FREQUENT_LIMIT, FREQUENT_COUNT, FREQUENT_BITS = 4_000_000, 8, 26
 
 #: Prefixes of sets of LONG tokens or more are extended until similar sets have COMMON keys in common.
 COMMON, LONG = 3, 20
@@ -124,7 +124,8 @@ def frequent_tokens(docs: DataFrame, limit: int = FREQUENT_LIMIT, least: int = F
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(_words_of(x)) for x in set(batch.column(0).to_pylist())]
-            tokens, n = counted(np.concatenate(sets) if sets else np.empty(0, np.uint64))
+            sets = np.concatenate([np.empty(0, np.uint64), *sets])  # the sets themselves can go
+            tokens, n = counted(sets)
             again = n > 1
             yield pa.RecordBatch.from_arrays([pa.array(tokens[again].view(np.int64)), pa.array(n[again].astype(np.int64))], ["token", "n"])
 

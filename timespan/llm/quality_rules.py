@@ -16,11 +16,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from timespan.llm.common import LOWER, SMALL_ROWS, hashes, signed, small, stored, utf8
 
@@ -133,7 +134,7 @@ def quality_rules(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOC
 def _line_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         lines = [list({line_hash(words) for line in cell.as_py().translate(LOWER).split(b"\n") if (words := line.split())}) for cell in batch.column(2)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lines, pa.list_(pa.int64()))], ["host", "content", "lines"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lines, pa.list_(pa.int64()))], batch.schema.names[:2] + ["lines"])
 
 
 def clean(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, min_words: int = MIN_WORDS) -> DataFrame:
@@ -149,42 +150,42 @@ def clean(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, max_s
     if few:
         known = {r["host"]: frozenset(r["lines"]) for r in over.groupBy("host").agg(F.collect_list("line").alias("lines")).collect()}  # SMALL_ROWS lines at most
     shared = docs.sparkSession.sparkContext.broadcast(known)
+    text_at, chars_at = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+    names, schema = [f"c{k}" for k in range(len(docs.columns))], docs.schema
 
-    @F.pandas_udf("kept boolean, less binary")
-    def judge(texts: pd.Series, hosts: pd.Series, lines: pd.Series) -> pd.DataFrame:
-        rows = []
-        for text, own, more in zip(texts, hosts, lines, strict=True):
-            n, removed = len(words := text.split()), shared.value.get(own, frozenset()) if more is None else frozenset(more)
-            less = without_lines(text, removed) if removed else text
-            rows.append((not failed(n, repeated_words(words)) and (len(less) == len(text) or len(less.split()) >= min_words), None if len(less) == len(text) else less))
-        return pd.DataFrame(rows, columns=["kept", "less"])
-
-    own = docs.select(F.struct("*").alias("doc"), F.coalesce(F.col(host).cast("string"), F.lit("\0")).alias("own_h"), utf8().alias("body"))
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, hosts, lists = batch.columns[: len(names)], batch.column(len(names)).to_pylist(), batch.column(len(names) + 1)
+            kept, texts = [], []
+            for cell, host_name, lines in zip(own[text_at].cast(pa.binary()), hosts, lists, strict=True):
+                text = cell.as_py() or b""
+                removed = frozenset(lines.as_py()) if lines.is_valid else shared.value.get(host_name, frozenset())
+                less = without_lines(text, removed) if removed else text
+                words = text.split()
+                kept.append(not failed(len(words), repeated_words(words)) and (len(less) == len(text) or len(less.split()) >= min_words))
+                texts.append(None if len(less) == len(text) or not kept[-1] else less.decode())
+            changed = pa.array([t is not None for t in texts], pa.bool_())
+            own[text_at] = pc.if_else(changed, pa.array(texts, own[text_at].type), own[text_at])
+            if chars_at is not None:
+                own[chars_at] = pc.if_else(changed, pa.array([None if t is None else len(t) for t in texts], own[chars_at].type), own[chars_at])
+            yield pa.RecordBatch.from_arrays(own, names).filter(pa.array(kept, pa.bool_()))
+
+    own = docs.toDF(*names).withColumn("host", F.coalesce(F.col(names[docs.columns.index(host)]).cast("string"), F.lit("\0")))
     if few:
         own = own.withColumn("lines", F.lit(None).cast("array<long>"))
     else:
-        own = _with_their_lines(own, over)
-    found = own.withColumn("judged", judge("body", "own_h", "lines")).filter("judged.kept").withColumn("less", F.col("judged.less").cast("string"))
-    new = {c: F.col("doc").getField(c) for c in docs.columns}
-    new["text"] = F.coalesce("less", new["text"])
-    if "n_chars" in new:
-        new["n_chars"] = F.when(F.col("less").isNotNull(), F.length("less").cast(docs.schema["n_chars"].dataType)).otherwise(new["n_chars"])
-    return found.select(*(x.alias(c) for c, x in new.items()))
+        own = _with_their_lines(own, over, names[text_at])
+    renamed = T.StructType([T.StructField(n, f.dataType) for n, f in zip(names, schema, strict=True)])
+    return own.select(*names, "host", "lines").mapInArrow(judge, renamed).toDF(*docs.columns)
 
 
-def _with_their_lines(own: DataFrame, over: DataFrame) -> DataFrame:
+def _with_their_lines(own: DataFrame, over: DataFrame, text: str) -> DataFrame:
     """own with the hashes of those of its lines that are over the limits, from a join by line: no host's list is gathered."""
     own = stored(own.withColumn("row", F.monotonically_increasing_id()))
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lines = [list({line_hash(words) for line in cell.as_py().translate(LOWER).split(b"\n") if (words := line.split())}) for cell in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lines, pa.list_(pa.int64()))], ["row", "host", "lines"])
-
-    has = own.select("row", F.col("own_h").alias("host"), "body").mapInArrow(split, "row long, host string, lines array<long>").select("row", "host", F.explode("lines").alias("line"))
+    schema = "host string, row long, lines array<long>"
+    has = own.select("host", "row", utf8(text).alias("text")).mapInArrow(_line_hashes, schema).select("row", "host", F.explode("lines").alias("line"))
     removed = has.join(over, ["host", "line"]).groupBy("row").agg(F.collect_set("line").alias("lines"))
-    none = F.expr("cast(array() AS array<bigint>)")
-    return own.join(removed, "row", "left").withColumn("lines", F.coalesce("lines", none))
+    return own.join(removed, "row", "left").withColumn("lines", F.coalesce("lines", F.expr("cast(array() AS array<bigint>)")))
 
 
 def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
