@@ -527,3 +527,9 @@ def test_quality_labels_improve_nothing_that_is_empty(spark):
     labels = spark.createDataFrame([(0, 1, 0), (0, 0, 1), (None, None, None)], "doc_id long, quality int, toxic int")
     out = qc.classify_quality(docs(spark, ODD, IDS), labels)
     assert out.count() == len(ODD) and out.filter(F.col("kept").isNull()).count() == 0
+
+
+def test_language_model_beats_the_base_score_on_held_out_documents(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    r = lm.score_documents(table).filter("held_out").agg(F.sum("score").alias("score"), F.sum("base_score").alias("base"), F.sum("n_tokens").alias("n")).first()
+    assert r.score - r.base > 0.1 * r.n
