@@ -121,6 +121,13 @@ def merge_chunks(results: DataFrame) -> DataFrame:
     return results.groupBy("media_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(item)), lambda x: x["text"]), " ").alias("text"), F.min_by("language", "chunk_idx").alias("language"), F.count(F.lit(1)).alias("n_chunks"))
 
 
+def merge_chunk_words(words: DataFrame, chunks: DataFrame) -> DataFrame:
+    """media_id, words: those of all chunks (chunk_idx, word_idx, text, chunk-local times) as one transcript's, in order and on the medium's timeline."""
+    item = F.struct("chunk_idx", "word_idx", "text", "start_us", "end_us")
+    merged = shift(words, chunks).groupBy("media_id").agg(F.sort_array(F.collect_list(item)).alias("w"))
+    return merged.select("media_id", F.transform("w", lambda x: F.struct(x["text"].alias("text"), x["start_us"].alias("start_us"), x["end_us"].alias("end_us"))).alias("words"))
+
+
 def language_vote(results: DataFrame, asked: str) -> DataFrame:
     """The first language that was found, else the one asked for."""
     return results.groupBy("media_id").agg(F.coalesce(F.min_by("language", F.when(F.length("language") > 0, F.col("chunk_idx"))), F.lit(asked)).alias("language"))

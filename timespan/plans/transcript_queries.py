@@ -243,3 +243,12 @@ def cleaned_external_segments(spark, d):
     word = lambda s, x: F.struct(F.lit(s).alias("s"), F.lit("1").alias("e"), F.lit(x).alias("text"))
     outside = c.select(F.col("conv_id").cast("long").alias("media_id"), t.cast("long").alias("seg_idx"), F.when(t % 5 == 0, "bad").otherwise((t * 1.5).cast("string")).alias("start_s"), t.cast("string").alias("end_s"), F.when(t % 2 == 0, F.lit(" ")).otherwise(F.concat(F.lit(" "), "role")).alias("text"), F.array(word("0", "a"), word("x", "lost"), word("2", "b")).alias("words"))
     return tr.clean_external(outside)
+
+
+@query(fx.sql("words", query="SELECT media_id, (row_number() OVER (PARTITION BY media_id ORDER BY seg_idx, word_idx) - 1)::INTEGER AS pos, text, start_us, end_us FROM words"))
+def merged_chunk_words(spark, d):
+    w = fx.words(spark, d).withColumnRenamed("seg_idx", "chunk_idx")
+    chunks = w.groupBy("media_id", "chunk_idx").agg(F.min("start_us").alias("start_us"))
+    own = w.join(chunks.withColumnRenamed("start_us", "from_us"), ["media_id", "chunk_idx"])
+    local = own.select("media_id", "chunk_idx", "word_idx", "text", (F.col("start_us") - F.col("from_us")).alias("start_us"), (F.col("end_us") - F.col("from_us")).alias("end_us"))
+    return tr.merge_chunk_words(local, chunks).select("media_id", F.posexplode("words").alias("pos", "w")).select("media_id", "pos", "w.*")
