@@ -92,9 +92,19 @@ def test_sentence_marks_and_joins(spark):
     assert [r.text for r in df.orderBy("sent_idx").collect()] == ["hi .", "next 世界"]
 
 
-def test_marks_restored():
-    assert sm.restore_marks("Hello，world。再见！", ["hello", "world", "再见"]) == ["hello,", "world.", "再见！"]
-    assert sm.restore_marks("abc", ["x", "abc"]) == ["x", "abc"]
+@pytest.mark.parametrize(("raw", "words", "marked"), [
+    ("Hello，world。再见！", ["hello", "world", "再见"], ["hello,", "world.", "再见！"]),
+    ("abc", ["x", "abc"], ["x", "abc"]),
+    ("a b. c?!", ["a", "no", "c", "b"], ["a", "no", "c", "b"]),  # without marks or a next word, the text is used up
+    ("a, b. c?!", ["a", "no", "c."], ["a,", "no", "c."]),
+    ("一、二。 三", ["一,", "一", "二", "三"], ["一,", "一、", "二。", "三"]),
+    ("", ["a"], ["a"]),
+    (None, ["a."], ["a."]),
+])
+def test_marks_restored(spark, raw, words, marked):
+    stamps = spark.createDataFrame([(1, 0, k, w, k, k + 1) for k, w in enumerate(words)], "media_id long, chunk_idx long, pos int, text string, start_us long, end_us long")
+    chunks = spark.createDataFrame([(1, 0, raw)], "media_id long, chunk_idx long, text string")
+    assert [r.text for r in sm.with_marks(stamps, chunks).orderBy("pos").collect()] == marked
 
 
 def test_lines():

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from timespan.functions.clock import chunk_count
-from timespan.functions.text import FULL_MARKS, HALF_MARKS
+from timespan.functions.text import FULL_MARKS, HALF_MARKS, half_after_latin
 from timespan.operators import intervals as iv
 
 #: Marks that end a sentence, that end a clause, and that end a subtitle line. Fixed values.
@@ -19,7 +19,6 @@ _HALF = str.maketrans(FULL_MARKS, HALF_MARKS)
 _YIELDING = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" + "。，、！？；："
 #: What stands between two tokens, by whether the first ends and the second starts with a Latin letter or digit.
 _BETWEEN = {(False, False): "", (False, True): " ", (True, False): " ", (True, True): " "}
-_LEADING = re.compile(r"[^\w\s]*")
 
 
 def token_classes(words: DataFrame) -> DataFrame:
@@ -71,46 +70,59 @@ def sentences(words: DataFrame, chars: int = 40, longest: int = 7_000_000, gap:
     return classed.groupBy("media_id").applyInPandas(run, "media_id long, sent_idx long, start_us long, end_us long, text string, n_words long")
 
 
-def restore_marks(text: str, words: list[str]) -> list[str]:
-    """Each word with the first mark that stands right after it in text; words that aren't found stay.
+def _let(value: Column, body) -> Column:
+    """body(value), with value computed once."""
+    return F.transform(F.array(value), body)[0]
 
-    The text is eaten up from the left: to the end of a found word and of the marks after it or, without marks, to where
-    the next word is (to the end if it isn't there).
+
+def _folded(text: Column) -> Column:
+    """text in lower case, character by character."""
+    return F.lower(F.translate(text, "İ", "i"))
+
+
+def marked_words(raw: Column, words: Column, low: Column, lows: Column) -> Column:
+    """The array of words (raw and words in lower case are low and lows), each with the first mark that follows it in raw, in half width after Latin; others stay.
+
+    A fold over the words keeps the place in raw from which the next one is looked for, without regard to case. It is
+    behind a found word's marks or, without marks, where the next word stands (behind the text if it stands nowhere).
     """
-    left, out = text, []
-
-    def cut(word: str) -> int:
-        """Where word is in what is left, as its characters are in lower case; -1 if nowhere."""
-        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in left)
-        return low.find(word.lower())
-
-    for word, following in zip(words, [*words[1:], None], strict=False):
-        at = cut(word)
-        if at >= 0:
-            left = left[at + len(word) :]
-            ahead = cut(following) if following is not None else -1
-            between = left if ahead < 0 else left[:ahead]
-            marks = _LEADING.match(between)[0]
-            left = left[len(marks or between) :]
-            if marks:
-                latin = word[-1:].isascii() and word[-1:].isalnum()
-                word = word.rstrip(_YIELDING) + (marks[0].translate(_HALF) if latin else marks[0])
-        out.append(word)
-    return out
+    def step(state: Column, k: Column) -> Column:
+        def marks_of(gap: Column) -> Column:
+            return F.regexp_extract(F.substr(raw, gap["end"], gap["next"] - gap["end"]), r"(?U)^[^\w\s]*", 0)
 
+        def kept(at: Column, mark: Column) -> Column:
+            return F.struct(at.alias("at"), F.concat(state["marks"], F.array(mark)).alias("marks"))
 
-def with_marks(stamps: DataFrame, chunks: DataFrame) -> DataFrame:
-    """stamps with the marks of their chunk's text."""
+        def gap_after(place: Column) -> Column:
+            end = place + F.length(F.element_at(lows, k))
+            following = F.nullif(F.position(F.get(lows, k), low, end), F.lit(0))
+            return F.struct(end.alias("end"), F.coalesce(following, F.length(raw) + 1).alias("next"))
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left = left.sort_values("pos")
-        if len(left) and len(right):
-            left = left.assign(text=restore_marks(right["raw"].iloc[0], left["text"].tolist()))
-        return left
+        def found(place: Column) -> Column:
+            return _let(gap_after(place), lambda gap: _let(marks_of(gap), lambda m: kept(
+                F.when(m == "", gap["next"]).otherwise(gap["end"] + F.length(m)), F.left(m, F.lit(1))
+            )))
 
-    a = stamps.select("media_id", "chunk_idx", "pos", "text", "start_us", "end_us").groupBy("media_id", "chunk_idx")
-    b = chunks.select("media_id", "chunk_idx", F.col("text").alias("raw")).groupBy("media_id", "chunk_idx")
-    return a.cogroup(b).applyInPandas(run, "media_id long, chunk_idx long, pos int, text string, start_us long, end_us long")
+        place = F.position(F.element_at(lows, k), low, state["at"])
+        return _let(place, lambda p: F.when(p > 0, found(p)).otherwise(kept(state["at"], F.lit(""))))
+
+    start = F.expr("struct(1 AS at, cast(array() AS array<string>) AS marks)")
+    marks = F.aggregate(F.sequence(F.lit(1), F.size(words)), start, step, lambda state: state["marks"])
+    return F.zip_with(words, marks, lambda w, m: F.when(m == "", w).otherwise(
+        F.concat(F.rtrim(w, F.lit(_YIELDING)), half_after_latin(m, w))
+    ))
+
+
+def with_marks(stamps: DataFrame, chunks: DataFrame) -> DataFrame:
+    """stamps with the marks of their chunk's text; those of a chunk without a text stay."""
+    item = F.struct("pos", F.coalesce("text", F.lit("")).alias("text"), "start_us", "end_us")
+    held = stamps.groupBy("media_id", "chunk_idx").agg(F.sort_array(F.collect_list(item)).alias("w"))
+    raw = chunks.select("media_id", "chunk_idx", F.coalesce("text", F.lit("")).alias("raw"))
+    df = held.join(raw, ["media_id", "chunk_idx"], "left").fillna("", ["raw"])
+    df = df.withColumns({"low": _folded(F.col("raw")), "words": F.col("w.text"), "lows": F.transform("w.text", _folded)})
+    df = df.withColumn("said", marked_words(*(F.col(c) for c in ("raw", "words", "low", "lows"))))
+    each = df.select("media_id", "chunk_idx", F.explode(F.arrays_zip("w", "said")).alias("x"))
+    return each.select("media_id", "chunk_idx", "x.w.pos", F.col("x.said").alias("text"), "x.w.start_us", "x.w.end_us")
 
 
 _LINE_ENDS = re.compile(f"[{re.escape(LINE_MARKS)}]")
