@@ -33,16 +33,25 @@ def wide_punctuation(c: Column) -> Column:
     return F.translate(lowered, "、､･※,，.;:!?", "，，，，，，。；：！？")
 
 
+#: Marks of searched text, and what they count as. Fixed values.
+SEARCH_MARKS, SEARCH_AS = "、､･※,，.;:!?", "，，，，，，。；：！？"
+
+
+def search_text(c: Column) -> Column:
+    """Text as it is searched: trimmed, in lower case, marks in full width; inner white space stays."""
+    return F.translate(F.lower(strip(c)), SEARCH_MARKS, SEARCH_AS)
+
+
+def search_phrase(phrase: str) -> str:
+    """The same of a caller's phrase."""
+    return phrase.strip().lower().translate(str.maketrans(SEARCH_MARKS, SEARCH_AS))
+
+
 def half_after_latin(mark: Column, before: Column) -> Column:
     """A mark in half width where the text before it ends in Latin letters or digits."""
     return F.when(F.regexp_like(before, F.lit("[A-Za-z0-9]$")), F.translate(mark, FULL_MARKS, HALF_MARKS)).otherwise(mark)
 
 
-def after_marker(c: Column, marker: str = "<asr_text>") -> Column:
-    at = F.instr(c, marker)
-    return strip(F.when(at > 0, F.substr(c, at + len(marker))).otherwise(c))
-
-
 def language_name(code: Column) -> Column:
     key = F.lower(strip(code))
     known = F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair])

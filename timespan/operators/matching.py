@@ -5,28 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from timespan.functions.text import search_phrase, search_text
 
 def _live(tokens: DataFrame) -> DataFrame:
     """Tokens in order; run changes where a token that can't match (blank, or no word) breaks the sequence."""
     w = Window.partitionBy("media_id").orderBy("pos")
     ok = F.col("type").isin("word", "punctuation") & (F.btrim("text") != "")
-    return tokens.withColumn("run", F.sum((~ok).cast("int")).over(w)).filter(ok).withColumn("low", F.lower("text"))
+    return tokens.withColumn("run", F.sum((~ok).cast("int")).over(w)).filter(ok).withColumn("low", search_text(F.col("text")))
 
 
 def match_parts(tokens: DataFrame, parts: list[str]) -> DataFrame:
     """Places where contiguous tokens equal the parts, overlapping ones included: first and last position."""
     w = Window.partitionBy("media_id", "run").orderBy("pos")
     df = _live(tokens)
-    hit = F.col("low") == parts[0].lower()
+    hit = F.col("low") == search_phrase(parts[0])
     for k, part in enumerate(parts[1:], 1):
-        hit = hit & (F.lead("low", k).over(w) == part.lower())
+        hit = hit & (F.lead("low", k).over(w) == search_phrase(part))
     last = F.lead("pos", len(parts) - 1).over(w) if len(parts) > 1 else F.col("pos")
     return df.withColumn("hit", hit).withColumn("last_pos", last).filter("hit").select("media_id", F.col("pos").alias("first_pos"), "last_pos")
 
 
 def match_joined(tokens: DataFrame, phrase: str) -> DataFrame:
     """Places where contiguous tokens, joined, equal the phrase without its spaces."""
-    wanted = "".join(phrase.lower().split())
+    wanted = "".join(search_phrase(phrase).split())
     w = Window.partitionBy("media_id", "run").orderBy("pos")
     ends = _live(tokens).withColumn("end", F.sum(F.length("low")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     # each token has a character or more, so a match has as many tokens as the phrase has characters at most
@@ -46,6 +47,11 @@ def match_fillers(tokens: DataFrame, phrases: list[str]) -> DataFrame:
     return out.select("media_id", F.explode(F.sequence("first_pos", "last_pos")).alias("pos")).distinct()
 
 
+def silence_ranges(tokens: DataFrame) -> DataFrame:
+    """media_id, start_us, end_us of all silence tokens, to be cut."""
+    return tokens.filter("kind = 'silence'").select("media_id", "start_us", "end_us")
+
+
 def keys_between(tokens: DataFrame, picks: DataFrame) -> DataFrame:
     """Positions from one picked key to another, in either order; only the end where the start isn't known."""
     at = tokens.select("media_id", "key", "pos")

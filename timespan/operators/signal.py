@@ -48,12 +48,34 @@ def zero_crossings(samples: DataFrame) -> DataFrame:
 
 
 def snap_to_zero(targets: DataFrame, samples: DataFrame, reach: int) -> DataFrame:
-    """Each target moved to the nearest crossing within reach, else to the quietest sample there, else kept."""
-    near = targets.join(zero_crossings(samples), "media_id").filter(F.abs(F.col("pos") - F.col("target")) <= reach)
+    """Each target moved to the nearest crossing within reach, else to the quietest sample there, else kept.
+
+    A target meets only the samples of its bin of `reach` places and of the bins beside it.
+    """
+    width = max(reach, 1)
+
+    def place(c: str):
+        return F.floor(F.col(c) / width)
+
+    near_bins = F.explode(F.sequence(place("target") - 1, place("target") + 1)).alias("bin")
+    t = targets.select("media_id", "target").distinct().select("media_id", "target", near_bins)
+    crossings = zero_crossings(samples).withColumn("bin", place("pos"))
+    near = t.join(crossings, ["media_id", "bin"]).filter(F.abs(F.col("pos") - F.col("target")) <= reach)
     best = near.groupBy("media_id", "target").agg(F.min_by("pos", F.struct(F.abs(F.col("pos") - F.col("target")), "pos")).alias("crossing"))
-    quiet = targets.join(samples, "media_id").filter(F.abs(F.col("sample_idx") - F.col("target")) <= reach)
+    quiet = t.join(samples.withColumn("bin", place("sample_idx")), ["media_id", "bin"]).filter(F.abs(F.col("sample_idx") - F.col("target")) <= reach)
     least = quiet.groupBy("media_id", "target").agg(F.min_by("sample_idx", F.struct(F.abs("v"), "sample_idx")).cast("double").alias("quietest"))
-    return targets.join(best, ["media_id", "target"], "left").join(least, ["media_id", "target"], "left").select("media_id", "target", F.coalesce("crossing", "quietest", F.col("target").cast("double")).alias("snapped"))
+    moved = targets.join(best, ["media_id", "target"], "left").join(least, ["media_id", "target"], "left")
+    return moved.select("media_id", "target", F.coalesce("crossing", "quietest", F.col("target").cast("double")).alias("snapped"))
+
+
+def snap_ranges_to_zero(ranges: DataFrame, samples: DataFrame, reach: int) -> DataFrame:
+    """Ranges (media_id, first, last, in samples) with both ends snapped; one that would be empty or reversed stays as it was."""
+    ends = ranges.select("media_id", F.explode(F.array("first", "last")).alias("target")).distinct()
+    moved = snap_to_zero(ends, samples, reach)
+    a, b = (moved.select("media_id", F.col("target").alias(c), F.col("snapped").alias(f"{c}_at")) for c in ("first", "last"))
+    df = ranges.join(a, ["media_id", "first"]).join(b, ["media_id", "last"])
+    good = F.col("last_at") > F.col("first_at")
+    return df.select("media_id", "first", "last", *(F.when(good, F.col(f"{c}_at")).otherwise(F.col(c).cast("double")).alias(f"{c}_at") for c in ("first", "last")))
 
 
 def mono(samples: DataFrame) -> DataFrame:

@@ -67,18 +67,15 @@ def keep_by_word(words: DataFrame, deletes: DataFrame, totals: DataFrame, tolera
     return iv.guarded_merge(iv.surviving(iv.clamp(ids, totals), deletes, tolerance), deletes, gap)
 
 
-def silences(words: DataFrame, totals: DataFrame, least: int = 1_200_000, near: int = 1_000, strict_gaps: bool = False) -> DataFrame:
+def silences(words: DataFrame, totals: DataFrame, least: int = 1_200_000, near: int = 1_000) -> DataFrame:
     """Gaps of speech of `least` or more, with their distances to the speech ranges of the same place in order.
 
-    Place k compares with speech ranges k - 1 and k. Where speech starts at 0 that is one too early; strict_gaps
-    compares with the neighbours instead.
+    Place k compares with speech ranges k - 1 and k; where speech starts at 0 that is one too early.
     """
     speech = iv.merge(words.filter("end_us > start_us").select("media_id", "start_us", "end_us"))
     w = Window.partitionBy("media_id").orderBy("start_us")
     numbered = speech.withColumn("k", F.row_number().over(w) - 1)
     quiet = iv.complement(speech, totals.join(speech.select("media_id").distinct(), "media_id", "left_semi")).withColumn("k", F.row_number().over(w) - 1)
-    if strict_gaps:
-        return quiet.filter(F.col("end_us") - F.col("start_us") + near >= least).select("media_id", "start_us", "end_us", F.lit(0).cast("long").alias("gap_before_us"), F.lit(0).cast("long").alias("gap_after_us"))
     before = numbered.select("media_id", (F.col("k") + 1).alias("k"), F.col("end_us").alias("prev_end"))
     after = numbered.select("media_id", "k", F.col("start_us").alias("next_start"))
     j = quiet.join(before, ["media_id", "k"], "left").join(after, ["media_id", "k"], "left").filter(F.col("end_us") - F.col("start_us") + near >= least)
@@ -109,6 +106,12 @@ def page_summary(pages: DataFrame) -> DataFrame:
     return pages.groupBy("media_id").agg(F.max("total").alias("total"), F.count(F.lit(1)).alias("returned"), F.sum(F.octet_length("text")).alias("text_bytes"))
 
 
+def union_pages(words: DataFrame) -> DataFrame:
+    """Words of a transcript's pages (page_idx, and seg_idx within the page) as those of one transcript, segments numbered through."""
+    place = F.dense_rank().over(Window.partitionBy("media_id").orderBy("page_idx", "seg_idx")) - 1
+    return words.withColumn("seg_idx", place.cast("long")).drop("page_idx")
+
+
 def shift(words: DataFrame, chunks: DataFrame) -> DataFrame:
     """Chunk-local times moved by each chunk's start; missing times count as 0."""
     moved = words.join(chunks.select("media_id", "chunk_idx", F.col("start_us").alias("offset_us")), ["media_id", "chunk_idx"])

@@ -7,6 +7,7 @@ from timespan import fixtures as fx
 from timespan.functions import text as tx
 from timespan.operators import matching as mt
 from timespan.operators import segmentation as sm
+from timespan.operators import transcripts as tr
 from timespan.plans.transcript_queries import SEGS
 from timespan.registry import query
 
@@ -160,8 +161,27 @@ def allotted_stamps(spark, d):
     return sm.allot_stamps(units, w.select("media_id", "seg_idx", F.col("word_idx").alias("k"), "start_us", "end_us"))
 
 
-@query(fx.sql("words", query="""SELECT media_id, seg_idx, word_idx, 'word' AS kind, text, start_us, CASE WHEN ns = seg_idx AND nx - end_us > 0 AND nx - end_us < 600000 THEN nx ELSE end_us END AS end_us, false AS attached FROM l
+_PAUSES = """SELECT media_id, seg_idx, word_idx, 'word' AS kind, text, start_us, CASE WHEN ns = seg_idx AND nx - end_us > 0 AND nx - end_us < 600000 THEN nx ELSE end_us END AS end_us, false AS attached FROM l
 UNION ALL SELECT media_id, ps, word_idx, CASE WHEN ps = seg_idx AND start_us - pe >= 1600000 THEN 'silence' ELSE 'punctuation' END, CASE WHEN ps = seg_idx AND start_us - pe >= 1600000 THEN NULL WHEN start_us - pe < 1100000 THEN '，' ELSE '。' END, pe, start_us, ps <> seg_idx
-FROM l WHERE (ps = seg_idx AND start_us - pe >= 600000) OR (ps <> seg_idx AND start_us - pe > 100)""", more="l AS (SELECT *, lag(end_us) OVER w AS pe, lag(seg_idx) OVER w AS ps, lead(start_us) OVER w AS nx, lead(seg_idx) OVER w AS ns FROM words WINDOW w AS (PARTITION BY media_id ORDER BY seg_idx, word_idx))"))
+FROM l WHERE (ps = seg_idx AND start_us - pe >= 600000) OR (ps <> seg_idx AND start_us - pe > 100)"""
+_AROUND = "l AS (SELECT *, lag(end_us) OVER w AS pe, lag(seg_idx) OVER w AS ps, lead(start_us) OVER w AS nx, lead(seg_idx) OVER w AS ns FROM words WINDOW w AS (PARTITION BY media_id ORDER BY seg_idx, word_idx))"
+
+
+@query(fx.sql("words", query=_PAUSES, more=_AROUND))
 def pause_tokens(spark, d):
     return sm.pause_tokens(fx.words(spark, d))
+
+
+_UNION = "u AS (SELECT media_id, dense_rank() OVER (PARTITION BY media_id ORDER BY seg_idx) - 1 AS seg_idx, word_idx, text, start_us, end_us FROM words), " + _AROUND.replace("FROM words", "FROM u")
+
+
+@query(fx.sql("words", query=_PAUSES, more=_UNION))
+def page_union_tokens(spark, d):
+    """Tokens of the union of pages of three turns, whose segments are numbered in each page."""
+    w = fx.words(spark, d).withColumn("page_idx", F.floor(F.col("seg_idx") / 3)).withColumn("seg_idx", F.col("seg_idx") % 3)
+    return sm.pause_tokens(tr.union_pages(w))
+
+
+@query(fx.sql("words", query=f"SELECT media_id, start_us, end_us FROM ({_PAUSES.replace('1600000', '650000')}) WHERE kind = 'silence'", more=_AROUND))
+def silence_token_ranges(spark, d):
+    return mt.silence_ranges(sm.pause_tokens(fx.words(spark, d), silence=650_000))

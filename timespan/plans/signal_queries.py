@@ -46,6 +46,23 @@ def snapped_to_zero(spark, d):
     return sg.snap_to_zero(targets, s, 1).withColumn("snapped", F.round("snapped", 9))
 
 
+def _snapped_sql(target: str) -> str:
+    """Snapped targets, by comparing each with all samples of its medium."""
+    return f"""t AS (SELECT DISTINCT media_id, {target} AS target FROM signal, range(0, 12) r(i)),
+c AS (SELECT t.media_id, t.target, arg_min(pos, (abs(pos - target), pos)) AS pos FROM t JOIN x ON t.media_id = x.media_id AND abs(pos - target) <= 2 GROUP BY ALL),
+q AS (SELECT t.media_id, t.target, arg_min(sample_idx, (abs(v), sample_idx)) AS sample_idx FROM t JOIN signal s ON t.media_id = s.media_id AND abs(sample_idx - target) <= 2 GROUP BY ALL),
+z AS (SELECT t.media_id, t.target, coalesce(c.pos, q.sample_idx::DOUBLE, t.target::DOUBLE) AS snapped FROM t LEFT JOIN c USING (media_id, target) LEFT JOIN q USING (media_id, target))"""
+
+
+@query(fx.sql("signal", query="""SELECT media_id, first, last, round(CASE WHEN b > a THEN a ELSE first END, 9) AS first_at, round(CASE WHEN b > a THEN b ELSE last END, 9) AS last_at
+FROM (SELECT a.media_id, a.target AS first, b.target AS last, a.snapped AS a, b.snapped AS b FROM z a JOIN z b ON a.media_id = b.media_id AND b.target = a.target + 2 WHERE a.target % 7 = 0)""", more=_CROSS + ", " + _snapped_sql("unnest([i * 7, i * 7 + 2])")))
+def ranges_snapped_to_zero(spark, d):
+    s = fx.ordered_events(spark, d)
+    first = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(77).cast("long"), F.lit(7).cast("long"))).alias("first")
+    ranges = s.select("media_id").distinct().select("media_id", first).withColumn("last", F.col("first") + 2)
+    return sg.snap_ranges_to_zero(ranges, s, 2).withColumns({c: F.round(c, 9) for c in ("first_at", "last_at")})
+
+
 @query(fx.sql("signal", query="SELECT media_id, sample_idx // 2 AS sample_idx, round(avg(v), 9) AS v FROM signal GROUP BY ALL"))
 def mono_mix(spark, d):
     return sg.mono(fx.ordered_events(spark, d).withColumn("sample_idx", F.floor(F.col("sample_idx") / 2))).withColumn("v", F.round("v", 9))

@@ -1,5 +1,6 @@
 """Queries of readers and writers over texts that Spark derives from the tables."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from timespan import fixtures as fx
@@ -135,3 +136,58 @@ def checked_artefacts(spark, d):
     files = c.filter("k <> 0").select("name", F.when(F.col("k") == 2, F.concat(F.lit("version https://git-lfs.github.com/spec/v1 "), "body")).otherwise(F.col("body")).cast("binary").alias("content"))
     manifest = c.select("name", F.when(F.col("k") == 1, F.lit("0")).otherwise(F.sha2("body", 256)).alias("sha256"))
     return dc.check_artefacts(files, manifest)
+
+
+_RANKED = "SELECT media_id, dense_rank() OVER (PARTITION BY media_id ORDER BY seg_idx) - 1 AS seg_idx, word_idx, text, start_us, end_us, conf FROM words"
+
+
+def _languages(spark, d):
+    return fx.word_totals(spark, d).select("media_id", F.lit("en").alias("language"))
+
+
+@query(fx.sql("words", query=_RANKED))
+def transcript_round_trip(spark, d):
+    """Words written as transcript JSON and read again."""
+    texts = dc.transcript_json(fx.words(spark, d), _languages(spark, d)).withColumn("path", F.format_string("%d.json", "media_id"))
+    words = dc.transcripts_of(texts).select("path", "seg_idx", F.posexplode("words").alias("word_idx", "w"))
+    return words.select(F.regexp_extract("path", r"^\d+", 0).cast("long").alias("media_id"), F.col("seg_idx").cast("long"), "word_idx", "w.text", "w.start_us", "w.end_us", "w.conf")
+
+
+@query(fx.sql("words", query=f"""SELECT media_id || '.json' AS path, seg_idx, min(start_us) AS start_us, max(end_us) AS end_us, string_agg(text, ' ' ORDER BY start_us, end_us, word_idx) AS text, count(*) AS n_words FROM ({_RANKED}) WHERE media_id % 2 = 0 GROUP BY media_id, seg_idx
+UNION ALL SELECT media_id || '.srt', n - 1, a * 1000, b * 1000, text, 0 FROM ck WHERE media_id % 2 = 1""", more=_SQL_LINES))
+def transcripts_by_suffix(spark, d):
+    """JSON transcripts of even media and subtitles of odd ones, read by suffix."""
+    json = dc.transcript_json(fx.words(spark, d).filter("media_id % 2 = 0"), _languages(spark, d)).select(F.format_string("%d.json", "media_id").alias("path"), "value")
+    srt = sb.to_srt(_lines(spark, d).filter("media_id % 2 = 1")).select(F.format_string("%d.srt", "media_id").alias("path"), "value")
+    df = dc.transcripts_of(json.unionByName(srt))
+    return df.select("path", F.col("seg_idx").cast("long"), "start_us", "end_us", "text", F.size("words").cast("long").alias("n_words"))
+
+
+@query(fx.sql("words", query="""SELECT media_id, string_agg(text, ' ' ORDER BY seg_idx) AS text, 'l' || min(seg_idx) AS language, count(*) AS chunks, count(*) AS segments, max(start_us) AS last_us, 'c' || max(seg_idx) || '.json' AS last_file
+FROM (SELECT media_id, seg_idx, min(start_us) AS start_us, string_agg(text, ' ' ORDER BY start_us, end_us, word_idx) AS text FROM words GROUP BY media_id, seg_idx) GROUP BY media_id"""))
+def merged_transcripts(spark, d):
+    """Each turn a chunk: one JSON transcript of a conversation, read again with where its chunks begin."""
+    from timespan.operators.transcripts import rebuild_segments
+
+    s = rebuild_segments(fx.words(spark, d)).withColumn("chunk_idx", F.col("seg_idx"))
+    c = s.withColumn("file", F.format_string("c%d.json", "chunk_idx")).withColumn("language", F.format_string("l%d", "chunk_idx"))
+    about = "STRUCT<num_segments: BIGINT, segment_boundaries: ARRAY<STRUCT<index: BIGINT, start_offset: DOUBLE, transcript_file: STRING>>>"
+    read = F.from_json("value", f"text STRING, language STRING, segments ARRAY<STRUCT<start: DOUBLE>>, _metadata {about}")
+    df = dc.merged_transcript_json(c, s).select("media_id", read.alias("r"))
+    last = F.element_at("r._metadata.segment_boundaries", -1)
+    return df.select("media_id", "r.text", "r.language", F.col("r._metadata.num_segments").alias("chunks"), F.size("r.segments").cast("long").alias("segments"), F.rint(last["start_offset"] * 1e6).cast("long").alias("last_us"), last["transcript_file"].alias("last_file"))
+
+
+@query(fx.sql("ranges", query="""SELECT media_id, CASE WHEN media_id % 5 IN (1, 2) THEN NULL WHEN media_id % 5 = 3 THEN 0 ELSE count(*) END AS chunks,
+CASE WHEN media_id % 5 IN (0, 4) THEN min(start_us) END AS first_us, CASE WHEN media_id % 5 IN (0, 4) THEN sum(end_us - start_us)::BIGINT END AS total_us FROM ranges GROUP BY media_id"""))
+def chunk_list_round_trip(spark, d):
+    """Chunk lists written and read again; some are missing, broken or without chunks."""
+    r = fx.ranges(spark, d)
+    chunks = r.withColumn("chunk_idx", F.row_number().over(Window.partitionBy("media_id").orderBy("start_us", "end_us")) - 1).withColumn("file", F.format_string("c%d.mp4", "chunk_idx"))
+    k = F.col("media_id") % 5
+    value = F.when(k == 1, F.lit("{broken")).when(k == 2, F.lit(None)).when(k == 3, F.lit('{"version":"1.0"}')).otherwise(F.col("value"))
+    df = dc.chunk_lists(dc.chunk_list_json(chunks).withColumn("value", value))
+    us = F.transform("segments", lambda x: F.struct(*(F.rint(x[c] * 1e6).cast("long").alias(c) for c in ("start", "end"))))
+    total = F.aggregate(us, F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
+    kept = F.size("segments") > 0
+    return df.select("media_id", F.when(F.col("segments").isNotNull(), F.size("segments")).cast("long").alias("chunks"), F.when(kept, us[0]["start"]).alias("first_us"), F.when(kept, total).alias("total_us"))

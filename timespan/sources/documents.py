@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from timespan.operators import intervals as iv
+from timespan.sources import subtitles as sb
 
 WORD = "STRUCT<text: STRING, start: DOUBLE, end: DOUBLE, conf: DOUBLE>"
 TRANSCRIPT = f"language STRING, segments ARRAY<STRUCT<start: DOUBLE, end: DOUBLE, text: STRING, words: ARRAY<{WORD}>>>"
@@ -33,6 +34,78 @@ def transcript_segments(transcripts: DataFrame, key: str = "path") -> DataFrame:
     return s.select(key, "seg_idx", us(F.col("s.start")).alias("start_us"), us(F.col("s.end")).alias("end_us"), F.col("s.text").alias("text"), words.alias("words"))
 
 
+def transcripts_of(texts: DataFrame) -> DataFrame:
+    """path, seg_idx, start_us, end_us, text, words of texts (path, value): SRT by the suffix .srt, else transcript JSON.
+
+    JSON that doesn't fit the schema is an error. Subtitles have no words.
+    """
+    srt = F.endswith(F.lower("path"), F.lit(".srt"))
+    place = F.row_number().over(Window.partitionBy("path").orderBy("block")) - 1
+    none = F.expr("cast(array() AS ARRAY<STRUCT<text: STRING, start_us: BIGINT, end_us: BIGINT, conf: DOUBLE>>)")
+    lines = sb.parse_srt(texts.filter(srt)).select("path", place.alias("seg_idx"), "start_us", "end_us", "text", none.alias("words"))
+    parsed = F.from_json("value", TRANSCRIPT, {"mode": "FAILFAST"})
+    documents = transcript_segments(texts.filter(~srt).select("path", parsed.alias("d")).select("path", "d.segments"))
+    return documents.unionByName(lines)
+
+
+def load_transcripts(spark: SparkSession, path: str) -> DataFrame:
+    """The segments of all transcripts and subtitle files under path, by suffix."""
+    return transcripts_of(sb.read_texts(spark, path))
+
+
+def _seconds(item, *more: str):
+    times = ((item[c] / 1e6).alias(n) for c, n in (("start_us", "start"), ("end_us", "end")))
+    return F.struct(*times, *(item[c].alias(c) for c in more))
+
+
+def transcript_json(words: DataFrame, languages: DataFrame) -> DataFrame:
+    """media_id, value: each medium's transcript as JSON, from timed words and a language (media_id, language)."""
+    word = F.struct("start_us", "end_us", "word_idx", "text", "conf")
+    held = words.groupBy("media_id", "seg_idx").agg(F.sort_array(F.collect_list(word)).alias("w"))
+    segment = F.struct(
+        "seg_idx", F.col("w")[0]["start_us"].alias("start_us"), F.array_max("w.end_us").alias("end_us"),
+        F.array_join("w.text", " ").alias("text"), F.transform("w", lambda x: _seconds(x, "text", "conf")).alias("words"),
+    )
+    merged = held.groupBy("media_id").agg(F.sort_array(F.collect_list(segment)).alias("s"))
+    segments = F.transform("s", lambda x: _seconds(x, "text", "words")).alias("segments")
+    document = F.struct(F.coalesce("language", F.lit("")).alias("language"), segments)
+    return merged.join(languages, "media_id", "left").select("media_id", F.to_json(document).alias("value"))
+
+
+def merged_transcript_json(results: DataFrame, segments: DataFrame) -> DataFrame:
+    """media_id, value: one JSON transcript of a medium's chunks, with where they begin under _metadata.
+
+    results: media_id, chunk_idx, start_us, file, text, language. segments: media_id, chunk_idx, seg_idx, start_us,
+    end_us, text, on the medium's timeline. Chunks are in the order of chunk_idx; the language is that of the first one.
+    """
+    chunk = F.struct("chunk_idx", (F.col("start_us") / 1e6).alias("start_offset"), F.col("file").alias("transcript_file"), "text")
+    heads = results.groupBy("media_id").agg(F.sort_array(F.collect_list(chunk)).alias("c"), F.min_by("language", "chunk_idx").alias("language"))
+    item = F.struct("chunk_idx", "seg_idx", "start_us", "end_us", "text")
+    held = segments.groupBy("media_id").agg(F.sort_array(F.collect_list(item)).alias("s"))
+    bounds = F.transform("c", lambda x: F.struct(x["chunk_idx"].alias("index"), x["start_offset"], x["transcript_file"]))
+    about = F.struct(F.lit(True).alias("is_presplit"), F.size("c").alias("num_segments"), bounds.alias("segment_boundaries"))
+    listed = F.transform(F.coalesce("s", F.expr("cast(array() AS ARRAY<STRUCT<chunk_idx: BIGINT, seg_idx: BIGINT, start_us: BIGINT, end_us: BIGINT, text: STRING>>)")), lambda x: _seconds(x, "text"))
+    document = F.struct(F.array_join("c.text", " ").alias("text"), listed.alias("segments"), "language", about.alias("_metadata"))
+    return heads.join(held, "media_id", "left").select("media_id", F.to_json(document).alias("value"))
+
+
+_CHUNKS = "ARRAY<STRUCT<index: BIGINT, start: DOUBLE, end: DOUBLE, file: STRING>>"
+
+
+def chunk_list_json(chunks: DataFrame) -> DataFrame:
+    """media_id, value: the chunks (chunk_idx, start_us, end_us, file) of each medium as a chunk list."""
+    item = F.struct(F.col("chunk_idx").alias("index"), (F.col("start_us") / 1e6).alias("start"), (F.col("end_us") / 1e6).alias("end"), "file")
+    held = chunks.groupBy("media_id").agg(F.sort_array(F.collect_list(item)).alias("segments"))
+    return held.select("media_id", F.to_json(F.struct(F.lit("1.0").alias("version"), "segments")).alias("value"))
+
+
+def chunk_lists(texts: DataFrame) -> DataFrame:
+    """media_id, segments of chunk lists: null where the text is missing or isn't a JSON object, empty where it has none."""
+    document = F.when(F.startswith(F.ltrim("value"), F.lit("{")), F.try_parse_json("value")).isNotNull()
+    found = F.from_json("value", f"segments {_CHUNKS}")["segments"]
+    return texts.select("media_id", F.when(document, F.coalesce(found, F.expr(f"cast(array() AS {_CHUNKS})"))).alias("segments"))
+
+
 def keep_ranges(texts: DataFrame, totals: DataFrame) -> DataFrame:
     """Kept ranges of range files: keep_ranges as they are, else the complement of delete_ranges; a bare list is kept ranges."""
     d = F.from_json("value", f"keep_ranges {_RANGE}, delete_ranges {_RANGE}")
