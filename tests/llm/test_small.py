@@ -533,3 +533,86 @@ def test_language_model_beats_the_base_score_on_held_out_documents(spark):
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     r = lm.score_documents(table).filter("held_out").agg(F.sum("score").alias("score"), F.sum("base_score").alias("base"), F.sum("n_tokens").alias("n")).first()
     assert r.score - r.base > 0.1 * r.n
+
+
+def _labels_model_row_by_row(votes, start=0.85, prior=0.1, strength=20.0, rounds=60):
+    """Expectation-maximisation over rows, one vote at a time: accuracies, share of class 1, posterior of each row."""
+    n = len(votes[0])
+    accuracy, share = [start] * n, prior
+
+    def posteriors():
+        out = []
+        for row in votes:
+            yes, no = share, 1 - share
+            for vote, a in zip(row, accuracy, strict=True):
+                yes *= {ABSTAIN: 1, YES: a, NO: 1 - a}[vote]
+                no *= {ABSTAIN: 1, YES: 1 - a, NO: a}[vote]
+            out.append(yes / (yes + no))
+        return out
+
+    for _ in range(rounds):
+        p = posteriors()
+        new = []
+        for j in range(n):
+            right = sum(q if row[j] == YES else 1 - q for row, q in zip(votes, p, strict=True) if row[j] != ABSTAIN)
+            cast = sum(row[j] != ABSTAIN for row in votes)
+            new.append(min(0.995, max(0.55, (right + start * strength) / (cast + strength))))
+        accuracy, share = new, min(0.6, max(0.005, (sum(p) + prior * strength) / (len(votes) + strength)))
+    return accuracy, share, posteriors()
+
+
+def test_quality_posteriors_and_decisions_against_brute_force(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    got = {r.doc_id: r for r in qc.classify_quality(docs, labels).collect()}
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    known = {}
+    for r in labels.collect():
+        q, t = known.get(r.doc_id, (0, 0))
+        known[r.doc_id] = max(q, r.quality), max(t, r.toxic)
+    assert got.keys() == texts.keys()
+    ids = sorted(texts)
+    for k, target in enumerate(qc.TARGETS):
+        rows = []
+        for i in ids:
+            label = ABSTAIN
+            if i in known:
+                bad = known[i][0] <= 0 if target == "low" else known[i][1] > 0
+                label = YES if bad else NO
+            rows.append(qc.votes(texts[i])[k] + [label])
+        accuracy, share, _ = _labels_model_row_by_row(rows)
+        for i, row in zip(ids, rows, strict=True):  # a label is used in training alone
+            yes, no = share, 1 - share
+            for vote, a in zip(row[:-1], accuracy, strict=False):
+                yes *= {ABSTAIN: 1, YES: a, NO: 1 - a}[vote]
+                no *= {ABSTAIN: 1, YES: 1 - a, NO: a}[vote]
+            assert abs(got[i][f"{target}_posterior"] - yes / (yes + no)) < 1e-9
+    for r in got.values():
+        worst = max(max(r[f"{t}_score"], (r[f"{t}_posterior"] + r[f"{t}_score"]) / 2) for t in qc.TARGETS)
+        assert r.kept == (worst < 0.5)
+
+
+@pytest.mark.parametrize("votes", [[[YES, YES, YES]] * 9, [[ABSTAIN] * 3] * 4, [[YES, NO, ABSTAIN], [NO, YES, ABSTAIN]] * 5])
+def test_label_model_with_ties_and_empty_classes(votes):
+    each = [list(x) for x in dict.fromkeys(map(tuple, votes))]
+    model = fit_label_model(np.array(each), np.array([votes.count(x) for x in each], float))
+    accuracy, share, posteriors = _labels_model_row_by_row(votes)
+    assert np.allclose(model.accuracy, accuracy) and abs(model.prior - share) < 1e-9
+    assert np.allclose(model.posterior(np.array(votes)), posteriors)
+
+
+def test_quality_of_documents_whose_labels_are_held_out(spark):
+    """Floors against regressions. A recall of 0.8 for toxic documents isn't reached: 0.62 over sf0.1 (see README)."""
+    d = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    held = labels.filter("doc_id % 2 = 1")
+    got = qc.classify_quality(docs, labels.filter("doc_id % 2 = 0")).join(held.select("doc_id", "quality", "toxic"), "doc_id").toPandas()
+    for target, bad, floors in (("low", got.quality <= 0, (0.8, 0.9)), ("toxic", got.toxic > 0, (0.5, 0.7))):
+        found = np.maximum(got[f"{target}_score"], (got[f"{target}_posterior"] + got[f"{target}_score"]) / 2) >= 0.5
+        recall, precision = (found & bad).sum() / bad.sum(), (found & bad).sum() / found.sum()
+        print(target, bad.sum(), recall, precision)
+        assert recall >= floors[0] and precision >= floors[1]
+
+
+def test_quality_without_votes_of_both_classes_keeps_plain_documents(spark):
+    plain = [" ".join(f"mot{k}x{j}" for j in range(40)) for k in range(30)]  # no labeller votes on toxicity, nor on one class
+    assert qc.classify_quality(docs(spark, plain)).filter("toxic_score >= 0.5 OR NOT kept AND low_score < 0.5").count() == 0

@@ -2,8 +2,8 @@
 
 Heuristic labellers that overlap vote on every document; where a table of labels covers it, that is one more labeller.
 Word lists vote against toxicity only in their own language. Expectation-maximisation over the counts of vote patterns
-estimates how reliable each is. Posterior labels of a bounded sample (`sample` documents of each class, chosen by
-hash over the whole corpus) train a linear scorer over hashed words, their beginnings and shapes, which then scores every document.
+estimates how reliable each is. Posterior labels of a bounded sample (`sample` documents of each class that some
+labeller votes on, chosen by hash over the whole corpus) train a linear scorer over hashed words, their beginnings and shapes, which then scores every document.
 Posterior and score are combined; a document is kept if neither target reaches `threshold`.
 
 Defined results: a null or empty text has no votes but that it is too short; repeated rows get equal results; a table without
@@ -150,7 +150,7 @@ def classify_quality(docs: DataFrame, labels: DataFrame | None = None, sample: i
         matrix = np.array([[int(c) for c in p] for p, _ in patterns], np.int64).reshape(-1, width)
         models[target] = fit_label_model(matrix, np.array([n for _, n in patterns], np.float64))
         posterior = dict(zip([p for p, _ in patterns], models[target].posterior(matrix).tolist(), strict=True)) if patterns else {}
-        weights[target] = _train(docs, voted, target, posterior, sample)
+        weights[target] = _train(docs, voted, target, posterior, models[target].prior, sample)
     shared = spark.sparkContext.broadcast((models, weights))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,16 +174,26 @@ def classify_quality(docs: DataFrame, labels: DataFrame | None = None, sample: i
     return scored.withColumn("kept", ~(bad[0] | bad[1]))
 
 
-def _train(docs: DataFrame, voted: DataFrame, target: str, posterior: dict[str, float], sample: int) -> np.ndarray:
-    """The scorer for target, from the posterior labels of 2 * sample documents at most."""
-    if not posterior:
-        return np.zeros(DIMENSIONS + 1, np.float32)
+def _train(docs: DataFrame, voted: DataFrame, target: str, posterior: dict[str, float], prior: float, sample: int) -> np.ndarray:
+    """The scorer for target, from the posterior labels of 2 * sample documents at most.
+
+    Documents on which no labeller votes tell nothing and train nothing. Without documents of both classes to train on,
+    the scorer is the share of class 1.
+    """
+    plain = np.zeros(DIMENSIONS + 1, np.float32)
+    plain[-1] = np.log(prior) - np.log1p(-prior)
+    voted_on = [(pattern, p) for pattern, p in posterior.items() if set(pattern) != {str(ABSTAIN)}]
+    if not voted_on:
+        return plain
     spark = docs.sparkSession
-    labels = F.broadcast(spark.createDataFrame(list(posterior.items()), f"{target} string, p double"))
+    labels = F.broadcast(spark.createDataFrame(voted_on, f"{target} string, p double"))  # 3 ** labellers at most
     rows = voted.select("pick", target).join(labels, target).groupBy("pick").agg(F.max("p").alias("p"))
     # the confident rows of each class with the least hashes
     picked = [rows.filter(which).orderBy("pick").limit(sample).select("pick", "p") for which in ("p >= 0.8", "p <= 0.2")]
-    chosen = {r["pick"]: r["p"] for part in picked for r in part.collect()}
+    classes = [part.collect() for part in picked]
+    if not all(classes):
+        return plain
+    chosen = {r["pick"]: r["p"] for part in classes for r in part}
     wanted = F.broadcast(spark.createDataFrame([(k,) for k in chosen], "pick long"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
