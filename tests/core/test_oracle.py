@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -15,8 +16,10 @@ def rows(frame, columns):
     def plain(x):
         if not hasattr(x, "__len__") and pd.isna(x):
             return "~"
-        if isinstance(x, bool):
+        if isinstance(x, bool | np.bool_):
             return str(x)
+        if isinstance(x, int | np.integer) or (isinstance(x, float) and x.is_integer()):  # a column with nulls holds integers as floats
+            return str(int(x))
         return f"{float(x):.6g}" if hasattr(x, "__float__") and not isinstance(x, str) else str(x)
 
     return sorted(tuple(plain(x) for x in r) for r in frame[columns].itertuples(index=False))

@@ -26,15 +26,15 @@ def normalised_token(c: Column) -> Column:
     return F.btrim(F.lower(strip(c)), F.lit(TOKEN_MARKS))
 
 
+#: Marks of searched text, and what they count as. Fixed values.
+SEARCH_MARKS, SEARCH_AS = "、､･※,，.;:!?", "，，，，，，。；：！？"
+
+
 def wide_punctuation(c: Column) -> Column:
     """White space collapsed, ASCII lower case, marks in full width."""
     plain = strip(F.regexp_replace(c, r"(?U)\s+", " "))
     lowered = F.translate(plain, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.translate(lowered, "、､･※,，.;:!?", "，，，，，，。；：！？")
-
-
-#: Marks of searched text, and what they count as. Fixed values.
-SEARCH_MARKS, SEARCH_AS = "、､･※,，.;:!?", "，，，，，，。；：！？"
+    return F.translate(lowered, SEARCH_MARKS, SEARCH_AS)
 
 
 def search_text(c: Column) -> Column:
@@ -52,6 +52,11 @@ def half_after_latin(mark: Column, before: Column) -> Column:
     return F.when(F.regexp_like(before, F.lit("[A-Za-z0-9]$")), F.translate(mark, FULL_MARKS, HALF_MARKS)).otherwise(mark)
 
 
+def after_marker(c: Column, marker: str = "<asr_text>") -> Column:
+    """What follows the first marker, trimmed; a text without one stays whole."""
+    return strip(F.when(F.contains(c, F.lit(marker)), F.substr(c, F.instr(c, marker) + len(marker))).otherwise(c))
+
+
 def language_name(code: Column) -> Column:
     key = F.lower(strip(code))
     known = F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair])

@@ -17,8 +17,6 @@ SENTENCE_MARKS, CLAUSE_MARKS, LINE_MARKS = "。！？.!?", "，；,;：:", "，
 _HALF = str.maketrans(FULL_MARKS, HALF_MARKS)
 #: Marks that give way to a mark that follows them. Fixed values.
 _YIELDING = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" + "。，、！？；："
-#: What stands between two tokens, by whether the first ends and the second starts with a Latin letter or digit.
-_BETWEEN = {(False, False): "", (False, True): " ", (True, False): " ", (True, True): " "}
 
 
 def token_classes(words: DataFrame) -> DataFrame:
@@ -38,15 +36,15 @@ class Sentence:
     def add(self, token) -> None:
         if token.mark:
             self.text = self.text.rstrip(_YIELDING)
-        between = "" if self.text.endswith(" ") else _BETWEEN[self.tail, token.head]
+        between = " " if (self.tail or token.head) and not self.text.endswith(" ") else ""
         self.text += between + (token.text.translate(_HALF) if token.mark and self.tail else token.text)
         self.end, self.tail, self.n = token.end_us, token.tail, self.n + 1
 
     def closed(self, chars: int, longest: int) -> bool:
         """Whether its last mark ends it: marks of clauses only where it is half full."""
         said = self.text.strip()
-        full = 2 * max(len(said) / chars, (self.end - self.start) / longest) >= 1
-        return said.endswith(tuple(SENTENCE_MARKS + (CLAUSE_MARKS if full else "")))
+        half_full = len(said) >= chars / 2 or self.end - self.start >= longest / 2
+        return said.endswith(tuple(SENTENCE_MARKS)) or (half_full and said.endswith(tuple(CLAUSE_MARKS)))
 
     def takes(self, token, chars: int, longest: int) -> bool:
         return len(self.text) + len(token.text) <= chars and token.end_us - self.start <= longest and not self.closed(chars, longest)
@@ -131,7 +129,8 @@ _SPACED_UNITS = re.compile("( *)([A-Za-z]+|[^A-Za-z ])", re.S)
 
 def lines_of(text: str, chars: int = 20) -> list[str]:
     """Lines of a text: marks end them and go, Latin words stay whole, and no line is longer than chars but for one word or a character right after a word."""
-    said, out = text.partition("<asr_text>")[2] or text, []
+    before, marker, after = text.partition("<asr_text>")
+    said, out = after if marker else before, []
     for piece in _LINE_ENDS.split(said.strip()):
         line, after_word = "", False
         for space, unit in _SPACED_UNITS.findall(piece):
