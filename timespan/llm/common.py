@@ -7,7 +7,7 @@ import tempfile
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Lower-cases A-Z in UTF-8 bytes; other bytes stay.
@@ -85,3 +85,29 @@ def without(docs: DataFrame, rejected: DataFrame, content) -> DataFrame:
     gone = small(stored(rejected.distinct().toDF("gone_id", "gone_content")))
     keyed = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("own_id"), content.alias("own_content"))
     return keyed.join(gone, F.col("own_id").eqNullSafe(F.col("gone_id")) & (F.col("own_content") == F.col("gone_content")), "left_anti").select("doc.*")
+
+
+def ranked(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """Stored, narrow rows with `rank`, their place from 0 in their group in the given order (nulls first).
+
+    Rows are dealt by ranges of group and order, so a group with a third of all rows goes to many tasks; equal rows are
+    dealt by a hash of their place. Each task numbers its rows, and the counts of tasks before it are added.
+    """
+    keys = [*by, *order, "tie"]
+    dealt = rows.withColumn("tie", F.xxhash64(F.monotonically_increasing_id()))
+    dealt = dealt.repartitionByRange(partitions(rows.sparkSession), *keys).sortWithinPartitions(*keys)
+    dealt = stored(dealt.drop("tie").withColumn("at", F.monotonically_increasing_id())).withColumn("task", F.shiftright("at", 33))
+    sizes = dealt.groupBy("task", *by).agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))  # tasks and groups in all
+    before = F.sum("n").over(Window.partitionBy(*by).orderBy("task")) - F.col("n")
+    shifts = small(stored(sizes.select(F.col("task").alias("its"), *(F.col(c).alias(f"its_{c}") for c in by), (before - F.col("first")).alias("shift"))))
+    same: Column = F.col("task") == F.col("its")
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"its_{c}"))
+    return dealt.join(shifts, same).select(*rows.columns, (F.col("at") + F.col("shift")).alias("rank"))
+
+
+def crc32_sql(rows: str, value: str, keep: str) -> str:
+    """DuckDB expressions crc_entries and crcs: the columns `keep` of rows, and crc, the unsigned crc32 of value in UTF-8."""
+    return f"""crc_entries AS MATERIALIZED (SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i) ORDER BY i) AS t FROM range(256) r(i)),
+crcs AS (SELECT {keep}, xor(list_reduce(list_transform(regexp_extract_all(hex(encode({value})), '..'), lambda x: ('0x' || x)::BIGINT), lambda c, x: xor(c // 256, t[xor(c, x) % 256 + 1]), 4294967295), 4294967295)::BIGINT AS crc
+FROM {rows}, crc_entries)"""

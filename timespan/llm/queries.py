@@ -1,6 +1,6 @@
 """The queries of the training-data operators, and their DuckDB twins."""
 
-from timespan.llm import decontamination, ngram_jaccard, quality_rules, secret_scans, warc
+from timespan.llm import decontamination, merkle, ngram_jaccard, quality_rules, secret_scans, sharding, warc
 from timespan.llm.license_scans import op8_license_scans
 from timespan.llm.lm_scoring import op10_lm_scoring
 from timespan.llm.packing import op9_best_fit_packing
@@ -18,6 +18,8 @@ QUERIES = {
     "op8_license_scans": op8_license_scans,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_lm_scoring": op10_lm_scoring,
+    "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op13_sharding": sharding.op13_sharding,
 }
 ORACLE: dict[str, str] = {
     "op1_quality_rules": quality_rules.ORACLE_SQL,
@@ -25,4 +27,6 @@ ORACLE: dict[str, str] = {
     "op5_secret_scans": secret_scans.ORACLE_SQL,
     "op6_warc": warc.ORACLE_SQL,
     "op7_decontamination": decontamination.ORACLE_SQL,
+    "op11_merkle_manifest": merkle.ORACLE_SQL,
+    "op13_sharding": sharding.ORACLE_SQL,
 }
