@@ -1,6 +1,7 @@
 """The queries of the training-data operators, and their DuckDB twins."""
 
 from timespan.llm import decontamination, merkle, ngram_jaccard, quality_rules, secret_scans, sharding, warc
+from timespan.llm.alignment import op12_cross_tokenizer_alignment
 from timespan.llm.license_scans import op8_license_scans
 from timespan.llm.lm_scoring import op10_lm_scoring
 from timespan.llm.packing import op9_best_fit_packing
@@ -19,6 +20,7 @@ QUERIES = {
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_lm_scoring": op10_lm_scoring,
     "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op12_cross_tokenizer_alignment": op12_cross_tokenizer_alignment,
     "op13_sharding": sharding.op13_sharding,
 }
 ORACLE: dict[str, str] = {
