@@ -8,6 +8,7 @@ from timespan.operators import history as hs
 from timespan.operators import intervals as iv
 from timespan.operators import segmentation as sm
 from timespan.operators import signal as sg
+from timespan.operators import tokens as tk
 from timespan.operators import transcripts as tr
 from timespan.sources import subtitles as sb
 from timespan.streaming import live
@@ -230,3 +231,48 @@ def test_ingest_runs_what_is_left_and_isolates_failures(spark, tmp_path):
     assert seen == [["a", "bad", "empty"], ["boom", "c"], ["bad", "c"]]  # what is done isn't run again
     live.ingest(work, log)(spark.createDataFrame([("c",)], schema), 2)  # a batch that is run again replaces its rows
     assert [r.item for r in spark.read.parquet(log).filter("batch = 2").collect()] == ["c"]
+
+
+def token_list(spark, segments, words):
+    """(kind, text, start, end, seg_idx, attached) in milliseconds of segments (start, end, text) and words (segment, start, end)."""
+    s = spark.createDataFrame([(1, k, a * 1000, b * 1000, t) for k, (a, b, t) in enumerate(segments)], "media_id long, seg_idx long, start_us long, end_us long, text string")
+    w = spark.createDataFrame([(1, s, k, "", None if a is None else a * 1000, None if b is None else b * 1000) for k, (s, a, b) in enumerate(words)],
+                              "media_id long, seg_idx long, word_idx int, text string, start_us long, end_us long")
+    return [(r.kind, r.text, r.start_us / 1000, r.end_us / 1000, r.seg_idx, r.attached) for r in tk.segment_tokens(s, w).orderBy("pos").collect()]
+
+
+@pytest.mark.parametrize(("gap", "between"), [(590, None), (600, "，"), (1090, "，"), (1100, "。"), (1590, "。"), (1600, "silence")])
+def test_pauses_inside_a_segment(spark, gap, between):
+    found = token_list(spark, [(0, 2000 + gap, "a b")], [(0, 0, 1000), (0, 1000 + gap, 2000 + gap)])
+    pause = {None: [], "silence": [("silence", None, 1000, 1000 + gap, 0, False)]}.get(between, [("punctuation", between, 1000, 1000 + gap, 0, False)])
+    first = ("word", "a", 0, 1000 if pause else 1000 + gap, 0, False)
+    assert found == [first, *pause, ("word", "b", 1000 + gap, 2000 + gap, 0, False)]
+
+
+@pytest.mark.parametrize(("gap", "mark"), [(0.1, None), (10, "，"), (1090, "，"), (1100, "。"), (9000, "。")])
+def test_pauses_between_segments_belong_to_the_one_before(spark, gap, mark):
+    a = 1000 + gap
+    s = spark.createDataFrame([(1, 0, 0, 1_000_000, "a"), (1, 1, int(a * 1000), int(a * 1000) + 500_000, "b")], "media_id long, seg_idx long, start_us long, end_us long, text string")
+    w = spark.createDataFrame([], "media_id long, seg_idx long, word_idx int, text string, start_us long, end_us long")
+    found = [(r.kind, r.text, r.seg_idx, r.attached) for r in tk.segment_tokens(s, w).orderBy("pos").collect()]
+    assert found == [("word", "a", 0, False), *([("punctuation", mark, 0, True)] if mark else []), ("word", "b", 1, False)]
+
+
+def test_equal_marks_join_and_leading_marks_move_back(spark):
+    # a pause between segments and one before the first word are one comma; other marks stay apart
+    found = token_list(spark, [(0, 1000, "a"), (1700, 4000, "b")], [(0, 0, 1000), (1, 2400, 4000)])
+    assert found == [("word", "a", 0, 1000, 0, False), ("punctuation", "，", 1000, 2400, 0, True), ("word", "b", 2400, 4000, 1, False)]
+    found = token_list(spark, [(0, 1000, "a"), (1700, 4000, "b")], [(0, 0, 1000), (1, 2900, 4000)])
+    assert [x[1:] for x in found if x[0] == "punctuation"] == [("，", 1000, 1700, 0, True), ("。", 1700, 2900, 0, True)]
+    # a mark at the head of a text belongs to the segment before
+    found = token_list(spark, [(0, 1000, "a"), (1000, 2000, ", b.")], [(0, 0, 1000), (1, 1500, 1800)])
+    assert found[1:] == [("punctuation", "，", 1000, 1500, 0, True), ("word", "b", 1500, 1800, 1, False), ("punctuation", "。", 1800, 2000, 1, False)]
+
+
+def test_marks_of_the_text_words_without_stamps_and_missing_times(spark):
+    found = token_list(spark, [(0, 3000, "Hi, Big 世!")], [(0, 0, 1000), (0, 2000, None)])
+    assert found == [("word", "hi", 0, 1000, 0, False), ("punctuation", "，", 1000, 2000, 0, False), ("word", "big", 2000, 2010, 0, False),
+                     ("word", "世", 2010, 2505, 0, False), ("punctuation", "！", 2505, 3000, 0, False)]
+    found = token_list(spark, [(0, 540, "a b c")], [(0, None, None), (0, 100, 500), (0, 510, None), (0, None, None)])  # nothing is known of the first
+    assert [x[2:4] for x in found] == [(100, 510), (510, 520), (520, 540)]
+    assert token_list(spark, [(0, 1000, "  "), (5000, 6000, "b")], []) == [("punctuation", "。", 1000, 5000, 0, True), ("word", "b", 5000, 6000, 1, False)]

@@ -261,17 +261,16 @@ def fixed_slots(lines: DataFrame, slot: int = 5_000_000, pause: int = 0) -> Data
 
 
 def spread(tokens: DataFrame, least: int = 10_000) -> DataFrame:
-    """Tokens of a span (g0_us, g1_us) timed by their characters; 10 ms each where the span is empty; the last ends with it."""
+    """Tokens of a span (g0_us, g1_us) timed by their characters; the last ends with it. An empty span counts as 10 ms a token."""
     w = Window.partitionBy("media_id", "seg_idx")
     o = w.orderBy("pos")
-    df = tokens.withColumn("weight", F.greatest(F.length("text"), F.lit(1))).withColumn("all", F.sum("weight").over(w)).withColumn("run", F.sum("weight").over(o)).withColumn("k", F.row_number().over(o)).withColumn("n", F.count(F.lit(1)).over(w))
-    dur = F.col("g1_us") - F.col("g0_us")
+    df = tokens.withColumn("weight", F.greatest(F.length("text"), F.lit(1))).withColumn("all", F.sum("weight").over(w)).withColumn("run", F.sum("weight").over(o)).withColumn("n", F.count(F.lit(1)).over(w))
+    dur = F.when(F.col("g1_us") > F.col("g0_us"), F.col("g1_us") - F.col("g0_us")).otherwise(F.col("n") * least)
 
-    def at(run: Column, k: Column) -> Column:
-        return F.col("g0_us") + F.when(dur > 0, F.floor(dur * run / F.col("all"))).otherwise(k * least)
+    def at(run: Column) -> Column:
+        return F.col("g0_us") + F.floor(dur * run / F.col("all"))
 
-    end = F.when((F.col("k") == F.col("n")) & (dur > 0), F.col("g1_us")).otherwise(at(F.col("run"), F.col("k")))
-    return df.select("media_id", "seg_idx", "pos", "text", at(F.col("run") - F.col("weight"), F.col("k") - 1).alias("start_us"), end.alias("end_us"))
+    return df.select("media_id", "seg_idx", "pos", "text", at(F.col("run") - F.col("weight")).alias("start_us"), at(F.col("run")).alias("end_us"))
 
 
 def allot_stamps(units: DataFrame, stamps: DataFrame) -> DataFrame:
@@ -282,7 +281,7 @@ def allot_stamps(units: DataFrame, stamps: DataFrame) -> DataFrame:
     """
     seg = Window.partitionBy("media_id", "seg_idx")
     counted = stamps.groupBy("media_id", "seg_idx").agg(F.count(F.lit(1)).alias("stamps"))
-    df = units.join(counted, ["media_id", "seg_idx"]).withColumn("latin", F.regexp_like("text", F.lit(r"^[\x00-\x7F]+$")))
+    df = units.join(counted, ["media_id", "seg_idx"]).withColumn("latin", F.regexp_like("text", F.lit("^[A-Za-z0-9]+$")))
     df = df.withColumn("extra", F.greatest(F.col("stamps") - F.count(F.lit(1)).over(seg), F.lit(0))).withColumn("n_latin", F.sum(F.col("latin").cast("int")).over(seg))
     df = df.withColumn("rank", F.row_number().over(seg.orderBy(F.desc("latin"), F.when(F.col("latin"), -F.length("text")), "pos")) - 1).withColumn("back", F.row_number().over(seg.orderBy(F.desc("pos"))))
     share = F.floor(F.col("extra") / F.col("n_latin")) + (F.col("rank") < F.col("extra") % F.col("n_latin")).cast("int")

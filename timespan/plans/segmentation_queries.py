@@ -7,6 +7,7 @@ from timespan import fixtures as fx
 from timespan.functions import text as tx
 from timespan.operators import matching as mt
 from timespan.operators import segmentation as sm
+from timespan.operators import tokens as tk
 from timespan.operators import transcripts as tr
 from timespan.plans.transcript_queries import SEGS
 from timespan.registry import query
@@ -154,7 +155,7 @@ def keys_between(spark, d):
 (SELECT *, greatest(stamps - count(*) OVER s, 0) AS extra, sum(latin::INT) OVER s AS nl, row_number() OVER (PARTITION BY media_id, seg_idx ORDER BY latin DESC, CASE WHEN latin THEN -length(text) END, pos) - 1 AS rk, row_number() OVER (PARTITION BY media_id, seg_idx ORDER BY pos DESC) AS bk FROM u WINDOW s AS (PARTITION BY media_id, seg_idx)))) d
 JOIN st a ON a.media_id = d.media_id AND a.seg_idx = d.seg_idx AND a.nth = lst - take + 1 JOIN st b ON b.media_id = d.media_id AND b.seg_idx = d.seg_idx AND b.nth = least(lst, d.stamps)""", more="""
 st AS (SELECT media_id, seg_idx, row_number() OVER (PARTITION BY media_id, seg_idx ORDER BY word_idx) AS nth, start_us, end_us, count(*) OVER (PARTITION BY media_id, seg_idx) AS stamps FROM words),
-u AS (SELECT w.media_id, w.seg_idx, word_idx AS pos, text, regexp_matches(text, '^[\\x00-\\x7F]+$') AS latin, stamps FROM words w JOIN (SELECT DISTINCT media_id, seg_idx, stamps FROM st) USING (media_id, seg_idx) WHERE word_idx % 4 <> 1)"""))
+u AS (SELECT w.media_id, w.seg_idx, word_idx AS pos, text, regexp_matches(text, '^[A-Za-z0-9]+$') AS latin, stamps FROM words w JOIN (SELECT DISTINCT media_id, seg_idx, stamps FROM st) USING (media_id, seg_idx) WHERE word_idx % 4 <> 1)"""))
 def allotted_stamps(spark, d):
     w = fx.words(spark, d)
     units = w.filter("word_idx % 4 <> 1").select("media_id", "seg_idx", F.col("word_idx").alias("pos"), "text")
@@ -185,3 +186,43 @@ def page_union_tokens(spark, d):
 @query(fx.sql("words", query=f"SELECT media_id, start_us, end_us FROM ({_PAUSES.replace('1600000', '650000')}) WHERE kind = 'silence'", more=_AROUND))
 def silence_token_ranges(spark, d):
     return mt.silence_ranges(sm.pause_tokens(fx.words(spark, d), silence=650_000))
+
+
+_LISTED = """sg AS (SELECT media_id, seg_idx, (min(start_us) - (seg_idx % 3) * 400000)::BIGINT AS g0, (max(end_us) + (seg_idx % 4) * 420000)::BIGINT AS g1 FROM words GROUP BY media_id, seg_idx),
+st AS (SELECT media_id, seg_idx, row_number() OVER (PARTITION BY media_id, seg_idx ORDER BY start_us, end_us, word_idx) AS nth, start_us, end_us, count(*) OVER (PARTITION BY media_id, seg_idx) AS stamps FROM words WHERE word_idx % 4 <> 1),
+raw AS (SELECT media_id, seg_idx, (generate_subscripts(w, 1) - 1)::BIGINT AS pos, unnest(w) AS raw FROM (SELECT media_id, seg_idx, regexp_extract_all(text, '[A-Za-z0-9]+|[^\\sA-Za-z0-9]') AS w FROM segments JOIN sg USING (media_id, seg_idx))),
+tk AS (SELECT media_id, seg_idx, pos, CASE WHEN contains('，。！？；：,.!?;:、', raw) THEN 'punctuation' ELSE 'word' END AS kind, translate(translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '、､･※,，.;:!?', '，，，，，，。；：！？') AS text FROM raw),
+un AS (SELECT t.*, regexp_matches(text, '^[A-Za-z0-9]+$') AS latin, stamps FROM tk t JOIN (SELECT DISTINCT media_id, seg_idx, stamps FROM st) USING (media_id, seg_idx) WHERE kind = 'word'),
+ex AS (SELECT *, greatest(stamps - count(*) OVER s, 0) AS extra, sum(latin::INT) OVER s AS nl, row_number() OVER (PARTITION BY media_id, seg_idx ORDER BY latin DESC, CASE WHEN latin THEN -length(text) END, pos) - 1 AS rk, row_number() OVER (PARTITION BY media_id, seg_idx ORDER BY pos DESC) AS bk FROM un WINDOW s AS (PARTITION BY media_id, seg_idx)),
+tn AS (SELECT *, 1 + CASE WHEN nl > 0 THEN CASE WHEN latin THEN extra // nl + CASE WHEN rk < extra % nl THEN 1 ELSE 0 END ELSE 0 END ELSE CASE WHEN bk = 1 THEN extra ELSE 0 END END AS take FROM ex),
+al AS (SELECT *, sum(take) OVER (PARTITION BY media_id, seg_idx ORDER BY pos) AS lst FROM tn),
+gv AS (SELECT d.media_id, d.seg_idx, pos, a.start_us AS a, b.end_us AS b FROM al d JOIN st a ON a.media_id = d.media_id AND a.seg_idx = d.seg_idx AND a.nth = lst - take + 1 JOIN st b ON b.media_id = d.media_id AND b.seg_idx = d.seg_idx AND b.nth = least(lst, d.stamps)),
+tt AS (SELECT t.media_id, t.seg_idx, kind, text, a, b, length(text) AS wt, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY t.media_id, t.seg_idx) AS n, sum(CASE WHEN a IS NULL THEN 0 ELSE 1 END) OVER w AS run, g0, g1
+FROM tk t JOIN sg USING (media_id, seg_idx) LEFT JOIN gv g ON g.media_id = t.media_id AND g.seg_idx = t.seg_idx AND g.pos = t.pos WINDOW w AS (PARTITION BY t.media_id, t.seg_idx ORDER BY t.pos)),
+rn AS (SELECT *, sum(CASE WHEN a IS NULL THEN wt END) OVER (PARTITION BY media_id, seg_idx, run) AS whole, count(*) FILTER (a IS NULL) OVER (PARTITION BY media_id, seg_idx, run) AS members,
+coalesce(sum(CASE WHEN a IS NULL THEN wt END) OVER (PARTITION BY media_id, seg_idx, run ORDER BY i), 0) AS passed, CASE WHEN a IS NULL THEN row_number() OVER (PARTITION BY media_id, seg_idx, run, a IS NULL ORDER BY i) END AS nth,
+first_value(a IGNORE NULLS) OVER (PARTITION BY media_id, seg_idx ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_a FROM tt),
+fold AS (SELECT media_id, seg_idx, -1::BIGINT AS i, NULL::BIGINT AS s, g0 AS e, 0::BIGINT AS ra, 0::BIGINT AS ru, g0 AS before FROM sg UNION ALL
+SELECT media_id, seg_idx, i, CASE WHEN a IS NULL THEN ra + (ru - ra) * (passed - wt) // whole ELSE greatest(a, e) END, CASE WHEN a IS NULL THEN ra + (ru - ra) * passed // whole ELSE greatest(a, b, e) END, ra, ru, CASE WHEN a IS NULL THEN ra + (ru - ra) * (passed - wt) // whole ELSE e END FROM
+(SELECT r.media_id, r.seg_idx, r.i, a, b, wt, passed, whole, f.e, CASE WHEN nth = 1 THEN f.e ELSE f.ra END AS ra, CASE WHEN nth = 1 THEN CASE WHEN coalesce(next_a, g1) > f.e THEN coalesce(next_a, g1) ELSE f.e + members * 10000 END ELSE f.ru END AS ru
+FROM fold f JOIN rn r ON r.media_id = f.media_id AND r.seg_idx = f.seg_idx AND r.i = f.i + 1)),
+dn AS (SELECT media_id, seg_idx, e, g0, g1, n, lag(CASE WHEN n = 0 THEN g1 ELSE greatest(e, CASE WHEN g1 - e > 100 THEN g1 END) END) OVER (PARTITION BY media_id ORDER BY seg_idx) AS left_at FROM (SELECT media_id, seg_idx, arg_max(f.e, f.i) AS e, max(f.i) + 1 AS n FROM fold f GROUP BY media_id, seg_idx) JOIN sg USING (media_id, seg_idx)),
+rw AS (SELECT f.media_id, f.seg_idx, f.i * 2 + 2 AS place, kind, text, s AS a, e AS b, 'text' AS made FROM fold f JOIN tt ON tt.media_id = f.media_id AND tt.seg_idx = f.seg_idx AND tt.i = f.i
+UNION ALL SELECT media_id, seg_idx, i * 2 + 1, 'gap', NULL, before, s, 'inner' FROM fold WHERE s - before > 100 UNION ALL SELECT media_id, seg_idx, 0, 'gap', NULL, left_at, g0, 'outer' FROM dn WHERE n > 0 AND g0 - left_at > 100
+UNION ALL SELECT media_id, seg_idx, n * 2 + 1, 'gap', NULL, e, g1, 'inner' FROM dn WHERE n > 0 AND g1 - e > 100),
+kd AS (SELECT media_id, seg_idx, place, made, a, b, CASE WHEN kind <> 'gap' THEN kind WHEN made = 'inner' AND b - a < 600000 THEN 'longer' WHEN made = 'inner' AND b - a >= 1600000 THEN 'silence' ELSE 'punctuation' END AS kind, text FROM rw),
+ky AS (SELECT *, CASE WHEN kind = 'word' THEN seg_idx || ':' || (sum((kind = 'word')::INT) OVER w - 1) ELSE printf('silence:%d.%03d-%d.%03d', (a + 500) // 1000000, (a + 500) // 1000 % 1000, (b + 500) // 1000000, (b + 500) // 1000 % 1000) END AS key, lead(kind) OVER w AS nk, lead(b) OVER w AS nb FROM kd WINDOW w AS (PARTITION BY media_id, seg_idx ORDER BY place)),
+ln AS (SELECT * REPLACE (CASE WHEN nk = 'longer' THEN greatest(b, nb) ELSE b END AS b, CASE WHEN made <> 'text' AND kind = 'punctuation' THEN CASE WHEN b - a < 1100000 THEN '，' ELSE '。' END ELSE text END AS text) FROM ky WHERE kind <> 'longer'),
+isl AS (SELECT *, sum(CASE WHEN made = 'inner' AND kind = 'punctuation' AND pk = 'punctuation' AND pt = text AND abs(pb - a) < 1000 THEN 0 ELSE 1 END) OVER (PARTITION BY media_id, seg_idx ORDER BY place) AS island FROM (SELECT *, lag(kind) OVER w AS pk, lag(text) OVER w AS pt, lag(b) OVER w AS pb FROM ln WINDOW w AS (PARTITION BY media_id, seg_idx ORDER BY place))),
+jn AS (SELECT media_id, seg_idx, min(place) AS place, max(b) AS b, arg_min(kind, place) AS kind, arg_min(a, place) AS a, arg_min(key, place) AS key, arg_min(made, place) AS made, min(text) FILTER (kind <> 'silence') AS text FROM isl GROUP BY media_id, seg_idx, island),
+at AS (SELECT *, made = 'outer' OR (seg_idx > 0 AND sum((kind <> 'punctuation')::INT) OVER (PARTITION BY media_id, seg_idx ORDER BY place) = 0) AS attached FROM jn)"""
+
+
+@query(fx.sql("words", query="""SELECT media_id, CASE WHEN attached THEN greatest(seg_idx - 1, 0) ELSE seg_idx END AS seg_idx, row_number() OVER (PARTITION BY media_id ORDER BY seg_idx, place) - 1 AS pos, kind, text, a AS start_us, b AS end_us, key, attached FROM "at" WHERE b > a""", more=_LISTED.replace("\nat AS", '\n"at" AS')).replace("WITH ", "WITH RECURSIVE ", 1))
+def segment_tokens(spark, d):
+    """Words and marks of the turns' texts, a fourth of the words without stamps, with pauses around turns."""
+    w = fx.words(spark, d)
+    span = w.groupBy("media_id", "seg_idx").agg(F.min("start_us").alias("a"), F.max("end_us").alias("b"))
+    turns = fx.segments(spark, d).join(span, ["media_id", "seg_idx"])
+    turns = turns.select("media_id", "seg_idx", "text", (F.col("a") - F.col("seg_idx") % 3 * 400_000).alias("start_us"), (F.col("b") + F.col("seg_idx") % 4 * 420_000).alias("end_us"))
+    return tk.segment_tokens(turns, w.filter("word_idx % 4 <> 1"))
