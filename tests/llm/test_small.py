@@ -332,6 +332,44 @@ def test_decontamination_index_holds_the_postings(spark):
     assert {r.term: r.n for r in dc.posting_counts(index, 3).collect()} == {0: 3, 1: 4}
 
 
+def decided(block):
+    """The labels that any span of a block decides for."""
+    every = [(label, set(ls.words_of(x.encode())), set(d.encode().split())) for label, texts in ls.TEMPLATES.items() for x, d in zip(texts, ls.DECIDING[label], strict=True)]
+    out = set()
+    for i in range(len(block)):
+        for j in range(i, len(block)):
+            span = set(block[i : j + 1])
+            for label, own, d in every:
+                if len(span & own) >= 0.8 * len(own) - 1e-9 and d <= span and not any(other != label and d < e <= span for other, _, e in every):
+                    out.add(label)
+    return out
+
+
+@pytest.mark.parametrize(("text", "labels"), [
+    ("released under the Apache license", "apache-2"),
+    ("the film was released under the license of the studio", ""),
+    ("the film was distributed under the license of the studio and the school", ""),
+    ("Licensed under CC BY 4.0", "cc-by"),
+    ("Licensed under CC BY-SA 4.0", "cc-by-sa"),
+    ("Licensed under the Mozilla Public License, Version 2.0", "mpl-2"),
+    ("This work is licensed under a Creative Commons Attribution 4.0 International License", "cc-by"),
+    ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", "gpl"),
+    ("Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", "bsl-1"),
+    ("Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted", "postgresql"),
+])
+def test_each_notice_gets_its_own_label_alone(spark, text, labels):
+    around = f"some words before\n{text}\nand some after it"
+    assert [r.labels for r in ls.scan_licenses(docs(spark, [text, around])).collect()] == [labels, labels]
+
+
+def test_every_notice_of_the_list_gets_its_own_label(spark):
+    notices = [(label, t) for label, texts in ls.TEMPLATES.items() for t in texts]
+    both = " \n".join(t for label, t in notices if label in ("gpl", "lgpl", "agpl"))
+    got = [r.labels for r in ls.scan_licenses(docs(spark, [t for _, t in notices] + [both])).collect()]
+    base = {k: {label for p, label in ls.BASE_PHRASES.items() if f" {p} " in " " + " ".join(x.decode() for x in ls.words_of(t.encode())) + " "} for k, (_, t) in enumerate(notices)}
+    assert got == [",".join(sorted({label} | base[k])) for k, (label, _) in enumerate(notices)] + ["agpl,gpl,lgpl"]
+
+
 def test_license_join_loses_no_block(spark):
     rng = random.Random(9)
     texts = []
@@ -346,12 +384,7 @@ def test_license_join_loses_no_block(spark):
         base = {label for p, label in ls.BASE_PHRASES.items() if f" {p} " in " " + " ".join(x.decode() for x in ls.words_of((t or "").encode())) + " "}
         want = set(base)
         for line in (t or "").encode().split(b"\n"):
-            block = set(ls.words_of(line))
-            for label, texts_ in ls.TEMPLATES.items():
-                for x in texts_:
-                    own = set(ls.words_of(x.encode()))
-                    if len(block & own) >= 0.8 * len(own) - 1e-9:
-                        want.add(label)
+            want |= decided(ls.words_of(line))
         assert got[k].labels == ",".join(sorted(want)) and got[k].base_labels == ",".join(sorted(base))
     r = got[60]
     assert (r.n_words, r.n_base, r.first_word, r.last_word) == (13, 3, 0, 10)

@@ -8,7 +8,12 @@ one global order, by their frequency in all documents, rarest first, and a block
 must be in a matching block (prefix filter), the block needs t words (length filter), and from the first common word on
 both must have t words left (positional filter: only the block's place can reject, the template's is in its prefix).
 The filters are applied to the whole text first, of which every block is a part; what passes is verified block by
-block, so no match is lost. Templates are few and fixed, so they go to every task; texts are read twice, for the
+block, so no match is lost.
+
+Notices are made of the same words, so a match alone doesn't tell licenses apart. A template has deciding words, and a
+label is given where a span of a matching block has the words that the threshold asks for, all deciding words of the
+template, and not all deciding words of another license's template that has the same ones and more (the GNU Lesser
+notice has all that decides for the GNU one, and `lesser`). Templates are few and fixed, so they go to every task; texts are read twice, for the
 frequencies and for the join, and no text is shuffled.
 
 Base places are those where the words of a fixed phrase stand consecutively. Defined results: a null or empty text
@@ -33,16 +38,16 @@ BASE_PHRASES = {"under the mit license": "mit", "apache license version 2": "apa
 TEMPLATES = {
     "afl-3": ("Licensed under the Academic Free License version 3.0",),
     "agpl": ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",),
-    "apache-2": ("Licensed under the Apache License, Version 2.0", "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
+    "apache-2": ("Licensed under the Apache License, Version 2.0", "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "Released under the Apache License"),
     "artistic-2": ("This package is free software; you may redistribute it and/or modify it under the terms of the Artistic License 2.0",),
     "bsd": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",),
     "bsl-1": ("Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", "Distributed under the Boost Software License, Version 1.0"),
-    "cc-by": ("This work is licensed under a Creative Commons Attribution 4.0 International License",),
+    "cc-by": ("This work is licensed under a Creative Commons Attribution 4.0 International License", "Licensed under CC BY 4.0"),
     "cc-by-nc": ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "Licensed under CC BY-NC 4.0"),
-    "cc-by-nc-nd": ("This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License",),
-    "cc-by-nc-sa": ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License",),
-    "cc-by-nd": ("This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License",),
-    "cc-by-sa": ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "Text is available under the Creative Commons Attribution-ShareAlike License; additional terms may apply"),
+    "cc-by-nc-nd": ("This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License", "Licensed under CC BY-NC-ND 4.0"),
+    "cc-by-nc-sa": ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License", "Licensed under CC BY-NC-SA 4.0"),
+    "cc-by-nd": ("This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License", "Licensed under CC BY-ND 4.0"),
+    "cc-by-sa": ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "Text is available under the Creative Commons Attribution-ShareAlike License; additional terms may apply", "Licensed under CC BY-SA 4.0"),
     "cc0": ("To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work",),
     "cddl": ("The contents of this file are subject to the terms of the Common Development and Distribution License. You may not use this file except in compliance with the License",),
     "epl-2": ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",),
@@ -52,13 +57,23 @@ TEMPLATES = {
     "isc": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",),
     "lgpl": ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License",),
     "mit": ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "Released under the MIT License", "Distributed under the MIT License"),
-    "mpl-2": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",),
+    "mpl-2": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "Licensed under the Mozilla Public License, Version 2.0"),
     "odbl": ("This database is made available under the Open Database License",),
     "ofl": ("This Font Software is licensed under the SIL Open Font License, Version 1.1",),
     "postgresql": ("Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted",),
     "unlicense": ("This is free and unencumbered software released into the public domain",),
     "zlib": ("This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software",),
 }
+#: The deciding words of each notice. Fixed values.
+DECIDING = {
+    "afl-3": ("academic",), "agpl": ("gnu affero general public",), "apache-2": ("apache", "apache", "apache"), "artistic-2": ("artistic",), "bsd": ("redistribution binary",),
+    "bsl-1": ("person organization accompanying", "boost"), "cc-by": ("attribution", "cc by"), "cc-by-nc": ("attribution noncommercial", "cc by nc"),
+    "cc-by-nc-nd": ("attribution noncommercial noderivatives", "cc by nc nd"), "cc-by-nc-sa": ("attribution noncommercial sharealike", "cc by nc sa"),
+    "cc-by-nd": ("attribution noderivatives", "cc by nd"), "cc-by-sa": ("attribution sharealike", "attribution sharealike", "cc by sa"), "cc0": ("waived",),
+    "cddl": ("common development distribution",), "epl-2": ("eclipse",), "eupl": ("eupl",), "fdl": ("gnu free documentation",), "gpl": ("gnu general public",),
+    "isc": ("with or fee",), "lgpl": ("gnu lesser general public",), "mit": ("person associated", "mit", "mit"), "mpl-2": ("mozilla", "mozilla"), "odbl": ("open database",),
+    "ofl": ("sil",), "postgresql": ("fee written agreement",), "unlicense": ("unencumbered",), "zlib": ("as warranty damages",),
+}
 THRESHOLD = 0.8
 
 
@@ -83,7 +98,7 @@ def term_counts(docs: DataFrame, terms: list[bytes]) -> DataFrame:
 class Join:
     """The prefix index over templates. Words stand for their places in the global order."""
 
-    def __init__(self, templates: list[tuple[str, list[bytes]]], frequency: dict[bytes, int], threshold: float):
+    def __init__(self, templates: list[tuple[str, list[bytes]]], frequency: dict[bytes, int], threshold: float, deciding: list[list[bytes]] | None = None):
         vocabulary = sorted({w for _, words in templates for w in words}, key=lambda w: (frequency.get(w, 0), w))
         self.rank = {w: k for k, w in enumerate(vocabulary)}
         self.labels, self.need, self.words, self.run = [], [], [], []
@@ -97,6 +112,11 @@ class Join:
             self.run.append(2 * len(words))
             for place, w in enumerate(ordered[: len(ordered) - need + 1]):
                 self.prefix.setdefault(w, []).append((place, k))
+        self.deciding = [frozenset(self.rank[w] for w in words) for words in deciding or [[]] * len(templates)]
+        self.rivals = [
+            list({d for other, d in zip(self.labels, self.deciding, strict=True) if other != label and own and own < d})
+            for label, own in zip(self.labels, self.deciding, strict=True)
+        ]
 
     def ranks(self, words: list[bytes]) -> list[int]:
         """The places of the words, -1 for words that are in no template."""
@@ -121,34 +141,43 @@ class Join:
                 found.append((k, both / len(self.words[k])))
         return found
 
-    def match_runs(self, words: list[int], k: int) -> float:
-        """The largest containment of template k in a run of twice its words."""
-        own, width = self.words[k], self.run[k]
-        places = [at for at, w in enumerate(words) if w in own]
+    def share(self, words: list[int], k: int, width: int | None = None) -> float:
+        """The largest containment of template k in a span that decides for it, of `width` words at most; 0 if there is none."""
+        own, deciding, rivals = self.words[k], self.deciding[k], self.rivals[k]
+        watched = own.union(*rivals)
+        places = [at for at, w in enumerate(words) if w in watched]
         inside: Counter = Counter()
-        most = first = 0
+        most = first = held = 0
         for at in places:
-            inside[words[at]] += 1
-            while at - places[first] >= width:
+            w = words[at]
+            held += w in own and not inside[w]
+            inside[w] += 1
+            while (width and at - places[first] >= width) or any(all(inside[x] for x in r) for r in rivals):
                 w = words[places[first]]
                 inside[w] -= 1
-                if not inside[w]:
-                    del inside[w]
+                held -= w in own and not inside[w]
                 first += 1
-            most = max(most, len(inside))
-        return most / len(own) if most >= self.need[k] else 0.0
+            if held > most and held >= self.need[k] and all(inside[x] for x in deciding):
+                most = held
+        return most / len(own)
 
     def labelled(self, text: bytes, words: list[bytes], longest: int) -> dict[str, float]:
         """Labels and their largest containments in the blocks of a text."""
         best: dict[str, float] = {}
-        ranks = self.ranks(words)
-        every = self.match(set(ranks) - {-1})
-        for k, _ in every:
-            if share := self.match_runs(ranks, k):
+
+        def take(k: int, share: float) -> None:
+            if share:
                 best[self.labels[k]] = max(share, best.get(self.labels[k], 0.0))
+
+        ranks = self.ranks(words)
+        all_words = set(ranks) - {-1}
+        every = [k for k, _ in self.match(all_words) if self.deciding[k] <= all_words]
+        for k in every:
+            take(k, self.share(ranks, k, self.run[k]))
         for block in blocks(text, longest) if every else ():
-            for k, share in self.match(set(self.ranks(block)) - {-1}):
-                best[self.labels[k]] = max(share, best.get(self.labels[k], 0.0))
+            own = self.ranks(block)
+            for k, _ in self.match(set(own) - {-1}):
+                take(k, self.share(own, k))
         return best
 
 
@@ -178,9 +207,10 @@ def blocks(text: bytes, longest: int) -> Iterator[list[bytes]]:
 def scan_licenses(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     pairs = [(label, words_of(t.encode())) for label, texts in (templates or TEMPLATES).items() for t in texts]
+    deciding = [] if templates else [words_of(d.encode()) for label in TEMPLATES for d in DECIDING[label]]
     vocabulary = sorted({w for _, words in pairs for w in words})
     frequency = {vocabulary[r["term"]]: r["n"] for r in term_counts(docs, vocabulary).collect()}  # as long as the templates
-    join, longest = Join(pairs, frequency, threshold), max(len(words_of(t.encode())) for texts in (templates or TEMPLATES).values() for t in texts)
+    join, longest = Join(pairs, frequency, threshold, deciding), max(len(words_of(t.encode())) for texts in (templates or TEMPLATES).values() for t in texts)
     shared = docs.sparkSession.sparkContext.broadcast(join)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
