@@ -36,6 +36,10 @@ def brute(both, text):
     return len(a), len(b), ";".join(groups), links
 
 
+def counted(found):
+    return (*found[:3], Counter(dict(zip(found[3].tolist(), found[4].tolist(), strict=True)))) if found else (0, 0, "", Counter())
+
+
 def expected(both, rows):
     found = [(doc_id, *brute(both, text)) for doc_id, text in rows]
     counts = sum((x[4] for x in found), Counter())
@@ -56,9 +60,11 @@ def rows_of(df):
 
 @settings(max_examples=300, deadline=None)
 @given(TEXT)
-def test_stretches_are_tokenised_as_the_whole_is(both, text):
-    found, want = (both.document(text) if text else None), brute(both, text)
-    assert (found[:3] + (found[3],) if found else (0, 0, "", Counter())) == want
+def test_documents_of_a_batch(both, text):
+    """Also next to others, and by the faster library for plain texts."""
+    for own in ([text], [None, "a b", text, "", text + " c.", "▁"]):
+        for t, found in zip(own, both.documents(own), strict=True):
+            assert counted(found) == brute(both, t)
 
 
 @settings(max_examples=300, deadline=None)
@@ -75,7 +81,7 @@ def test_fragments_compose_to_the_document(both, text, chunk, reach):
         left, right = left + x[2], y[2] + right  # associative: from either end
     assert left.text() == right.text()
     if text:
-        assert (sum(x[0] for x in parts), sum(x[1] for x in parts), left.text(), sum((x[3] for x in parts), Counter())) == want
+        assert (sum(x[0] for x in parts), sum(x[1] for x in parts), left.text(), sum((counted(x)[3] for x in parts), Counter())) == want
 
 
 def test_borders_move_on_where_nothing_can_be_cut():

@@ -11,8 +11,8 @@ whatever the borders. Links are pairs of tokens with the same end, so each is fo
 
 Neither tokenizer joins anything across a space that follows a character other than white space: A splits there
 before it merges, and no piece of B's vocabulary has its space mark behind another character (this is checked as it is
-loaded). So stretches between such spaces are tokenised by themselves and kept for a task, and a byte range needs no
-more around it than the stretches that its ends cut. A border is moved on where there is no such space within REACH bytes.
+loaded). So a byte range needs no more around it than the stretches between such spaces that its ends cut. A border is
+moved on where there is no such space within REACH bytes; to both tokenizers what has none is one word, however long.
 
 Pair counts are summed by pair with partial sums. To bring them back, pairs in many documents (at most HOT_PAIRS of
 them can have a HOT_PAIRS-th of all rows) are broadcast and the others joined by shuffle, so no pair is a hot key.
@@ -23,20 +23,21 @@ nowhere; repeated rows count as often as they come; an empty table gives none; o
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
 from bisect import bisect_right
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from hashlib import sha256
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from timespan.llm.common import SMALL_ROWS, partitions, removed, shared_dir, single_thread, small, stored, table
-from timespan.llm.packing import Recent
 
 #: Bytes of a text that one task reads, and bytes around a border in which both its stretches must end.
 CHUNK, REACH = 32_768, 4_096
@@ -50,19 +51,14 @@ PAIR = 1 << 32
 #: B's mark of a space. Fixed value.
 SPACE = "▁"
 
-#: A space behind a character that isn't white space: in a text, and in UTF-8.
-_BORDER = re.compile(r" (?<=\S )")
+#: A space behind a character that isn't white space, in UTF-8.
+#: Texts of which both libraries for A find the same words: ASCII but for control characters, and Latin-1 letters.
+_PLAIN = re.compile(r"[ -~\nÀ-ÖØ-öø-ÿ]+")
 _BYTE_BORDER = re.compile(
     rb" (?<=[!-~\x80-\xbf] )(?<!\xc2[\x85\xa0] )(?<!\xe1\x9a\x80 )(?<!\xe2\x80[\x80-\x8a\xa8\xa9\xaf] )(?<!\xe2\x81\x9f )(?<!\xe3\x80\x80 )"
 )
 
 
-def stretches(text: str) -> list[str]:
-    """A text that starts with a space, cut before every space behind a character that isn't white space."""
-    first, *rest = _BORDER.split(text)
-    return [first, *(" " + x for x in rest)]
-
-
 @dataclass
 class Tokens:
     """Ids and byte ends of both tokenizers over a stretch."""
@@ -126,9 +122,9 @@ def _joined(x: tuple[list[int], list[int]], y: tuple[list[int], list[int]]) -> t
 
 
 class Aligner:
-    """Both tokenizers. Stretches of up to 64 characters are kept, about 500 bytes each."""
+    """Both tokenizers."""
 
-    def __init__(self, a_path: str, b_path: str, kept: int = 100_000):
+    def __init__(self, a_path: str, b_path: str):
         single_thread()
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
@@ -137,71 +133,78 @@ class Aligner:
         self.a.encode_special_tokens = True  # their strings are plain text
         plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
         chars = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in plain)}
-        self.a_bytes = {n: bytes(chars[c] for c in t) for t, n in self.a.get_vocab().items() if all(c in chars for c in t)}
+        vocabulary = {n: t for t, n in self.a.get_vocab().items()}
+        self.a_bytes = [bytes(chars.get(c, 0) for c in vocabulary.get(n, "")) for n in range(max(vocabulary) + 1)]
         pieces = [self.b.id_to_piece(n) for n in range(self.b.get_piece_size())]
         if any(y == SPACE and x != SPACE for p in pieces for x, y in zip(p, p[1:], strict=False)):
             raise ValueError("a piece has a space behind another character: stretches can't be tokenised by themselves")
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(n) else p.replace(SPACE, " ").encode() for n, p in enumerate(pieces)]
-        self.kept = Recent(self.summary, kept)
-
-    def tokens(self, stretch: str) -> Tokens | None:
-        """The tokens of a stretch; none if their bytes aren't its bytes."""
-        a, data = self.a.encode(stretch, add_special_tokens=False).ids, stretch.encode()
-        b = self.b.encode(stretch[1:]) if len(stretch) > 1 else [self.b.piece_to_id(SPACE)]  # B puts no space before nothing
-        sides = []
-        for ids, known in ((a, self.a_bytes), (b, self.b_bytes)):
-            parts, ends, end = [known[n] for n in ids], [], 0
-            if b"".join(parts) != data:
-                return None
-            for p in parts:
-                end += len(p)
-                ends.append(end)
-            sides += [ids, ends]
-        return Tokens(*sides)
-
-    def summary(self, stretch: str) -> tuple[int, int, int, str, list[int]] | None:
-        """Bytes, tokens of A and of B, groups and links of a stretch, whose end is always a common one."""
-        tokens = self.tokens(stretch)
-        if tokens is None:
-            return None
-        closed = tokens.groups()[0]
-        return tokens.a_ends[-1], len(tokens.a), len(tokens.b), ";".join(map(written, closed)), linked(closed)
-
-    def of(self, stretch: str) -> tuple[int, int, int, str, list[int]] | None:
-        return self.kept[stretch] if len(stretch) <= 64 else self.summary(stretch)
-
-    def document(self, text: str) -> tuple[int, int, str, Counter] | None:
-        """Tokens of A and B, groups, and how often each pair is linked."""
-        own = stretches(" " + text)
-        found = [self.of(x) for x in own]
-        if None in found:
+        self.a_sizes, self.b_sizes = (np.array(list(map(len, x))) for x in (self.a_bytes, self.b_bytes))
+        names = [str(n) for n in range(max(len(self.a_bytes), len(self.b_bytes)))]
+        self.written = {mark: np.array([n + mark for n in names], object) for mark in ",|;"}
+        self.plain_a = self._ranked(a_path)
+
+    def _ranked(self, a_path: str):
+        """A's encoding of plain texts by a faster library, if its merges are in the order of their ids."""
+        import tiktoken
+        from public_tokenizers import PATTERN
+
+        with open(a_path, encoding="utf-8") as f:
+            merges = json.load(f)["model"]["merges"]
+        ids = [self.a.token_to_id(m.replace(" ", "") if isinstance(m, str) else "".join(m)) for m in merges]
+        if None in ids or ids != sorted(ids):
+            return lambda x: self.a.encode(x, add_special_tokens=False).ids
+        special = set(self.a.get_added_tokens_decoder())
+        ranks = {self.a_bytes[n]: n for n in self.a.get_vocab().values() if n not in special}
+        return tiktoken.Encoding("ranked", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def ids(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """Both tokenizers' ids of texts, which are given without the space before them."""
+        a = [self.plain_a(" " + t) if _PLAIN.fullmatch(t) else self.a.encode(" " + t, add_special_tokens=False).ids for t in texts]
+        return a, [own or [self.b.piece_to_id(SPACE)] for own in self.b.encode(texts, num_threads=1)]  # B puts no space before nothing
+
+    def whole(self, text: str, a: list[int], b: list[int]) -> bool:
+        """Whether the bytes of both are those of the text."""
+        data = (" " + text).encode()
+        return b"".join([self.a_bytes[n] for n in a]) == data and b"".join([self.b_bytes[n] for n in b]) == data
+
+    def documents(self, texts: list[str]) -> list[tuple[int, int, str, np.ndarray, np.ndarray] | None]:
+        """Tokens of A and B, groups, linked pairs and how often each; none of empty texts and those whose bytes aren't given back."""
+        found: list[tuple | None] = [None] * len(texts)
+        filled = [k for k, t in enumerate(texts) if t]
+        a, b = self.ids([texts[k] for k in filled])
+        good = [n for n, k in enumerate(filled) if self.whole(texts[k], a[n], b[n])]
+        if not good:
+            return found
+        # all tokens in a row: every text ends with both, so offsets agree throughout and no group lies over two texts
+        a_all, b_all = (np.concatenate([np.asarray(x[n], np.int64) for n in good]) for x in (a, b))
+        a_ends, b_ends = np.cumsum(self.a_sizes[a_all]), np.cumsum(self.b_sizes[b_all])
+        at = np.searchsorted(b_ends, a_ends)
+        a_last = np.flatnonzero(b_ends[at] == a_ends)
+        b_last = at[a_last]
+        a_at = np.arange(len(a_all)) + np.concatenate([[0], b_last + 1])[np.searchsorted(a_last, np.arange(len(a_all)))]
+        b_at = np.arange(len(b_all)) + (a_last + 1)[np.searchsorted(b_last, np.arange(len(b_all)))]
+        out = np.empty(len(a_all) + len(b_all), object)
+        out[a_at], out[b_at] = self.written[","][a_all], self.written[","][b_all]
+        out[a_at[a_last]], out[b_at[b_last]] = self.written["|"][a_all[a_last]], self.written[";"][b_all[b_last]]
+        links = a_all[a_last] * PAIR + b_all[b_last]
+        tokens, groups, from_token, from_group = out.tolist(), np.searchsorted(a_last, np.cumsum([len(a[n]) for n in good])), 0, 0
+        for n, to_group in zip(good, groups.tolist(), strict=True):
+            to_token = from_token + len(a[n]) + len(b[n])
+            pairs, times = np.unique(links[from_group:to_group], return_counts=True)
+            found[filled[n]] = len(a[n]), len(b[n]), "".join(tokens[from_token:to_token])[:-1], pairs, times
+            from_token, from_group = to_token, to_group
+        return found
+
+    def fragment(self, span: bytes, low: int, high: int) -> tuple[int, int, Fragment, np.ndarray, np.ndarray] | None:
+        """The same of the tokens that end behind byte low and at byte high at most, of a span of whole stretches."""
+        text = span.decode()[1:]
+        (a,), (b,) = self.ids([text])
+        if not self.whole(text, a, b):
             return None
-        links: Counter = Counter()
-        for x in found:
-            links.update(x[4])
-        return sum(x[1] for x in found), sum(x[2] for x in found), ";".join([x[3] for x in found]), links
-
-    def fragment(self, span: bytes, low: int, high: int) -> tuple[int, int, Fragment, Counter] | None:
-        """The same of the tokens that end behind byte low and at byte high at most, of whole stretches."""
-        out, at, n_a, n_b, links = Fragment(), 0, 0, 0, Counter()
-        groups: list[str] = []
-        for x in stretches(span.decode()):
-            found = self.of(x)
-            if found is None:
-                return None
-            end = at + found[0]
-            if low <= at and end <= high and out.cut and not any(out.suffix):  # in the middle: closed as it is
-                groups.append(found[3])
-                n_a, n_b = n_a + found[1], n_b + found[2]
-                links.update(found[4])
-            else:
-                own = self.tokens(x).owned(low - at, high - at)
-                n_a, n_b = n_a + len(own.a), n_b + len(own.b)
-                links.update(linked(own.groups()[0]))
-                out = Fragment(out.cut, out.prefix, out.closed + groups, out.suffix) + Fragment.of(own)
-                groups = []
-            at = end
-        return n_a, n_b, Fragment(out.cut, out.prefix, out.closed + groups, out.suffix), links
+        ends = (list(accumulate(len(known[n]) for n in ids)) for ids, known in ((a, self.a_bytes), (b, self.b_bytes)))
+        own = Tokens(a, next(ends), b, next(ends)).owned(low, high)
+        return len(own.a), len(own.b), Fragment.of(own), *np.unique(np.array(linked(own.groups()[0]), np.int64), return_counts=True)
 
 
 _ALIGNERS: dict[tuple, Aligner] = {}
@@ -245,8 +248,7 @@ def _counted(found: tuple | None) -> tuple:
     """The columns of _COUNTS."""
     if found is None:
         return False, 0, 0, 0, [], []
-    links = found[3]
-    return True, found[0], found[1], sum(links.values()), list(links), list(links.values())
+    return True, found[0], found[1], int(found[4].sum()), found[3], found[4]
 
 
 def _short(docs: DataFrame, paths: tuple[str | None, str | None]) -> DataFrame:
@@ -255,14 +257,11 @@ def _short(docs: DataFrame, paths: tuple[str | None, str | None]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = aligner(*paths)
-        try:
-            for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
-                found = [both.document(t) if t else None for t in batch.column(2).to_pylist()]
-                digests = [sha256(x[2].encode()).hexdigest() if x else "" for x in found]
-                rows = list(zip(*map(_counted, found), strict=True)) or [()] * 6
-                yield _record([batch.column(0), batch.column(1), *rows, digests], schema)
-        finally:  # Spark uses a worker for many tasks
-            both.kept.forget()
+        for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
+            found = both.documents(batch.column(2).to_pylist())
+            digests = [sha256(x[2].encode()).hexdigest() if x else "" for x in found]
+            rows = zip(*map(_counted, found), strict=True)
+            yield _record([batch.column(0), batch.column(1), *rows, digests], schema)
 
     return docs.mapInArrow(run, f"{_ROW}, groups_sha256 string")
 
@@ -288,15 +287,12 @@ def _fragments(ranges: DataFrame, paths: tuple[str | None, str | None]) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = aligner(*paths)
-        try:
-            for batch in batches:
-                for key, doc_id, node, span, low, high in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    found = both.fragment(span, low, high)
-                    f = found[2] if found else Fragment()
-                    own = {"cut": f.cut, "pa": f.prefix[0], "pb": f.prefix[1], "closed": [";".join(f.closed)] if f.closed else [], "sa": f.suffix[0], "sb": f.suffix[1]}
-                    yield _record([[key], [doc_id], *([x] for x in _counted(found)), [node], [own]], schema)
-        finally:
-            both.kept.forget()
+        for batch in batches:
+            for key, doc_id, node, span, low, high in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found = both.fragment(span, low, high)
+                f = found[2] if found else Fragment()
+                own = {"cut": f.cut, "pa": f.prefix[0], "pb": f.prefix[1], "closed": [";".join(f.closed)] if f.closed else [], "sa": f.suffix[0], "sb": f.suffix[1]}
+                yield _record([[key], [doc_id], *([x] for x in _counted(found)), [node], [own]], schema)
 
     return ranges.mapInArrow(run, f"{_ROW}, node long, fragment {_FRAGMENT}")
 
