@@ -26,11 +26,9 @@ from __future__ import annotations
 import json
 import re
 import uuid
-from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from hashlib import sha256
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -59,36 +57,15 @@ _BYTE_BORDER = re.compile(
 )
 
 
-@dataclass
-class Tokens:
-    """Ids and byte ends of both tokenizers over a stretch."""
-
-    a: list[int]
-    a_ends: list[int]
-    b: list[int]
-    b_ends: list[int]
-
-    def owned(self, low: int, high: int) -> Tokens:
-        """Those that end behind low, and at high at most."""
-        a, b = (slice(bisect_right(ends, low), bisect_right(ends, high)) for ends in (self.a_ends, self.b_ends))
-        return Tokens(self.a[a], self.a_ends[a], self.b[b], self.b_ends[b])
-
-    def groups(self) -> tuple[list[tuple[list[int], list[int]]], tuple[list[int], list[int]]]:
-        """Groups that a common end closes, and the tokens after the last one."""
-        at, closed, i, j = {e: k for k, e in enumerate(self.b_ends)}, [], 0, 0
-        for k, end in enumerate(self.a_ends):
-            if end in at:
-                closed.append((self.a[i : k + 1], self.b[j : at[end] + 1]))
-                i, j = k + 1, at[end] + 1
-        return closed, (self.a[i:], self.b[j:])
+def common_ends(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places in both of the tokens that end together."""
+    at = np.minimum(np.searchsorted(b_ends, a_ends), max(0, len(b_ends) - 1))
+    a_last = np.flatnonzero(b_ends[at] == a_ends) if len(b_ends) else np.zeros(0, np.int64)
+    return a_last, at[a_last]
 
 
-def written(group: tuple[list[int], list[int]]) -> str:
-    return ",".join(map(str, group[0])) + "|" + ",".join(map(str, group[1]))
-
-
-def linked(closed: list[tuple[list[int], list[int]]]) -> list[int]:
-    return [a[-1] * PAIR + b[-1] for a, b in closed]
+def written(a: list[int], b: list[int]) -> str:
+    return ",".join(map(str, a)) + "|" + ",".join(map(str, b))
 
 
 @dataclass
@@ -105,16 +82,11 @@ class Fragment:
             return Fragment(other.cut, _joined(self.prefix, other.prefix), other.closed, other.suffix)
         if not other.cut:
             return Fragment(True, self.prefix, self.closed, _joined(self.suffix, other.prefix))
-        return Fragment(True, self.prefix, [*self.closed, written(_joined(self.suffix, other.prefix)), *other.closed], other.suffix)
-
-    @staticmethod
-    def of(tokens: Tokens) -> Fragment:
-        closed, rest = tokens.groups()
-        return Fragment(True, closed[0], [written(x) for x in closed[1:]], rest) if closed else Fragment(False, rest)
+        return Fragment(True, self.prefix, [*self.closed, written(*_joined(self.suffix, other.prefix)), *other.closed], other.suffix)
 
     def text(self) -> str:
         """The groups of a whole document."""
-        return ";".join([written(self.prefix), *self.closed] + ([written(self.suffix)] if any(self.suffix) else []))
+        return ";".join([written(*self.prefix), *self.closed] + ([written(*self.suffix)] if any(self.suffix) else []))
 
 
 def _joined(x: tuple[list[int], list[int]], y: tuple[list[int], list[int]]) -> tuple[list[int], list[int]]:
@@ -178,17 +150,9 @@ class Aligner:
             return found
         # all tokens in a row: every text ends with both, so offsets agree throughout and no group lies over two texts
         a_all, b_all = (np.concatenate([np.asarray(x[n], np.int64) for n in good]) for x in (a, b))
-        a_ends, b_ends = np.cumsum(self.a_sizes[a_all]), np.cumsum(self.b_sizes[b_all])
-        at = np.searchsorted(b_ends, a_ends)
-        a_last = np.flatnonzero(b_ends[at] == a_ends)
-        b_last = at[a_last]
-        a_at = np.arange(len(a_all)) + np.concatenate([[0], b_last + 1])[np.searchsorted(a_last, np.arange(len(a_all)))]
-        b_at = np.arange(len(b_all)) + (a_last + 1)[np.searchsorted(b_last, np.arange(len(b_all)))]
-        out = np.empty(len(a_all) + len(b_all), object)
-        out[a_at], out[b_at] = self.written[","][a_all], self.written[","][b_all]
-        out[a_at[a_last]], out[b_at[b_last]] = self.written["|"][a_all[a_last]], self.written[";"][b_all[b_last]]
-        links = a_all[a_last] * PAIR + b_all[b_last]
-        tokens, groups, from_token, from_group = out.tolist(), np.searchsorted(a_last, np.cumsum([len(a[n]) for n in good])), 0, 0
+        a_last, b_last = common_ends(np.cumsum(self.a_sizes[a_all]), np.cumsum(self.b_sizes[b_all]))
+        tokens, links = self.grouped(a_all, b_all, a_last, b_last), a_all[a_last] * PAIR + b_all[b_last]
+        groups, from_token, from_group = np.searchsorted(a_last, np.cumsum([len(a[n]) for n in good])), 0, 0
         for n, to_group in zip(good, groups.tolist(), strict=True):
             to_token = from_token + len(a[n]) + len(b[n])
             pairs, times = np.unique(links[from_group:to_group], return_counts=True)
@@ -196,15 +160,35 @@ class Aligner:
             from_token, from_group = to_token, to_group
         return found
 
+    def grouped(self, a: np.ndarray, b: np.ndarray, a_last: np.ndarray, b_last: np.ndarray) -> list[str]:
+        """The ids of closed groups as they are written, each with the mark behind it; the last tokens of both close a group."""
+        own = np.arange(len(a)), np.arange(len(b))
+        a_at = own[0] + np.concatenate([[0], b_last + 1])[np.searchsorted(a_last, own[0])]  # behind the tokens of B in the groups before
+        b_at = own[1] + (a_last + 1)[np.searchsorted(b_last, own[1])]
+        out = np.empty(len(a) + len(b), object)
+        out[a_at], out[b_at] = self.written[","][a], self.written[","][b]
+        out[a_at[a_last]], out[b_at[b_last]] = self.written["|"][a[a_last]], self.written[";"][b[b_last]]
+        return out.tolist()
+
     def fragment(self, span: bytes, low: int, high: int) -> tuple[int, int, Fragment, np.ndarray, np.ndarray] | None:
         """The same of the tokens that end behind byte low and at byte high at most, of a span of whole stretches."""
         text = span.decode()[1:]
         (a,), (b,) = self.ids([text])
         if not self.whole(text, a, b):
             return None
-        ends = (list(accumulate(len(known[n]) for n in ids)) for ids, known in ((a, self.a_bytes), (b, self.b_bytes)))
-        own = Tokens(a, next(ends), b, next(ends)).owned(low, high)
-        return len(own.a), len(own.b), Fragment.of(own), *np.unique(np.array(linked(own.groups()[0]), np.int64), return_counts=True)
+        sides = []
+        for ids, sizes in ((a, self.a_sizes), (b, self.b_sizes)):
+            ends = np.cumsum(sizes[np.asarray(ids, np.int64)])
+            kept = (ends > low) & (ends <= high)
+            sides.append((np.asarray(ids, np.int64)[kept], ends[kept]))
+        (a, a_ends), (b, b_ends) = sides
+        a_last, b_last = common_ends(a_ends, b_ends)
+        pairs, times = np.unique(a[a_last] * PAIR + b[b_last], return_counts=True)
+        if not len(a_last):
+            return len(a), len(b), Fragment(False, (a.tolist(), b.tolist())), pairs, times
+        i, j, x, y = a_last[0] + 1, b_last[0] + 1, a_last[-1] + 1, b_last[-1] + 1
+        closed = ["".join(self.grouped(a[i:x], b[j:y], a_last[1:] - i, b_last[1:] - j))[:-1]] if len(a_last) > 1 else []
+        return len(a), len(b), Fragment(True, (a[:i].tolist(), b[:j].tolist()), closed, (a[x:].tolist(), b[y:].tolist())), pairs, times
 
 
 _ALIGNERS: dict[tuple, Aligner] = {}
@@ -291,7 +275,7 @@ def _fragments(ranges: DataFrame, paths: tuple[str | None, str | None]) -> DataF
             for key, doc_id, node, span, low, high in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 found = both.fragment(span, low, high)
                 f = found[2] if found else Fragment()
-                own = {"cut": f.cut, "pa": f.prefix[0], "pb": f.prefix[1], "closed": [";".join(f.closed)] if f.closed else [], "sa": f.suffix[0], "sb": f.suffix[1]}
+                own = {"cut": f.cut, "pa": f.prefix[0], "pb": f.prefix[1], "closed": f.closed, "sa": f.suffix[0], "sb": f.suffix[1]}
                 yield _record([[key], [doc_id], *([x] for x in _counted(found)), [node], [own]], schema)
 
     return ranges.mapInArrow(run, f"{_ROW}, node long, fragment {_FRAGMENT}")
