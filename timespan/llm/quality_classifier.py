@@ -3,7 +3,9 @@
 Heuristic labellers that overlap vote on every document; where a table of labels covers it, that is one more labeller.
 Word lists vote against toxicity only in their own language. Expectation-maximisation over the counts of vote patterns
 estimates how reliable each is. Posterior labels of a bounded sample (`sample` documents of each class that some
-labeller votes on, chosen by hash over the whole corpus) train a linear scorer over hashed words, their beginnings and shapes, which then scores every document.
+labeller votes on, chosen by hash over the whole corpus) train a linear scorer over hashed words, their beginnings and shapes, which then
+scores every document. It keeps the features that differ most between the classes: with all of them, it learns single
+documents by heart, and word lists in one language say nothing of the others.
 Posterior and score are combined; a document is kept if neither target reaches `threshold`.
 
 Defined results: a null or empty text has no votes but that it is too short; repeated rows get equal results; a table without
@@ -24,12 +26,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from timespan.llm.common import ALNUM, stored, table, utf8
-from timespan.llm.weak_labels import ABSTAIN, NO, YES, fit_label_model, score, train_scorer
+from timespan.llm.weak_labels import ABSTAIN, NO, YES, fit_label_model, score, train_selected
 
 DIMENSIONS = 1 << 18
 #: Documents of each class that the scorer is trained on, at most.
 SAMPLE = 3000
 TARGETS = ("low", "toxic")
+#: Features that the scorer keeps, and training documents that must have one.
+TELLING, LEAST_ROWS = 1000, 5
+#: Distinct words of a document that share a beginning often enough to count as a family, as the words for one thing do.
+FAMILY = 3
 LOW_LABELLERS = 10
 
 #: Common insults of English, in three lists that overlap.
@@ -100,7 +106,7 @@ _WORD_IDS = _WordIds()
 
 
 def features(text: bytes) -> np.ndarray:
-    """Hashed distinct words with their beginnings, and shapes of the text as a whole."""
+    """Hashed distinct words with their beginnings, those beginnings again that FAMILY words or more share, and shapes of the text as a whole."""
     words = text.split()
     n = len(words)
     shapes = [b"\0n%d" % min(12, n.bit_length())]
@@ -110,7 +116,9 @@ def features(text: bytes) -> np.ndarray:
         shapes.append(b"\0d%d" % int(10 * len(set(words)) / n))
         shapes.append(b"\0r%d" % int(10 * len(set(zip(words, words[1:], strict=False))) / max(1, n - 1)))
     ids = list(itertools.chain.from_iterable(map(_WORD_IDS.__getitem__, set(text.translate(ALNUM).split()))))
-    return np.unique(np.array(ids + [zlib.crc32(x) % DIMENSIONS for x in shapes], np.int32))
+    own, times = np.unique(np.array(ids, np.int64), return_counts=True)
+    shared = own[times >= FAMILY] * 40_503 % DIMENSIONS
+    return np.unique(np.concatenate([own, shared, np.array([zlib.crc32(x) % DIMENSIONS for x in shapes], np.int64)])).astype(np.int32)
 
 
 def label_votes(docs: DataFrame) -> DataFrame:
@@ -204,7 +212,7 @@ def _train(docs: DataFrame, voted: DataFrame, target: str, posterior: dict[str,
     got = texts.mapInArrow(run, "pick long, own array<int>").toArrow().combine_chunks()
     found = dict(zip(got.column(0).to_pylist(), (x.values.to_numpy() for x in got.column(1)), strict=True))
     order = sorted(found)
-    return train_scorer([found[k] for k in order], np.array([chosen[k] for k in order]), DIMENSIONS)
+    return train_selected([found[k] for k in order], np.array([chosen[k] for k in order]), DIMENSIONS, TELLING, LEAST_ROWS)
 
 
 def op2_quality_classifier(spark, sf_dir: str) -> DataFrame:
