@@ -13,8 +13,10 @@ FULL_MARKS, HALF_MARKS = "。，、！？；：", ".,,!?;:"
 #: Language names of codes. Fixed values.
 LANGUAGES = {"zh": "Chinese", "zh-cn": "Chinese", "zh-tw": "Chinese", "en": "English", "ja": "Japanese", "ko": "Korean", "yue": "Cantonese"}
 
-VIDEO_SUFFIXES = ("mp4", "mov", "mkv", "avi", "webm", "flv", "m4v")
+VIDEO_SUFFIXES = ("mp4", "mov", "mkv", "avi", "webm", "flv", "wmv", "m4v")
 AUDIO_SUFFIXES = ("wav", "mp3", "m4a", "flac", "ogg", "aac", "wma", "opus")
+#: What a batch of files to be transcribed takes. Fixed values.
+INGEST_SUFFIXES = ("mp3", "wav", "m4a", "flac", "ogg", "aac", "opus", "wma", "mp4", "mkv", "webm")
 
 
 def strip(c: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Live speech segmentation, progress and ingest as Structured Streaming jobs, with batch twins.
+"""Live speech segmentation as a Structured Streaming job, with its batch twin, and refreshed results.
 
 A chunk with speech is buffered. A silent chunk is buffered too if the buffer holds something; the buffer is flushed
 as an utterance after `silence` silent chunks, or when it has `cap` chunks at a silent one. Unbroken speech is never
@@ -7,14 +7,14 @@ cut (hard_cap cuts it), and what is buffered at the end stays unflushed.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from typing import Any
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from timespan.streaming.state import IdleProcessor, by_stream
 
 CHUNK, RATE = 512, 16_000
 UTTERANCE = "stream_id long, first_chunk long, chunks long, seconds long"
@@ -51,59 +51,25 @@ def utterances(vad: DataFrame, silence: int = 25, cap: int = 600, hard_cap: bool
     return vad.select("stream_id", "chunk_idx", "prob").groupBy("stream_id").applyInPandas(run, UTTERANCE)
 
 
-def utterance_stream(vad: DataFrame, silence: int = 25, cap: int = 600, hard_cap: bool = False) -> DataFrame:
-    """Utterances of a stream as they end. Chunks of a stream come in order from batch to batch; within one they are sorted."""
-
-    def run(key: tuple[Any, ...], parts: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        state = tuple(held.get) if held.exists else (0, 0, 0)
-        found = []
-        for chunk, prob in pd.concat(list(parts)).sort_values("chunk_idx")[["chunk_idx", "prob"]].itertuples(index=False):
-            state, out = _step(state, int(chunk), float(prob), silence, cap, hard_cap)
+def _listen(silence: int, cap: int, hard_cap: bool):
+    def step(key: Any, state: tuple | None, pdf: pd.DataFrame) -> tuple[tuple | None, pd.DataFrame]:
+        now, found = state or (0, 0, 0), []
+        for chunk, prob in pdf[["chunk_idx", "prob"]].itertuples(index=False):
+            now, out = _step(now, int(chunk), float(prob), silence, cap, hard_cap)
             found += [out] if out else []
-        held.update(state)
-        yield _rows(int(key[0]), found)
-
-    return vad.select("stream_id", "chunk_idx", "prob").groupBy("stream_id").applyInPandasWithState(run, UTTERANCE, STATE, "append", GroupStateTimeout.NoTimeout)
+        return now if now[1] else None, _rows(int(key), found)
 
+    return step
 
-def progress_stream(events: DataFrame, scale: float = 1.0, base: float = 0.0, cap: float = 0.95) -> DataFrame:
-    """The largest progress and the last status of each task, for update or complete mode."""
-    now = F.least(F.lit(cap), F.lit(base) + F.lit(scale) * F.least(F.greatest("progress", F.lit(0.0)), F.lit(1.0)))
-    return events.groupBy("task_id").agg(F.max(now).alias("progress"), F.max_by("status", "seq").alias("status"))
 
+def utterance_stream(vad: DataFrame, silence: int = 25, cap: int = 600, hard_cap: bool = False, delay: str = "10 seconds", idle_ms: int = 60_000) -> DataFrame:
+    """Utterances of a stream (stream_id, chunk_idx, event_time, prob) as they end.
 
-def ingest(work: Callable[[DataFrame], DataFrame], log_path: str) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: runs work on the items that aren't done yet and writes item, status, message of each batch to the log.
-
-    work gets item and returns item, result and, if it likes, error; it should turn what goes wrong with an item into its
-    error. An empty or null result is a failure with a message. If work itself fails, all items of the batch are failed
-    with its message and the stream goes on. Failed items run again when they come again. A batch's rows replace those
-    that the same batch has written before, so one that is run again counts once.
+    Chunks of a stream come in order from batch to batch; within one they are sorted. A stream has state only while
+    something is buffered, and loses it when the watermark is idle_ms beyond its last chunk: its tail is never flushed.
     """
-
-    def batch(items: DataFrame, number: int) -> None:
-        spark = items.sparkSession
-        todo = items.select("item").distinct()
-        try:
-            log = spark.read.parquet(log_path)
-            done = log.filter((F.col("batch") != number) & (F.col("status") == "done")).select("item").distinct()
-            todo = todo.join(done, "item", "left_anti")
-        except AnalysisException as e:  # the log doesn't exist before the first batch
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        ok = F.coalesce(F.length("result"), F.lit(0)) > 0
-        target = f"{log_path}/batch={number}"
-        try:
-            found = work(todo)
-            error = F.col("error") if "error" in found.columns else F.lit(None).cast("string")
-            out = todo.join(found.withColumn("error", error), "item", "left")
-            out = out.select("item", F.when(ok, "done").otherwise("failed").alias("status"), F.when(~ok, F.coalesce("error", F.lit("empty result"))).alias("message"))
-            out.write.mode("overwrite").parquet(target)
-        except Exception as e:
-            message = (str(e).strip().splitlines() or [type(e).__name__])[0]
-            todo.select("item", F.lit("failed").alias("status"), F.lit(message).alias("message")).write.mode("overwrite").parquet(target)
-
-    return batch
+    rows = vad.select("stream_id", "chunk_idx", "event_time", "prob")
+    return by_stream(rows, IdleProcessor(_listen(silence, cap, hard_cap), STATE, "chunk_idx", idle_ms), UTTERANCE, delay)
 
 
 def refreshed(wanted: DataFrame, stored: DataFrame, compute: Callable[[DataFrame], DataFrame], refresh: bool = False) -> DataFrame:
@@ -113,10 +79,3 @@ def refreshed(wanted: DataFrame, stored: DataFrame, compute: Callable[[DataFrame
     new = compute(missing).join(top.select("project_id", F.col("version").alias("v")), "project_id", "left")
     new = new.select("project_id", (F.coalesce("v", F.lit(0)) + 1).alias("version"), "payload")
     return new if refresh else new.unionByName(top.join(wanted.select("project_id"), "project_id", "left_semi"))
-
-
-def preprocess_stream(blocks: DataFrame) -> DataFrame:
-    """Blocks of channels (block_id, channels array<array<double>>) as mono samples; stateless."""
-    n = F.size("channels")
-    mix = F.transform(F.get("channels", F.lit(0)), lambda x, i: F.aggregate("channels", F.lit(0.0), lambda s, c: s + F.get(c, i)) / n)
-    return blocks.select("block_id", mix.alias("mono"))
