@@ -93,8 +93,9 @@ def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """media_id, span_idx, embedding."""
-    return table(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("media_id"), F.col("vec_id").cast("long").alias("span_idx"), F.col("embedding"))
+    """media_id, span_idx, embedding: the vectors of a label, 2,000 at most in a medium."""
+    media = F.col("label").cast("long") * 1_000_000 + F.floor(F.col("vec_id") / 2000)
+    return table(spark, sf_dir, "embeddings").select(media.cast("long").alias("media_id"), F.col("vec_id").cast("long").alias("span_idx"), F.col("embedding"))
 
 
 _KIND = "CASE event_type WHEN 'error' THEN 0 WHEN 'click' THEN 1 WHEN 'view' THEN 2 WHEN 'signup' THEN 3 ELSE 4 END"
@@ -115,7 +116,7 @@ SQL = {
         '{"key":' || o_orderkey || ',"label":" L' || (o_orderkey % 5) || ' ","file":"/data/' || o_custkey || '/a.wav"' || CASE WHEN o_orderkey % 3 = 0 THEN ',"base":' || (o_orderkey % 7) ELSE '' END || CASE WHEN o_orderkey % 5 = 0 THEN ',"note":"n"' ELSE '' END
         || CASE WHEN o_orderkey % 4 = 0 THEN ',"deletes":[{"start_us":' || o_orderkey || ',"end_us":' || (o_orderkey + 10) || '}]' ELSE '' END || '}' AS payload, (o_orderdate::DATE - DATE '1970-01-01')::BIGINT AS created, o_orderkey FROM orders)""",
     "tasks": "tasks AS (SELECT o_custkey::BIGINT AS task_id, CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'queued' ELSE 'running' END AS status, (o_orderkey % 101) / 100.0 AS progress, o_orderkey::BIGINT AS seq FROM orders)",
-    "vectors": "vectors AS (SELECT label::BIGINT AS media_id, vec_id::BIGINT AS span_idx, embedding FROM embeddings)",
+    "vectors": "vectors AS (SELECT (label * 1000000 + vec_id // 2000)::BIGINT AS media_id, vec_id::BIGINT AS span_idx, embedding FROM embeddings)",
 }
 _NEEDS = {"deletes": ["ranges"], "spans": ["ranges"], "totals": ["ranges"], "keyframes": ["ranges"], "tokens0": ["segments"], "words": ["segments", "tokens0"], "word_totals": ["segments", "tokens0", "words"]}
 

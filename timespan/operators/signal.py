@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from timespan.operators import intervals as iv
+
 
 def peaks(samples: DataFrame, points: int) -> DataFrame:
     """The envelope of each medium in at most `points` places, clipped to [0, 1]; values that aren't finite are 0."""
@@ -18,6 +20,29 @@ def peaks(samples: DataFrame, points: int) -> DataFrame:
     return sized.groupBy("media_id", F.floor(F.col("sample_idx") / F.col("width")).alias("place")).agg(F.least(F.max("v"), F.lit(1.0)).alias("peak")).filter(F.col("place") < points)
 
 
+def peak_range(envelope: DataFrame) -> DataFrame:
+    """low and high of each medium's envelope."""
+    return envelope.groupBy("media_id").agg(F.min("peak").alias("low"), F.max("peak").alias("high"))
+
+
+def display_envelope(samples: DataFrame, rate: int = 16_000, most: int = 2000, dense: int = 64) -> DataFrame:
+    """The envelope that is drawn: place, peak of the channels (media_id, channel, sample_idx, v) in places of equal strides.
+
+    60 places a second, at least 500 and at most `most`, but never less than 256 or more than there are samples. A
+    stride longer than 2 * dense samples is looked at in steps of its `dense`-th part; the last place takes what is left.
+    """
+    n = samples.groupBy("media_id").agg((F.max("sample_idx") + 1).alias("n"))
+    wanted = F.greatest(F.lit(256), F.least(F.lit(most), F.greatest(F.lit(500), F.ceil(F.greatest(F.col("n") / rate, F.lit(0.1)) * 60))))
+    sized = n.withColumn("places", F.greatest(F.lit(1), F.least("n", wanted)))
+    sized = sized.withColumn("stride", F.greatest(F.lit(1), F.floor(F.col("n") / F.col("places"))))
+    sized = sized.withColumn("step", F.greatest(F.lit(1), F.floor(F.col("stride") / dense)))
+    place = F.least(F.floor(F.col("sample_idx") / F.col("stride")), F.col("places") - 1)
+    df = samples.join(sized, "media_id").withColumn("place", place)
+    seen = df.filter((F.col("sample_idx") - F.col("place") * F.col("stride")) % F.col("step") == 0)
+    v = F.abs(F.when(F.isnan("v"), 0.0).otherwise(F.coalesce("v", F.lit(0.0))))
+    return seen.groupBy("media_id", "place").agg(F.least(F.max(v), F.lit(1.0)).alias("peak"))
+
+
 def motion_score(frames: DataFrame) -> DataFrame:
     """Mean absolute difference of neighbouring frames, and the number of frames; one frame scores 0."""
     before = F.lag("pixels").over(Window.partitionBy("media_id").orderBy("frame_idx"))
@@ -115,26 +140,51 @@ def cosine_distances(vectors: DataFrame) -> DataFrame:
     return a.join(b, "media_id").filter("a_idx < b_idx").select("media_id", "a_idx", "b_idx", F.least(F.greatest(1 - _dot("a", "b"), F.lit(0.0)), F.lit(2.0)).alias("distance"))
 
 
-def average_linkage(unit: np.ndarray, cut: float, clusters: int | None = None) -> np.ndarray:
-    """Labels from 1 on by average linkage of cosine distances, up to distance `cut` or a number of clusters."""
+def linkage(unit: np.ndarray) -> list[tuple[float, int, int]]:
+    """The merges of average linkage over cosine distances: height, and a member of each of the two clusters.
+
+    The mean distance of two clusters follows from the sums of their vectors, so no matrix of distances is kept: memory
+    grows with the vectors alone. A chain of nearest neighbours finds each merge with a few products of one sum with all.
+    """
     m = len(unit)
-    labels = np.arange(m)
-    if m and (clusters is None or clusters < m):
-        d = np.clip(1 - unit @ unit.T, 0, 2)
-        np.fill_diagonal(d, np.inf)
-        size, alive = np.ones(m), m
-        while alive > max(1, clusters or 1):
-            at = int(d.argmin())
-            a, b = sorted(divmod(at, m))
-            if not np.isfinite(d[a, b]) or (clusters is None and d[a, b] > cut):
+    sums, size, alive, merges, chain = unit.copy(), np.ones(m), np.ones(m, bool), [], []
+    for _ in range(m - 1):
+        if not chain:
+            chain.append(int(alive.argmax()))
+        while True:
+            top = chain[-1]
+            d = np.clip(1 - (sums @ sums[top]) / (size * size[top]), 0, 2)
+            d[~alive] = np.inf
+            d[top] = np.inf
+            near = int(d.argmin())
+            if len(chain) > 1 and d[chain[-2]] <= d[near]:
                 break
-            row = (d[a] * size[a] + d[b] * size[b]) / (size[a] + size[b])
-            row[a] = np.inf
-            d[a], d[:, a], d[b], d[:, b] = row, row, np.inf, np.inf
-            size[a] += size[b]
-            labels[labels == labels[b]] = labels[a]
-            alive -= 1
-    return np.unique(labels, return_inverse=True)[1] + 1
+            chain.append(near)
+        a, b = sorted((chain.pop(), chain.pop()))
+        merges.append((float(d[a if top == b else b]), a, b))
+        sums[a] += sums[b]
+        size[a] += size[b]
+        alive[b], sums[b], size[b] = False, 0, 1
+    return merges
+
+
+def average_linkage(unit: np.ndarray, cut: float, clusters: int | None = None) -> np.ndarray:
+    """Labels from 1 on by average linkage of cosine distances, up to distance `cut` or a number of clusters. Equal heights merge in the order they are found."""
+    m = len(unit)
+    merges = sorted(linkage(unit), key=lambda x: x[0]) if m and (clusters is None or clusters < m) else []
+    merges = [x for x in merges if x[0] <= cut] if clusters is None else merges[: m - max(1, clusters)]
+    root = list(range(m))
+
+    def top(k: int) -> int:
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    for _, a, b in merges:
+        x, y = sorted((top(a), top(b)))
+        root[y] = x
+    return np.unique([top(k) for k in range(m)], return_inverse=True)[1].reshape(-1) + 1
 
 
 def cluster_spans(vectors: DataFrame, cut: float = 0.38, clusters: int | None = None) -> DataFrame:
@@ -150,6 +200,16 @@ def cluster_spans(vectors: DataFrame, cut: float = 0.38, clusters: int | None =
     return vectors.select("media_id", "span_idx", F.col("embedding").cast("array<double>").alias("embedding")).groupBy("media_id").applyInPandas(run, "media_id long, span_idx long, speaker long")
 
 
+def speaker_turns(spans: DataFrame, cut: float = 0.38, clusters: int | None = None, least: int = 800_000, gap: int = 300_000) -> DataFrame:
+    """media_id, start_us, end_us, speaker: spans (span_idx, start_us, end_us, embedding) by who speaks, neighbours of one speaker joined.
+
+    Spans shorter than `least` and those without a vector are dropped first; a medium's only span is speaker 1.
+    """
+    kept = spans.filter((F.col("end_us") - F.col("start_us") >= least) & F.col("embedding").isNotNull())
+    heard = kept.drop("embedding").join(cluster_spans(kept, cut, clusters), ["media_id", "span_idx"])
+    return iv.merge_labelled(heard.select("media_id", "start_us", "end_us", "speaker"), gap, 0, "speaker").select("media_id", "start_us", "end_us", "speaker")
+
+
 def score_chunks(chunks: DataFrame, load, score, schema: str) -> DataFrame:
     """A caller's function over chunks: load() runs once in a task, score(model, pdf) for each batch."""
 

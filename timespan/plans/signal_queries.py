@@ -1,5 +1,6 @@
 """Queries over signals, frames, labels and vectors."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from timespan import fixtures as fx
@@ -90,6 +91,29 @@ def mean_centred(spark, d):
     return sg.mean_centred(fx.vectors(spark, d).withColumn("embedding", F.col("embedding").cast("array<double>"))).withColumn("x", F.round("x", 6))
 
 
+@query(fx.sql("signal", query="SELECT media_id, min(peak) AS low, max(peak) AS high FROM (SELECT s.media_id, least(max(abs(v)), 1) AS peak FROM signal s JOIN (SELECT media_id, greatest(ceil(count(*) / 20.0), 1)::BIGINT AS w FROM signal GROUP BY media_id) n ON s.media_id = n.media_id WHERE sample_idx // w < 20 GROUP BY s.media_id, sample_idx // w) GROUP BY media_id"))
+def peak_range(spark, d):
+    return sg.peak_range(sg.peaks(fx.ordered_events(spark, d), 20))
+
+
+@query("""WITH s AS (SELECT user_id % 3 AS media_id, row_number() OVER (PARTITION BY user_id % 3 ORDER BY event_id) - 1 AS i, (value - 245) / 245 AS v FROM events), n AS (SELECT media_id, max(i) + 1 AS n FROM s GROUP BY media_id),
+p AS (SELECT *, greatest(1, least(n, greatest(256, least(300, greatest(500, ceil(greatest(n / 16.0, 0.1) * 60))))))::BIGINT AS places FROM n), t AS (SELECT *, greatest(1, n // places) AS stride, greatest(1, greatest(1, n // places) // 2) AS step FROM p)
+SELECT media_id::BIGINT AS media_id, place, least(max(abs(v)), 1) AS peak FROM (SELECT s.media_id, i, v, least(i // stride, places - 1) AS place, stride, step FROM s JOIN t USING (media_id)) WHERE (i - place * stride) % step = 0 GROUP BY media_id, place""")
+def display_envelope(spark, d):
+    """The events of a third of the users as two channels, one half as loud as the other."""
+    e = fx.table(spark, d, "events").withColumn("media_id", (F.col("user_id") % 3).cast("long"))
+    s = e.select("media_id", (F.row_number().over(Window.partitionBy("media_id").orderBy("event_id")) - 1).cast("long").alias("sample_idx"), ((F.col("value") - 245) / 245).alias("v"))
+    both = s.withColumn("channel", F.lit(0)).unionByName(s.withColumns({"channel": F.lit(1), "v": F.col("v") / -2}))
+    return sg.display_envelope(both, rate=16, most=300, dense=2)
+
+
+@query()
+def speaker_turns(spark, d):
+    """Spans of 0.6 to 2.4 seconds, a tenth of them without a vector."""
+    v = fx.vectors(spark, d).withColumn("start_us", F.col("span_idx") * 2_500_000).withColumn("end_us", F.col("start_us") + 600_000 + F.col("span_idx") % 7 * 300_000)
+    return sg.speaker_turns(v.withColumn("embedding", F.when(F.col("span_idx") % 10 != 3, F.col("embedding"))), gap=3_000_000)
+
+
 @query()
 def clustered_spans(spark, d):
     return sg.cluster_spans(fx.vectors(spark, d))
