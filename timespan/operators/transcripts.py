@@ -174,15 +174,20 @@ def align(words: DataFrame, stamps: DataFrame) -> DataFrame:
 
 
 def token_at(points: DataFrame, tokens: DataFrame) -> DataFrame:
-    """The token that holds each point (its start inclusive, its end not)."""
-    t = tokens.select("media_id", "seg_idx", "word_idx", "start_us", "end_us")
-    return points.join(t, "media_id").filter((F.col("start_us") <= F.col("t_us")) & (F.col("t_us") < F.col("end_us")))
+    """The tokens that hold each point (their start inclusive, their end not); they meet in time bins."""
+    p = points.withColumns({"start_us": F.col("t_us"), "end_us": F.col("t_us") + 1})
+    own = ["seg_idx", "word_idx", "start_us", "end_us"]
+    met = iv.interval_join(p, tokens.select("media_id", *own))
+    return met.select(*points.columns, *(F.col(f"r_{c}").alias(c) for c in own))
 
 
 def tokens_in_ranges(tokens: DataFrame, ranges: DataFrame, least: int = 500) -> DataFrame:
-    """Tokens that a range overlaps by more than least."""
-    r = ranges.select(F.col("media_id").alias("m"), F.col("start_us").alias("rs"), F.col("end_us").alias("re"))
-    return tokens.join(r, (F.col("media_id") == F.col("m")) & (F.least("end_us", "re") - F.greatest("start_us", "rs") > least), "left_semi")
+    """Tokens that a range overlaps by more than least: of what is longer, those whose inner part, less `least` at both ends, is touched."""
+    def longer(df: DataFrame) -> DataFrame:
+        return df.filter(F.col("end_us") - F.col("start_us") > least)
+
+    inner = longer(tokens).withColumns({"start_us": F.col("start_us") + least, "end_us": F.col("end_us") - least})
+    return iv.overlap_violations(inner, longer(ranges)).withColumns({"start_us": F.col("start_us") - least, "end_us": F.col("end_us") + least})
 
 
 def nearest_token(points: DataFrame, tokens: DataFrame) -> DataFrame:
@@ -199,8 +204,24 @@ def nearest_token(points: DataFrame, tokens: DataFrame) -> DataFrame:
     return df.withColumn("token", F.coalesce(pick, "a")).select("media_id", "t_us", "token.seg_idx", "token.word_idx")
 
 
-def decode_ids(ids: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """Texts of token ids (media_id, pos, id): special ids go, pieces of the vocabulary (id, piece, special) are joined in order."""
+#: The byte-level alphabet: bytes that aren't printable in Latin-1 stand as the characters from 256 on, in order.
+_HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)]
+_SHOWN_AS, _HIDDEN_CHARS = "".join(chr(256 + k) for k in range(1, len(_HIDDEN))), "".join(map(chr, _HIDDEN[1:]))
+
+
+def bytes_of_pieces(text: Column) -> Column:
+    """The bytes that byte-level pieces stand for; characters outside the alphabet are left out."""
+    known = F.regexp_replace(text, r"[^\x21-\x7E\u00A1-\u00AC\u00AE-\u0143]", "")
+    shown = F.replace(F.translate(known, _SHOWN_AS, _HIDDEN_CHARS), F.lit("\u0100"), F.lit("\0"))  # to translate() a zero means nothing
+    return F.encode(shown, "ISO-8859-1")
+
+
+def decode_ids(ids: DataFrame, vocabulary: DataFrame, byte_level: bool = False) -> DataFrame:
+    """Texts of token ids (media_id, pos, id): special ids go, pieces of the vocabulary (id, piece, special) are joined in order.
+
+    byte_level: pieces are bytes, which may be parts of characters; what isn't UTF-8 in the end becomes U+FFFD.
+    """
     v = vocabulary.filter("NOT special").select("id", "piece")
-    item = F.struct("pos", "piece")
-    return ids.join(v, "id").groupBy("media_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(item)), lambda x: x["piece"]), "").alias("text"))
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "piece"))), lambda x: x["piece"]), "")
+    held = ids.join(v, "id").groupBy("media_id").agg(joined.alias("text"))
+    return held.withColumn("text", F.make_valid_utf8(bytes_of_pieces(F.col("text")).cast("string"))) if byte_level else held

@@ -235,6 +235,25 @@ def decoded_ids(spark, d):
     return tr.decode_ids(ids, vocabulary)
 
 
+#: Byte-level pieces by id, and their bytes: whole characters, parts of them, and bytes that no character has.
+_PIECES = {1: ("\u0120a", "2061"), 2: ("ä¸", "E4B8"), 3: ("\u0143", "AD"), 4: ("é", "E9"), 5: ("b", "62"), 6: ("ð\u0141\u013a", "F09F98"), 7: ("\u0122", "80")}
+_UTF8 = "|".join([
+    "[0-7][0-9A-F]", "(?:C[2-9A-F]|D[0-9A-F])[89AB][0-9A-F]", "E0[AB][0-9A-F][89AB][0-9A-F]", "(?:E[1-9A-CEF])(?:[89AB][0-9A-F]){2}", "ED[89][0-9A-F][89AB][0-9A-F]",
+    "F0[9AB][0-9A-F](?:[89AB][0-9A-F]){2}", "F[1-3](?:[89AB][0-9A-F]){3}", "F48[0-9A-F](?:[89AB][0-9A-F]){2}",
+])
+_BROKEN = "F0[9AB][0-9A-F](?:[89AB][0-9A-F])?|F[1-3](?:[89AB][0-9A-F]){1,2}|F48[0-9A-F](?:[89AB][0-9A-F])?|E0[AB][0-9A-F]|(?:E[1-9A-CEF])[89AB][0-9A-F]|ED[89][0-9A-F]|.."
+
+
+@query(fx.sql("words", query=f"""SELECT media_id, decode(unhex(array_to_string(list_transform(regexp_extract_all(h, '{_UTF8}|{_BROKEN}'), lambda x: CASE WHEN regexp_full_match(x, '{_UTF8}') THEN x ELSE 'EFBFBD' END), ''))) AS text FROM
+(SELECT media_id, string_agg(CASE (length(text) + word_idx) % 8 {" ".join(f"WHEN {k} THEN '{h}'" for k, (_, h) in _PIECES.items())} ELSE '' END, '' ORDER BY seg_idx, word_idx) AS h FROM words GROUP BY media_id)"""))
+def decoded_bytes(spark, d):
+    """Byte-level ids whose pieces split characters and leave broken ones."""
+    w = fx.words(spark, d)
+    ids = w.select("media_id", (F.col("seg_idx") * 100_000 + F.col("word_idx")).alias("pos"), ((F.length("text") + F.col("word_idx")) % 8).alias("id"))
+    vocabulary = spark.createDataFrame([(0, "x", True), *((k, piece, False) for k, (piece, _) in _PIECES.items())], "id int, piece string, special boolean")
+    return tr.decode_ids(ids, vocabulary, byte_level=True)
+
+
 @query("""SELECT conv_id::BIGINT AS media_id, turn::BIGINT AS seg_idx, CASE WHEN turn % 5 = 0 THEN 0 ELSE turn * 1500000 END::BIGINT AS start_us, greatest(CASE WHEN turn % 5 = 0 THEN 0 ELSE turn * 1500000 END, turn * 1000000)::BIGINT AS end_us,
 CASE WHEN turn % 2 = 0 THEN 'ab' ELSE trim(role) END AS text, 2::BIGINT AS n_words FROM conversations""")
 def cleaned_external_segments(spark, d):
