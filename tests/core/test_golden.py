@@ -1,17 +1,25 @@
 """Hand-written cases of the folds and of the edges of interval operators."""
 
+from datetime import datetime, timedelta
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from timespan.functions import text as tx
 from timespan.operators import history as hs
 from timespan.operators import intervals as iv
+from timespan.operators import matching as mt
 from timespan.operators import segmentation as sm
 from timespan.operators import signal as sg
 from timespan.operators import tokens as tk
 from timespan.operators import transcripts as tr
 from timespan.sources import subtitles as sb
+from timespan.streaming import blocks as bl
+from timespan.streaming import ingest as ig
 from timespan.streaming import live
+from timespan.streaming import progress as pg
+from timespan.streaming import state as st
 
 S = 1_000_000
 
@@ -136,17 +144,102 @@ def test_utterance_needs_25_silent_chunks(spark):
     assert found([0.9] * 50, cap=10, hard_cap=True) == [(k, 10) for k in range(0, 50, 10)]
 
 
+def chunks_of(rows):
+    """Rows (stream, chunk, probability) a second apart."""
+    return [(s, k, datetime(2024, 1, 1) + timedelta(seconds=k), p) for s, k, p in rows]
+
+
+def held_state(spark, folder):
+    return spark.read.format("statestore").option("path", f"{folder}/state").option("stateVarName", "held").load().count()
+
+
+def test_state_ends_with_the_watermark(spark, tmp_path):
+    schema, folder = "stream_id long, chunk_idx long, event_time timestamp, prob double", str(tmp_path)
+
+    def feed(*rows):
+        spark.createDataFrame(chunks_of(rows), schema).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{folder}/in")
+        st.drain(live.utterance_stream(stream, silence=2, cap=9, idle_ms=30_000), folder)
+        return sorted((r.stream_id, r.first_chunk, r.chunks) for r in spark.read.schema(live.UTTERANCE).parquet(f"{folder}/out").collect())
+
+    assert feed((1, 0, 0.9), (1, 1, 0.1), (2, 0, 0.1), (3, 0, 0.9)) == [] and held_state(spark, folder) == 2  # silence alone is no state
+    assert feed((1, 2, 0.1), (1, 3, 0.1)) == [(1, 0, 3)] and held_state(spark, folder) == 1  # a flushed stream has none
+    assert feed((4, 500, 0.1)) == [(1, 0, 3)] and held_state(spark, folder) == 0  # the tail of an idle one goes unflushed
+
+
+def test_resampled_whatever_the_blocks(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    schema, signal, folder = "stream_id long, block_idx long, event_time timestamp, samples array<double>", {s: rng.normal(size=60) for s in (1, 2)}, str(tmp_path)
+    rows = []
+    for s, v in signal.items():
+        ends = [0, *sorted(rng.choice(np.arange(1, 60), 8, replace=False)), 60, 60]
+        rows += [(s, k, datetime(2024, 1, 1) + timedelta(seconds=k), v[a:b].tolist()) for k, (a, b) in enumerate(zip(ends, ends[1:], strict=False))]
+    for low, high in ((0, 3), (3, 7), (7, 99)):
+        spark.createDataFrame([r for r in rows if low <= r[1] < high], schema).write.mode("append").parquet(f"{folder}/in")
+        st.drain(bl.resampled_stream(spark.readStream.schema(schema).parquet(f"{folder}/in"), 5, 3, "1 hour"), folder)
+    found = spark.read.schema(bl.SAMPLE).parquet(f"{folder}/out").collect()
+    for s, v in signal.items():
+        own = [r.v for r in sorted(found, key=lambda r: r.sample_idx) if r.stream_id == s]
+        assert np.allclose(own, np.interp(np.arange(0, 59.0001, 5 / 3), np.arange(60), v))
+    whole = spark.createDataFrame([(s, k, float(x)) for s, v in signal.items() for k, x in enumerate(v)], "stream_id long, sample_idx long, v double")
+    want = sorted((r.stream_id, r.sample_idx, round(r.v, 9)) for r in bl.resampled_signal(whole, 5, 3).collect())
+    assert sorted((r.stream_id, r.sample_idx, round(r.v, 9)) for r in found) == want
+
+
+def test_progress_never_goes_back(spark, tmp_path):
+    sink, path = pg.upsert(str(tmp_path / "p")), str(tmp_path / "p")
+
+    def rows(*r):
+        return spark.createDataFrame(list(r), "task_id long, progress double, status string, seq long")
+
+    sink(rows((1, 0.5, "running", 3), (2, 0.2, "running", 1)), 0)
+    sink(rows((1, 0.9, "completed", 8)), 1)
+    sink(rows((1, 0.5, "running", 3), (2, 0.2, "running", 1)), 0)  # comes again
+    sink(rows((2, 0.1, "failed", 4)), 2)
+    want = {(1, 0.9, "completed", 8), (2, 0.2, "failed", 4)}
+    assert set(map(tuple, pg.current(spark, path).collect())) == want
+    pg.compact(spark, path, str(tmp_path / "c"))
+    assert set(map(tuple, pg.current(spark, str(tmp_path / "c")).collect())) == want
+    kinds = spark.createDataFrame([("transcribe", 2.0), ("transcribe", 0.5), ("cut", -1.0), ("cut", 0.4), ("cut", 5.0), ("other", 0.4)], "kind string, p double")
+    assert [r[0] for r in kinds.select(pg.shown(F.col("kind"), F.col("p"))).collect()] == [0.95, 0.5, 0.1, 0.1 + 0.75 * 0.4, 0.85, None]
+
+
+def test_media_files_are_ingested_as_they_come(spark, tmp_path):
+    log, seen, stop = str(tmp_path / "log"), [], []
+    (tmp_path / "in" / "deep").mkdir(parents=True)
+
+    def work(items):
+        names = sorted(r.item.rsplit("/", 1)[1] for r in items.collect())
+        seen.append(names)
+        return items.select("item", F.when(~F.contains("item", F.lit("bad")), "text").alias("result"))
+
+    def feed(*names):
+        for n in names:
+            (tmp_path / "in" / n).write_bytes(b"x")
+        items = ig.media_stream(spark, str(tmp_path / "in"))
+        stopped = (lambda s: s.createDataFrame([(f"file:{tmp_path}/in/{n}",) for n in stop], "item string")) if stop else None
+        items.writeStream.foreachBatch(ig.ingest(work, log, stopped)).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+        return {(r.item.rsplit("/", 1)[1], r.status, r.message) for r in ig.statuses(spark, log).collect()}
+
+    stop.append("a.MP3")
+    assert feed("a.MP3", "deep/b.webm", "bad.wav", "notes.txt", "old.avi") == {("a.MP3", "pending", "stopped"), ("b.webm", "done", None), ("bad.wav", "failed", "empty result")}
+    stop.clear()
+    assert ("a.MP3", "done", None) in feed("c.ogg")
+    assert seen == [["b.webm", "bad.wav"], ["a.MP3", "bad.wav", "c.ogg"]]  # what was stopped or failed runs in the next batch
+    stages = {(r.status, r.step) for r in spark.read.parquet(log).collect()}
+    assert ("running", 0) in stages and ("pending", 0) in stages
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rng = np.random.default_rng(7)
     rows = [(s, k, float(p)) for s in (1, 2) for k, p in enumerate(rng.choice([0.1, 0.9], 200, p=[0.6, 0.4]))]
-    schema = "stream_id long, chunk_idx long, prob double"
+    schema, folder = "stream_id long, chunk_idx long, event_time timestamp, prob double", str(tmp_path)
     for n in range(4):
-        spark.createDataFrame([r for r in rows if r[1] // 50 == n], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = live.utterance_stream(stream, silence=3, cap=12).writeStream.format("memory").queryName("heard").trigger(availableNow=True).start()
-    q.awaitTermination()
-    batch = live.utterances(spark.createDataFrame(rows, schema), silence=3, cap=12)
-    assert sorted(map(tuple, spark.table("heard").collect())) == sorted(map(tuple, batch.collect()))
+        spark.createDataFrame(chunks_of(r for r in rows if r[1] // 50 == n), schema).write.mode("append").parquet(f"{folder}/in")
+        st.drain(live.utterance_stream(spark.readStream.schema(schema).parquet(f"{folder}/in"), silence=3, cap=12), folder)
+    batch = live.utterances(spark.createDataFrame(chunks_of(rows), schema), silence=3, cap=12)
+    found = spark.read.schema(live.UTTERANCE).parquet(f"{folder}/out")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, batch.collect())) and found.count() > 10
 
 
 def test_clusters():
@@ -210,7 +303,7 @@ def test_ingest_runs_what_is_left_and_isolates_failures(spark, tmp_path):
     def work(items):
         got = sorted(r.item for r in items.collect())
         seen.append(got)
-        if "boom" in got:
+        if "boom" in got and len(seen) == 2:
             raise ValueError("no such item")
         rows = [(i, "" if i == "empty" else f"r{i}", "unreadable" if i == "bad" else None) for i in got]
         return spark.createDataFrame([(i, None if e else x, e) for i, x, e in rows], "item string, result string, error string")
@@ -221,16 +314,19 @@ def test_ingest_runs_what_is_left_and_isolates_failures(spark, tmp_path):
     def feed(n, *items):
         spark.createDataFrame([(i,) for i in items], schema).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
         stream = spark.readStream.schema(schema).json(str(tmp_path / "in"))
-        q = stream.writeStream.foreachBatch(live.ingest(work, log)).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        q = stream.writeStream.foreachBatch(ig.ingest(work, log)).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
         q.awaitTermination()
-        return {(r.item, r.status, r.message) for r in spark.read.parquet(log).collect()}
+        return {(r.item, r.status, r.message) for r in ig.statuses(spark, log).collect()}
 
     assert feed(0, "a", "bad", "empty") == {("a", "done", None), ("bad", "failed", "unreadable"), ("empty", "failed", "empty result")}
-    assert ("boom", "failed", "no such item") in feed(1, "boom", "c")
-    feed(2, "a", "bad", "c")
-    assert seen == [["a", "bad", "empty"], ["boom", "c"], ["bad", "c"]]  # what is done isn't run again
-    live.ingest(work, log)(spark.createDataFrame([("c",)], schema), 2)  # a batch that is run again replaces its rows
-    assert [r.item for r in spark.read.parquet(log).filter("batch = 2").collect()] == ["c"]
+    assert {x for x in feed(1, "boom", "c") if x[1] == "failed"} == {(i, "failed", "no such item") for i in ("bad", "boom", "c", "empty")}
+    left = feed(2, "a", "bad", "c")
+    assert {x for x in left if x[1] == "failed"} == {("bad", "failed", "unreadable"), ("empty", "failed", "empty result")}
+    again = ["bad", "boom", "c", "empty"]
+    assert seen == [["a", "bad", "empty"], again, again]  # what has failed runs again, what is done doesn't
+    ig.ingest(work, log)(spark.createDataFrame([("c",)], schema), 2)  # a batch that is run again replaces its rows
+    assert sorted(r.item for r in spark.read.parquet(log).filter("batch = 2 AND step = 1").collect()) == again
+    assert {(r.item, r.status, r.message) for r in ig.statuses(spark, log).collect()} == left
 
 
 def token_list(spark, segments, words):
@@ -276,3 +372,111 @@ def test_marks_of_the_text_words_without_stamps_and_missing_times(spark):
     found = token_list(spark, [(0, 540, "a b c")], [(0, None, None), (0, 100, 500), (0, 510, None), (0, None, None)])  # nothing is known of the first
     assert [x[2:4] for x in found] == [(100, 510), (510, 520), (520, 540)]
     assert token_list(spark, [(0, 1000, "  "), (5000, 6000, "b")], []) == [("punctuation", "。", 1000, 5000, 0, True), ("word", "b", 5000, 6000, 1, False)]
+
+
+def test_phrases_in_one_pass_equal_one_by_one(spark):
+    rng = np.random.default_rng(4)
+    words = ["a", "b", "ab", "ba", "c", "A", " ", "b"]
+    tokens = [(m, k, words[rng.integers(len(words))], "silence" if rng.random() < 0.1 else "word") for m in (1, 2) for k in range(150)]
+    phrases = sorted({" ".join(words[i] for i in rng.integers(0, 6, rng.integers(1, 5))) for _ in range(1000)} | {"abab", "cab", "b", "\0a", "  "})
+    df = spark.createDataFrame(tokens, "media_id long, pos long, text string, type string")
+    found = {(r.media_id, r.phrase, r.first_pos, r.last_pos) for r in mt.match_phrases(df, phrases).collect()}
+    want, live = set(), [[x for x in tokens if x[0] == m] for m in (1, 2)]
+    for own in live:
+        runs, run = [], []
+        for x in own:
+            if x[3] == "silence" or not x[2].strip():
+                runs.append(run)
+                run = []
+            else:
+                run.append((x[1], x[2].lower()))
+        for run in [*runs, run]:
+            for i in range(len(run)):
+                for j in range(i, min(len(run), i + 8)):
+                    lows = [t for _, t in run[i : j + 1]]
+                    for p in phrases:
+                        parts = p.lower().split()
+                        if parts and (lows == parts if len(parts) > 1 else "".join(lows) == p.strip().lower()):
+                            want.add((own[0][0], p.strip(), run[i][0], run[j][0]))
+    assert found == want and len(want) > 500
+    single = {(r.media_id, r.first_pos, r.last_pos) for p in ("a b", "abab") for r in (mt.match_parts(df, p.split()) if " " in p else mt.match_joined(df, p)).collect()}
+    assert single == {(m, a, b) for m, p, a, b in found if p in ("a b", "abab")}
+
+
+def brute_linkage(unit, cut, clusters):
+    """Average linkage by merging the two nearest clusters, all distances kept."""
+    groups, d = [[k] for k in range(len(unit))], np.clip(1 - unit @ unit.T, 0, 2)
+    while len(groups) > max(1, clusters or 1):
+        best = min((np.mean([d[i, j] for i in a for j in b]), x, y) for x, a in enumerate(groups) for y, b in enumerate(groups) if x < y)
+        if clusters is None and best[0] > cut:
+            break
+        groups[best[1]] += groups.pop(best[2])
+    return {frozenset(g) for g in groups}
+
+
+@pytest.mark.parametrize("clusters", [None, 1, 4, 50])
+def test_linkage_equals_brute_force(clusters):
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 3, 40):
+        x = rng.normal(size=(n, 6)) + 2 * np.eye(6)[rng.integers(0, 3, n)]
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        labels = sg.average_linkage(x, 0.38, clusters)
+        assert {frozenset(np.flatnonzero(labels == k).tolist()) for k in set(labels)} == brute_linkage(x, 0.38, clusters)
+    assert len(sg.average_linkage(np.zeros((0, 4)), 0.38)) == 0
+
+
+def test_speaker_turns(spark):
+    a, b = [1.0, 0.0], [0.0, 1.0]
+    rows = [(1, 0, 0, 1000, a), (1, 1, 1100, 2000, [0.99, 0.1]), (1, 2, 2000, 2700, b), (1, 3, 2300, 3200, a), (1, 4, 3600, 4600, a), (1, 5, 4600, 6000, b), (1, 6, 6000, 7000, None), (2, 0, 0, 900, b)]
+    spans = spark.createDataFrame([(m, k, s * 1000, e * 1000, v) for m, k, s, e, v in rows], "media_id long, span_idx long, start_us long, end_us long, embedding array<double>")
+    turns = [(r.media_id, r.start_us // 1000, r.end_us // 1000, r.speaker) for r in sg.speaker_turns(spans).orderBy("media_id", "start_us").collect()]
+    assert turns == [(1, 0, 2000, 1), (1, 2300, 3200, 1), (1, 3600, 4600, 1), (1, 4600, 6000, 2), (2, 0, 900, 1)]  # the short one and that without a vector are gone
+
+
+def test_near_duplicates_against_a_plain_fold(spark):
+    rng = np.random.default_rng(8)
+    rows = [(m, int(s), int(s + n)) for m in range(30) for s, n in zip(rng.integers(-50, 900, 25), rng.choice([0, 3, 60, 90, 200], 25), strict=True)]
+    got = sorted(map(tuple, iv.merge_near_duplicates(spark.createDataFrame(rows, "media_id long, start_us long, end_us long")).collect()))
+    want = []
+    for m in range(30):
+        kept = []
+        for s, e in sorted((max(s, 0), max(e, 0)) for k, s, e in rows if k == m and e > s):
+            same = kept and abs(s - kept[-1][0]) < 100 and abs(e - kept[-1][1]) < 100
+            if not same and kept and s <= kept[-1][1]:
+                kept[-1] = (kept[-1][0], max(kept[-1][1], e))
+            elif not same:
+                kept.append((s, e))
+        want += [(m, *x) for x in kept]
+    assert got == sorted(want)
+
+
+@pytest.mark.parametrize(("raw", "words", "lines"), [
+    ("你好，世界。hello big world", ["你", "好", "世", "界", "hello", "big", "world"], ["你好", "世界", "hello big world"]),
+    ("， 你好", ["你", "好"], ["你好"]),
+    ("ab c, d", ["ab", "c", "d"], ["ab c", "d"]),
+    ("a,b c", ["ab", "c"], ["ab c"]),  # a mark inside a word ends nothing
+    (None, ["a", "b"], ["a b"]),
+    ("", [str(k) + "x" for k in range(12)], [" ".join(f"{k}x" for k in range(9)), "9x 10x 11x"]),
+    ("", ["字" * 5] * 9, ["字" * 25, "字" * 20]),
+])
+def test_aligned_lines(spark, raw, words, lines):
+    stamps = spark.createDataFrame([(1, 0, k, w, 10 * k, 10 * k + 5) for k, w in enumerate(words)], "media_id long, chunk_idx long, pos int, text string, start_us long, end_us long")
+    rows = sm.aligned_lines(stamps, spark.createDataFrame([(1, 0, raw)], "media_id long, chunk_idx long, text string")).orderBy("line_idx").collect()
+    assert [r.text for r in rows] == lines and [r.line_idx for r in rows] == list(range(len(lines)))
+    assert rows[0].start_us == 0 and rows[-1].end_us == 10 * len(words) - 5
+
+
+def test_marker(spark):
+    texts = ["x <asr_text> a b ", "abc<asr_text>", "none", " <asr_text>a<asr_text>b"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(tx.after_marker(F.col("t"))).collect()] == ["a b", "", "none", "a<asr_text>b"]
+    assert sm.lines_of("abc<asr_text>") == []
+
+
+def test_bytes_of_pieces(spark):
+    every = bytes(range(256)).decode("latin-1")
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+    alphabet = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in shown)}
+    text = "".join(alphabet[b] for b in every.encode("latin-1")) + "漢 "
+    (found,) = spark.createDataFrame([(text,)], "t string").select(tr.bytes_of_pieces(F.col("t"))).first()
+    assert bytes(found) == bytes(range(256))

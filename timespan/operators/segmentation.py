@@ -162,39 +162,45 @@ def hard_lines(texts: DataFrame, chars: int = 20) -> DataFrame:
     return texts.select("media_id", "seg_idx", F.posexplode(cut).alias("line_idx", "line"))
 
 
+def _line_numbers(items: Column, words: int, chars: int) -> Column:
+    """The line of each word (chars, latin): one that has too many words, or characters if none is Latin, is the last of its line."""
+    start = F.expr("struct(0 AS line, 0 AS n, 0 AS chars, false AS latin, cast(array() AS array<int>) AS lines)")
+
+    def add(s: Column, x: Column) -> Column:
+        n, size, latin = s["n"] + 1, s["chars"] + x["chars"], s["latin"] | x["latin"]
+        full = F.when(latin, n > words).otherwise(size > chars)
+        zero = F.lit(0)
+        return F.struct(
+            (s["line"] + full.cast("int")).alias("line"), F.when(full, zero).otherwise(n).alias("n"), F.when(full, zero).otherwise(size).alias("chars"),
+            (latin & ~full).alias("latin"), F.concat(s["lines"], F.array(s["line"])).alias("lines"),
+        )
+
+    return F.aggregate(items, start, add, lambda s: s["lines"])
+
+
 def aligned_lines(stamps: DataFrame, chunks: DataFrame, words: int = 8, chars: int = 20) -> DataFrame:
-    """Subtitle lines of aligned words: marks before a word in the chunk's text end a line, as do too many words or characters."""
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple] = []
-        left = left.sort_values("pos")
-        raw, at, line = right["raw"].iloc[0] if len(right) else "", 0, []
-
-        def flush() -> None:
-            if line:
-                latin = any(re.search("[A-Za-z]", t) for t, *_ in line)
-                text = (" " if latin else "").join(t for t, *_ in line).strip()
-                if text and line[-1][2] > line[0][1]:
-                    out.append((left["media_id"].iloc[0], left["chunk_idx"].iloc[0], len(out), line[0][1], line[-1][2], text))
-            line.clear()
-
-        for w in left.itertuples():
-            skipped = re.compile(rf"[{re.escape(LINE_MARKS)} ]*").match(raw, at)
-            if skipped[0].strip():
-                flush()
-            at = skipped.end()
-            for _ in range(len(w.text)):
-                at = re.compile(rf"[{re.escape(LINE_MARKS)} ]*").match(raw, at).end() + 1
-            line.append((w.text, w.start_us, w.end_us))
-            latin = any(re.search("[A-Za-z]", t) for t, *_ in line)
-            if len(line) > words if latin else sum(len(t) for t, *_ in line) > chars:
-                flush()
-        flush()
-        return pd.DataFrame(out, columns=["media_id", "chunk_idx", "line_idx", "start_us", "end_us", "text"])
-
-    a = stamps.select("media_id", "chunk_idx", "pos", "text", "start_us", "end_us").groupBy("media_id", "chunk_idx")
-    b = chunks.select("media_id", "chunk_idx", F.col("text").alias("raw")).groupBy("media_id", "chunk_idx")
-    return a.cogroup(b).applyInPandas(run, "media_id long, chunk_idx long, line_idx int, start_us long, end_us long, text string")
+    """Subtitle lines of aligned words: marks before a word in the chunk's text end a line, as do too many words or characters.
+
+    A word stands where as many characters of the text, marks and spaces left out, come before it as the words before it
+    have; marks are at the running lengths of the pieces between them. Between marks a fold counts words and characters.
+    """
+    chunk = ["media_id", "chunk_idx"]
+    w = Window.partitionBy(*chunk).orderBy("pos")
+    placed = stamps.select(*chunk, "pos", "text", "start_us", "end_us").filter("text <> ''").withColumn("place", F.sum(F.length("text")).over(w) - F.length("text"))
+    pieces = chunks.select(*chunk, F.posexplode(F.split(F.replace("text", F.lit(" ")), f"[{re.escape(LINE_MARKS)}]+", -1)).alias("nth", "piece"))
+    ends = pieces.withColumn("place", F.sum(F.length("piece")).over(Window.partitionBy(*chunk).orderBy("nth")))
+    ends = ends.withColumn("last", F.max("nth").over(Window.partitionBy(*chunk))).filter("nth < last").select(*chunk, "place", F.lit(1).alias("ends")).distinct()
+    runs = placed.join(ends, [*chunk, "place"], "left").withColumn("run", F.sum(F.coalesce("ends", F.lit(0))).over(w))
+    item = F.struct("pos", "text", "start_us", "end_us", F.length("text").alias("chars"), F.regexp_like("text", F.lit("[A-Za-z]")).alias("latin"))
+    held = runs.groupBy(*chunk, "run").agg(F.sort_array(F.collect_list(item)).alias("own"))
+    each = held.select(*chunk, "run", F.explode(F.arrays_zip("own", _line_numbers(F.col("own"), words, chars).alias("line"))).alias("x"))
+    each = each.select(*chunk, "run", "x.line", "x.own.*")
+    said = F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"])
+    edges = F.min("pos").alias("pos"), F.min_by("start_us", "pos").alias("start_us"), F.max_by("end_us", "pos").alias("end_us")
+    lines = each.groupBy(*chunk, "run", "line").agg(*edges, said.alias("said"), F.bool_or("latin").alias("latin"))
+    lines = lines.withColumn("text", F.btrim(F.when(F.col("latin"), F.array_join("said", " ")).otherwise(F.array_join("said", ""))))
+    lines = lines.filter("text <> '' AND end_us > start_us")
+    return lines.select(*chunk, (F.row_number().over(w) - 1).alias("line_idx"), "start_us", "end_us", "text")
 
 
 def speech_runs(vad: DataFrame, threshold: float = 0.5, least: int = 16, pad: int = 5, join: int = 16) -> DataFrame:
