@@ -35,7 +35,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timespan.llm.common import SMALL_ROWS, partitions, removed, shared_dir, single_thread, small, stored, table
+from timespan.llm.common import SMALL_ROWS, partitions, shared_dir, single_thread, small, stored, table
+from timespan.llm.warc import remove
 
 #: Bytes of a text that one task reads, and bytes around a border in which both its stretches must end.
 CHUNK, REACH = 32_768, 4_096
@@ -374,7 +375,7 @@ def cross_tokenizer_alignment(docs: DataFrame, **how) -> DataFrame:
     sums = link_sums(found.links, link_counts(found.links))
     filled = [F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in ("n_best", "count_sum")]
     out = stored(found.documents.join(sums, "key", "left").select("doc_id", "n_a", "n_b", F.col("n_links").alias("n_groups"), "n_links", *filled, "groups_sha256"))
-    removed(spark, folder)
+    remove(spark, folder)
     return out
 
 

@@ -54,6 +54,31 @@ MORE_RULES = (
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("stripe", r"sk_live_[A-Za-z0-9]{16,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
+    Rule("google_client", r"GOCSPX-[A-Za-z0-9_-]{28}"),
+    Rule("google_oauth", r"ya29\.[A-Za-z0-9_-]{20,}"),
+    Rule("gitlab", r"glpat-[A-Za-z0-9_-]{20,}"),
+    Rule("github_fine", r"github_pat_[A-Za-z0-9_]{60,}"),
+    Rule("npm", r"npm_[A-Za-z0-9]{36}"),
+    Rule("pypi", r"pypi-AgEI[A-Za-z0-9_-]{50,}"),
+    Rule("sendgrid", r"SG\.[A-Za-z0-9_-]{22}\.[A-Za-z0-9_-]{43}"),
+    Rule("shopify", r"shp(?:at|ca|pa|ss)_[0-9a-fA-F]{32}"),
+    Rule("digitalocean", r"do[opr]_v1_[0-9a-f]{64}"),
+    Rule("model_hub", r"hf_[A-Za-z]{34}"),
+    Rule("stripe_restricted", r"rk_live_[A-Za-z0-9]{16,}"),
+    Rule("square", r"sq0csp-[A-Za-z0-9_-]{43}"),
+    Rule("mailgun", r"key-[0-9a-f]{32}"),
+    Rule("telegram", r"[0-9]{8,10}:AA[A-Za-z0-9_-]{33}"),
+    Rule("slack_hook", r"hooks\.slack\.com/services/T[A-Za-z0-9_]+/B[A-Za-z0-9_]+/[A-Za-z0-9_]+"),
+    Rule("discord_hook", r"discord(?:app)?\.com/api/webhooks/[0-9]+/[A-Za-z0-9_-]+"),
+    Rule("azure_storage", r"AccountKey=[A-Za-z0-9+/]{86}=="),
+    Rule("url_password", r"[a-z]{2,12}://[A-Za-z0-9._%-]+:([A-Za-z0-9._%!$&*+=-]+)@[A-Za-z0-9.-]+", 1, 3),
+    Rule("bearer", r"Bearer [A-Za-z0-9._~+/-]{20,}"),
+    Rule("age", r"AGE-SECRET-KEY-1[A-Z0-9]{58}"),
+    Rule("putty", r"PuTTY-User-Key-File-[23]"),
+    Rule("docker", r"dckr_pat_[A-Za-z0-9_-]{27,}"),
+    Rule("postman", r"PMAK-[0-9a-f]{24}-[0-9a-f]{34}"),
+    Rule("databricks", r"dapi[0-9a-f]{32}"),
+    Rule("linear", r"lin_api_[A-Za-z0-9]{40}"),
 )
 
 Clause = tuple[frozenset[str], ...]
@@ -261,20 +286,21 @@ def op5_secret_scans(spark, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
-def _sql(kind: str, n: int) -> str:
-    """Pieces between matches give a match its place; DuckDB's expressions have no positions either."""
-    rule = BASE_RULES[n]
+def _sql(n: int, rule: Rule) -> str:
+    """Spans of a rule. Pieces between matches give a match its place; DuckDB's expressions have no positions either."""
     pattern = rule.pattern.replace("'", "''")
-    return f"""{kind}_m AS (SELECT doc_id, i, m[i] AS hit, g[i] AS part, p[i] AS piece FROM (SELECT doc_id, regexp_extract_all(body, '{pattern}') AS m, regexp_extract_all(body, '{pattern}', {rule.group}) AS g,
-        string_split_regex(body, '{pattern}') AS p FROM d) t, range(1, len(m) + 1) r(i)),
-    {kind} AS (SELECT doc_id, '{kind}' AS kind, {n} AS n, (sum(length(piece) + length(hit)) OVER w - length(hit))::BIGINT AS s, (sum(length(piece) + length(hit)) OVER w)::BIGINT AS e, part
-        FROM {kind}_m WINDOW w AS (PARTITION BY doc_id ORDER BY i)),"""
+    return f"""m{n} AS (SELECT doc_id, i, m[i] AS hit, g[i] AS part, p[i] AS piece FROM (SELECT doc_id, regexp_extract_all(body, '{pattern}') AS m, regexp_extract_all(body, '{pattern}', {rule.group}) AS g,
+        string_split_regex(body, '{pattern}') AS p FROM d WHERE regexp_matches(body, '{pattern}')) t, range(1, len(m) + 1) r(i)),
+    s{n} AS (SELECT doc_id, '{rule.kind}' AS kind, {n} AS n, (sum(length(piece) + length(hit)) OVER w - length(hit))::BIGINT AS s, (sum(length(piece) + length(hit)) OVER w)::BIGINT AS e, length(part) >= {rule.least} AS good
+        FROM m{n} WINDOW w AS (PARTITION BY doc_id ORDER BY i)),"""
 
 
+_ALL = BASE_RULES + MORE_RULES
 ORACLE_SQL = f"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS body FROM documents), {_sql("assign", 0)} {_sql("access", 1)} {_sql("hex", 2)}
-     base AS (SELECT doc_id, kind, n, s, e FROM assign WHERE length(part) >= 8 UNION ALL SELECT doc_id, kind, n, s, e FROM access UNION ALL SELECT doc_id, kind, n, s, e FROM hex),
-     a AS (SELECT doc_id, count(*) FILTER (n = 0) AS n_assign, count(*) FILTER (n = 1) AS n_access, count(*) FILTER (n = 2) AS n_hex, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, n) AS j FROM base GROUP BY doc_id)
-SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, 0::BIGINT AS n_more, sha256(coalesce(j, '')) AS base_sha256, coalesce(j, '') AS spans
+WITH d AS (SELECT doc_id, coalesce(text, '') AS body FROM documents), {" ".join(_sql(n, r) for n, r in enumerate(_ALL))}
+     every AS ({" UNION ALL ".join(f"SELECT * FROM s{n} WHERE good" for n in range(len(_ALL)))}),
+     a AS (SELECT doc_id, count(*) FILTER (n = 0) AS n_assign, count(*) FILTER (n = 1) AS n_access, count(*) FILTER (n = 2) AS n_hex, count(*) FILTER (n > 2) AS n_more,
+        string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, n) AS j, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, n) FILTER (n <= 2) AS b FROM every GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, coalesce(n_more, 0) AS n_more, sha256(coalesce(b, '')) AS base_sha256, coalesce(j, '') AS spans
 FROM d LEFT JOIN a USING (doc_id)
 """
