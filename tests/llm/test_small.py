@@ -633,6 +633,16 @@ def test_label_model_with_ties_and_empty_classes(votes):
     assert np.allclose(model.posterior(np.array(votes)), posteriors)
 
 
+def test_scores_need_the_features_with_weights_only():
+    rng = np.random.default_rng(4)
+    texts = [" ".join(rng.choice(["alpha", "alphabet", "alphabets", "alphabetic", "beta", "gamma9", "x"], 30)).encode() for _ in range(40)]
+    weights = [np.where(rng.random(qc.DIMENSIONS + 1) < 0.3, rng.normal(size=qc.DIMENSIONS + 1), 0).astype(np.float32) for _ in range(2)]
+    some = qc.WordIds(qc.needed_ids(weights))
+    for t in texts:
+        for w in weights:
+            assert abs(qc.score(qc.features(t), w) - qc.score(qc.features(t, some), w)) < 1e-6
+
+
 def test_quality_of_documents_whose_labels_are_held_out(spark):
     """Floors against regressions; half of the labels are given, the other half is held out."""
     d = "/root/testdata/sf0.1"

@@ -92,20 +92,36 @@ def votes(text: bytes) -> tuple[list[int], list[int]]:
     return quality, [YES if own & some else NO if english else ABSTAIN for some in INSULTS]
 
 
-class _WordIds(dict):
-    """Feature ids of a word and its beginnings, kept for words seen lately."""
+class WordIds(dict):
+    """Feature ids of a word and its beginnings, kept for words seen lately; those that `needed` doesn't have are left out."""
+
+    def __init__(self, needed: np.ndarray | None = None):
+        super().__init__()
+        self.needed = needed
 
     def __missing__(self, w: bytes) -> tuple[int, ...]:
         if len(self) >= 100_000:
             self.clear()
-        ids = self[w] = tuple(zlib.crc32(x) % DIMENSIONS for x in (w, *(b"\1" + w[:k] for k in (5, 6, 7, 8) if len(w) > k)))
-        return ids
+        ids = (zlib.crc32(x) % DIMENSIONS for x in (w, *(b"\1" + w[:k] for k in (5, 6, 7, 8) if len(w) > k)))
+        own = self[w] = tuple(ids) if self.needed is None else tuple(x for x in ids if self.needed[x])
+        return own
+
+
+def _shared(ids: np.ndarray) -> np.ndarray:
+    """The features of beginnings that a family of words has."""
+    return ids * 40_503 % DIMENSIONS
+
+
+def needed_ids(weights: list[np.ndarray]) -> np.ndarray:
+    """Which ids of words and beginnings have weights, by themselves or as shared ones; the others add nothing to a score."""
+    used = np.any([w[:DIMENSIONS] != 0 for w in weights], axis=0)
+    return used | used[_shared(np.arange(DIMENSIONS))]
 
 
-_WORD_IDS = _WordIds()
+_WORD_IDS = WordIds()
 
 
-def features(text: bytes) -> np.ndarray:
+def features(text: bytes, word_ids: WordIds = _WORD_IDS) -> np.ndarray:
     """Hashed distinct words with their beginnings, those beginnings again that FAMILY words or more share, and shapes of the text as a whole."""
     words = text.split()
     n = len(words)
@@ -115,10 +131,9 @@ def features(text: bytes) -> np.ndarray:
         shapes.append(b"\0u%d" % min(40, int(10 * (len(text) - len(text.translate(None, _UPPER))) / n)))
         shapes.append(b"\0d%d" % int(10 * len(set(words)) / n))
         shapes.append(b"\0r%d" % int(10 * len(set(zip(words, words[1:], strict=False))) / max(1, n - 1)))
-    ids = list(itertools.chain.from_iterable(map(_WORD_IDS.__getitem__, set(text.translate(ALNUM).split()))))
+    ids = list(itertools.chain.from_iterable(map(word_ids.__getitem__, set(text.translate(ALNUM).split()))))
     own, times = np.unique(np.array(ids, np.int64), return_counts=True)
-    shared = own[times >= FAMILY] * 40_503 % DIMENSIONS
-    return np.unique(np.concatenate([own, shared, np.array([zlib.crc32(x) % DIMENSIONS for x in shapes], np.int64)])).astype(np.int32)
+    return np.unique(np.concatenate([own, _shared(own[times >= FAMILY]), np.array([zlib.crc32(x) % DIMENSIONS for x in shapes], np.int64)])).astype(np.int32)
 
 
 def label_votes(docs: DataFrame) -> DataFrame:
@@ -163,12 +178,13 @@ def classify_quality(docs: DataFrame, labels: DataFrame | None = None, sample: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted, learned = shared.value
+        word_ids = WordIds(needed_ids(list(learned.values())))
         known: dict[tuple[str, str], float] = {}  # a posterior for each pattern of votes
         for batch in batches:
             out: dict[str, list[float]] = {f"{t}_{what}": [] for t in TARGETS for what in ("posterior", "score")}
             for cell in batch.column(2):
                 text = cell.as_py()
-                own = features(text)
+                own = features(text, word_ids)
                 for target, ballot in zip(TARGETS, votes(text), strict=True):
                     key = target, "".join(map(str, ballot))
                     if key not in known:  # a label is used in training alone
