@@ -14,6 +14,7 @@ from timespan.operators import segmentation as sm
 from timespan.operators import signal as sg
 from timespan.operators import tokens as tk
 from timespan.operators import transcripts as tr
+from timespan.sources import documents as dc
 from timespan.sources import subtitles as sb
 from timespan.streaming import blocks as bl
 from timespan.streaming import ingest as ig
@@ -480,3 +481,31 @@ def test_bytes_of_pieces(spark):
     text = "".join(alphabet[b] for b in every.encode("latin-1")) + "漢 "
     (found,) = spark.createDataFrame([(text,)], "t string").select(tr.bytes_of_pieces(F.col("t"))).first()
     assert bytes(found) == bytes(range(256))
+
+
+def test_range_files_by_preference(spark):
+    def read(prefer, *values):
+        df = spark.createDataFrame(list(enumerate(values)), "media_id long, value string")
+        return sorted((r.media_id, r.start_us // S, r.end_us // S) for r in dc.range_files(df, prefer).collect())
+
+    both = '{"total_duration": 10, "keep_ranges": [{"start": 0, "end": 4}], "delete_ranges": [{"start": 6, "end": 8}, {"start": 3, "end": 3}]}'
+    cut, kept, bare = '{"total_duration": 10, "delete_ranges": [{"start": 6, "end": 8}]}', '{"total_duration": 10, "keep_ranges": [{"start": 0, "end": 4}]}', '[{"start": 2, "end": 5}, {"start": 7, "end": 9}]'
+    assert read("keep", both, cut, kept, bare) == [(0, 0, 4), (1, 0, 6), (1, 8, 10), (2, 0, 4), (3, 2, 5), (3, 7, 9)]
+    assert read("delete", both, cut, kept, bare) == [(0, 6, 8), (1, 6, 8), (2, 4, 10), (3, 0, 2), (3, 5, 7)]
+    with pytest.raises(Exception, match="unsupported range file: 0"):
+        read("keep", '{"other": 1}')
+
+
+def test_samples_of_raw_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(dc, "SLICE", 3)
+    np.arange(8, dtype="<f4").tofile(tmp_path / "a.f32")
+    (tmp_path / "b.f32").write_bytes(np.array([1.5], "<f4").tobytes() + b"xy")
+    rows = dc.read_samples(spark, str(tmp_path)).collect()
+    assert sorted((r.path[-5], r.sample_idx, r.v) for r in rows) == [("a", k, float(k)) for k in range(8)] + [("b", 0, 1.5)]
+
+
+def test_chunks_kept_whole_cut_or_skipped(spark):
+    chunks = spark.createDataFrame([(1, k, 10_000 * k, 10_000 * (k + 1)) for k in range(5)], "media_id long, chunk_idx int, start_us long, end_us long")
+    local = spark.createDataFrame([(1, 0, 0, 10_000), (1, 1, 500, 9_500), (1, 2, 0, 4_000), (1, 2, 5_000, 10_000), (1, 4, 0, 9_000)], "media_id long, chunk_idx int, start_us long, end_us long")
+    assert [r.plan for r in iv.chunk_plans(chunks, local).orderBy("chunk_idx").collect()] == ["copy", "cut", "cut", "skip", "cut"]
+    assert [r.plan for r in iv.chunk_plans(chunks, local, 1_000).orderBy("chunk_idx").collect()] == ["copy", "copy", "cut", "skip", "cut"]

@@ -13,6 +13,18 @@ FULL_MARKS, HALF_MARKS = "。，、！？；：", ".,,!?;:"
 #: Language names of codes. Fixed values.
 LANGUAGES = {"zh": "Chinese", "zh-cn": "Chinese", "zh-tw": "Chinese", "en": "English", "ja": "Japanese", "ko": "Korean", "yue": "Cantonese"}
 
+#: Codes of languages by their names, in English and Chinese. Fixed values.
+LANGUAGE_CODES = {
+    "Chinese": "zh", "English": "en", "Japanese": "ja", "Korean": "ko", "Cantonese": "yue", "French": "fr", "German": "de", "Spanish": "es", "Portuguese": "pt", "Russian": "ru", "Arabic": "ar",
+    "Thai": "th", "Vietnamese": "vi", "Indonesian": "id", "Malay": "ms", "中文": "zh", "英文": "en", "日文": "ja", "韓文": "ko", "法文": "fr", "德文": "de", "西班牙文": "es", "葡萄牙文": "pt",
+    "俄文": "ru", "阿拉伯文": "ar", "泰文": "th", "越南文": "vi",
+}
+#: Languages that are recognised. Fixed values.
+RECOGNISED = (
+    "Chinese English Cantonese Arabic German French Spanish Portuguese Indonesian Italian Korean Russian Thai Vietnamese Japanese Turkish Hindi Malay Dutch Swedish Danish Finnish Polish Czech "
+    "Filipino Persian Greek Romanian Hungarian Macedonian"
+).split()
+
 VIDEO_SUFFIXES = ("mp4", "mov", "mkv", "avi", "webm", "flv", "wmv", "m4v")
 AUDIO_SUFFIXES = ("wav", "mp3", "m4a", "flac", "ogg", "aac", "wma", "opus")
 #: What a batch of files to be transcribed takes. Fixed values.
@@ -65,6 +77,16 @@ def language_name(code: Column) -> Column:
     return F.when(key == "auto", None).otherwise(F.coalesce(known[key], F.initcap(key)))
 
 
+def language_code(name: Column) -> Column:
+    """The code of a language's name; of one that isn't listed, its first two letters."""
+    known = F.create_map(*[F.lit(x) for pair in LANGUAGE_CODES.items() for x in pair])
+    return F.coalesce(known[name], F.lower(F.left(name, F.lit(2))))
+
+
+def recognised(name: Column) -> Column:
+    return name.isin(*RECOGNISED)
+
+
 def word_key(seg: str, word: str) -> Column:
     return F.concat_ws(":", F.col(seg).cast("string"), F.col(word).cast("string"))
 

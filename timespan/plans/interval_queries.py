@@ -147,6 +147,21 @@ def ranges_in_chunks(spark, d):
     return iv.to_chunks(fx.spans(spark, d), iv.uniform_chunks(fx.totals(spark, d), 200_000_000_000))
 
 
+_LOCAL = "loc AS (SELECT c.media_id, chunk_idx, greatest(s.start_us, c.start_us) - c.start_us AS s, least(s.end_us, c.end_us) - c.start_us AS e FROM chunks c JOIN spans s ON c.media_id = s.media_id AND s.end_us > c.start_us - 1000 AND s.start_us < c.end_us + 1000)"
+
+
+@query(fx.sql("ranges", "totals", "spans", query="""SELECT c.media_id, c.chunk_idx, CASE WHEN n IS NULL THEN 'skip' WHEN n = 1 AND s < 1000 AND abs(e - (end_us - start_us)) < 1000 THEN 'copy' ELSE 'cut' END AS plan, coalesce(n, 0) AS ranges
+FROM chunks c LEFT JOIN (SELECT media_id, chunk_idx, count(*) AS n, min(s) AS s, max(e) AS e FROM loc WHERE e - s >= 1000 GROUP BY media_id, chunk_idx) l ON l.media_id = c.media_id AND l.chunk_idx = c.chunk_idx""", more=_CHUNKS.replace("200000000000", "20000000000") + ", " + _LOCAL))
+def chunk_plans(spark, d):
+    chunks = iv.uniform_chunks(fx.totals(spark, d), 20_000_000_000)
+    return iv.chunk_plans(chunks, iv.to_chunks(fx.spans(spark, d), chunks), near=1_000)
+
+
+@query(fx.sql("ranges", "totals", "spans", query="SELECT media_id, chunk_idx, s AS start_us, e AS end_us, (sum(e - s) OVER (PARTITION BY media_id, chunk_idx))::BIGINT AS kept_us FROM (SELECT c.media_id, chunk_idx, greatest(s.start_us, c.start_us) - c.start_us AS s, least(s.end_us, c.end_us) - c.start_us AS e FROM chunks c JOIN spans s ON c.media_id = s.media_id AND s.end_us > c.start_us AND s.start_us < c.end_us)", more="chunks AS (SELECT media_id, i::INT AS chunk_idx, (i * 300000000000)::BIGINT AS start_us, least((i + 1) * 300000000000, total_us)::BIGINT AS end_us FROM totals t, range(0, 100000) r(i) WHERE i * 300000000000 < total_us)"))
+def fixed_chunk_clip(spark, d):
+    return iv.in_uniform_chunks(fx.spans(spark, d), iv.fixed_chunks(fx.totals(spark, d), 300_000_000_000))
+
+
 @query(fx.sql("ranges", "totals", "spans", query="SELECT media_id, chunk_idx, s AS start_us, e AS end_us, (sum(e - s) OVER (PARTITION BY media_id, chunk_idx))::BIGINT AS kept_us FROM (SELECT c.media_id, chunk_idx, greatest(s.start_us, c.start_us) - c.start_us AS s, least(s.end_us, c.end_us) - c.start_us AS e FROM chunks c JOIN spans s ON c.media_id = s.media_id AND s.end_us > c.start_us AND s.start_us < c.end_us)", more=_CHUNKS))
 def uniform_chunk_clip(spark, d):
     return iv.in_uniform_chunks(fx.spans(spark, d), iv.uniform_chunks(fx.totals(spark, d), 200_000_000_000))

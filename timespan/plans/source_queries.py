@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 from timespan import fixtures as fx
 from timespan.functions import text as tx
 from timespan.operators import intervals as iv
+from timespan.operators import transcripts as tr
 from timespan.plans.interval_queries import merged
 from timespan.plans.transcript_queries import CUT, _cut, _kept
-from timespan.registry import query
+from timespan.registry import ORACLE, query
 from timespan.sources import documents as dc
 from timespan.sources import logs as lg
 from timespan.sources import subtitles as sb
@@ -81,6 +82,30 @@ def plan_round_trip(spark, d):
     return dc.keep_ranges(plans.withColumn("value", F.when(F.col("media_id") % 2 == 1, F.regexp_replace("value", "keep_ranges", "other")).otherwise(F.col("value"))), totals)
 
 
+_BY_PREFERENCE = """SELECT media_id, 'keep' AS prefer, start_us, end_us FROM kept WHERE media_id % 4 <> 3 UNION ALL SELECT media_id, 'keep', start_us, end_us FROM cut WHERE media_id % 4 = 3
+UNION ALL SELECT media_id, 'delete', start_us, end_us FROM cut WHERE media_id % 4 <> 3 UNION ALL SELECT media_id, 'delete', start_us, end_us FROM kept k WHERE media_id % 4 = 3 AND end_us <= (SELECT max(c.end_us) FROM cut c WHERE c.media_id = k.media_id)"""
+
+
+@query(fx.sql("words", "word_totals", query=_BY_PREFERENCE, more=CUT))
+def range_files(spark, d):
+    """Plans with both lists, with one of them, and bare lists of deleted ranges, read as kept and as deleted ranges."""
+    plans = dc.plan_json(fx.word_totals(spark, d), _cut(spark, d), _kept(spark, d))
+    m = F.col("media_id") % 4
+    value = F.when(m == 1, F.replace("value", F.lit("keep_ranges"), F.lit("x"))).when(m == 2, F.replace("value", F.lit("delete_ranges"), F.lit("x")))
+    value = value.when(m == 3, F.get_json_object("value", "$.delete_ranges")).otherwise(F.col("value"))
+    files = plans.withColumn("value", value)
+    both = [dc.range_files(files, p).select("media_id", F.lit(p).alias("prefer"), "start_us", "end_us") for p in ("keep", "delete")]
+    return both[0].unionByName(both[1])
+
+
+@query(ORACLE["silence_candidates"].replace("SELECT q.media_id, q.start_us", "SELECT q.media_id, 1.2::DOUBLE AS min_duration, 'unknown' AS classification, q.start_us"))
+def silence_report(spark, d):
+    """Reports of silence candidates written and read again."""
+    totals = fx.word_totals(spark, d)
+    media = totals.select("media_id", F.concat(F.lit("/media/"), F.col("media_id").cast("string"), F.lit(".mp4")).alias("media_path"))
+    return dc.read_silence_report(dc.silence_report(media, tr.silences(fx.words(spark, d), totals)))
+
+
 def _packets(spark, d):
     return fx.ranges(spark, d).select("media_id", F.concat(F.format_string("%.6f", F.col("start_us") / 1e6), F.when(F.col("kind") == "signup", F.lit(",K__")).otherwise(F.lit(",___"))).alias("value"))
 

@@ -219,6 +219,12 @@ def display_formats(spark, d):
     return fx.table(spark, d, "documents").select("doc_id", ck.byte_size(F.col("n_chars")).alias("size"), tx.language_name(F.col("lang")).alias("language"), tx.after_marker(F.concat(F.lit("x <asr_text> "), F.col("source"), F.lit(" "))).alias("marked"), F.col("doc_id").alias("id"))
 
 
+@query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Japanese' WHEN 1 THEN '中文' WHEN 2 THEN 'Greek' ELSE 'Klingon' END AS name, CASE doc_id % 4 WHEN 0 THEN 'ja' WHEN 1 THEN 'zh' WHEN 2 THEN 'gr' ELSE 'kl' END AS code, doc_id % 4 IN (0, 2) AS recognised FROM documents""")
+def language_codes(spark, d):
+    names = F.element_at(F.array(*map(F.lit, ("Japanese", "中文", "Greek", "Klingon"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    return fx.table(spark, d, "documents").select("doc_id", names.alias("name")).select("doc_id", "name", tx.language_code(F.col("name")).alias("code"), tx.recognised(F.col("name")).alias("recognised"))
+
+
 @query(fx.sql("words", query="""SELECT media_id, t_us, seg_idx, word_idx FROM (SELECT p.media_id, t_us, seg_idx, word_idx, row_number() OVER (PARTITION BY p.media_id, t_us ORDER BY abs((start_us + end_us) / 2.0 - t_us), (start_us + end_us) / 2.0) AS r
 FROM (SELECT media_id, (i * 1700001)::BIGINT AS t_us FROM (SELECT DISTINCT media_id FROM words), range(0, 20) r(i)) p JOIN words w ON w.media_id = p.media_id) WHERE r = 1"""))
 def nearest_tokens(spark, d):

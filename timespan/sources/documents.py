@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from timespan.functions.clock import motion_class
 from timespan.operators import intervals as iv
 from timespan.sources import subtitles as sb
 
@@ -120,6 +121,56 @@ def keep_ranges(texts: DataFrame, totals: DataFrame) -> DataFrame:
     return flat("keep").unionByName(iv.complement(flat("cut"), totals.join(cut_media, "media_id", "left_semi")))
 
 
+def range_files(texts: DataFrame, prefer: str = "keep") -> DataFrame:
+    """media_id, start_us, end_us of range files (media_id, value), as kept or as deleted ranges.
+
+    An object gives its preferred list as it is; without it, what its deleted (or else kept) ranges leave of its
+    total_duration. A bare list is kept ranges: it is given as it is, or what it leaves up to its largest end. Anything
+    else is an error. Ranges that end where they start or earlier are left out.
+    """
+    if prefer not in ("keep", "delete"):
+        raise ValueError("prefer is keep or delete")
+    held = F.from_json("value", f"total_duration DOUBLE, keep_ranges {_RANGE}, delete_ranges {_RANGE}")
+    listed = F.startswith(F.ltrim("value"), F.lit("["))
+    df = texts.select("media_id", F.when(listed, F.from_json("value", _RANGE)).alias("bare"), F.when(~listed, held).alias("d"), "value")
+    own, keep, cut = F.col(f"d.{prefer}_ranges"), F.col("d.keep_ranges"), F.col("d.delete_ranges")
+    unknown = F.raise_error(F.concat(F.lit("unsupported range file: "), F.col("media_id").cast("string"))).cast(_RANGE)
+    df = df.select(
+        "media_id", F.coalesce("bare", own, cut, keep, unknown).alias("ranges"), (F.lit(prefer == "delete") & F.col("bare").isNotNull() | F.col("bare").isNull() & own.isNull()).alias("rest"),
+        F.coalesce(F.array_max(F.transform("bare", lambda x: x["end"])), F.col("d.total_duration"), F.lit(0.0)).alias("total"),
+    )
+    each = df.select("media_id", "rest", F.explode("ranges").alias("r"))
+    each = each.select("media_id", "rest", *(F.rint(F.col(f"r.{a}") * 1e6).cast("long").alias(f"{a}_us") for a in ("start", "end"))).filter("end_us > start_us")
+    totals = df.filter("rest").select("media_id", F.rint(F.col("total") * 1e6).cast("long").alias("total_us"))
+    return each.filter("NOT rest").drop("rest").unionByName(iv.complement(each.filter("rest").drop("rest"), totals))
+
+
+_SILENCE = "ARRAY<STRUCT<start: DOUBLE, end: DOUBLE, duration: DOUBLE, gap_before: DOUBLE, gap_after: DOUBLE, motion_score: DOUBLE, frame_count: BIGINT, classification: STRING>>"
+
+
+def silence_report(media: DataFrame, candidates: DataFrame, min_duration: float = 1.2, fps: float = 2.0, scale: int = 160) -> DataFrame:
+    """media_id, value: a report of the silence candidates of each medium (media_id, media_path) with the parameters they were looked for with.
+
+    motion_score and frames are columns of the candidates where they have been measured.
+    """
+    seconds = {"start": F.col("start_us"), "end": F.col("end_us"), "duration": F.col("end_us") - F.col("start_us"), "gap_before": F.col("gap_before_us"), "gap_after": F.col("gap_after_us")}
+    motion = F.round("motion_score", 4) if "motion_score" in candidates.columns else F.lit(None).cast("double")
+    frames = F.col("frames") if "frames" in candidates.columns else F.lit(0)
+    more = [motion.alias("motion_score"), frames.cast("long").alias("frame_count"), motion_class(motion).alias("classification")]
+    held = candidates.groupBy("media_id").agg(F.sort_array(F.collect_list(F.struct(*((c / 1e6).alias(n) for n, c in seconds.items()), *more))).alias("found"))
+    df = media.join(held, "media_id", "left")
+    listed = F.coalesce("found", F.expr(f"cast(array() AS {_SILENCE})"))
+    report = F.struct("media_path", F.lit(min_duration).alias("min_duration"), F.lit(fps).alias("fps"), F.lit(scale).alias("scale"), listed.alias("candidates"))
+    return df.select("media_id", F.to_json(report, {"ignoreNullFields": "false"}).alias("value"))
+
+
+def read_silence_report(texts: DataFrame) -> DataFrame:
+    """media_id, min_duration, classification, and start_us, end_us, gap_before_us, gap_after_us of reported candidates."""
+    d = F.from_json("value", f"min_duration DOUBLE, candidates {_SILENCE}")
+    each = texts.select("media_id", d.alias("d")).select("media_id", "d.min_duration", F.explode("d.candidates").alias("c"))
+    return each.select("media_id", "min_duration", "c.classification", *(F.rint(F.col(f"c.{n}") * 1e6).cast("long").alias(f"{n}_us") for n in ("start", "end", "gap_before", "gap_after")))
+
+
 def plan_json(totals: DataFrame, deletes: DataFrame, keeps: DataFrame) -> DataFrame:
     """media_id, value: a plan of total_duration, delete_ranges and keep_ranges in seconds."""
     def listed(df: DataFrame, name: str) -> DataFrame:
@@ -140,14 +191,20 @@ def clip_manifest(lines: DataFrame, totals: DataFrame, rate: int = 16_000) -> Da
     return kept.select("media_id", "line_idx", a.alias("from_sample"), b.alias("to_sample"), name.alias("file")).filter("to_sample > from_sample")
 
 
+#: Samples that leave a task at once.
+SLICE = 100_000
+
+
 def read_samples(spark: SparkSession, path: str) -> DataFrame:
-    """path, sample_idx, v of raw little-endian float32 files; trailing bytes are dropped."""
+    """path, sample_idx, v of raw little-endian float32 files; trailing bytes are dropped. Samples leave a task in slices."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                v = np.frombuffer(content[: len(content) // 4 * 4], "<f4").astype(np.float64)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(v), pa.string()), pa.array(np.arange(len(v))), pa.array(v)], ["path", "sample_idx", "v"])
+                samples = np.frombuffer(content, "<f4", len(content) // 4)
+                for at in range(0, len(samples), SLICE):
+                    v = samples[at : at + SLICE].astype(np.float64)
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(v), pa.string()), pa.array(np.arange(at, at + len(v))), pa.array(v)], ["path", "sample_idx", "v"])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, sample_idx long, v double")
 
