@@ -218,7 +218,10 @@ def _mean(rows: pa.Table) -> pa.Table:
 
 
 def train_round(training: DataFrame, model: Model, ids: dict[bytes, int]) -> Model:
-    """One round: every task trains on all its documents, and the weights are averaged by the updates they took."""
+    """One round: every task trains on all its documents, and the weights are averaged by the updates they took.
+
+    So the weights, and with them the scores, depend on how the documents are dealt to tasks; base scores don't.
+    """
     shared = training.sparkSession.sparkContext.broadcast((model, ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,12 +241,17 @@ def train_round(training: DataFrame, model: Model, ids: dict[bytes, int]) -> Mod
     return unpack(np.concatenate([np.array(v) for _, v in got]), model) if got else model
 
 
+#: Places of tokens and padding that texts side by side take at most, unless a text has more by itself (4 bytes each).
+PADDED = 2_000_000
+
+
 def score_texts(model: Model, texts: list[np.ndarray], lanes: int = 256) -> np.ndarray:
-    """log10 P of each sequence of ids. Texts of similar length go side by side; the state is carried to the end of each."""
+    """log10 P of each sequence of ids. Texts of similar length go side by side, fewer of them the longer they are; the state is carried to the end of each."""
     out = np.zeros(len(texts))
     order = sorted(range(len(texts)), key=lambda k: -len(texts[k]))
-    for first in range(0, len(order), lanes):
-        group = order[first : first + lanes]
+    while order:
+        beside = max(1, min(lanes, PADDED // max(1, len(texts[order[0]]))))
+        group, order = order[:beside], order[beside:]
         lengths = np.array([len(texts[k]) for k in group])
         ids = np.zeros((lengths[0], len(group)), np.int32)
         for lane, k in enumerate(group):
