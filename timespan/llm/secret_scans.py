@@ -80,6 +80,8 @@ MORE_RULES = (
     Rule("databricks", r"dapi[0-9a-f]{32}"),
     Rule("linear", r"lin_api_[A-Za-z0-9]{40}"),
 )
+#: Those of the most common services, for jobs with little memory beside other stages.
+COMMON_RULES = MORE_RULES[:6]
 
 Clause = tuple[frozenset[str], ...]
 
@@ -261,9 +263,9 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     )
 
 
-def redact_secrets(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
-    """The documents with every span masked where it is found; columns (whatever their names) and rows stay, and n_chars, if there, follows the text."""
-    found = secret_spans(docs).withColumn("hit", F.size("spans") > 0).withColumn("masked", F.when(F.col("hit"), _masked(mask)))
+def redact_secrets(docs: DataFrame, mask: str = "[SECRET]", rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES) -> DataFrame:
+    """The documents with every span of the rules masked where it is found; columns (whatever their names) and rows stay, and n_chars, if there, follows the text."""
+    found = secret_spans(docs, rules).withColumn("hit", F.size("spans") > 0).withColumn("masked", F.when(F.col("hit"), _masked(mask)))
     new = {c: F.col("doc").getField(c) for c in docs.columns}
     new["text"] = F.coalesce("masked", new["text"])
     if "n_chars" in new:
