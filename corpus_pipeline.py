@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; docs is what the stage before wrote. All but the last
 keep the columns of documents. A stage's decisions: documents that the quality rules reject go,
 and the others lose the lines above the limits; of documents that are linked by five-word shingles at a similarity of
-0.8 or more, that with the smallest doc_id stays; contaminated documents go; secrets are masked in the texts; what is
+0.8 or more, that with the smallest doc_id stays; contaminated documents go; secrets (of the contract's kinds, and keys of the
+six most common services) are masked in the texts; what is
 left is packed into sequences.
 
 Null and empty texts are rejected by the quality rules; repeated rows are one document, of which one row stays; null
@@ -24,7 +25,7 @@ from timespan.llm.decontamination import decontaminate
 from timespan.llm.ngram_jaccard import one_of_each_group
 from timespan.llm.packing import best_fit_packing
 from timespan.llm.quality_rules import clean
-from timespan.llm.secret_scans import redact_secrets
+from timespan.llm.secret_scans import BASE_RULES, COMMON_RULES, redact_secrets
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +42,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return redact_secrets(docs)
+    return redact_secrets(docs, rules=BASE_RULES + COMMON_RULES)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
