@@ -14,6 +14,7 @@ from timespan.operators import segmentation as sm
 from timespan.operators import signal as sg
 from timespan.operators import tokens as tk
 from timespan.operators import transcripts as tr
+from timespan.plans import signal_queries
 from timespan.sources import documents as dc
 from timespan.sources import subtitles as sb
 from timespan.streaming import blocks as bl
@@ -509,3 +510,32 @@ def test_chunks_kept_whole_cut_or_skipped(spark):
     local = spark.createDataFrame([(1, 0, 0, 10_000), (1, 1, 500, 9_500), (1, 2, 0, 4_000), (1, 2, 5_000, 10_000), (1, 4, 0, 9_000)], "media_id long, chunk_idx int, start_us long, end_us long")
     assert [r.plan for r in iv.chunk_plans(chunks, local).orderBy("chunk_idx").collect()] == ["copy", "cut", "cut", "skip", "cut"]
     assert [r.plan for r in iv.chunk_plans(chunks, local, 1_000).orderBy("chunk_idx").collect()] == ["copy", "copy", "cut", "skip", "cut"]
+
+
+def embeddings(spark, folder, rows):
+    """An embeddings table of these (vec_id, label, embedding)."""
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.mode("overwrite").parquet(f"{folder}/embeddings.parquet")
+    return str(folder)
+
+
+def test_cosine_distances_has_all_pairs_of_a_label(spark, tmp_path):
+    ids = [0, 1, 1999, 2000, 4001]  # beyond 2,000 ids
+    folder = embeddings(spark, tmp_path, [(k, 7, [1.0, 0.0] if k % 2 else [0.0, 1.0]) for k in ids])
+    got = {(r.a_idx, r.b_idx): r.distance for r in signal_queries.cosine_distances(spark, folder).collect()}
+    assert got == {(a, b): float((a + b) % 2) for a in ids for b in ids if a < b}
+
+
+@pytest.mark.parametrize("block", [1, 2, 3, 100])
+def test_cosine_distances_in_blocks(spark, block):
+    rng = np.random.default_rng(3)
+    x = {(m, k): rng.normal(size=4).tolist() for m, n in ((1, 9), (2, 1), (3, 4)) for k in range(n)}
+    x[1, 9], x[1, 10], x[1, 11] = None, [1.0, None, 0.0, 0.0], [float("nan")] * 4
+    v = spark.createDataFrame([(m, k, e) for (m, k), e in x.items()] + [(1, None, x[1, 0]), (None, 1, x[1, 0])], "media_id long, span_idx long, embedding array<double>")
+    want = {}
+    for (m, a), (n, b) in [(p, q) for p in x for q in x if p[0] == q[0] and p[1] < q[1]]:
+        p, q = x[m, a], x[n, b]
+        known = p is not None and q is not None and None not in p and None not in q
+        d = 1 - float(np.dot(p, q)) if known else 0.0
+        want[m, a, b] = 2.0 if np.isnan(d) else min(max(d, 0.0), 2.0)
+    got = [tuple(r) for r in sg.cosine_distances(v, block).collect()]
+    assert len(got) == len(want) and {r[:3]: round(r[3], 9) for r in got} == {k: round(d, 9) for k, d in want.items()}
