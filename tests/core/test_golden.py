@@ -539,3 +539,11 @@ def test_cosine_distances_in_blocks(spark, block):
         want[m, a, b] = 2.0 if np.isnan(d) else min(max(d, 0.0), 2.0)
     got = [tuple(r) for r in sg.cosine_distances(v, block).collect()]
     assert len(got) == len(want) and {r[:3]: round(r[3], 9) for r in got} == {k: round(d, 9) for k, d in want.items()}
+
+
+def test_mean_centred_takes_the_mean_of_a_whole_label(spark, tmp_path):
+    ids = [0, 1999, 2000, 5000]  # beyond 2,000 ids
+    folder = embeddings(spark, tmp_path, [(k, 7, [float(k), 1.0]) for k in ids] + [(3, None, [4.0]), (4, None, [6.0]), (5, 7, None)])
+    got = {(r.media_id, r.span_idx, r.dim): r.x for r in signal_queries.mean_centred(spark, folder).collect()}
+    mean = sum(ids) / len(ids)
+    assert got == {(7, k, d): k - mean if d == 0 else 0.0 for k in ids for d in (0, 1)} | {(None, 3, 0): -1.0, (None, 4, 0): 1.0}
