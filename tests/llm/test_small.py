@@ -659,3 +659,20 @@ def test_quality_of_documents_whose_labels_are_held_out(spark):
 def test_quality_without_votes_of_both_classes_keeps_plain_documents(spark):
     plain = [" ".join(f"mot{k}x{j}" for j in range(40)) for k in range(30)]  # no labeller votes on toxicity, nor on one class
     assert qc.classify_quality(docs(spark, plain)).filter("toxic_score >= 0.5 OR NOT kept AND low_score < 0.5").count() == 0
+
+
+@pytest.mark.parametrize("block", [3, 2_000])
+def test_pairs_leave_a_task_once(spark, block):
+    """A group that has 40 keys in common: a row for each of its pairs, not for each key; the same with blocks."""
+    members, keys = 12, 40
+    schema = "at long, id long, n long, place int, inner boolean, component long, contents long, first long"
+    rows = spark.createDataFrame([(k, m, 200, k, True, m // 2, members, 0) for k in range(keys) for m in range(members)], schema)
+    sketches = spark.createDataFrame([(m, 200, [0] * 7 + [-1 if m == 5 else 0]) for m in range(members)], "id long, n long, bits array<long>")
+    want = {(a, b) for a in range(members) for b in range(a + 1, members) if a // 2 != b // 2 and (5 not in (a, b) or 9 * 64 <= 400)}
+    assert sorted(tuple(r) for r in nj._all_pairs(rows, sketches, block).collect()) == sorted(want)
+    if block > members:
+        part = ["home", "i", "j", "at", "side", "id", "n", "place", "inner", "component", "bits"]
+        one = rows.join(sketches.select("id", "bits"), "id").selectExpr("0L home", "0 i", "0 j", "at", "false side", "id", "n", "place + 0L place", "inner", "component", "bits").select(part)
+        out = one.coalesce(1).sortWithinPartitions("home", "i", "j", "at").mapInArrow(nj._counted_pairs, "a long, b long, keys long, n long").collect()
+        assert len(out) == len(want)
+        assert {r["keys"] for r in out} == {keys}

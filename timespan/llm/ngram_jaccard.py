@@ -26,7 +26,8 @@ Documents with equal word sequences are one content from the start. Keys that on
 rounds compare each content with the most central content of its keys (the one with most keys in common with others),
 later with others of them, which connects groups of near copies without listing their pairs; they stop when few pairs
 with keys in common are left between different components, and all of those are compared, in blocks of a bounded number
-of contents. Length and position filters and parity sketches (512 bits, of which no more can differ than tokens do) drop
+of contents; keys with the same first content meet in one task, which returns each pair once with the number of its keys.
+Length and position filters and parity sketches (512 bits, of which no more can differ than tokens do) drop
 pairs before their sets are compared. Components come from large-star and small-star steps.
 
 Defined results: texts without words, null texts among them, have an empty set and are linked with nothing (each is
@@ -329,16 +330,16 @@ BLOCK = 2_000
 
 
 def _open_rows(shared: DataFrame, groups: DataFrame | None) -> tuple[DataFrame, int]:
-    """The rows of keys whose contents are in several components yet, with those and their number; how many pairs of them are left at most."""
+    """The rows of keys whose contents are in several components yet, with those, their number and the first of them; how many pairs of them are left at most."""
     if groups is None:
         labelled = shared.withColumn("component", F.col("id"))
     else:
         labelled = shared.join(small(groups.withColumnRenamed("node", "id")), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    own = labelled.groupBy("at", "component").agg(F.count(F.lit(1)).alias("m"), F.sum(F.col("inner").cast("long")).alias("i"))
-    mixed = own.groupBy("at").agg(*(F.sum(x).alias(c) for x, c in ((F.col("m"), "all"), (F.col("i"), "inside"), (F.col("m") * F.col("i"), "within"))))
-    mixed = stored(mixed.withColumn("left", F.col("all") * F.col("inside") - F.col("within")).filter("left > 0").select("at", F.col("all").alias("contents"), "left"))
+    own = labelled.groupBy("at", "component").agg(F.count(F.lit(1)).alias("m"), F.sum(F.col("inner").cast("long")).alias("i"), F.min("id").alias("first"))
+    mixed = own.groupBy("at").agg(F.min("first").alias("first"), *(F.sum(x).alias(c) for x, c in ((F.col("m"), "all"), (F.col("i"), "inside"), (F.col("m") * F.col("i"), "within"))))
+    mixed = stored(mixed.withColumn("left", F.col("all") * F.col("inside") - F.col("within")).filter("left > 0").select("at", F.col("all").alias("contents"), "first", "left"))
     most = mixed.agg(F.sum("left")).first()[0] or 0
-    return labelled.join(small(mixed.select("at", "contents")), "at"), int(most)
+    return labelled.join(small(mixed.select("at", "contents", "first")), "at"), int(most)
 
 
 def _near(n1: str, place1: str, inner1: str, n2: str, place2: str, inner2: str):
@@ -377,21 +378,102 @@ def _alike_pairs(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return pairs.filter(_alike("n1", "n2", "bits1", "bits2")).select("a", "b")
 
 
-def _all_pairs(open_rows: DataFrame, sketches: DataFrame) -> DataFrame:
+#: Pairs that a task keeps before it counts them.
+PENDING = 500_000
+
+
+def _counted_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by home, i, j and at: the pairs of a key's rows that the filters let through, with the number of keys that did.
+
+    A pair has most of its keys in one home, so it leaves a task once or a few times, and not once for every key.
+    """
+    names = ["home", "i", "j", "at", "side", "id", "n", "place", "inner", "component"]
+    found, size = [], 0
+
+    def pairs_of(rows: list[np.ndarray]) -> Iterator[np.ndarray]:
+        _, i, j, _, side, ids, n, place, inner, component, bits = rows
+        first = np.flatnonzero(starts(rows))
+        end = np.repeat(np.append(first[1:], len(ids)), np.diff(first, append=len(ids)))
+        x, step = np.arange(len(ids)), 1
+        while True:
+            x = x[end[x] > x + step]
+            if not len(x):
+                return
+            y = x + step
+            step += 1
+            new = (component[x] != component[y]) & (ids[x] != ids[y]) & ((i[x] == j[x]) | (side[x] != side[y]))
+            p, q = x[new], y[new]
+            overlap = np.minimum(place[p], place[q]) + np.minimum(n[p] - place[p], n[q] - place[q])
+            inside = (inner[p] & (n[p] <= n[q])) | (inner[q] & (n[q] <= n[p]))
+            near = inside & (5 * np.minimum(n[p], n[q]) >= 4 * np.maximum(n[p], n[q])) & (9 * overlap >= 4 * (n[p] + n[q]))
+            p, q = p[near], q[near]
+            alike = 9 * np.bitwise_count(bits[p] ^ bits[q]).sum(axis=1, dtype=np.int64) <= n[p] + n[q]
+            p, q = p[alike], q[alike]
+            if len(p):
+                yield np.stack([np.minimum(ids[p], ids[q]), np.maximum(ids[p], ids[q]), np.ones(len(p), np.int64), np.minimum(n[p], n[q])])
+
+    def starts(rows: list[np.ndarray]) -> np.ndarray:
+        new = np.ones(len(rows[0]), bool)
+        new[1:] = np.any([c[1:] != c[:-1] for c in rows[:4]], axis=0)
+        return new
+
+    def summed() -> np.ndarray:
+        a, b, keys, n = np.concatenate(found, axis=1)
+        order = np.lexsort((b, a))
+        a, b, keys, n = a[order], b[order], keys[order], n[order]
+        new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+        return np.stack([a[new], b[new], np.add.reduceat(keys, new), n[new]])
+
+    def sent(total: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in total], ["a", "b", "keys", "n"])
+
+    rest: list[np.ndarray] | None = None
+    for batch in _and_none(batches):
+        if batch is None:
+            rows, rest = rest, None
+        else:
+            rows = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+            rows.append(batch.column("bits").flatten().to_numpy().view(np.uint64).reshape(-1, SKETCH // 64))
+            rows = [np.concatenate(c) for c in zip(rest, rows, strict=True)] if rest is not None else rows
+            if not len(rows[0]):
+                continue
+            last = int(np.flatnonzero(starts(rows))[-1])  # the last key may go on in the next batch
+            rest, rows = [c[last:] for c in rows], [c[:last] for c in rows]
+        if rows is None or not len(rows[0]):
+            continue
+        for part in pairs_of(rows):
+            found.append(part)
+            size += part.shape[1]
+            if size > PENDING:
+                total = summed()
+                found, size = [total], total.shape[1]
+                if size > PENDING // 2:
+                    yield sent(total)
+                    found, size = [], 0
+    if found:
+        yield sent(summed())
+
+
+def _and_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
+def _all_pairs(open_rows: DataFrame, sketches: DataFrame, block: int = BLOCK) -> DataFrame:
     """Every pair of contents with keys in common and in different components that the filters let through.
 
-    A key's contents are dealt into blocks of BLOCK; each two blocks meet in a group of their own, and only pairs that pass all filters leave it.
+    Keys with the same first content are at home in one task, as long as they have few contents; more share a home less.
+    A key's contents are dealt into blocks of `block`; each two blocks meet in a group of their own.
     """
-    blocks = F.ceil(F.col("contents") / BLOCK).cast("int")
-    rows = open_rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = stored(rows.select("at", "block", "with", "id", "place", "inner", "component").join(sketches, "id"))
-    names = ("id", "n", "place", "inner", "component", "bits")
-    x = rows.select("at", F.col("block").alias("i"), F.col("with").alias("j"), *(F.col(c).alias(f"{c}1") for c in names))
-    y = rows.select("at", F.col("with").alias("i"), F.col("block").alias("j"), *(F.col(c).alias(f"{c}2") for c in names))
-    new = (F.col("id1") < F.col("id2")) & (F.col("component1") != F.col("component2"))
-    filters = new & _near("n1", "place1", "inner1", "n2", "place2", "inner2") & _alike("n1", "n2", "bits1", "bits2")
-    pairs = x.join(y, ["at", "i", "j"]).filter(filters)
-    return _enough(pairs.select(F.col("id1").alias("a"), F.col("id2").alias("b"), "n1", "n2"))
+    shares = F.ceil(F.col("contents") * F.col("contents") / (1 << 14))
+    blocks = F.ceil(F.col("contents") / block).cast("int")
+    rows = open_rows.select("at", "id", "n", "place", "inner", "component", F.xxhash64("first", F.pmod(F.xxhash64("at"), shares)).alias("home"), blocks.alias("blocks"))
+    rows = rows.join(sketches.select("id", "bits"), "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    places = (F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), (F.col("block") > F.col("with")).alias("side"))
+    rows = rows.select("home", "at", "id", F.col("n").cast("long").alias("n"), F.col("place").cast("long").alias("place"), "inner", "component", "bits", *places)
+    rows = rows.repartition("home", "i", "j").sortWithinPartitions("home", "i", "j", "at")
+    pairs = rows.mapInArrow(_counted_pairs, "a long, b long, keys long, n long").groupBy("a", "b").agg(F.sum("keys").alias("keys"), F.min("n").alias("n"))
+    return pairs.filter((F.col("keys") >= COMMON) | (F.col("n") < LONG)).select("a", "b")
 
 
 def one_of_each_group(docs: DataFrame) -> DataFrame:
