@@ -676,3 +676,60 @@ def test_pairs_leave_a_task_once(spark, block):
         out = one.coalesce(1).sortWithinPartitions("home", "i", "j", "at").mapInArrow(nj._counted_pairs, "a long, b long, keys long, n long").collect()
         assert len(out) == len(want)
         assert {r["keys"] for r in out} == {keys}
+
+
+def _key_rows(spark):
+    """Keys of 1 to 12 contents, every third of them hot; each content has a component in groups."""
+    rng = random.Random(5)
+    rows = [(k, m, 12 + m % 5, rng.randrange(6), rng.random() < 0.4, k % 3 == 0, m * 7 % 41) for k in range(60) for m in rng.sample(range(40), rng.randrange(1, 13))]
+    return rows, spark.createDataFrame(rows, "at long, id long, n long, place int, inner boolean, hot boolean, ties long").coalesce(2)
+
+
+@pytest.mark.parametrize("grouped", [False, True])
+def test_open_keys_of_the_join_by_brute_force(spark, grouped):
+    rows, shared = _key_rows(spark)
+    component = {m: m // 3 * 3 if grouped else m for m in range(40)}
+    groups = spark.createDataFrame([(m, c) for m, c in component.items() if m != c], "node long, component long") if grouped else None
+    want, pairs, most = set(), set(), 0
+    for key in range(60):
+        own = [r for r in rows if r[0] == key]
+        left = sum(r[4] and component[r[1]] != component[x[1]] for r in own for x in own)
+        most += left
+        if left:
+            _, a, n1, place1, inner1, *_ = max(own, key=lambda r: r[6])
+            want |= {(key, r[1], component[r[1]], len(own), min(x[1] for x in own)) for r in own}
+            for _, b, n, place, inner, *_ in own:
+                inside = inner1 and n1 <= n or inner and n <= n1
+                if component[a] != component[b] and inside and 5 * min(n, n1) >= 4 * max(n, n1) and 9 * (min(place, place1) + min(n - place, n1 - place1)) >= 4 * (n + n1):
+                    pairs.add((a, b))
+    found, left = nj._open_rows(shared, groups)
+    assert left == most
+    assert {(r["at"], r["id"], r["component"], r["contents"], r["first"]) for r in found.collect()} == want
+    assert {(r["a"], r["b"]) for r in nj._hub_pairs(found, 0).collect()} == pairs
+    assert pairs
+
+
+def test_keys_are_dealt_once_for_the_pairs_with_their_hubs(spark):
+    """Rows of keys cross one exchange by key, however many things are asked of them; there is no join by key beside that with a broadcast."""
+    found, _ = nj._open_rows(nj.stored(_key_rows(spark)[1]), None)
+    plan = nj._hub_pairs(found, 0)._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert len(re.findall(r"Exchange hashpartitioning\(at#\d+L?, \d+\)", plan)) == 1
+    assert "SortMergeJoin" not in plan
+
+
+def test_tokens_met_again_take_little_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    texts = [" ".join(str(rng.randrange(10**6)) for _ in range(400)) for _ in range(300)] * 2 + [" ".join(f"same{k}" for k in range(40)) + f" {n}" for n in range(9)]
+    batch = pa.RecordBatch.from_arrays([pa.array([t.encode() for t in texts], pa.binary())], ["text"])
+    want = Counter(int(t) for x in set(texts) for t in nj.shingles(x.encode().split()).view(np.int64))
+    got = {t: n for x in nj._met_again([batch]) for t, n in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), strict=True)}
+    assert got == {t: n for t, n in want.items() if n > 1}
+    assert len(got) == 36
+    tracemalloc.start()
+    list(nj._met_again([batch]))
+    assert tracemalloc.get_traced_memory()[1] < 22 * len(want)  # bytes a token; it was 48
+    tracemalloc.stop()

@@ -119,18 +119,21 @@ def _words_of(text: bytes) -> list[bytes]:
     return text.translate(LOWER).split()
 
 
+def _met_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """token, n: the tokens of two or more different texts of a batch. At most two copies of the batch's tokens are held."""
+    for batch in batches:
+        sets = [shingles(_words_of(x.as_py())) for x in batch.column(0).unique()]
+        tokens = np.concatenate([np.empty(0, np.uint64), *sets])
+        del sets
+        tokens.sort()
+        again, n = counted(tokens[1:][tokens[1:] == tokens[:-1]])
+        yield pa.RecordBatch.from_arrays([pa.array(again.view(np.int64)), pa.array(n + 1)], ["token", "n"])
+
+
 def frequent_tokens(docs: DataFrame, limit: int = FREQUENT_LIMIT, least: int = FREQUENT_COUNT) -> np.ndarray:
     """A bitmap of the tokens in many documents. Which ones it names (a few share the bit of another) changes no result."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingles(_words_of(x)) for x in set(batch.column(0).to_pylist())]
-            sets = np.concatenate([np.empty(0, np.uint64), *sets])  # the sets themselves can go
-            tokens, n = counted(sets)
-            again = n > 1
-            yield pa.RecordBatch.from_arrays([pa.array(tokens[again].view(np.int64)), pa.array(n[again].astype(np.int64))], ["token", "n"])
-
-    found = _texts(docs).select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    found = _texts(docs).select("text").mapInArrow(_met_again, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
     found = stored(found.select(F.shiftrightunsigned("token", 64 - FREQUENT_BITS).alias("bit"), F.floor(F.log2("n")).cast("int").alias("size")))
     sizes = {r["size"]: r["count"] for r in found.groupBy("size").count().collect()}  # 64 rows at most
     from_size, listed = 64, 0
@@ -151,6 +154,10 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
 
 
+#: Documents that one batch of signatures has.
+SIGNED = 1_000
+
+
 def signatures(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
     """doc_id, key, content (128-bit hash of the words; null without words), n, inner, keys, bits of every document."""
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)  # 2 ** FREQUENT_BITS bits
@@ -158,7 +165,7 @@ def signatures(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = shared.value
-        for batch in batches:
+        for batch in (x.slice(at, SIGNED) for x in batches for at in range(0, len(x), SIGNED)):
             contents, sizes, inner, keys, bits = [], [], [], [], []
             for cell in batch.column(2):
                 words = _words_of(cell.as_py())
@@ -182,8 +189,8 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     at, own = None, np.empty(0, np.uint64)
     for batch in batches:
         hubs, ids = [], []
-        for hub, salt, member, node, text in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-            tokens = shingles(_words_of(text))
+        for hub, salt, member, node, text in zip(*(batch.column(k).to_pylist() for k in range(4)), batch.column(4), strict=True):
+            tokens = shingles(_words_of(text.as_py()))
             if not member:
                 at, own = (hub, salt), tokens
             elif at == (hub, salt):
@@ -267,9 +274,9 @@ def _hot_keys(firsts: DataFrame) -> DataFrame:
 
 
 def shared_keys(signed_rows: DataFrame, copies: DataFrame) -> DataFrame:
-    """at, id, n, place, inner: the keys that two contents or more have, one of them in its inner prefix.
+    """at, id, n, place, inner, hot: the keys that two contents or more have, one of them in its inner prefix.
 
-    Keys are dealt by hash once. Hot ones needn't be: that they are shared is known, so they stay in their tasks.
+    Keys are dealt by hash. Hot ones needn't be: that they are shared is known, so they stay in their tasks.
     """
     firsts = signed_rows.filter("content IS NOT NULL").join(small(copies), "row", "left_anti")
     hot = _hot_keys(firsts)
@@ -279,9 +286,10 @@ def shared_keys(signed_rows: DataFrame, copies: DataFrame) -> DataFrame:
     own = Window.partitionBy("at")
     inner = F.col("packed") % 2
     cold = index.join(F.broadcast(hot), "at", "left_anti").withColumn("low", F.min("id").over(own)).withColumn("high", F.max("id").over(own)).withColumn("any", F.max(inner).over(own))
-    shared = cold.filter("low < high AND any = 1").select("at", "id", "packed").unionByName(index.join(F.broadcast(hot), "at"))
+    cold = cold.filter("low < high AND any = 1").select("at", "id", "packed", F.lit(False).alias("hot"))
+    shared = cold.unionByName(index.join(F.broadcast(hot), "at").withColumn("hot", F.lit(True)))
     place = F.shiftright("packed", 1).bitwiseAND(F.lit((1 << 31) - 1))
-    return shared.select("at", "id", F.shiftright("packed", 32).alias("n"), place.alias("place"), (inner == 1).alias("inner"))
+    return shared.select("at", "id", F.shiftright("packed", 32).alias("n"), place.alias("place"), (inner == 1).alias("inner"), "hot")
 
 
 def similar_documents(docs: DataFrame, frequent_limit: int = FREQUENT_LIMIT) -> DataFrame:
@@ -330,16 +338,31 @@ BLOCK = 2_000
 
 
 def _open_rows(shared: DataFrame, groups: DataFrame | None) -> tuple[DataFrame, int]:
-    """The rows of keys whose contents are in several components yet, with those, their number and the first of them; how many pairs of them are left at most."""
+    """The rows of keys whose contents are in several components yet, with those, their number and the first of them; how many pairs of them are left at most.
+
+    Keys that aren't hot are dealt by hash once, whatever is asked of them; of hot ones only sums leave their tasks.
+    """
     if groups is None:
         labelled = shared.withColumn("component", F.col("id"))
     else:
         labelled = shared.join(small(groups.withColumnRenamed("node", "id")), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    own = labelled.groupBy("at", "component").agg(F.count(F.lit(1)).alias("m"), F.sum(F.col("inner").cast("long")).alias("i"), F.min("id").alias("first"))
+    key, inner = Window.partitionBy("at"), F.col("inner").cast("long")
+
+    def cold(*columns: str) -> DataFrame:
+        """With the pairs that a row may have as the one that has the key in its inner prefix, in its own component and in all."""
+        rows = labelled.filter("NOT hot").select("at", "component", "inner", *columns)
+        rows = rows.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("at", "component"))).withColumn("contents", F.count(F.lit(1)).over(key))
+        return rows.withColumn("left", inner * (F.col("contents") - F.col("m"))).drop("m")
+
+    hot = labelled.filter("hot")
+    own = hot.groupBy("at", "component").agg(F.count(F.lit(1)).alias("m"), F.sum(inner).alias("i"), F.min("id").alias("first"))
     mixed = own.groupBy("at").agg(F.min("first").alias("first"), *(F.sum(x).alias(c) for x, c in ((F.col("m"), "all"), (F.col("i"), "inside"), (F.col("m") * F.col("i"), "within"))))
     mixed = stored(mixed.withColumn("left", F.col("all") * F.col("inside") - F.col("within")).filter("left > 0").select("at", F.col("all").alias("contents"), "first", "left"))
-    most = mixed.agg(F.sum("left")).first()[0] or 0
-    return labelled.join(small(mixed.select("at", "contents", "first")), "at"), int(most)
+    most = sum(x.agg(F.sum("left")).first()[0] or 0 for x in (mixed, cold()))
+    columns = ["at", "id", "n", "place", "inner", "ties", "component", "contents", "first"]
+    rows = cold("id", "n", "place", "ties").withColumn("first", F.min("id").over(key)).withColumn("left", F.sum("left").over(key)).filter("left > 0")
+    hot = hot.join(F.broadcast(mixed.drop("left")), "at")  # HOT_KEYS at most
+    return rows.select(*columns, F.lit(False).alias("hot")).unionByName(hot.select(*columns, F.lit(True).alias("hot"))), int(most)
 
 
 def _near(n1: str, place1: str, inner1: str, n2: str, place2: str, inner2: str):
@@ -359,9 +382,11 @@ def _hub_pairs(open_rows: DataFrame, turn: int) -> DataFrame:
     """Each content of a key with the key's hub: the most central content at first, one chosen by hash later."""
     order = F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(1 << 44)) + (F.shiftleft(F.col("ties").cast("long"), 44) if not turn else F.lit(0))
     rows = open_rows.withColumn("order", order)
-    of_hub = (("id", "a"), ("n", "n1"), ("place", "place1"), ("inner", "inner1"), ("component", "component1"))
-    hubs = small(stored(rows.groupBy("at").agg(*(F.max_by(c, "order").alias(name) for c, name in of_hub))))
-    pairs = rows.join(hubs, "at").filter((F.col("component") != F.col("component1")) & _near("n1", "place1", "inner1", "n", "place", "inner"))
+    of_hub = {"a": "id", "n1": "n", "place1": "place", "inner1": "inner", "component1": "component"}
+    hubs = rows.filter("hot").groupBy("at").agg(*(F.max_by(c, "order").alias(name) for name, c in of_hub.items()))  # HOT_KEYS at most
+    hot = rows.filter("hot").join(F.broadcast(stored(hubs)), "at")
+    cold = rows.filter("NOT hot").select("*", *(F.max_by(c, "order").over(Window.partitionBy("at")).alias(name) for name, c in of_hub.items()))
+    pairs = hot.unionByName(cold).filter((F.col("component") != F.col("component1")) & _near("n1", "place1", "inner1", "n", "place", "inner"))
     return _enough(pairs.select("a", F.col("id").alias("b"), "n1", F.col("n").alias("n2")))
 
 
