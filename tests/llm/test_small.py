@@ -472,6 +472,24 @@ def test_tokens_and_pieces(spark):
         assert rows.offset.tolist() == [0, *rows.length.cumsum().tolist()[:-1]] and rows.length.sum() <= 2048
 
 
+def test_plain_chunks_have_the_ids_of_the_named_tokenizer():
+    """Every plain word of the vocabulary, whole and with its neighbours, also where tokens could be reached in other ways; none of them is merged slowly."""
+    import json
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t, ids = Tokenizer.from_file(path), pk.Ids(path)
+    with open(path, encoding="utf-8") as f:
+        words = [w for w in (x.removesuffix("</w>") for x in json.load(f)["model"]["vocab"]) if re.fullmatch("[!-&(-~]+", w) and "<|" not in w]
+    assert len(words) > 30_000
+    ids.merge = None  # what the plain ones did without before
+    mixed = [x + y for x, y in zip(words, words[7:], strict=False) if "<|" not in x + y] + [f"{w}3é{w}.ü9!" for w in words[::5]] + ["x" * 150]
+    for w, own in zip(words + mixed, t.encode_batch(words + mixed, add_special_tokens=False), strict=True):
+        assert list(np.frombuffer(ids.text(w.encode()), "<u4")) == own.ids, w
+
+
 def test_gradients_of_the_recurrent_model():
     rng = np.random.default_rng(12)
     model = lm.Model.start(np.arange(lm.CLASSES * lm.CLASS_WORDS)[::-1] + 1.0, hidden=4)
