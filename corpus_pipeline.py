@@ -9,6 +9,9 @@ left is packed into sequences.
 Null and empty texts are rejected by the quality rules; repeated rows are one document, of which one row stays; null
 doc_ids come last in the choice of which row stays; an empty table gives an empty result; other columns are carried
 through all stages but the last, whatever their names.
+
+The stages run one after another in the same executors and Python workers, so rows go to Python in small Arrow batches
+(a session setting, which the stages set) and workers give back memory after each batch.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timespan.llm.common import shared_dir, table, utf8, without
+from timespan.llm.common import shared_dir, small_batches, table, utf8, without
 from timespan.llm.decontamination import decontaminate
 from timespan.llm.ngram_jaccard import one_of_each_group
 from timespan.llm.packing import best_fit_packing
@@ -28,14 +31,17 @@ from timespan.llm.secret_scans import redact_secrets
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return clean(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return one_of_each_group(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     judged = decontaminate(docs, table(spark, sf_dir, "benchmark"))
     return without(docs, judged.filter("contaminated").select("doc_id", F.col("key").alias("content")), F.xxhash64(utf8()))
 
@@ -45,6 +51,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return best_fit_packing(docs)
 
 

@@ -3,10 +3,11 @@
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from timespan.llm import lm_scoring
+from timespan.llm import common, lm_scoring, ngram_jaccard
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, content string, rank long"
 PLAIN = [" ".join(f"word{i}x{k}" for k in range(30)) for i in range(6)]
@@ -63,3 +64,20 @@ def test_one_long_text_beside_short_ones_takes_little_memory():
     tracemalloc.stop()
     assert peak < 40e6 and np.allclose(out[1:6], alone, rtol=1e-4)  # 256 lanes of 20,000 places were 20 MB of ids alone
     assert 256 * 500_000 * 4 > 100e6 > lm_scoring.PADDED * 4
+
+
+def test_stages_send_texts_to_python_in_small_batches(spark, tables):
+    docs = spark.range(3000, numPartitions=1).selectExpr("id AS doc_id", "concat(id, repeat(' word', 1000)) AS text", "'en' AS lang", "'s' AS source", "5004L AS n_chars")
+    corpus_pipeline.STAGES[0][1](spark, docs, tables)
+    sizes = docs.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n long").collect()
+    assert sum(r.n for r in sizes) > 15e6 and max(r.n for r in sizes) < 1.1 * common.BATCH_BYTES  # one batch of 15 MB before
+
+
+def test_tokens_are_met_again_in_whatever_batches_they_come():
+    texts = [" ".join(f"w{k % 3}x{j}" for j in range(30)).encode() for k in range(50)] + [b"own words of this text alone"] * 9
+    whole = pa.RecordBatch.from_pydict({"text": texts})
+    met = lambda batches: sorted((t, n) for out in ngram_jaccard._met_again(iter(batches)) for t, n in zip(*(c.to_pylist() for c in out.columns), strict=True))
+    apart = [pa.RecordBatch.from_pydict({"text": [a, b]}) for a, b in zip(texts[::2], texts[1::2] + [b""])]
+    varied = [pa.RecordBatch.from_pydict({"text": [f"{k} a b c d e f".encode()]}) for k in range(4)]
+    assert met([whole]) == met(apart) == [] and [n for _, n in met(varied)] == [4, 4]  # nothing was met in batches of one before
+    assert [n for _, n in met([whole, *varied])] == [4, 4]

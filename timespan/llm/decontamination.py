@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timespan.llm.common import ALNUM, counted, shared_dir, stored, table, utf8
+from timespan.llm.common import ALNUM, counted, freed, shared_dir, stored, table, utf8
 
 WINDOW, NEAR = 13, 26
 #: Distinct test windows that a pass over the training texts looks for (about 150 bytes each in a task).
@@ -102,7 +102,7 @@ def write_index(docs: DataFrame, terms: list[bytes], gap: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in values], _INDEX)
 
     folder = f"{shared_dir(spark)}/postings-{uuid.uuid4().hex}"
-    _read(docs).mapInArrow(run, ", ".join(f"{c} array<{'long' if k < 4 else 'int'}>" for k, c in enumerate(_INDEX))).write.parquet(folder)
+    _read(docs).mapInArrow(freed(run), ", ".join(f"{c} array<{'long' if k < 4 else 'int'}>" for k, c in enumerate(_INDEX))).write.parquet(folder)
     return spark.read.parquet(folder)
 
 
@@ -120,7 +120,7 @@ def posting_counts(index: DataFrame, n_terms: int) -> DataFrame:
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], ["term", "n"])
 
-    return index.select("terms", "ends").mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    return index.select("terms", "ends").mapInArrow(freed(count), "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
 def _among(values: np.ndarray, these: np.ndarray) -> np.ndarray:
@@ -199,7 +199,7 @@ def search_index(index: DataFrame, queries: Queries, keys: list[int], items: lis
                 arrays = [pa.array(x, k) for x, k in zip(columns, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([doc_ids, doc_keys, sizes, *arrays], ["doc_id", "key", "n_words", "spans", "items", "near"])
 
-    return index.mapInArrow(run, f"doc_id long, key long, n_words long, spans array<struct<s:long,e:long>>, items array<string>, near {_NEAR_TYPE}")
+    return index.mapInArrow(freed(run), f"doc_id long, key long, n_words long, spans array<struct<s:long,e:long>>, items array<string>, near {_NEAR_TYPE}")
 
 
 _NEAR_TYPE = "array<struct<window:long,start:long>>"

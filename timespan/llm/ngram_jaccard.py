@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from timespan.llm.common import LOWER, SMALL_ROWS, counted, hashes, small, stored, table, utf8, without
+from timespan.llm.common import LOWER, SMALL_ROWS, counted, freed, hashes, small, stored, table, utf8, without
 
 SHINGLE = 5
 #: Tokens called frequent: how many at most, the least count, and the bitmap's bits as a power of two (8 MB).
@@ -119,21 +119,38 @@ def _words_of(text: bytes) -> list[bytes]:
     return text.translate(LOWER).split()
 
 
-def _met_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """token, n: the tokens of two or more different texts of a batch. At most two copies of the batch's tokens are held."""
-    for batch in batches:
-        sets = [shingles(_words_of(x.as_py())) for x in batch.column(0).unique()]
+#: Rows in which a task looks for what it meets again, however many batches they come in.
+MET_ROWS = 10_000
+
+
+def _met_again(batches: Iterator[pa.RecordBatch], rows: int = MET_ROWS) -> Iterator[pa.RecordBatch]:
+    """token, n: the tokens of two or more different texts of `rows` rows. At most two copies of their tokens are held."""
+
+    def found(sets: list[np.ndarray]) -> pa.RecordBatch:
         tokens = np.concatenate([np.empty(0, np.uint64), *sets])
-        del sets
+        sets.clear()
         tokens.sort()
         again, n = counted(tokens[1:][tokens[1:] == tokens[:-1]])
-        yield pa.RecordBatch.from_arrays([pa.array(again.view(np.int64)), pa.array(n + 1)], ["token", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(again.view(np.int64)), pa.array(n + 1)], ["token", "n"])
+
+    sets, seen, held = [], set(), 0
+    for batch in (x.slice(at, rows) for x in batches for at in range(0, len(x), rows)):
+        if held and held + len(batch) > rows:
+            yield found(sets)
+            seen, held = set(), 0
+        for cell in batch.column(0).unique():
+            text = cell.as_py()
+            if (digest := xxhash.xxh3_128_digest(text)) not in seen:
+                seen.add(digest)
+                sets.append(shingles(_words_of(text)))
+        held += len(batch)
+    yield found(sets)
 
 
 def frequent_tokens(docs: DataFrame, limit: int = FREQUENT_LIMIT, least: int = FREQUENT_COUNT) -> np.ndarray:
     """A bitmap of the tokens in many documents. Which ones it names (a few share the bit of another) changes no result."""
 
-    found = _texts(docs).select("text").mapInArrow(_met_again, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    found = _texts(docs).select("text").mapInArrow(freed(_met_again), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
     found = stored(found.select(F.shiftrightunsigned("token", 64 - FREQUENT_BITS).alias("bit"), F.floor(F.log2("n")).cast("int").alias("size")))
     sizes = {r["size"]: r["count"] for r in found.groupBy("size").count().collect()}  # 64 rows at most
     from_size, listed = 64, 0
@@ -181,7 +198,7 @@ def signatures(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
             arrays = [pa.array(contents, pa.binary()), pa.array(sizes, pa.int64()), pa.array(inner, pa.int64()), lists, pa.array(bits, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], names)
 
-    return _texts(docs).mapInArrow(sign, "doc_id long, key long, content binary, n long, inner long, keys array<long>, bits array<long>")
+    return _texts(docs).mapInArrow(freed(sign), "doc_id long, key long, content binary, n long, inner long, keys array<long>, bits array<long>")
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,7 +228,7 @@ def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     wanted = small(stored(wanted))
     found = _texts(docs).join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k"))).select("a", "salt", "member", "node", "text")
     dealt = found.repartition("a", "salt").sortWithinPartitions("a", "salt", "member", "node")
-    return stored(dealt.mapInArrow(_compare, "a long, b long"))
+    return stored(dealt.mapInArrow(freed(_compare), "a long, b long"))
 
 
 #: Edges that one task unites, at most (16 bytes each, and about 200 in its table).
@@ -265,11 +282,21 @@ def _hot_keys(firsts: DataFrame) -> DataFrame:
     """at: keys in very many contents, HOT_KEYS at most. Tasks report those that they meet often; which ones are named changes no result."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, n = counted(batch.column(0).flatten().to_numpy())
-            yield pa.RecordBatch.from_arrays([pa.array(keys[n > 7]), pa.array(n[n > 7].astype(np.int64))], ["at", "n"])
+        def often(lists: list[np.ndarray]) -> pa.RecordBatch:
+            keys, n = counted(np.concatenate([np.empty(0, np.int64), *lists]))
+            lists.clear()
+            return pa.RecordBatch.from_arrays([pa.array(keys[n > 7]), pa.array(n[n > 7].astype(np.int64))], ["at", "n"])
 
-    found = firsts.select("keys").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).filter(F.col("n") >= HOT_CONTENTS)
+        lists, held = [], 0
+        for batch in batches:
+            if held and held + len(batch) > MET_ROWS:
+                yield often(lists)
+                held = 0
+            lists.append(batch.column(0).flatten().to_numpy())
+            held += len(batch)
+        yield often(lists)
+
+    found = firsts.select("keys").mapInArrow(freed(count), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).filter(F.col("n") >= HOT_CONTENTS)
     return stored(found.orderBy(F.desc("n"), "at").limit(HOT_KEYS).select("at"))
 
 
@@ -497,7 +524,7 @@ def _all_pairs(open_rows: DataFrame, sketches: DataFrame, block: int = BLOCK) ->
     places = (F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), (F.col("block") > F.col("with")).alias("side"))
     rows = rows.select("home", "at", "id", F.col("n").cast("long").alias("n"), F.col("place").cast("long").alias("place"), "inner", "component", "bits", *places)
     rows = rows.repartition("home", "i", "j").sortWithinPartitions("home", "i", "j", "at")
-    pairs = rows.mapInArrow(_counted_pairs, "a long, b long, keys long, n long").groupBy("a", "b").agg(F.sum("keys").alias("keys"), F.min("n").alias("n"))
+    pairs = rows.mapInArrow(freed(_counted_pairs), "a long, b long, keys long, n long").groupBy("a", "b").agg(F.sum("keys").alias("keys"), F.min("n").alias("n"))
     return pairs.filter((F.col("keys") >= COMMON) | (F.col("n") < LONG)).select("a", "b")
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from timespan.llm.common import LOWER, partitions, single_thread, stored, table, utf8
+from timespan.llm.common import LOWER, freed, partitions, single_thread, stored, table, utf8
 
 CAPACITY = 2048
 #: Plan rows up to which the plan is broadcast (48 bytes each); beyond it, it is joined by shuffle.
@@ -169,7 +169,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = 0, tok
         finally:  # Spark uses a worker for many tasks, of other stages too
             ids.forget()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text")).mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text")).mapInArrow(freed(cut), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 class CapacityTree:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from timespan.llm.common import LOWER, SMALL_ROWS, hashes, signed, small, stored, utf8
+from timespan.llm.common import LOWER, SMALL_ROWS, freed, hashes, signed, small, stored, utf8
 
 #: Words below which a text fails, and at which a document is depleted.
 MIN_WORDS = 20
@@ -144,7 +144,7 @@ def clean(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, max_s
     of its host. Beyond SMALL_ROWS of those, each host's are joined to its documents instead of sent to all tasks.
     """
     read = docs.select(F.col(host).cast("string").alias("host"), F.xxhash64(utf8()).alias("content"), utf8().alias("text"))
-    over = frequent_lines(stored(read.mapInArrow(_line_hashes, "host string, content long, lines array<long>")), max_docs, max_share)
+    over = frequent_lines(stored(read.mapInArrow(freed(_line_hashes), "host string, content long, lines array<long>")), max_docs, max_share)
     few = over.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
     known: dict[str, frozenset[int]] = {}
     if few:
@@ -176,14 +176,14 @@ def clean(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, max_s
     else:
         own = _with_their_lines(own, over, names[text_at])
     renamed = T.StructType([T.StructField(n, f.dataType) for n, f in zip(names, schema, strict=True)])
-    return own.select(*names, "host", "lines").mapInArrow(judge, renamed).toDF(*docs.columns)
+    return own.select(*names, "host", "lines").mapInArrow(freed(judge), renamed).toDF(*docs.columns)
 
 
 def _with_their_lines(own: DataFrame, over: DataFrame, text: str) -> DataFrame:
     """own with the hashes of those of its lines that are over the limits, from a join by line: no host's list is gathered."""
     own = stored(own.withColumn("row", F.monotonically_increasing_id()))
     schema = "host string, row long, lines array<long>"
-    has = own.select("host", "row", utf8(text).alias("text")).mapInArrow(_line_hashes, schema).select("row", "host", F.explode("lines").alias("line"))
+    has = own.select("host", "row", utf8(text).alias("text")).mapInArrow(freed(_line_hashes), schema).select("row", "host", F.explode("lines").alias("line"))
     removed = has.join(over, ["host", "line"]).groupBy("row").agg(F.collect_set("line").alias("lines"))
     return own.join(removed, "row", "left").withColumn("lines", F.coalesce("lines", F.expr("cast(array() AS array<bigint>)")))
 
