@@ -81,3 +81,13 @@ def test_tokens_are_met_again_in_whatever_batches_they_come():
     varied = [pa.RecordBatch.from_pydict({"text": [f"{k} a b c d e f".encode()]}) for k in range(4)]
     assert met([whole]) == met(apart) == [] and [n for _, n in met(varied)] == [4, 4]  # nothing was met in batches of one before
     assert [n for _, n in met([whole, *varied])] == [4, 4]
+
+
+def test_an_update_visits_only_the_words_of_its_window():
+    model = lm_scoring.Model.start(np.ones(lm_scoring.CLASSES * lm_scoring.CLASS_WORDS))
+    trainer, met = lm_scoring.Trainer(model), np.array([3, 70, 3, 900])
+    unmet = np.setdiff1d(np.arange(len(model.w["x"])), met)
+    trainer.seen["x"][unmet] = 0  # a visit divides by it
+    with np.errstate(invalid="ignore"):
+        trainer.run([met])
+    assert np.array_equal(trainer.model.w["x"][unmet], model.w["x"][unmet]) and not np.array_equal(trainer.model.w["x"][met], model.w["x"][met])

@@ -68,6 +68,28 @@ def word_counts(training: DataFrame, flush: int = 200_000) -> DataFrame:
     return training.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    """In place."""
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
+def softmax(logits: np.ndarray, picked: np.ndarray, slopes: bool) -> tuple[np.ndarray, np.ndarray]:
+    """ln P of the picked place in each row; if wanted, the loss's slopes by the logits. logits is overwritten."""
+    at = np.arange(len(logits))
+    logits -= logits.max(1, keepdims=True)
+    out = logits[at, picked]
+    np.exp(logits, out=logits)
+    total = logits.sum(1)
+    out -= np.log(total)
+    if slopes:
+        logits /= total[:, None]
+        logits[at, picked] -= 1
+    return out, logits
+
+
 class Model:
     """A GRU over word ids. Id c * CLASS_WORDS + k is word k of class c; the last id is any other word."""
 
@@ -90,76 +112,105 @@ class Model:
 
     def step(self, ids: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
         n = h.shape[1]
-        a, s = self.w["x"][ids] + self.w["b"], h @ self.w["u"]
-        gates = 1 / (1 + np.exp(-(a[:, : 2 * n] + s[:, : 2 * n])))
+        a, s = self.w["x"][ids], h @ self.w["u"]
+        a += self.w["b"]
+        gates = sigmoid(a[:, : 2 * n] + s[:, : 2 * n])
         z, r = gates[:, :n], gates[:, n:]
-        new = np.tanh(a[:, 2 * n :] + r * s[:, 2 * n :])
-        return new + z * (h - new), z, r, new, s[:, 2 * n :]
+        new = r * s[:, 2 * n :]
+        new += a[:, 2 * n :]
+        np.tanh(new, out=new)
+        out = h - new
+        out *= z
+        out += new
+        return out, z, r, new, s[:, 2 * n :]
 
     def losses(self, h: np.ndarray, ids: np.ndarray, grad: dict[str, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """ln P(id | state) of each row; with grad, adds the output's gradients and returns that by the state."""
         of, k = ids // CLASS_WORDS, ids % CLASS_WORDS
-        at = np.arange(len(ids))
-        logits = h @ self.w["wc"] + self.w["bc"]
-        logits -= logits.max(1, keepdims=True)
-        p = np.exp(logits)
-        total = p.sum(1, keepdims=True)
-        out = logits[at, of] - np.log(total[:, 0])
+        out, p = softmax(h @ self.w["wc"] + self.w["bc"], of, grad is not None)
         dh = None
         if grad is not None:
-            p /= total
-            p[at, of] -= 1
             grad["wc"] += h.T @ p
             grad["bc"] += p.sum(0)
             dh = p @ self.w["wc"].T
-        order = np.argsort(of, kind="stable")
-        edges = np.searchsorted(of[order], np.arange(CLASSES + 1))
-        for c in np.flatnonzero(np.diff(edges)):
-            rows = order[edges[c] : edges[c + 1]]
-            own = h[rows]
-            logits = own @ self.w["ww"][c] + self.w["bw"][c]
-            logits -= logits.max(1, keepdims=True)
-            p = np.exp(logits)
-            total = p.sum(1, keepdims=True)
-            here = np.arange(len(rows))
-            out[rows] += logits[here, k[rows]] - np.log(total[:, 0])
-            if grad is not None:
-                p /= total
-                p[here, k[rows]] -= 1
-                grad["ww"][c] += own.T @ p
-                grad["bw"][c] += p.sum(0)
-                dh[rows] += p @ self.w["ww"][c].T
+        # rows by class: only the products are made class by class
+        order = np.argsort(of.astype(np.uint8), kind="stable")
+        own, edges = h[order], np.concatenate([[0], np.cumsum(np.bincount(of, minlength=CLASSES))])
+        parts = [(c, slice(edges[c], edges[c + 1])) for c in np.flatnonzero(np.diff(edges))]
+        logits = self.w["bw"][of[order]]
+        for c, rows in parts:
+            logits[rows] += own[rows] @ self.w["ww"][c]
+        loss, p = softmax(logits, k[order], grad is not None)
+        out[order] += loss
+        if grad is not None:
+            back = np.empty_like(own)
+            for c, rows in parts:
+                grad["ww"][c] += own[rows].T @ p[rows]
+                grad["bw"][c] += p[rows].sum(0)
+                np.matmul(p[rows], self.w["ww"][c].T, out=back[rows])
+            dh[order] += back
         return out, dh
 
     def window(self, ids: np.ndarray, mask: np.ndarray, h: np.ndarray) -> tuple[float, dict[str, np.ndarray], np.ndarray]:
-        """Loss and gradients of one window (steps by lanes), backpropagated to its start and no further; the state after it."""
-        steps, states, saved = len(ids), [h], []
+        """Loss and gradients of one window (steps by lanes), backpropagated to its start and no further; the state after it.
+
+        What doesn't depend on the step before is computed for all steps at once.
+        """
+        steps, (lanes, n) = len(ids), h.shape
+        u, ended = self.w["u"], [None if row.all() else np.flatnonzero(~row) for row in mask]
+        states, own = np.empty((steps + 1, lanes, n), np.float32), np.empty((steps, lanes, n), np.float32)
+        states[0] = h
+        x = self.w["x"][ids]
+        x += self.w["b"]
+        gates, new = x[..., : 2 * n].copy(), x[..., 2 * n :].copy()
         for t in range(steps):
-            new, *rest = self.step(ids[t], states[-1])
-            saved.append(rest)
-            states.append(np.where(mask[t][:, None], new, states[-1]))
+            s, now = states[t] @ u, states[t + 1]
+            own[t] = s[:, 2 * n :]
+            gates[t] += s[:, : 2 * n]
+            sigmoid(gates[t])
+            new[t] += gates[t, :, n:] * own[t]
+            np.tanh(new[t], out=new[t])
+            np.subtract(states[t], new[t], out=now)
+            now *= gates[t, :, :n]
+            now += new[t]
+            if ended[t] is not None:
+                now[ended[t]] = states[t][ended[t]]
         grad = {k: np.zeros_like(v) for k, v in self.w.items()}
-        flat = mask.ravel()
-        before = np.concatenate(states[:-1])
-        loss, own = self.losses(before[flat], ids.ravel()[flat], grad)
-        out = np.zeros_like(before)
-        out[flat] = own
-        out = out.reshape(steps, *h.shape)
-        n, later, inputs = h.shape[1], np.zeros_like(h), np.zeros((steps, len(h), 3 * h.shape[1]), np.float32)
+        before, flat = states[:-1].reshape(-1, n), mask.ravel()
+        if flat.all():
+            loss, out = self.losses(before, ids.ravel(), grad)
+        else:
+            out = np.zeros_like(before)
+            loss, out[flat] = self.losses(before[flat], ids.ravel()[flat], grad)
+        out = out.reshape(steps, lanes, n)
+        z, r = gates[..., :n].copy(), gates[..., n:].copy()
+        by_new = (1 - z) * (1 - new * new)
+        by_z = (states[:-1] - new) * z * (1 - z)
+        by_r = own * r * (1 - r)
+        du, inputs, later, back = np.empty((steps, lanes, 3 * n), np.float32), x, np.zeros_like(h), np.ascontiguousarray(u.T)
         for t in reversed(range(steps)):
-            z, r, new, s = saved[t]
-            d = later * mask[t][:, None]
-            dn = d * (1 - z) * (1 - new * new)
-            dz = d * (states[t] - new) * z * (1 - z)
-            dr = dn * s * r * (1 - r)
-            du = np.concatenate([dz, dr, dn * r], 1)
-            inputs[t] = np.concatenate([dz, dr, dn], 1)
-            grad["u"] += states[t].T @ du
-            later = later * ~mask[t][:, None] + d * z + du @ self.w["u"].T + out[t]
-        grad["b"] += inputs.sum((0, 1))
-        order = np.argsort(ids, axis=None, kind="stable")
+            d = later
+            if ended[t] is not None:
+                d = later.copy()
+                d[ended[t]] = 0
+            dn, row = d * by_new[t], du[t]
+            np.multiply(d, by_z[t], out=row[:, :n])
+            np.multiply(dn, by_r[t], out=row[:, n : 2 * n])
+            np.multiply(dn, r[t], out=row[:, 2 * n :])
+            inputs[t, :, 2 * n :] = dn
+            passed = row @ back
+            passed += d * z[t]
+            if ended[t] is not None:
+                passed[ended[t]] += later[ended[t]]
+            passed += out[t]
+            later = passed
+        inputs[..., : 2 * n] = du[..., : 2 * n]
+        grad["u"] += before.T @ du.reshape(-1, 3 * n)
+        inputs = inputs.reshape(-1, 3 * n)
+        grad["b"] += inputs.sum(0)
+        order = np.argsort(ids.ravel().astype(np.uint16), kind="stable")
         words, first = np.unique(ids.ravel()[order], return_index=True)
-        grad["x"][words] = np.add.reduceat(inputs.reshape(-1, 3 * n)[order], first, axis=0)
+        grad["x"][words] = np.add.reduceat(inputs[order], first, axis=0)
         return -float(loss.sum()), grad, states[-1]
 
 
@@ -183,11 +234,17 @@ class Trainer:
             for k, own in enumerate(parts):
                 ids[: len(own), k], mask[: len(own), k] = own, True
             _, grad, h = self.model.window(ids, mask, h)
-            scale = 1 / max(1, mask.sum()) ** 0.5
+            scale = 1 / max(1, int(mask.sum())) ** 0.5
+            met = np.flatnonzero(np.bincount(ids.ravel()))
             for name, g in grad.items():
-                g *= scale
-                self.seen[name] += g * g
-                self.model.w[name] -= self.rate * g / np.sqrt(self.seen[name])
+                # words that the window doesn't have get no gradient, so their weights stay
+                at = met if name == "x" else slice(None)
+                g, seen = g[at] * np.float32(scale), self.seen[name][at]
+                seen += g * g
+                g *= np.float32(self.rate)
+                g /= np.sqrt(seen)
+                self.seen[name][at] = seen
+                self.model.w[name][at] -= g
             self.updates += 1
             left = [k for k, (text, at) in enumerate(open_) if at + WINDOW < len(text)]
             h, open_ = h[left], [(open_[k][0], open_[k][1] + WINDOW) for k in left]
