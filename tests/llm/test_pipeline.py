@@ -91,3 +91,39 @@ def test_an_update_visits_only_the_words_of_its_window():
     with np.errstate(invalid="ignore"):
         trainer.run([met])
     assert np.array_equal(trainer.model.w["x"][unmet], model.w["x"][unmet]) and not np.array_equal(trainer.model.w["x"][met], model.w["x"][met])
+
+
+def test_padding_of_a_window_is_not_computed():
+    rng, model = np.random.default_rng(18), lm_scoring.Model.start(np.ones(lm_scoring.CLASSES * lm_scoring.CLASS_WORDS))
+    ids, mask, h = np.zeros((32, 5), np.int64), np.zeros((32, 5), bool), rng.standard_normal((5, 32)).astype(np.float32)
+    for lane, n in enumerate((3, 32, 1, 32, 7)):
+        ids[:n, lane], mask[:n, lane] = rng.integers(1, 2000, n), True
+    model.w["x"][0] = np.nan  # the id that stands in places without one
+    loss, grad, after = model.window(ids, mask, h)
+    assert np.isfinite(loss) and np.isfinite(after).all() and all(np.isfinite(g).all() for g in grad.values())  # padding made all of them NaN before
+    alone = [model.window(ids[:, k : k + 1], mask[:, k : k + 1], h[k : k + 1]) for k in range(5)]
+    assert np.isclose(loss, sum(a[0] for a in alone)) and np.allclose(after, np.concatenate([a[2] for a in alone]), atol=1e-6)
+    assert all(np.allclose(g, sum(a[1][name] for a in alone), atol=1e-4) for name, g in grad.items())
+
+
+def test_sums_by_id_and_softmax_of_large_logits():
+    rng = np.random.default_rng(19)
+    ids, rows = np.concatenate([np.full(100, 7), rng.integers(0, 900, 400), np.full(16, 3), np.full(17, 2000)]), rng.standard_normal((533, 6))
+    want = np.zeros((2001, 6))
+    np.add.at(want, ids, rows)
+    distinct, sums = lm_scoring.sums_by_id(ids, rows)
+    assert sorted(distinct) == sorted(set(ids.tolist())) and np.allclose(sums, want[distinct])
+    out, slopes = lm_scoring.softmax(np.array([[500.0, 499.0], [-900.0, -900.0]]), np.array([0, 1]), True)
+    assert np.allclose(out, [-np.log1p(np.exp(-1)), -np.log(2)]) and np.allclose(slopes[1], [0.5, -0.5])
+
+
+def test_tokens_are_words_split_at_six_kinds_of_space(monkeypatch):
+    texts = [b"", b" \t\n", b" A B\x0bc\x0cd\re\n", b"x\x1cy\x00 z\xc2\xa0q \xff\xfeQ\x85 ", "É ü 中　文".encode(), b"one", b"the THE " * 500]
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.binary())})
+    want = [[*t.lower().split(), b""] for t in texts]
+    for size in (1, 10, 1 << 20):
+        monkeypatch.setattr(lm_scoring, "TOGETHER", size)
+        got = [words.to_pylist()[at:end] for _, words, edges in lm_scoring.tokens([batch.slice(1), batch.slice(0, 0)]) for at, end in zip(edges, edges[1:], strict=False)]
+        assert got == want[1:]
+    counted = lm_scoring.tokens([batch])
+    assert sum(len(words) for _, words, _ in counted) == sum(map(len, want))
