@@ -2,10 +2,12 @@
 
 from datetime import datetime, timedelta
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from timespan import queries
 from timespan.functions import text as tx
 from timespan.operators import history as hs
 from timespan.operators import intervals as iv
@@ -38,6 +40,20 @@ def pairs(df):
     return sorted((r.start_us, r.end_us) for r in df.collect())
 
 
+def twin(spark, folder, name, **tables):
+    """The sorted rows of a query over small tables (rows, schema), which are those of its SQL."""
+    for t, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("overwrite").parquet(f"{folder}/{t}.parquet")
+    found = queries.QUERIES[name](spark, str(folder))
+    with duckdb.connect() as con:
+        for t in tables:
+            con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet/*.parquet'")
+        want = con.execute(f"SELECT {', '.join(found.columns)} FROM ({queries.ORACLE[name]})").fetchall()
+    got = sorted(map(tuple, found.collect()))
+    assert got == sorted(want)
+    return got
+
+
 def test_merge_touching_nested_equal(spark):
     assert pairs(iv.merge(ranges(spark, (0, 5), (5, 7), (1, 2), (9, 9), (20, 30)))) == [(0, 7), (9, 9), (20, 30)]
     assert pairs(iv.merge(iv.merge(ranges(spark, (0, 5), (4, 9))))) == [(0, 9)]
@@ -281,6 +297,13 @@ def test_joined_phrases_of_any_length(spark):
     assert sorted(r.pos for r in matching.match_fillers(tokens, [chars]).collect()) == list(range(1, len(chars) + 1))
 
 
+def test_fillers_of_the_query_are_whole_tokens(spark, tmp_path):
+    rows = [(1, 0, "user", "a nd and of the an d andand"), (2, 0, "user", "And, AND o f the of"), (2, 1, "user", "the and")]
+    assert twin(spark, tmp_path, "filler_matches", conversations=(rows, "conv_id long, turn long, role string, text string")) == [(1, 2), (1, 3), (1, 4), (2, 1), (2, 5), (2, 6), (2, 7)]
+    tokens = spark.createDataFrame([(1, k, "word", t) for k, t in enumerate("a nd and".split())], "media_id long, pos int, type string, text string")
+    assert sorted(r.pos for r in mt.match_fillers(tokens, ["and"]).collect()) == [0, 1, 2]  # the operator joins tokens unless told not to
+
+
 def test_near_duplicates_are_of_what_was_kept_last(spark):
     # the second is a near duplicate of the first; the third of neither, as it is 100 from the kept one; the fourth meets the grown range
     assert pairs(iv.merge_near_duplicates(ranges(spark, (0, 1000), (50, 1099), (100, 1100), (110, 1150), (2000, 2001)))) == [(0, 1150), (2000, 2001)]

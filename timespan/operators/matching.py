@@ -47,12 +47,12 @@ def match_joined(tokens: DataFrame, phrase: str) -> DataFrame:
 _BETWEEN = "\0"
 
 
-def _automata(phrases: list[str]) -> tuple[Automaton, Automaton]:
-    """Phrases of several parts as `|part|part|`, single ones as the characters they are."""
+def _automata(phrases: list[str], joined: bool = True) -> tuple[Automaton, Automaton]:
+    """Phrases of several parts as `|part|part|`, single ones as the characters they are; not joined: these as `|part|` too."""
     found: tuple[dict, dict] = {}, {}
     for k, phrase in enumerate(phrases):
         own = search_phrase(phrase)
-        several = len(phrase.split()) > 1
+        several = not joined or len(phrase.split()) > 1
         key = _BETWEEN + "".join(p + _BETWEEN for p in own.split()) if several else own
         found[not several].setdefault(key, ([], len(own.split()) if several else len(own)))[0].append(k)
     automata = Automaton(), Automaton()
@@ -81,9 +81,11 @@ def _found(automata: tuple[Automaton, Automaton], lows: list[str]) -> list[tuple
     return out
 
 
-def match_phrases(tokens: DataFrame, phrases: list[str]) -> DataFrame:
+def match_phrases(tokens: DataFrame, phrases: list[str], joined: bool = True) -> DataFrame:
     """media_id, phrase, first_pos, last_pos of all places of all phrases: a phrase of several parts matches token by token, a single one what tokens are joined.
 
+    Not joined: a single one matches whole tokens only.
+
     All phrases are in two automata, which a task builds once; a run of tokens without a break between them is read
     once, however many phrases there are. phrases is the caller's list.
     """
@@ -91,7 +93,7 @@ def match_phrases(tokens: DataFrame, phrases: list[str]) -> DataFrame:
     kinds = [("phrase", pa.string()), ("first_pos", pa.int64()), ("last_pos", pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automata = _automata(wanted)
+        automata = _automata(wanted, joined)
         for batch in batches:
             rows, at = [], []
             for k, own in enumerate(batch.column(1).to_pylist()):
@@ -107,9 +109,9 @@ def match_phrases(tokens: DataFrame, phrases: list[str]) -> DataFrame:
     return held.select("media_id", "own").mapInArrow(run, f"media_id {kind}, phrase string, first_pos long, last_pos long")
 
 
-def match_fillers(tokens: DataFrame, phrases: list[str]) -> DataFrame:
+def match_fillers(tokens: DataFrame, phrases: list[str], joined: bool = True) -> DataFrame:
     """The distinct positions that any of the phrases covers. phrases is the caller's list; repeated ones count once."""
-    found = match_phrases(tokens, phrases)
+    found = match_phrases(tokens, phrases, joined)
     return found.select("media_id", F.explode(F.sequence("first_pos", "last_pos")).alias("pos")).distinct()
 
 
