@@ -535,6 +535,34 @@ def test_chunks_kept_whole_cut_or_skipped(spark):
     assert [r.plan for r in iv.chunk_plans(chunks, local, 1_000).orderBy("chunk_idx").collect()] == ["copy", "copy", "cut", "skip", "cut"]
 
 
+LONG = 10**18  # in bins of a minute it would be too many for an array
+EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double"
+
+
+def events(*rows):
+    """Rows of events of user 1: type, microseconds since the origin, value (600 s each)."""
+    return [(k, datetime(2024, 1, 1) + timedelta(microseconds=at), 1, kind, value) for k, (kind, at, value) in enumerate(rows)], EVENTS
+
+
+@pytest.mark.parametrize("run", [1, 3, 10_000])
+def test_ranked_join_equals_plain(spark, monkeypatch, run):
+    monkeypatch.setattr(iv, "_RUN", run)
+    rng = np.random.default_rng(run)
+    rows = [(int(m), int(a), int(a + n), None if n % 4 == 0 else f"n{n}") for m, a, n in zip(rng.integers(0, 3, 240), rng.integers(-20, 60, 240), rng.integers(-4, 30, 240), strict=True)]  # ties, empty, reversed and equal ones
+    rows += [(None, 0, 50, "a"), (1, None, 50, "b"), (1, 0, None, "c"), (1, -LONG, LONG, "d")]
+    schema = "media_id long, start_us long, end_us long, name string"
+    left, right = spark.createDataFrame(rows[:130] + rows[-4:], schema), spark.createDataFrame(rows[110:], schema)
+    for a, b in ((left, right), (right, left), (left.drop("name"), right), (left, right.drop("name")), (left.drop("name"), right.drop("name"))):
+        plain, found = iv.interval_join(a, b, None), iv.interval_join(a, b)
+        assert found.columns == plain.columns and sorted(map(str, found.collect())) == sorted(map(str, plain.collect()))
+    assert iv.clip(left, right).count() > 1000
+
+
+def test_clipped_pairs_of_long_ranges(spark, tmp_path):
+    rows = events(("click", 0, 1e9), ("view", 5, 0.0), ("error", 7, 1e9), ("error", 5, 0.0), ("error", 3, 0.01), ("signup", 0, 5.0))
+    assert len(twin(spark, tmp_path, "clipped_pairs", events=rows)) == 4
+
+
 def embeddings(spark, folder, rows):
     """An embeddings table of these (vec_id, label, embedding)."""
     spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.mode("overwrite").parquet(f"{folder}/embeddings.parquet")

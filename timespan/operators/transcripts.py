@@ -49,7 +49,7 @@ def delete_ranges(words: DataFrame, targets: list[str], totals: DataFrame, pad:
 def rebase(words: DataFrame, keeps: DataFrame) -> DataFrame:
     """Words on the shortened timeline; one that spans two kept ranges becomes two."""
     k = iv.with_offsets(keeps).withColumnRenamed("delta_us", "delta")
-    pairs = iv.clip(words, k)
+    pairs = iv.clip(words, k, iv.BIN_US)
     return pairs.select("media_id", "seg_idx", "word_idx", "text", (F.col("start_us") + F.col("r_delta")).alias("start_us"), (F.col("end_us") + F.col("r_delta")).alias("end_us"), "conf")
 
 
@@ -177,7 +177,7 @@ def token_at(points: DataFrame, tokens: DataFrame) -> DataFrame:
     """The tokens that hold each point (their start inclusive, their end not); they meet in time bins."""
     p = points.withColumns({"start_us": F.col("t_us"), "end_us": F.col("t_us") + 1})
     own = ["seg_idx", "word_idx", "start_us", "end_us"]
-    met = iv.interval_join(p, tokens.select("media_id", *own))
+    met = iv.interval_join(p, tokens.select("media_id", *own), iv.BIN_US)
     return met.select(*points.columns, *(F.col(f"r_{c}").alias(c) for c in own))
 
 
