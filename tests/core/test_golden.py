@@ -570,6 +570,12 @@ def test_chunk_plans_of_long_chunks(spark):
     assert [(r.plan, r.ranges) for r in found.orderBy("chunk_idx").collect()] == [("copy", 1), ("skip", 0), ("cut", 1), ("skip", 0)]
 
 
+def test_ranges_in_long_chunks(spark):
+    chunks = spark.createDataFrame([(1, 0, 0, LONG), (1, 1, LONG, 2 * LONG), (2, 0, 0, LONG)], "media_id long, chunk_idx int, start_us long, end_us long")
+    found = iv.to_chunks(ranges(spark, (5, LONG + 1_000), (-500, 1_500), (LONG - 999, LONG), (2 * LONG, 3 * LONG)), chunks)
+    assert sorted(map(tuple, found.collect())) == [(1, 0, 0, 1_500), (1, 0, 5, LONG), (1, 1, 0, 1_000)]
+
+
 def embeddings(spark, folder, rows):
     """An embeddings table of these (vec_id, label, embedding)."""
     spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.mode("overwrite").parquet(f"{folder}/embeddings.parquet")
