@@ -584,6 +584,12 @@ def test_clips_in_long_uniform_chunks(spark):
     assert sorted(map(tuple, found.collect())) == sorted([(1, 0, 0, 4, size + 3), (1, 0, 0, 4, size + 3), (1, 0, 5, size, size + 3), (1, 0, 7, 7, size + 3), (1, 1, 0, rest, rest)])
 
 
+def test_fixed_chunk_clip_has_short_last_chunks(spark, tmp_path):
+    size = 300_000_000_000
+    rows = events(("click", size - 5_999_900_000, 10.0), ("view", 100, 0.0), ("error", 9, 1.0))  # ends 0.1 s into the second chunk
+    assert twin(spark, tmp_path, "fixed_chunk_clip", events=rows) == [(1, 0, 100, 100, 5_999_900_000), (1, 0, size - 5_999_900_000, size, 5_999_900_000), (1, 1, 0, 100_000, 100_000)]
+
+
 def embeddings(spark, folder, rows):
     """An embeddings table of these (vec_id, label, embedding)."""
     spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.mode("overwrite").parquet(f"{folder}/embeddings.parquet")

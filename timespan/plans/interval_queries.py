@@ -159,7 +159,7 @@ def chunk_plans(spark, d):
 
 @query(fx.sql("ranges", "totals", "spans", query="SELECT media_id, chunk_idx, s AS start_us, e AS end_us, (sum(e - s) OVER (PARTITION BY media_id, chunk_idx))::BIGINT AS kept_us FROM (SELECT c.media_id, chunk_idx, greatest(s.start_us, c.start_us) - c.start_us AS s, least(s.end_us, c.end_us) - c.start_us AS e FROM chunks c JOIN spans s ON c.media_id = s.media_id AND s.end_us > c.start_us AND s.start_us < c.end_us)", more="chunks AS (SELECT media_id, i::INT AS chunk_idx, (i * 300000000000)::BIGINT AS start_us, least((i + 1) * 300000000000, total_us)::BIGINT AS end_us FROM totals t, range(0, 100000) r(i) WHERE i * 300000000000 < total_us)"))
 def fixed_chunk_clip(spark, d):
-    return iv.in_uniform_chunks(fx.spans(spark, d), iv.fixed_chunks(fx.totals(spark, d), 300_000_000_000))
+    return iv.in_uniform_chunks(fx.spans(spark, d), iv.fixed_chunks(fx.totals(spark, d), 300_000_000_000, 0))
 
 
 @query(fx.sql("ranges", "totals", "spans", query="SELECT media_id, chunk_idx, s AS start_us, e AS end_us, (sum(e - s) OVER (PARTITION BY media_id, chunk_idx))::BIGINT AS kept_us FROM (SELECT c.media_id, chunk_idx, greatest(s.start_us, c.start_us) - c.start_us AS s, least(s.end_us, c.end_us) - c.start_us AS e FROM chunks c JOIN spans s ON c.media_id = s.media_id AND s.end_us > c.start_us AND s.start_us < c.end_us)", more=_CHUNKS))
