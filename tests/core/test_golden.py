@@ -619,6 +619,21 @@ def test_cosine_distances_in_blocks(spark, block):
     assert len(got) == len(want) and {r[:3]: round(r[3], 9) for r in got} == {k: round(d, 9) for k, d in want.items()}
 
 
+@pytest.mark.parametrize("block", [2, 5, 100])
+def test_cosine_distances_send_a_span_to_few_groups(spark, monkeypatch, block):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(40, 3))
+    v = spark.createDataFrame([(m, k, x[k].tolist()) for m, n in ((1, 40), (2, 3)) for k in range(n)], "media_id long, span_idx long, embedding array<float>")
+    sent, join = [], type(v).groupBy
+    monkeypatch.setattr(type(v), "groupBy", lambda self, *by: (sent.append(self), join(self, *by))[1])
+    found = sg.cosine_distances(v, block, 4)
+    monkeypatch.undo()
+    assert sent[-1].count() == 40 * min(4, -(-40 // block)) + 3 * min(4, -(-3 // block))
+    want = {(m, a, b): round(min(max(1 - float(np.float32(x[a]).astype(float) @ np.float32(x[b]).astype(float)), 0), 2), 9) for m, n in ((1, 40), (2, 3)) for a in range(n) for b in range(a + 1, n)}
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(want) and {r[:3]: round(r[3], 9) for r in got} == want
+
+
 def test_mean_centred_takes_the_mean_of_a_whole_label(spark, tmp_path):
     ids = [0, 1999, 2000, 5000]  # beyond 2,000 ids
     folder = embeddings(spark, tmp_path, [(k, 7, [float(k), 1.0]) for k in ids] + [(3, None, [4.0]), (4, None, [6.0]), (5, 7, None)])
